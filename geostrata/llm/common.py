@@ -86,8 +86,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash of every word of every row, and the row of each word.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hash of every word of every row, the row of each word, and where it starts.
 
     ``is_word`` tells for each of the 256 byte values whether it belongs to words, ``fold`` replaces bytes. A word's bytes
     enter the hash eight at a time, so no array longer than the text's bytes is made.
@@ -95,7 +95,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold
     if fold is not None:
         data = fold[data]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = is_word[data]
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
@@ -115,4 +115,4 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold
         hashes[live] = mix64(hashes[live] * np.uint64(0xD1342543DE82EF95) + chunk)
         at += 8
         live = live[size[live] > at]
-    return hashes, np.searchsorted(offsets, starts, "right") - 1
+    return hashes, np.searchsorted(offsets, starts, "right") - 1, starts
