@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, exact_dedup, packing, quality, secrets, warc
+from geostrata.llm import chat, exact_dedup, minhash, packing, quality, secrets, warc
 from geostrata.llm.common import table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_minhash")
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 @query(
     "op3_exact_dedup",
     r"""
