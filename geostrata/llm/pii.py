@@ -3,8 +3,8 @@
 Entities are found by one pattern per text. Each has a canonical form (addresses in lower case, numbers as their digits), so
 that its mentions refer to one entity however they are written; all distinct entities of the corpus make a dictionary, in which
 every entity gets a surrogate from a keyed hash of its canonical form: digits for digits, letters for letters, the same
-country code, card network, top-level domain, title and script, names of the title's gender, and a valid check digit where the
-card's was valid. Surrogates that two entities share, or that are themselves an entity of the corpus, are drawn again with the next
+country code, card network, top-level domain, title and script, names of the title's gender, and a valid check digit for a
+card. A number like a card's whose check digit is wrong is no card and stays. Surrogates that two entities share, or that are themselves an entity of the corpus, are drawn again with the next
 attempt's hash, the smallest canonical form keeping its own, until all are distinct. Each mention then gets its entity's
 surrogate in the mention's own format. Texts without an entity are never shuffled and stay as they are.
 
@@ -27,7 +27,7 @@ _NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9A-Za-z._-])[3-6][0-9]{3}(?:[0-9]{9,12}|([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z_-]|\.[0-9])",
+    "card": r"(?<![0-9A-Za-z._-])[2-6][0-9]{3}(?:[0-9]{9,12}|([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z_-]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\2[0-9]{4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
@@ -53,11 +53,13 @@ def _digits(s: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """The first pattern that is the whole entity."""
+    """The first pattern that is the whole mention; ``none`` for a card number whose check digit is wrong, which is no card."""
     out = F.lit("name")
     for kind in reversed([k for k in PATTERNS if k != "name"]):
         out = F.when(entity.rlike(rf"\A(?:{PATTERNS[kind].replace(chr(92) + '2', chr(92) + '1')})\z"), kind).otherwise(out)
-    return out
+    digits = _digits(entity)
+    valid = _luhn(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits), F.lit(1))
+    return F.when((out == "card") & ~valid, "none").otherwise(out)
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -115,8 +117,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     body = F.substr(at, F.lit(1), F.length(at) - F.length(top))
     email = F.concat(_redrawn(F.substring_index(canon, "@", 1), h), F.lit("@"), _redrawn(body, _hash(key, F.lit("domain"), body)), top)
     card_body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _redrawn(F.substr(canon, F.lit(2), F.length(canon) - 2), h))
-    last = F.substr(canon, F.length(canon), F.lit(1))
-    card = F.concat(card_body, F.when(_luhn(F.substr(canon, F.lit(1), F.length(canon) - 1)) == last, _luhn(card_body)).otherwise(F.pmod(_luhn(card_body).cast("int") + 1 + F.pmod(_number(h, 50), F.lit(9)), F.lit(10)).cast("string")))
+    card = F.concat(card_body, _luhn(card_body))
     head = F.greatest(F.length(canon) - 10, F.lit(0))  # digits before the last ten are the country's
     phone = F.concat(F.substr(canon, F.lit(1), head), _redrawn(F.substr(canon, head + 1, F.lit(10)), h))
     ip = F.concat_ws(".", *((F.pmod(_number(h, 1 + 8 * i), F.lit(254)) + 1).cast("string") for i in range(4)))
@@ -156,11 +157,12 @@ def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     some = saved(docs.where(F.size("entities") > 0).withColumn("row", F.monotonically_increasing_id()), "found")
     mentions = some.select("row", F.posexplode("entities").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention")))
     mentions = saved(mentions, "mentions")
-    known = dictionary(mentions, key)
+    known = dictionary(mentions.where("kind <> 'none'"), key)
     # an entity that is mentioned everywhere is one row of the dictionary: adaptive execution may split its mentions
-    new = mentions.join(known, ["kind", "canon"]).select("row", F.struct("pos", _formatted(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")).alias("one"))
-    new = new.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["new"]).alias("new"))  # a text's own mentions
+    put = F.when(F.col("surrogate").isNull(), F.col("mention")).otherwise(_formatted(F.col("kind"), F.col("mention"), F.col("surrogate")))
+    new = mentions.join(known, ["kind", "canon"], "left").select("row", F.struct("pos", put.alias("new")).alias("one"), F.col("surrogate").isNotNull().cast("int").alias("is_entity"))
+    new = new.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["new"]).alias("new"), F.sum("is_entity").cast("int").alias("n_entities"))  # a text's own mentions
     pieces = F.zip_with(F.split("text", ANY, -1), F.col("new"), lambda kept, put: F.concat(kept, F.coalesce(put, F.lit(""))))
-    replaced = some.join(new, "row").select("id", F.array_join(pieces, "").alias("text"), F.size("entities").alias("n_entities"))
+    replaced = some.join(new, "row").select("id", F.array_join(pieces, "").alias("text"), "n_entities")
     same = docs.where(F.size("entities") == 0).select("id", "text", F.lit(0).alias("n_entities"))
     return same.union(replaced).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_entities")
