@@ -85,9 +85,10 @@ class AttentionMil:
             state = (sizes, at, h, t, g, a)
         return 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["b"], -60, 60))), (has, z, state)
 
-    def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 4e-3, decay: float = 1e-4, seed: int = SEED) -> AttentionMil:
+    def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 128, rate: float = 4e-3, decay: float = 1e-4, seed: int = SEED) -> AttentionMil:
         rng, p = np.random.default_rng(seed), self.p
         ends = np.cumsum(counts)
+        epochs = -(-steps // max(1, len(y) // batch))
         m, v, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
         for epoch in range(epochs):
             for ids in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
@@ -135,8 +136,8 @@ def training_set(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tu
     return np.concatenate([np.zeros((0, N_FEATURES), np.float32), *x]), np.array([len(r) for r in x], np.int64), np.array(rows.label if len(rows) else [], np.float32)
 
 
-def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``df``: id, held_out, score, predicted, n_passages and the columns named in ``extra``."""
+def fitted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> AttentionMil:
+    """The model, fitted on the labelled rows of ``df`` that are not held out."""
     docs = only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     known = only(labels, id=id_col, label=label_col).withColumn("id", F.col("id").cast("long"))
     x, counts, y = training_set(docs, known, sample)
@@ -146,13 +147,30 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     else:
         model.p["o"][:] = 0
 
+    return model
+
+
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``df``: id, score, predicted, n_passages, held_out."""
+    model = fitted(df, labels, id_col, text_col, label_col, sample)
+
     def run(batches):
         for batch in slices(batches, 1):
             found, n = passages(*utf8(batch.column(1)))
-            s, _ = model.forward(found, n)
-            s = s.astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(n, pa.int64())], [id_col, *extra, "score", "predicted", "n_passages"])
+            s = model.forward(found, n)[0].astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(n, pa.int64())], [id_col, "score", "predicted", "n_passages"])
+
+    docs = only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    return docs.mapInArrow(run, f"`{id_col}` long, score double, predicted int, n_passages long").withColumn("held_out", held_out(F.col(f"`{id_col}`")))
+
+
+def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` that the model predicts to be good, with all their columns."""
+    model, at = fitted(df, labels, id_col, text_col, label_col, sample), df.columns.index(text_col)
+
+    def run(batches):
+        for batch in slices(batches, at):
+            good = model.forward(*passages(*utf8(batch.column(at))))[0].astype(np.float64) >= threshold
+            yield batch.filter(pa.array(good))
 
-    kept = df.select(F.col(f"`{id_col}`").cast("long").alias(id_col), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in extra))
-    schema = ", ".join([f"`{id_col}` long", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in extra), "score double, predicted int, n_passages long"])
-    return kept.mapInArrow(run, schema).withColumn("held_out", held_out(F.col(f"`{id_col}`")))
+    return df.mapInArrow(run, df.schema)
