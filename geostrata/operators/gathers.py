@@ -122,7 +122,7 @@ def sdc_coefs(n: int, interval: float, delay: float = 0.0, velocity=DEFAULT_VELO
 
 def apply_sdc(df: DataFrame, data_col: str, n: int, interval: float, out: str = "corrected", undo: bool = False, **kwargs) -> DataFrame:
     c = F.array(*(F.lit(v) for v in sdc_coefs(n, interval, **kwargs)))
-    return df.withColumn(out, F.zip_with(samples(F.col(data_col)), c, (lambda x, k: x / k) if undo else (lambda x, k: x * k)))
+    return df.withColumn(out, F.zip_with(samples(F.col(data_col)), c, (lambda x, k: F.coalesce(F.try_divide(x, k), F.lit(float("nan")))) if undo else (lambda x, k: x * k)))
 
 
 def pick_to_mask(time: Column, n: int, interval: float, delay: float = 0.0) -> Column:
