@@ -47,7 +47,7 @@ def windowed_ratio(num: np.ndarray, den: np.ndarray, half: int) -> np.ndarray:
 def _gathers(df: DataFrame, by: list[str], data_col: str, offset_col: str, kernel, schema: str) -> DataFrame:
     """kernel(key, data, offsets) -> frame, for every gather; traces come by offset so results don't depend on the plan."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(offset_col, kind="stable")
         out = kernel(np.stack(frame[data_col].to_numpy()).astype(float), frame[offset_col].to_numpy(float))
         for name, value in zip(reversed(by), reversed(key)):
@@ -140,7 +140,7 @@ def stacking_velocities(spectrum: DataFrame, by: list[str], velocities: list[flo
     """by, times, velocities: the velocity picked from each gather's spectrum, as arrays of knots."""
     grid = np.asarray(velocities, float)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         n = int(frame["t_ix"].max()) + 1
         s = np.zeros((n, len(grid)))
         s[frame["t_ix"], frame["v_ix"]] = frame["value"]
@@ -221,7 +221,7 @@ def refractor_velocities(df: DataFrame, by: list[str], offset_col: str, time_col
     """by, t0, x1.., v1.., loss: one near-surface model per gather."""
     names = ["t0", *(f"x{i}" for i in range(1, n_refractors)), *(f"v{i}" for i in range(1, n_refractors + 1))]
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.dropna(subset=[offset_col, time_col]).sort_values([offset_col, time_col])
         x, t = frame[offset_col].to_numpy(float), frame[time_col].to_numpy(float)
         if not len(x):

@@ -25,9 +25,9 @@ def hdr_filter_pandas(spark, d):
     return headers.filter_headers(lines(spark, d), lambda q: q.map(lambda v: v > 40), ["l_quantity"]).select("l_orderkey", "l_linenumber")
 
 
-@query("hdr_apply", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem")
+@query("hdr_apply", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) AS DOUBLE) AS net FROM lineitem")
 def hdr_apply(spark, d):
-    return headers.apply_headers(lines(spark, d), lambda p, x: F.round(p * (1 - x), 2), ["l_extendedprice", "l_discount"], ["net"]).select("l_orderkey", "l_linenumber", "net")
+    return headers.apply_headers(lines(spark, d), lambda p, x: (p.cast("decimal(12,2)") * (1 - x.cast("decimal(4,2)"))).cast("double"), ["l_extendedprice", "l_discount"], ["net"]).select("l_orderkey", "l_linenumber", "net")
 
 
 @query("hdr_apply_pandas", "SELECT l_orderkey, l_linenumber, l_quantity + l_linenumber AS total FROM lineitem")

@@ -122,10 +122,10 @@ def field_at_times(spark, d):
     return m.select("id", F.col("q").alias("t"), F.round(fields.evaluate("t", "vel", F.col("q")), 6).alias("v"))
 
 
-@query("field_smooth", f"WITH {_POINTS}, {_MODELS}, l AS (SELECT id, x, y, unnest([0.0, 1000.0, 2000.0])::DOUBLE AS t, unnest([v0, v1, v2]) AS v FROM m) SELECT a.id, a.t, round(avg(b.v), 4) AS v FROM l a JOIN l b ON a.t = b.t AND {_DIST} <= 150 * (1 + 1e-5) + 1e-8 GROUP BY a.id, a.t")
+@query("field_smooth", f"WITH {_POINTS}, {_MODELS}, l AS (SELECT id, x, y, unnest([0.0, 1000.0, 2000.0])::DOUBLE AS t, unnest([v0, v1, v2]) AS v FROM m) SELECT a.id, a.t, round(avg(b.v), 8) AS v FROM l a JOIN l b ON a.t = b.t AND {_DIST} <= 150 * (1 + 1e-5) + 1e-8 GROUP BY a.id, a.t")
 def field_smooth(spark, d):
     out = fields.smooth(velocity_models(spark, d), "id", "t", "vel", 150)
-    return out.select("id", "t", F.round("v", 4).alias("v"))
+    return out.select("id", "t", F.round("v", 8).alias("v"))
 
 
 @query("field_interpolate", f"WITH {_POINTS}, {_MODELS}, n AS (SELECT a.id, b.id AS point, {_DIST} AS dist, b.v1, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS rank FROM c a, m b), w AS (SELECT *, 1 / (dist ** 2) AS w0 FROM n WHERE rank <= 3), x AS (SELECT *, max(w0) OVER (PARTITION BY id) AS top FROM w) SELECT id, round(sum(w0 * v1) / sum(w0), 4) AS v FROM x WHERE w0 >= top * 1e-3 GROUP BY id")

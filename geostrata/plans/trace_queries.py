@@ -177,7 +177,7 @@ def agc_undo(spark, d):
     return _rounded(gathers.undo_agc(gathers.apply_agc(traces(spark, d), "embedding", N, 16, DT), "gained", "agc_coefs"), ["vec_id"], "restored")
 
 
-@query("sdc_apply", f"WITH {_E}, v AS (SELECT i, (2 * i) * (1594.3 + 2 * i * (1844.5 - 1594.3) / 600) ** 2 AS c FROM range(64) t(i)) SELECT vec_id, i, round(x * c / (SELECT c FROM v WHERE i = 63), 6) AS x FROM e JOIN v USING (i)")
+@query("sdc_apply", f"WITH {_E}, v AS (SELECT i, (2 * i) * (1594.3 + 2 * i * (1844.5 - 1594.3) / 600) ** 2 AS c FROM range(64) t(i)) SELECT vec_id, i, round(x * c / (SELECT c FROM v WHERE i = 63), 6) + 0 AS x FROM e JOIN v USING (i)")
 def sdc_apply(spark, d):
     return _rounded(gathers.apply_sdc(traces(spark, d), "embedding", N, DT), ["vec_id"], "corrected")
 
