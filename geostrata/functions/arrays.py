@@ -18,16 +18,20 @@ def total(a: Column, f=lambda x: x) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once per row: an expression inside a lambda would be worked out for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def mean(data: Column) -> Column:
-    a = valid(data)
-    return F.try_divide(total(a), F.size(a))
+    return bound(valid(data), lambda a: F.try_divide(total(a), F.size(a)))
 
 
 def moments(data: Column) -> Column:
     """struct(n, mean, std) with the population's deviation, from one pass for the mean and one around it."""
-    a = valid(data)
-    m = F.try_divide(total(a), F.size(a))
-    return F.struct(F.size(a).alias("n"), m.alias("mean"), F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)), F.size(a))).alias("std"))
+    around = lambda a, m: F.sqrt(F.try_divide(total(a, lambda x: (x - m) * (x - m)), F.size(a)))
+    both = lambda a: F.struct(a.alias("a"), F.try_divide(total(a), F.size(a)).alias("m"))
+    return bound(bound(valid(data), both), lambda v: F.struct(F.size(v["a"]).alias("n"), v["m"].alias("mean"), around(v["a"], v["m"]).alias("std")))
 
 
 def isclose(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.functions.arrays import element, moments, piecewise, runs, samples, valid
+from geostrata.functions.arrays import bound, element, moments, piecewise, runs, samples, valid
 
 EPS = 1e-10
 #: The default velocity table: times in ms and velocities in m/s, fixed values.
@@ -46,23 +46,27 @@ def quantiles(df: DataFrame, data_col: str, q: list[float], by: list[str] = (),
 
 
 def trace_quantile(data: Column, q: float) -> Column:
-    a = F.array_sort(valid(data))
-    at = (F.size(a) - 1) * F.lit(float(q))
-    low = F.floor(at).cast("int")
-    x0, x1 = F.get(a, low), F.get(a, F.least(low + 1, F.size(a) - 1))
-    return x0 + (x1 - x0) * (at - low)
+    def of(a):
+        at = (F.size(a) - 1) * F.lit(float(q))
+        low = F.floor(at).cast("int")
+        x0, x1 = F.get(a, low), F.get(a, F.least(low + 1, F.size(a) - 1))
+        return x0 + (x1 - x0) * (at - low)
+
+    return bound(F.array_sort(valid(data)), of)
 
 
 def _scaled(data: Column, shift: Column, scale: Column, low=None, high=None) -> Column:
-    f = lambda x: (x - shift) / scale
-    return F.transform(samples(data), f if low is None else lambda x: F.greatest(F.least(f(x), F.lit(high)), F.lit(low)))
+    def of(v):
+        f = lambda x: (x - v["shift"]) / v["scale"]
+        return F.transform(samples(data), f if low is None else lambda x: F.greatest(F.least(f(x), F.lit(high)), F.lit(low)))
+
+    return bound(F.struct(shift.alias("shift"), scale.alias("scale")), of)
 
 
 def scale_standard(df: DataFrame, data_col: str, by: list[str] | None = None, out: str = "scaled", eps: float = EPS) -> DataFrame:
     """(x - mean) / (std + eps) by trace; by gather with ``by``, over all with an empty ``by``: statistics join back, one row each."""
     if by is None:
-        m = moments(F.col(data_col))
-        return df.withColumn(out, _scaled(F.col(data_col), m["mean"], m["std"] + eps))
+        return df.withColumn(out, bound(moments(F.col(data_col)), lambda m: _scaled(F.col(data_col), m["mean"], m["std"] + eps)))
     found = stats(df, data_col, by).select(*by, F.col("mean").alias("_mean"), F.col("std").alias("_std"))
     joined = df.join(found, by) if by else df.crossJoin(F.broadcast(found))
     return joined.withColumn(out, _scaled(F.col(data_col), F.col("_mean"), F.col("_std") + eps)).drop("_mean", "_std")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(sf_dir: str):
@@ -14,7 +15,7 @@ def connect(sf_dir: str):
 
 def rows(frame) -> list[tuple]:
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         return float(v) + 0.0 if not isinstance(v, (str, bool, bytes)) and type(v).__name__ not in ("bool_", "Timestamp") else str(v)
 
