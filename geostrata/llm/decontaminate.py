@@ -105,7 +105,8 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     at = _place(F.col("v"))
     before = F.least(at, F.lit(W - 1))
     context = F.slice("words", at - before + 1, before + SPAN)
-    index = fingerprints(bench.where(F.col("n") >= SPAN)).select("item", "words", F.explode("prints").alias("v")).select(_hash(F.col("v")).alias("print"), "item", before.alias("before"), context.alias("context"))
+    # every such item has prints; of a plain explode Catalyst would infer a filter and write the whole chain out in it, many times over
+    index = fingerprints(bench.where(F.col("n") >= SPAN)).select("item", "words", F.explode_outer("prints").alias("v")).select(_hash(F.col("v")).alias("print"), "item", before.alias("before"), context.alias("context"))
     index = saved(index.distinct(), "index")
     # at most SPAN - 1 lengths come to the driver
     lengths = sorted(r.n for r in bench.where(F.col("n") < SPAN).select("n").distinct().collect())
