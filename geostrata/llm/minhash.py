@@ -6,13 +6,15 @@ own, the same for all documents, so bins stay independent and unbiased however s
 bands make a bucket. In a bucket only the edges from its centre, the smallest id, to the others are candidates, which bounds
 them by the documents times the bands; every candidate is confirmed on the full sets before it links.
 
-Inside a scan task stars are confirmed at once, and a member that its centre confirms stays at home: it reaches the shuffle as its
-centre, so a group of copies of any size arrives as one row per slice of a task and band.
+Inside a scan task stars are confirmed at once, and a member that its centre confirms is folded under it: the first round sees
+it as its centre, so a group of copies of any size arrives there as one row per slice of a task and band.
 
 Stars alone can miss a link between two members that a bucket's centre confirms neither or only one of. So what stars leave in
-different components is tested too: in buckets of up to SMALL such members by further stars, at most SMALL to a bucket, and in
-larger ones by comparing blocks of sets. Blocks hold a bounded number of shingles, a task compares two blocks by matrix products
-of which only links leave it, and the sets of a family of buckets that share members meet in as many tasks as it takes.
+different components is tested too, and the folded members of such buckets come back for that: every pair of one bucket and two
+components is tested. Buckets with up to SMALL such pairs a member are tested by further stars, whose centres are outside the
+bucket's most frequent component, and the others by comparing blocks of sets. Blocks hold a bounded number of shingles, a task
+compares two blocks by matrix products of which only links leave it, and the sets of a family of buckets that share members meet
+in as many tasks as it takes; blocks of the family's most frequent component are not compared with one another.
 
 At a similarity of 0.8 two sets share no bucket with a probability of (1 - 0.8**6)**42 = 3e-6.
 
@@ -34,7 +36,7 @@ from geostrata.llm.components import connected_components
 BINS, ROWS, BANDS = 256, 6, 42
 #: Links of one centre that one task confirms.
 STAR = 256
-#: Members of one bucket in different components up to which further stars are used, and the shingles of a block beyond that.
+#: Pairs of different components for each member of a bucket up to which further stars are used, and the shingles of a block beyond that.
 SMALL, BLOCK = 16, 150_000
 #: Shares are compared as integers: PERCENT * union <= 100 * intersection.
 PERCENT = 80
@@ -125,7 +127,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def _scan(words: int, percent: int):
-    """The rows that a scan task gives: kind 0 (id, set size), 1 (centre, member confirmed here), 2 (bucket, id)."""
+    """The rows that a scan task gives: kind 0 (id, set size), 1 (centre, member confirmed here), 2 (bucket, id), 3 (bucket, id folded under its centre)."""
 
     def run(batches):
         for batch in slices(batches, 1, 8 << 20, 4096):
@@ -152,7 +154,7 @@ def _scan(words: int, percent: int):
                     stays[member[good[of]]] = False
                     edges = pairs[good]
                     out.append((np.ones(len(edges), np.int8), pa.array(number[live[edges // len(live)]]), pa.array(number[live[edges % len(live)]])))
-                out.append((np.full(int(stays.sum()), 2, np.int8), pa.array(flat[stays].view(np.int64)), pa.array(number[live[who[stays]]])))
+                out.append((np.where(stays, 2, 3).astype(np.int8), pa.array(flat.view(np.int64)), pa.array(number[live[who]])))
             for kind, a, b in out:
                 yield pa.RecordBatch.from_arrays([pa.array(kind), a.cast(pa.int64()), b.cast(pa.int64())], ["kind", "a", "b"])
 
@@ -244,8 +246,13 @@ def compared_in_blocks(mixed: DataFrame, sizes: DataFrame, docs: DataFrame, word
     families = connected_components(mixed.join(least, "a").select(F.col("least").alias("a"), "b").distinct())
     known = sizes.groupBy(F.col("a").alias("id")).agg(F.max("b").alias("size"))
     members = saved(mixed.select(F.col("b").alias("id"), F.col("component").alias("label")).distinct().join(families.withColumnRenamed("component", "family"), "id").join(known, "id"), "members")
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    labels = members.groupBy("family", "label").agg(F.sum("size").alias("size"))
+    # the blocks of the largest component come first, and are compared with the others only
+    most = labels.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.max("size").alias("first"), F.sum("size").alias("all"))
+    blocks = most.select("family", "most", F.ceil(F.col("first") / BLOCK).cast("int").alias("first"), F.ceil((F.col("all") - F.col("first")) / BLOCK).cast("int").alias("rest"))
+    is_most, total = F.col("label") == F.col("most"), F.col("first") + F.col("rest")
+    own = F.when(is_most, F.pmod(F.xxhash64("id"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    placed = members.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(is_most, F.col("first")).otherwise(F.lit(0)), total - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     met = saved(placed.select("family", i.alias("i"), j.alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label"), "blocks")
     rows = met.hint("merge").join(docs, "id").select("family", "i", "j", "side", "id", "label", "text")
@@ -266,17 +273,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = saved(buckets.where("b <> centre").select(F.col("centre").alias("a"), "b").distinct(), "pairs")
     links = saved(links.union(confirmed(pairs, texts, words, percent)), "links")
     components = connected_components(links)
-    # the centres are done with: their links are known. What else a bucket holds matters where it is of two components
-    over = Window.partitionBy("a")
-    left = buckets.where("n > 2 and b <> centre").select("a", "b")
-    named = left.join(components, left.b == components.id, "left").select("a", "b", F.coalesce("component", "b").alias("component"))
-    mixed = named.select("a", "b", "component", F.min("component").over(over).alias("low"), F.max("component").over(over).alias("high"), F.count("*").over(over).alias("n")).where("low < high")
-    mixed = saved(mixed.select("a", "b", "component", "n"), "mixed")
-    small = mixed.where(F.col("n") <= SMALL)
-    other = small.select("a", F.col("b").alias("c"), F.col("component").alias("c_component"))
-    pairs = saved(small.join(other, "a").where("b < c and component <> c_component").select(F.col("b").alias("a"), F.col("c").alias("b")).distinct(), "pairs")
+    # what a bucket holds besides matters where it is of two components
+    named = lambda entries: entries.join(components, entries.b == components.id, "left").withColumn("component", F.coalesce("component", "b")).drop("id")
+    stayed = saved(named(buckets).select("a", "b", "component", (F.col("b") == F.col("centre")).alias("is_centre")), "stayed")
+    open_ = stayed.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("a")
+    folded = saved(named(rows.where("kind = 3").select("a", "b").join(open_, "a", "left_semi")).select("a", "b", "component"), "folded")
+    # a centre is done with where nothing is folded: its links to all that stayed are known
+    folds = folded.select("a").distinct().withColumn("folds", F.lit(True))
+    stayed = stayed.join(open_, "a", "left_semi").join(folds, "a", "left").where("folds or not is_centre").select("a", "b", "component")
+    entries = saved(stayed.union(folded).distinct(), "entries")
+    shares = entries.groupBy("a", "component").agg(F.count("*").alias("n"))
+    shares = shares.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("components"))
+    mixed = saved(entries.join(shares.where("components > 1"), "a").select("a", "b", "component", "most", ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= SMALL * F.col("n")).alias("few")), "mixed")
+    small = mixed.where("few")
+    other = small.where("component <> most").select("a", F.col("b").alias("c"), F.col("component").alias("c_component"))
+    pairs = small.join(other, "a").where("component <> c_component and (component = most or b < c)")
+    pairs = saved(pairs.select(F.col("c").alias("a"), "b").distinct(), "pairs")
+    # those that were folded in every bucket of theirs have no text there yet
+    late = mixed.select(F.col("b").alias("id")).distinct().join(buckets.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+    texts = texts.unionByName(saved(docs.join(late.hint("merge"), "id"), "late"))
     more = confirmed(pairs, texts, words, percent)
-    large = mixed.where(F.col("n") > SMALL)
+    large = mixed.where("not few")
     if not large.isEmpty():
         more = more.union(compared_in_blocks(large, rows.where("kind = 0"), texts, words, percent))
     more = saved(more, "links")

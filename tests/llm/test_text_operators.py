@@ -128,6 +128,25 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert got(minhash.near_duplicates(df, words=2), "doc_id", "component_id") == sorted(component.items(), key=str)
 
 
+@pytest.mark.parametrize(("parts", "small"), [(1, 16), (2, 0)])
+def test_members_folded_under_a_centre_still_link(spark, monkeypatch, parts, small):
+    """A bridge m with m ~ c for 30 lower ids c and m ~ d, but no c ~ d: nearly every bucket of m and d folds m under some c."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(200)]
+
+    def swapped(tag):
+        at = set(rng.choice(np.arange(1, 199, 2), 9, False).tolist())
+        return " ".join(f"{tag}{i}" if i in at else w for i, w in enumerate(words))
+
+    rows = [*((k, swapped(f"c{k}x")) for k in range(1, 31)), (50, " ".join(words)), (60, swapped("d"))]
+    sets, component = brute_components(rows, 2)
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert alike(50, 60) >= 0.8 and all(alike(k, 60) < 0.8 for k in range(1, 31)) and component[60] == 1
+    monkeypatch.setattr(minhash, "SMALL", small)
+    frames = [spark.createDataFrame(r, "doc_id long, text string").coalesce(1) for r in ([rows] if parts == 1 else [rows[:-1], rows[-1:]])]
+    assert got(minhash.near_duplicates(frames[0] if parts == 1 else frames[0].union(frames[1]), words=2), "doc_id", "component_id") == sorted(component.items(), key=str)
+
+
 def test_densified_bins_agree_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     agree, trials = 0, 300
