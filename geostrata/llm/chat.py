@@ -5,10 +5,10 @@ are rendered and consecutive outputs compared: what a longer prefix appends is t
 does not begin with the one before it shows a template that rewrites history. A turn's text is located in its span by rendering
 the turn once more with a probe in the text's place and comparing the two.
 
-Prefixes are rendered over a window of the last ``WINDOW`` turns, so the work grows with the number of turns and not with its
-square; a template that looks back further is one that rewrites history in the sense above only if the window shows it. Turns
-arrive sorted in a stream per conversation, so a conversation of any length is formatted in the memory of one window, and the
-formatted text leaves as one row per turn.
+Prefixes are rendered whole, so the work of a conversation grows with the square of its turns: nothing less shows whether a
+template of which nothing is known rewrites a turn far back. For a template that is known to look back less, a ``window`` of turns
+bounds the prefixes, and the work grows with the number of turns. Turns arrive sorted in a stream per conversation, which is held
+in memory up to the window, and the formatted text leaves as one row per turn.
 
 Defined results: a null text or role counts as empty; turns are ordered by turn, then role and text, null turns first; a null
 conversation id is a conversation of its own. Rows repeated are turns repeated. Empty tables give empty results. Other columns
@@ -29,8 +29,6 @@ from geostrata.llm.common import only
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns of a prefix that are rendered.
-WINDOW = 4
 #: The role whose texts are trained on.
 TRAINED = "assistant"
 
@@ -67,30 +65,36 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def text_span(render: Template, before: list[Turn], turn: Turn) -> tuple[int, int]:
-    """Where the text of ``turn`` stands in render(before + [turn]): what is left between the ends it shares with a probe."""
-    whole, bare = render([*before, turn]), render([*before, (turn[0], "")])
+def text_span(render: Template, before: list[Turn], turn: Turn, whole: str) -> tuple[int, int]:
+    """Where the text of ``turn`` stands in ``whole``, render(before + [turn]): what is left between the ends it shares with a probe."""
     if not turn[1]:
-        other = render([*before, (turn[0], "x")])
-        at = _common(bare, other)
+        at = _common(whole, render([*before, (turn[0], "x")]))
         return at, at
     # two probes that begin and end unlike one another keep the text's own ends from counting as the template's
-    start = min(_common(whole, render([*before, (turn[0], probe)])) for probe in ("x", "y"))
-    tail = min(_common(whole[::-1], render([*before, (turn[0], probe)])[::-1]) for probe in ("x", "y"))
+    probes = [render([*before, (turn[0], probe)]) for probe in ("x", "y")]
+    start = min(_common(whole, probe) for probe in probes)
+    tail = min(_common(whole[::-1], probe[::-1]) for probe in probes)
     return start, len(whole) - min(tail, len(whole) - start)
 
 
-def pieces(render: Template, turns, window: int = WINDOW):
-    """For each turn of one conversation: the text it appends, where its own text stands in that, and whether history changed."""
+def pieces(render: Template, turns, window: int | None = None):
+    """For each turn of one conversation: the text it appends, where its own text stands in that, and whether history changed.
+
+    ``window``: turns of a prefix that are rendered, all by default.
+    """
     recent: list[Turn] = []
+    before = render(recent)
     for turn in turns:
-        before = render(recent) if recent else render([])
         after = render([*recent, turn])
         rewrites = not after.startswith(before)
         base = _common(before, after) if rewrites else len(before)
-        start, end = text_span(render, recent, turn)
+        start, end = text_span(render, recent, turn, after)
         yield after[base:], max(start - base, 0), max(end - base, 0), rewrites
-        recent = [*recent, turn][-(window - 1) :] if window > 1 else []
+        recent.append(turn)
+        before = after
+        if window and len(recent) >= window:
+            recent = recent[len(recent) - window + 1 :]
+            before = render(recent)
 
 
 _PIECES = "conv long, seq long, piece string, text_start long, text_end long, trained boolean, rewrites boolean"
@@ -130,7 +134,7 @@ def _batches(rows, types, names, most: int = 2000, most_chars: int = 8 << 20):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
 
-def format_chat(df: DataFrame, render: Template = standard, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def format_chat(df: DataFrame, render: Template = standard, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int | None = None) -> DataFrame:
     """One row per turn: conv, seq, piece (the formatted text it appends), text_start and text_end (its own text in the piece, code
     points), trained (whether that text is under the loss mask) and rewrites. A conversation's pieces joined by seq are its text;
     they come from one partition, in order.

@@ -260,6 +260,14 @@ def test_chat_is_read_back(spark):
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_rewrites_of_turns_far_back_are_told():
+    turns = [("system", "s1"), *(("user", "u"), ("assistant", "a")) * 6, ("system", "s2")]
+    assert [r for *_, r in chat.pieces(chat.rewriting, turns)] == [False] * 13 + [True]
+    numbered = lambda turns: "".join(f"{i}:{r}:{t};" for i, (r, t) in enumerate(turns))
+    assert "".join(p for p, *_ in chat.pieces(numbered, turns)) == numbered(turns)
+    assert list(chat.pieces(chat.standard, turns)) == list(chat.pieces(chat.standard, turns, window=4))
+
+
 def test_templates_that_rewrite_history_are_told():
     turns = [("system", "s1"), ("user", "u"), ("system", "s2"), ("assistant", "a")]
     assert any(r for *_, r in chat.pieces(chat.rewriting, turns)) and not any(r for *_, r in chat.pieces(chat.standard, turns))
