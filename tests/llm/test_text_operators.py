@@ -243,6 +243,27 @@ def test_secret_candidates():
     assert rows.tolist() == [0, 1, 4, 5] and [data[a:b] for a, b in zip(starts, ends)] == [b"0123456789abcdef0123", b"0123456789abcdefAA", b"AbCdEfGhIjKlMnOpQr", b"1111111111111111"]
 
 
+def test_candidates_are_scored_whole(spark):
+    class Sevens:  # a network that knows one kind of key: 16 equal characters 7 or Q
+        threshold = 0.5
+
+        def scores(self, x):
+            return np.array([max((r == secrets._CODE[ord(c)]).sum() for c in "7Q") >= 16 for r in x[:, 16:56]], float)
+
+    name = "NAME_OF_A_LONG_SETTING_OF_SERVICE_X_AND_OF_Y="
+    texts = [name + "7" * 20, "é " + "Q" * 20, "ZQ" + "7" * 24 + "QZ", "7" * 24]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=Sevens()).orderBy("doc_id").collect()
+    assert [r.spans for r in found] == [f"network:0:{len(name) + 20}", "network:2:22", "network:0:28,hex:2:26", "hex:0:24"]
+
+
+def test_secret_threshold_keeps_its_recall():
+    model, y = secrets.CharCnn(), np.array([1.0] * 100 + [0.0] * 300)
+    logits = np.concatenate([np.linspace(-4, 4, 100), np.linspace(-6, 2, 300)])
+    model._calibrate(logits, y)
+    scores = 1 / (1 + np.exp(-(model.scale * logits + model.shift)))
+    assert (scores[y > 0] >= model.threshold).mean() >= 0.99
+
+
 TURNS = [(1, 0, "user", "a"), (1, 1, "assistant", r"\### Assistant: </turn> ok"), (1, 2, "assistant", None), (2, 5, None, "x: y"), (None, 0, "assistant", "z"), (3, 1, "assistant", "b"), (3, 0, "system", ""), (3, 1, "assistant", "b"), (4, 0, "user", "q\n" * 3000)]
 
 
