@@ -1,21 +1,34 @@
 """The corpus pipeline: documents to padded batches, in five stages of the text operators.
 
-Each stage reads all that its predecessor kept and drops what its operator decides against; the last one packs what is left. A
-document that is dropped is dropped by id, so rows repeated with one id share their fate; a null id is matched like any other.
+Each stage reads all that its predecessor kept and drops what its operator decides against; the last one packs what is left.
+Verdicts are on rows: a row has a key of its own, which is its id only where all ids are unique and not null.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geostrata.llm import decontaminate, exact_dedup, minhash, packing, quality
 from geostrata.llm.common import saved, table
 
 
+#: The column of a row's key.
+_KEY = "pipeline_row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a long of its own for every row: the id where no id is null or repeated, else the row's number in the order of
+    ids, null ones last, so that the smallest key has the smallest id. The numbers are written once and read again."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn(_KEY, F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.monotonically_increasing_id())
+    return saved(ordered.withColumn(_KEY, F.monotonically_increasing_id()), "keyed")
+
+
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``bad``: a shuffled join on the id, as neither side has a bound."""
-    bad = bad.select(bad["doc_id"].alias("bad_id")).distinct().hint("merge")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows of ``docs`` whose key is not in ``bad``: a shuffled join on the key, as neither side has a bound."""
+    return docs.join(bad.select(_KEY).hint("merge"), _KEY, "left_anti").drop(_KEY)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +38,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space: the longest, then the smallest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    docs = _keyed(docs)
+    return _without(docs, exact_dedup.exact_dedup(docs, _KEY).where("not kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each component of documents linked by a similarity of 0.8 on shingles of five words."""
-    return _without(docs, minhash.near_duplicates(docs, words=5).where("not kept"))
+    docs = _keyed(docs)
+    return _without(docs, minhash.near_duplicates(docs, _KEY, words=5).where("not kept"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words, nor a shorter item, with the benchmark."""
-    return _without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    docs = _keyed(docs)
+    return _without(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), _KEY).where("contaminated"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

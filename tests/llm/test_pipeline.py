@@ -38,6 +38,21 @@ def test_stages_one_by_one(spark):
         docs = out
 
 
+def test_rows_with_null_and_repeated_ids_are_judged_one_by_one(spark, tmp_path):
+    words = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    near = words("n", 200)
+    rows = [
+        (None, words("a")), (None, words("a")), (None, words("b")), (1, words("c")), (1, words("c")), (1, words("d")),
+        (2, near), (2, near + " more"), (2, words("e")), (None, near + " end"), (3, words("leak")), (3, words("f")), (None, words("leak") + " x"), (None, words("g")),
+    ]
+    spark.createDataFrame([(1, words("leak", 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = saved(stage(spark, docs, str(tmp_path)), name)
+    found = [(r.doc_id, r.text.split()[0]) for r in docs.collect()]
+    assert sorted(found, key=str) == sorted([(None, "a0"), (None, "b0"), (1, "c0"), (1, "d0"), (2, "n0"), (2, "e0"), (3, "f0"), (None, "g0")], key=str)
+
+
 def test_pipeline_without_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
