@@ -8,6 +8,11 @@ card. A number like a card's whose check digit is wrong is no card and stays. Su
 attempt's hash, the smallest canonical form keeping its own, until all are distinct. Each mention then gets its entity's
 surrogate in the mention's own format. Texts without an entity are never shuffled and stay as they are.
 
+A name's canonical form is the bare name, without its title, which only steers the surrogate's gender. One word of a full name that
+the same text introduces is that full name (the first one whose family name it is, else given name), and gets that word's part of
+the surrogate. Names that a title introduces are also replaced where the same text repeats them, or a word of them, without one.
+No two names share a surrogate's family name.
+
 Defined results: a null text stays null and has no entity; empty texts stay empty. Rows repeated give rows repeated, with the same
 surrogates; null ids are kept. Empty tables give empty results. Other columns of the input are not read.
 """
@@ -33,6 +38,7 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "name": rf"(?<![\p{{L}}0-9])(?:{'|'.join(t for group in _TITLES.values() for t in group)})\.? {_NAME}",
 }
+_TITLE = rf"\A(?:{'|'.join(t for group in _TITLES.values() for t in group)})\.? "
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity has one of these, and few texts do: the cheap test that comes first.
 _HINT = rf"[0-9@]|(?:{'|'.join(t for group in _TITLES.values() for t in group)})\.? \p{{Lu}}"
@@ -63,7 +69,32 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    return F.when(kind.isin("card", "phone", "ssn"), _digits(entity)).when(kind == "email", F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
+    return F.when(kind.isin("card", "phone", "ssn"), _digits(entity)).when(kind == "email", F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).when(kind == "name", F.regexp_replace(entity, _TITLE, "")).otherwise(entity)
+
+
+def gender_of(mention: Column) -> Column:
+    """m or f by the mention's title, else null."""
+    title = F.regexp_replace(F.regexp_extract(mention, _TITLE, 0), r"\.? \z", "")
+    return F.when(title.isin(_TITLES["m"]), "m").when(title.isin(_TITLES["f"]), "f")
+
+
+def _last(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
+
+
+def _in_full(bare: Column, full_names: Column) -> Column:
+    """The first of a text's full names that one word of a name stands for, or the name itself."""
+    family = F.get(F.filter(full_names, lambda x: _last(x) == bare), F.lit(0))
+    given = F.get(F.filter(full_names, lambda x: F.substring_index(x, " ", 1) == bare), F.lit(0))
+    return F.when(bare.contains(" "), bare).otherwise(F.coalesce(family, given, bare))
+
+
+def _with_repeats(bare_names: Column) -> Column:
+    """The pattern of a text: all entities, and the names that it introduces and their words, longest first. Names are of letters,
+    spaces and hyphens, which stand for themselves."""
+    words = F.array_distinct(F.concat(bare_names, F.flatten(F.transform(bare_names, lambda x: F.split(x, " ")))))
+    longest = F.transform(F.sort_array(F.transform(words, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), False), lambda s: s["x"])
+    return F.when(F.size(words) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}0-9])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}0-9])"))).otherwise(F.lit(ANY))
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -97,20 +128,19 @@ def _pick(values: list[str], v: Column) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in values)), (F.pmod(v, F.lit(len(values))) + 1).cast("int"))
 
 
-def _name(entity: Column, h: Column) -> Column:
-    """The title, a given name of its gender where the name has two words, and a family name, in the entity's script."""
-    title, rest = F.substring_index(entity, " ", 1), F.regexp_replace(entity, r"\A\S+ ", "")
-    bare = F.regexp_replace(title, r"\.", "")
-    gender = F.when(bare.isin(_TITLES["m"]), "m").when(bare.isin(_TITLES["f"]), "f").otherwise("n")
-    script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+def _name(entity: Column, h: Column, attempt: Column, gender: Column) -> Column:
+    """A given name of the gender where the name has two words, and a family name, in the entity's script. A family name has three
+    syllables."""
+    script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     by_script = lambda make: F.when(script == "cyrillic", make("cyrillic")).otherwise(make("latin"))
-    family = F.initcap(by_script(lambda s: F.concat(*(_pick(_SYLLABLES[s], _number(h, 1 + 8 * i)) for i in range(3)))))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: _number(F.sha2(F.concat_ws("\x1f", h, i.cast("string")), 256), 1))
+    family = F.initcap(by_script(lambda s: F.array_join(F.transform(drawn, lambda v: _pick(_SYLLABLES[s], v)), "")))
     given = by_script(lambda s: F.when(gender == "m", _pick(_GIVEN[s, "m"], _number(h, 33))).when(gender == "f", _pick(_GIVEN[s, "f"], _number(h, 33))).otherwise(_pick(_GIVEN[s, "n"], _number(h, 33))))
-    return F.concat(title, F.lit(" "), F.when(rest.contains(" "), F.concat(given, F.lit(" "), family)).when(rest.contains("-"), F.concat(given, F.lit("-"), family)).otherwise(family))
+    return F.when(entity.contains(" "), F.concat(given, F.lit(" "), family)).when(entity.contains("-"), F.concat(given, F.lit("-"), family)).otherwise(family)
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The canonical form's surrogate, itself in canonical form."""
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str, gender: Column) -> Column:
+    """The canonical form's surrogate, itself in canonical form. ``gender`` (m, f or null) is a name's."""
     h = _hash(key, kind, canon, attempt.cast("string"))
     at = F.substring_index(canon, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(at, ".", -1))
@@ -122,30 +152,37 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     phone = F.concat(F.substr(canon, F.lit(1), head), _redrawn(F.substr(canon, head + 1, F.lit(10)), h))
     ip = F.concat_ws(".", *((F.pmod(_number(h, 1 + 8 * i), F.lit(254)) + 1).cast("string") for i in range(4)))
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _redrawn(F.substr(canon, F.lit(3), F.length(canon)), h))
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _redrawn(canon, h)).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(_name(canon, h))
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _redrawn(canon, h)).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(_name(canon, h, attempt, gender))
 
 
-def _formatted(kind: Column, mention: Column, found: Column) -> Column:
-    """A canonical surrogate written the way the mention is: its separators, its spaces, its case."""
+def _formatted(kind: Column, mention: Column, canon: Column, found: Column) -> Column:
+    """A canonical surrogate written the way the mention is: its separators, its spaces, its case, its title, its part of the name."""
     put = F.aggregate(
         F.split(mention, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda acc, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(acc["out"], F.substr(found, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
     )["out"]
-    return F.when(kind.isin("card", "phone", "ssn", "iban"), put).when((kind == "email") & (mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(found)).otherwise(found)
+    bare = F.regexp_replace(mention, _TITLE, "")
+    part = F.when(bare == canon, found).when(bare == _last(canon), _last(found)).otherwise(F.substring_index(found, " ", 1))
+    return F.when(kind == "name", F.concat(F.regexp_extract(mention, _TITLE, 0), part)).when(kind.isin("card", "phone", "ssn", "iban"), put).when((kind == "email") & (mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(found)).otherwise(found)
 
 
 def dictionary(entities: DataFrame, key: str) -> DataFrame:
-    """kind, canon and surrogate of every distinct entity; no two of a kind share a surrogate, and none is an entity itself."""
-    drawn = saved(entities.select("kind", "canon").distinct().select("kind", "canon", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("canon"), F.lit(0), key).alias("surrogate")), "drawn")
-    names = drawn.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("taken"))
+    """kind, canon and surrogate of every distinct entity; no two of a kind share a surrogate (names: a family name), and none is an
+    entity itself. A column ``gender`` of ``entities`` counts where an entity's mentions agree on it."""
+    gender = F.col("gender") if "gender" in entities.columns else F.lit(None).cast("string")
+    distinct = entities.groupBy("kind", "canon").agg(F.min(gender).alias("low"), F.max(gender).alias("high"))
+    distinct = distinct.select("kind", "canon", F.when(F.col("low") == F.col("high"), F.col("low")).alias("gender"))
+    drawn = saved(distinct.select("kind", "canon", "gender", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("canon"), F.lit(0), key, F.col("gender")).alias("surrogate")), "drawn")
+    mark = lambda c: F.when(F.col("kind") == "name", _last(F.col(c))).otherwise(F.col(c)).alias("mark")
+    names = drawn.select("kind", mark("canon"), F.lit(True).alias("taken")).distinct()
     while True:
         # surrogates are as good as distinct: groups are of one or a few rows
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("attempt", "canon"))
-        checked = saved(drawn.withColumn("place", first).join(names, ["kind", "surrogate"], "left").select("kind", "canon", "attempt", "surrogate", ((F.col("place") > 1) | F.col("taken").isNotNull()).alias("again")), "checked")
+        first = F.row_number().over(Window.partitionBy("kind", "mark").orderBy("attempt", "canon"))
+        checked = saved(drawn.withColumn("mark", mark("surrogate")).withColumn("place", first).join(names, ["kind", "mark"], "left").select("kind", "canon", "gender", "attempt", "surrogate", ((F.col("place") > 1) | F.col("taken").isNotNull()).alias("again")), "checked")
         if checked.where("again").isEmpty():
             return checked.select("kind", "canon", "surrogate")
         attempt = F.col("attempt") + F.col("again").cast("int")
-        drawn = checked.select("kind", "canon", attempt.alias("attempt"), F.when(F.col("again"), surrogate(F.col("kind"), F.col("canon"), attempt, key)).otherwise(F.col("surrogate")).alias("surrogate"))
+        drawn = checked.select("kind", "canon", "gender", attempt.alias("attempt"), F.when(F.col("again"), surrogate(F.col("kind"), F.col("canon"), attempt, key, F.col("gender"))).otherwise(F.col("surrogate")).alias("surrogate"))
 
 
 def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
@@ -155,14 +192,20 @@ def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     found = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     docs = docs.withColumn("entities", F.coalesce(found, F.array().cast("array<string>")))
     some = saved(docs.where(F.size("entities") > 0).withColumn("row", F.monotonically_increasing_id()), "found")
-    mentions = some.select("row", F.posexplode("entities").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention")))
+    # what a title introduces in a text is looked for in that text a second time, without one
+    names = F.transform(F.filter("entities", lambda x: x.rlike(_TITLE)), lambda x: F.regexp_replace(x, _TITLE, ""))
+    some = some.withColumn("names", F.array_distinct(names)).withColumn("pattern", _with_repeats(F.col("names")))
+    some = some.withColumn("entities", F.when(F.size("names") > 0, F.regexp_extract_all("text", "pattern", F.lit(0))).otherwise(F.col("entities")))
+    mentions = some.select("row", "names", F.posexplode("entities").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention")))
+    in_full = F.when(F.col("kind") == "name", _in_full(F.col("canon"), F.filter("names", lambda x: x.contains(" ")))).otherwise(F.col("canon"))
+    mentions = mentions.select("row", "pos", "mention", "kind", in_full.alias("canon"), gender_of(F.col("mention")).alias("gender"))
     mentions = saved(mentions, "mentions")
     known = dictionary(mentions.where("kind <> 'none'"), key)
     # an entity that is mentioned everywhere is one row of the dictionary: adaptive execution may split its mentions
-    put = F.when(F.col("surrogate").isNull(), F.col("mention")).otherwise(_formatted(F.col("kind"), F.col("mention"), F.col("surrogate")))
+    put = F.when(F.col("surrogate").isNull(), F.col("mention")).otherwise(_formatted(F.col("kind"), F.col("mention"), F.col("canon"), F.col("surrogate")))
     new = mentions.join(known, ["kind", "canon"], "left").select("row", F.struct("pos", put.alias("new")).alias("one"), F.col("surrogate").isNotNull().cast("int").alias("is_entity"))
     new = new.groupBy("row").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["new"]).alias("new"), F.sum("is_entity").cast("int").alias("n_entities"))  # a text's own mentions
-    pieces = F.zip_with(F.split("text", ANY, -1), F.col("new"), lambda kept, put: F.concat(kept, F.coalesce(put, F.lit(""))))
+    pieces = F.zip_with(F.when(F.size("names") > 0, F.split("text", F.col("pattern"), -1)).otherwise(F.split("text", ANY, -1)), F.col("new"), lambda kept, put: F.concat(kept, F.coalesce(put, F.lit(""))))
     replaced = some.join(new, "row").select("id", F.array_join(pieces, "").alias("text"), "n_entities")
     same = docs.where(F.size("entities") == 0).select("id", "text", F.lit(0).alias("n_entities"))
     return same.union(replaced).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_entities")

@@ -344,6 +344,14 @@ def test_surrogates_are_distinct(spark):
     assert known.select("surrogate").distinct().count() == 400 and known.join(mentions.select(F.col("canon").alias("surrogate")), "surrogate").isEmpty()
 
 
+def test_mentions_of_a_name_are_one_entity(spark):
+    rows = [(1, "Mr. John Smith met Dr. Smith, Mr Smith and John Smith. Smith's car; Smithers stays. Frau Weber-Vogt"), (2, "Dr John Smith"), (3, "Smith, without a title")]
+    out = {r.doc_id: r.text for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    given, family = re.match(r"Mr\. (\w+) (\w+) met", out[1]).groups()
+    assert out[1].startswith(f"Mr. {given} {family} met Dr. {family}, Mr {family} and {given} {family}. {family}'s car; Smithers stays. Frau ")
+    assert "Weber" not in out[1] and out[2] == f"Dr {given} {family}" and out[3] == rows[2][1] and "Smith" not in (given, family)
+
+
 def test_archives_round_trip(spark):
     rows = [(3, "http://b.example.com/x", "<p>é</p>"), (1, "http://a.example.com:80/?q=%0D#f", "same"), (2, "https://www.a.example.com/", "same"), (4, None, None), (5, "u", ""), (6, "http://a.example.com/", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n"), (None, "n", "same"), (7, "a\r\nb", "x" * 100000), (2, "r", "other")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)
