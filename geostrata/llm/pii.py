@@ -130,10 +130,10 @@ def _pick(values: list[str], v: Column) -> Column:
 
 def _name(entity: Column, h: Column, attempt: Column, gender: Column) -> Column:
     """A given name of the gender where the name has two words, and a family name, in the entity's script. A family name has three
-    syllables."""
+    syllables and one more for every attempt, so that there are enough for any number of entities."""
     script = F.when(entity.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     by_script = lambda make: F.when(script == "cyrillic", make("cyrillic")).otherwise(make("latin"))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: _number(F.sha2(F.concat_ws("\x1f", h, i.cast("string")), 256), 1))
+    drawn = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: _number(F.sha2(F.concat_ws("\x1f", h, i.cast("string")), 256), 1))
     family = F.initcap(by_script(lambda s: F.array_join(F.transform(drawn, lambda v: _pick(_SYLLABLES[s], v)), "")))
     given = by_script(lambda s: F.when(gender == "m", _pick(_GIVEN[s, "m"], _number(h, 33))).when(gender == "f", _pick(_GIVEN[s, "f"], _number(h, 33))).otherwise(_pick(_GIVEN[s, "n"], _number(h, 33))))
     return F.when(entity.contains(" "), F.concat(given, F.lit(" "), family)).when(entity.contains("-"), F.concat(given, F.lit("-"), family)).otherwise(family)

@@ -352,6 +352,12 @@ def test_mentions_of_a_name_are_one_entity(spark):
     assert "Weber" not in out[1] and out[2] == f"Dr {given} {family}" and out[3] == rows[2][1] and "Smith" not in (given, family)
 
 
+def test_surrogates_suffice_for_any_number_of_names(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_SYLLABLES", {"latin": ["ba", "be", "bo"], "cyrillic": ["ба"]})
+    mentions = spark.range(60).select(F.lit("name").alias("kind"), F.concat(F.lit("A"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("canon"))
+    assert pii.dictionary(mentions, "k").select("surrogate").distinct().count() == 60  # 27 names of three syllables
+
+
 def test_archives_round_trip(spark):
     rows = [(3, "http://b.example.com/x", "<p>é</p>"), (1, "http://a.example.com:80/?q=%0D#f", "same"), (2, "https://www.a.example.com/", "same"), (4, None, None), (5, "u", ""), (6, "http://a.example.com/", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n"), (None, "n", "same"), (7, "a\r\nb", "x" * 100000), (2, "r", "other")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)
