@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, components, decontaminate, exact_dedup, extract, minhash, packing, pii, quality, secrets, warc
+from geostrata.llm import chat, components, decontaminate, exact_dedup, minhash, packing, pii, quality, secrets, warc
 from geostrata.llm.common import slices, utf8, word_hashes
 
 DOCS = [
@@ -297,31 +297,6 @@ def test_templates_that_rewrite_history_are_told():
         assert chat.unescape(piece[start:end]) == text
 
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
-<article><h1>Title &amp; more</h1><p>First   <b>bold</b> text<br>goes on.<p>Second &eacute;<aside>Related links</aside><ul><li>point one</ul><section class="comments"><p>reader says</p></section></article>
-<form><p>Search</p></form><footer>&copy; us</footer></body></html>"""
-
-
-def test_pages_are_extracted(spark):
-    w = np.zeros(extract.N_FEATURES)
-    rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<p>bare text without an end"), (5, "u", "<article><p>" + "long text. " * 5000)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
-    found = {r.page_id: r for r in extract.extract(df, weights=w).collect()}
-    assert found[1].text == "Title & more\nFirst bold text goes on.\nSecond é\npoint one" and found[1].n_chars == len(found[1].text)
-    assert found[2].text == found[3].text == "" and found[5].n_chars == len("long text. " * 5000) - 1
-    assert extract.extract(df.limit(0)).count() == 0
-
-
-def test_cuts_are_minimal():
-    rng = np.random.default_rng(0)
-    for _ in range(150):
-        n = int(rng.integers(1, 7))
-        c, b = rng.random(n).tolist(), rng.random(n).tolist()
-        edges = [(int(rng.integers(n)), int(rng.integers(n)), float(rng.random())) for _ in range(int(rng.integers(0, 9)))]
-        cost = lambda l: sum(c[i] if l[i] else b[i] for i in range(n)) + sum(w for i, j, w in edges if l[i] != l[j])  # noqa: B023, E731, E741
-        assert cost(extract.minimum_cut(c, b, edges)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
-
-
 def test_surrogates(spark, empty):
     rows = [(1, "Mr. John Smith at +1 (429) 555-5467 or 8.2.3.4, 4111 1111 1111 1111 / 4111111111111111."), (2, "A.B09@Mail1.example.com a.b09@mail1.example.com Frau Müller"), (3, None), (4, ""), (5, "+14295555467 version 1.2.3 on 2023-01-15, 1234567890123456"), (5, "a.b09@mail1.example.com"), (None, "8.2.3.4")]
     found = pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1)), key="k")
