@@ -6,7 +6,8 @@ every entity gets a surrogate from a keyed hash of its canonical form: digits fo
 country code, card network, top-level domain, title and script, names of the title's gender, and a valid check digit for a
 card. A number like a card's whose check digit is wrong is no card and stays. Surrogates that two entities share, or that are themselves an entity of the corpus, are drawn again with the next
 attempt's hash, the smallest canonical form keeping its own, until all are distinct. Each mention then gets its entity's
-surrogate in the mention's own format. Texts without an entity are never shuffled and stay as they are.
+surrogate in the mention's own format. Texts without an entity are never shuffled and stay as they are. An address has labels of 63
+characters and 127 of them at most, as names of hosts do.
 
 A name's canonical form is the bare name, without its title, which only steers the surrogate's gender. One word of a full name that
 the same text introduces is that full name (the first one whose family name it is, else given name), and gets that word's part of
@@ -24,24 +25,30 @@ from pyspark.sql import functions as F
 
 from geostrata.llm.common import only, saved
 
-#: The key of all hashes; spark.geostrata.pii.key overrides it.
-KEY = "change me"
+#: The setting that holds the key of all hashes. There is no default: without a key the operator fails.
+KEY = "spark.geostrata.pii.key"
+
+#: Attempts after which surrogates of addresses and of telephone and insurance numbers get longer.
+STEADY = 5
 
 _TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"], "n": ["Dr", "Prof"]}
-_NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?"
+_ANY_TITLE = "|".join(t for group in _TITLES.values() for t in group)
+_NAME = rf"\p{{Lu}}\p{{Ll}}+(?:[ -](?!(?:{_ANY_TITLE})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+)?"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z._-])[2-6][0-9]{3}(?:[0-9]{9,12}|([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}|[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z_-]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\2[0-9]{4})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "name": rf"(?<![\p{{L}}0-9])(?:{'|'.join(t for group in _TITLES.values() for t in group)})\.? {_NAME}",
+    "name": rf"(?<![\p{{L}}0-9])(?:{_ANY_TITLE})\.? {_NAME}",
 }
-_TITLE = rf"\A(?:{'|'.join(t for group in _TITLES.values() for t in group)})\.? "
+_TITLE = rf"\A(?:{_ANY_TITLE})\.? "
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity has one of these, and few texts do: the cheap test that comes first.
-_HINT = rf"[0-9@]|(?:{'|'.join(t for group in _TITLES.values() for t in group)})\.? \p{{Lu}}"
+_INITIALS = "".join(sorted({t[0] for group in _TITLES.values() for t in group}))
+#: Every entity has one of these, and few texts do: the cheap test that comes first. An address has its sign, a number five digits with
+#: little between them or dots, an account number two letters and two digits, and a name a title, of which the initial is looked for first.
+_HINT = rf"@|[0-9](?:[ .()-]{{0,2}}[0-9]){{4}}|[0-9]\.[0-9]{{1,3}}\.[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?=[{_INITIALS}])(?:{_ANY_TITLE})\.? \p{{Lu}}"
 #: Names are put together from these fixed syllables; given names by gender and script.
 _SYLLABLES = {"latin": "ba bel bor bru cal cor dan del dor fal far gar gil hal har jor kel kin lan lor mar mel mor nor pel ran ros sal sel tal tor val ver wal".split(), "cyrillic": "ба бел бор ва вар гор дан дол жар зар кал кор лан мар мел нор пол ран рос сал тал тор фал хар".split()}
 _GIVEN = {
@@ -82,19 +89,12 @@ def _last(name: Column) -> Column:
     return F.substring_index(name, " ", -1)
 
 
-def _in_full(bare: Column, full_names: Column) -> Column:
-    """The first of a text's full names that one word of a name stands for, or the name itself."""
-    family = F.get(F.filter(full_names, lambda x: _last(x) == bare), F.lit(0))
-    given = F.get(F.filter(full_names, lambda x: F.substring_index(x, " ", 1) == bare), F.lit(0))
-    return F.when(bare.contains(" "), bare).otherwise(F.coalesce(family, given, bare))
-
-
 def _with_repeats(bare_names: Column) -> Column:
     """The pattern of a text: all entities, and the names that it introduces and their words, longest first. Names are of letters,
     spaces and hyphens, which stand for themselves."""
     words = F.array_distinct(F.concat(bare_names, F.flatten(F.transform(bare_names, lambda x: F.split(x, " ")))))
     longest = F.transform(F.sort_array(F.transform(words, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), False), lambda s: s["x"])
-    return F.when(F.size(words) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}0-9])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}0-9])"))).otherwise(F.lit(ANY))
+    return F.when(F.size(words) > 0, F.concat(F.lit(ANY + r"|(?<![\p{L}0-9])(?=\p{Lu})(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}0-9])"))).otherwise(F.lit(ANY))
 
 
 def _hash(key: str, *parts: Column) -> Column:
@@ -145,14 +145,16 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str, gender: Co
     at = F.substring_index(canon, "@", -1)
     top = F.concat(F.lit("."), F.substring_index(at, ".", -1))
     body = F.substr(at, F.lit(1), F.length(at) - F.length(top))
-    email = F.concat(_redrawn(F.substring_index(canon, "@", 1), h), F.lit("@"), _redrawn(body, _hash(key, F.lit("domain"), body)), top)
+    # where a kind has few surrogates of a mention's length, the later attempts draw longer ones
+    more = lambda c: _redrawn(F.repeat(F.lit(c), F.greatest(attempt - STEADY, F.lit(0)).cast("int")), _hash(key, F.lit("more"), canon, attempt.cast("string")))
+    email = F.concat(_redrawn(F.substring_index(canon, "@", 1), h), more("a"), F.lit("@"), _redrawn(body, _hash(key, F.lit("domain"), body)), top)
     card_body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _redrawn(F.substr(canon, F.lit(2), F.length(canon) - 2), h))
     card = F.concat(card_body, _luhn(card_body))
     head = F.greatest(F.length(canon) - 10, F.lit(0))  # digits before the last ten are the country's
-    phone = F.concat(F.substr(canon, F.lit(1), head), _redrawn(F.substr(canon, head + 1, F.lit(10)), h))
+    phone = F.concat(F.substr(canon, F.lit(1), head), _redrawn(F.substr(canon, head + 1, F.lit(10)), h), more("0"))
     ip = F.concat_ws(".", *((F.pmod(_number(h, 1 + 8 * i), F.lit(254)) + 1).cast("string") for i in range(4)))
     iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _redrawn(F.substr(canon, F.lit(3), F.length(canon)), h))
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _redrawn(canon, h)).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(_name(canon, h, attempt, gender))
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", F.concat(_redrawn(canon, h), more("0"))).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(_name(canon, h, attempt, gender))
 
 
 def _formatted(kind: Column, mention: Column, canon: Column, found: Column) -> Column:
@@ -160,7 +162,8 @@ def _formatted(kind: Column, mention: Column, canon: Column, found: Column) -> C
     put = F.aggregate(
         F.split(mention, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda acc, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(acc["out"], F.substr(found, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
-    )["out"]
+    )
+    put = F.concat(put["out"], F.substr(found, put["at"], F.length(found)))
     bare = F.regexp_replace(mention, _TITLE, "")
     part = F.when(bare == canon, found).when(bare == _last(canon), _last(found)).otherwise(F.substring_index(found, " ", 1))
     return F.when(kind == "name", F.concat(F.regexp_extract(mention, _TITLE, 0), part)).when(kind.isin("card", "phone", "ssn", "iban"), put).when((kind == "email") & (mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(found)).otherwise(found)
@@ -185,20 +188,31 @@ def dictionary(entities: DataFrame, key: str) -> DataFrame:
         drawn = checked.select("kind", "canon", "gender", attempt.alias("attempt"), F.when(F.col("again"), surrogate(F.col("kind"), F.col("canon"), attempt, key, F.col("gender"))).otherwise(F.col("surrogate")).alias("surrogate"))
 
 
+def _full_names(names: DataFrame) -> DataFrame:
+    """row, canon (one word) and full: the first of a text's full names whose family name that word is, else whose given name."""
+    full = names.select("row", F.posexplode("names").alias("at", "full")).where(F.col("full").contains(" "))
+    word = lambda rank, c: full.select("row", c.alias("canon"), F.struct(F.lit(rank).alias("rank"), "at").alias("order"), "full")
+    return word(0, _last(F.col("full"))).union(word(1, F.substring_index("full", " ", 1))).groupBy("row", "canon").agg(F.min_by("full", "order").alias("full"))
+
+
 def surrogates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
-    """One row per row of ``df``: id, text with surrogates, n_entities."""
-    key = key or df.sparkSession.conf.get("spark.geostrata.pii.key", KEY)
+    """One row per row of ``df``: id, text with surrogates, n_entities. ``key``, or else the setting KEY, is needed."""
+    key = key or df.sparkSession.conf.get(KEY, None)
+    if not key:
+        raise ValueError(f"surrogates need a secret key: pass one or set {KEY}")
     docs = only(df, id=id_col, text=text_col)
-    found = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    docs = docs.withColumn("entities", F.coalesce(found, F.array().cast("array<string>")))
-    some = saved(docs.where(F.size("entities") > 0).withColumn("row", F.monotonically_increasing_id()), "found")
+    found = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)))
+    # the patterns run over the texts once; what they found is kept beside them
+    docs = saved(docs.withColumn("entities", F.coalesce(found, F.array().cast("array<string>"))).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    some = docs.where(F.size("entities") > 0)
     # what a title introduces in a text is looked for in that text a second time, without one
     names = F.transform(F.filter("entities", lambda x: x.rlike(_TITLE)), lambda x: F.regexp_replace(x, _TITLE, ""))
     some = some.withColumn("names", F.array_distinct(names)).withColumn("pattern", _with_repeats(F.col("names")))
     some = some.withColumn("entities", F.when(F.size("names") > 0, F.regexp_extract_all("text", "pattern", F.lit(0))).otherwise(F.col("entities")))
-    mentions = some.select("row", "names", F.posexplode("entities").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention")))
-    in_full = F.when(F.col("kind") == "name", _in_full(F.col("canon"), F.filter("names", lambda x: x.contains(" ")))).otherwise(F.col("canon"))
-    mentions = mentions.select("row", "pos", "mention", "kind", in_full.alias("canon"), gender_of(F.col("mention")).alias("gender"))
+    mentions = some.select("row", F.posexplode("entities").alias("pos", "mention")).withColumn("kind", kind_of(F.col("mention"))).withColumn("canon", canonical(F.col("kind"), F.col("mention")))
+    mentions = mentions.select("row", "pos", "mention", "kind", "canon", gender_of(F.col("mention")).alias("gender"))
+    in_full = _full_names(some.where(F.size("names") > 0)).withColumn("kind", F.lit("name"))
+    mentions = mentions.join(in_full, ["row", "kind", "canon"], "left").select("row", "pos", "mention", "kind", F.coalesce("full", "canon").alias("canon"), "gender")
     mentions = saved(mentions, "mentions")
     known = dictionary(mentions.where("kind <> 'none'"), key)
     # an entity that is mentioned everywhere is one row of the dictionary: adaptive execution may split its mentions

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +111,8 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_pii")
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(table(spark, sf_dir, "documents"))
+    # without a key in the session a new one is drawn, so that nobody can find the persons by hashing guesses
+    return pii.surrogates(table(spark, sf_dir, "documents"), key=spark.conf.get(pii.KEY, None) or token_hex(32))
 
 
 @query("op10_warc")

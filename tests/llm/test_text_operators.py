@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -310,7 +311,7 @@ def test_surrogates(spark, empty):
     assert mails[0] == mails[1] and mails[0].endswith(".com") and "Müller" not in two and "Frau " in two
     texts = [r.text for r in found.collect() if r.doc_id == 5]
     assert mails[0] in texts and f"+1{phone[1]}{phone[2]}{phone[3]} version 1.2.3 on 2023-01-15, 1234567890123456" in texts and five
-    assert out[3, 0] is None and out[4, 0] == "" and pii.surrogates(empty).count() == 0
+    assert out[3, 0] is None and out[4, 0] == "" and pii.surrogates(empty, key="k").count() == 0
 
 
 def test_surrogates_are_distinct(spark):
@@ -333,6 +334,59 @@ def test_surrogates_suffice_for_any_number_of_names(spark, monkeypatch):
     assert pii.dictionary(mentions, "k").select("surrogate").distinct().count() == 60  # 27 names of three syllables
 
 
+def test_surrogates_of_few_letters_end(spark, monkeypatch):
+    """All one-letter addresses of a host, whose surrogate's host has all of them, too."""
+    monkeypatch.setattr(pii, "STEADY", 1)
+    letters = [chr(97 + i) for i in range(26)]
+    one = spark.createDataFrame([("email", "a@xy.com")], "kind string, canon string")
+    host = pii.dictionary(one, "k").first().surrogate.split("@")[1]
+    known = pii.dictionary(spark.createDataFrame([("email", f"{c}@{h}") for c in letters for h in ("xy.com", host)], "kind string, canon string"), "k").collect()
+    assert len({r.surrogate for r in known} | {r.canon for r in known}) == 104
+    phones = pii.dictionary(spark.range(100, 1000).select(F.lit("ssn").alias("kind"), F.col("id").cast("string").alias("canon")), "k").collect()
+    assert len({r.surrogate for r in phones} | {r.canon for r in phones}) == 1800
+
+
+def test_texts_that_overflow_patterns(spark):
+    rows = [(1, "x@" + "a." * 50_000 + "com"), (2, "Mr. Smith " * 20_000), (3, "1" * 200_000 + " " + "1-" * 100_000), (4, "a" * 300_000 + "@" + "b" * 300_000), (5, "A" * 100_000 + " +" + "1 " * 50_000), (6, " ".join("Dr. " + "".join("abcdefghij"[int(d)] for d in str(i)).title() for i in range(10, 3000)))]
+    out = {r.doc_id: (r.text, r.n_entities) for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    assert out[2][1] == 20_000 and "Smith" not in out[2][0] and out[4] == (rows[3][1], 0) and out[6][1] == 2990 and len(set(out[6][0].split()[1::2])) == 2990
+
+
+def test_surrogates_need_a_key(spark, docs):
+    with pytest.raises(ValueError):
+        pii.surrogates(docs)
+
+
+def test_surrogates_of_random_texts(spark):
+    """Mentions between known words: one surrogate for one entity and one entity for one surrogate, in each mention's own format."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    pool = []  # kind, entity, ways to write it
+    for _ in range(40):
+        a, b, c = digits(3), digits(3), digits(4)
+        pool.append(("phone", f"1{a}{b}{c}", [f"+1 ({a}) {b}-{c}", f"+1{a}{b}{c}", f"+1 {a} {b} {c}"]))
+        mail = f"{rng.choice('abcdef')}{digits(2)}.{rng.choice('xyz')}@host{digits(1)}.example.org"
+        pool.append(("email", mail, [mail, mail.upper()]))
+        ip = ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+        pool.append(("ip", ip, [ip]))
+        name = rng.choice(["Anna", "Berta", "Ida"]) + " " + "".join(rng.choice("abcdefgh") for _ in range(6)).title()
+        pool.append(("name", name, [f"Mrs. {name}", f"Frau {name}", f"Dr {name}"]))
+    texts = [[rng.choice(pool) for _ in range(rng.randrange(5))] for _ in range(80)]
+    written = [[rng.choice(ways) for _, _, ways in t] for t in texts]
+    rows = [(i, "".join(f"word {i} and {m}, " for m in ms) + "the end") for i, ms in enumerate(written)]
+    out = {r.doc_id: r for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    shape = lambda x: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)))
+    bare = lambda kind, x: {"phone": re.sub("[^0-9]", "", x), "email": x.lower(), "ip": x, "name": re.sub(r"\A(Mrs\.|Frau|Dr) ", "", x)}[kind]
+    mapping = {}
+    for i, (t, ms) in enumerate(zip(texts, written)):
+        found = re.fullmatch("".join(f"word {i} and (.+?), " for _ in ms) + "the end", out[i].text).groups()
+        assert out[i].n_entities == len(ms)
+        for (kind, entity, _), mention, new in zip(t, ms, found):
+            assert mapping.setdefault((kind, entity), bare(kind, new)) == bare(kind, new) != entity
+            assert shape(new) == shape(mention) if kind in ("phone", "email") else new.split()[:-2] == mention.split()[:-2]
+    assert len(set(mapping.values())) == len(mapping)
+
+
 def test_archives_round_trip(spark):
     rows = [(3, "http://b.example.com/x", "<p>é</p>"), (1, "http://a.example.com:80/?q=%0D#f", "same"), (2, "https://www.a.example.com/", "same"), (4, None, None), (5, "u", ""), (6, "http://a.example.com/", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n"), (None, "n", "same"), (7, "a\r\nb", "x" * 100000), (2, "r", "other")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)
