@@ -1,40 +1,65 @@
 """Packing by optimal length buckets.
 
-A histogram of all lengths goes to the driver, where dynamic programming chooses the upper bounds of at most ``n_buckets``
-buckets so that padding every document to its bucket's bound wastes the fewest tokens in total. Batches of a token budget then
-form inside each bucket. Whole documents only: none is cut, dropped or split.
+Every text is tokenized by a public vocabulary. A histogram of all lengths goes to the driver, where dynamic programming chooses
+the upper bounds of at most ``n_buckets`` buckets so that padding every document to its bucket's bound wastes the fewest tokens
+in total. Batches of a token budget then form inside each bucket, of the documents' token ids, padded to the bound. Whole
+documents only: none is cut, dropped or split, and the ids decode to the text.
 
 Defined results: null and empty texts have no tokens and go to bucket 0 with bound 0, in batches of ``budget`` documents. A
-document longer than the budget is a batch of its own. Ties are ordered by a hash of the id; repeated rows are separate
-documents. An empty table gives an empty result. Other columns of the input are not read.
+document longer than the budget is a batch of its own. The order in a bucket is by a hash of the row's place in the table, so
+rows with equal ids are separate documents like any others. A text is tokenized whole, whatever its length, by one task. An empty
+table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import base64
+from functools import cache
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import tiktoken
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import only, saved
+from geostrata.llm.common import only, saved, slices
 
 N_BUCKETS = 12
 #: Tokens of a batch, padding included.
 BUDGET = 65536
-#: Lengths that are told apart up to here; longer ones are counted with the next multiple of 1/1024 of their power of two.
-EXACT_LENGTHS = 1 << 17
-#: Shards in which the documents of one bucket are numbered.
-SHARDS = 64
+#: Documents that a task numbers, about.
+SHARD_DOCS = 250_000
+#: The setting that names the vocabulary, a file of ranks that the driver reads, and where it is else looked for.
+TOKENIZER, DEFAULT_TOKENIZER = "spark.geostrata.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The pattern that cuts texts before the vocabulary's merges, and the id that is free for padding.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PAD = 50256
+
+
+@cache
+def encoding(ranks: bytes) -> tiktoken.Encoding:
+    """The tokenizer of a file of ranks; a worker makes it once."""
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
+
 
+def ranks_of(spark: SparkSession, path: str | None = None) -> bytes:
+    with open(path or spark.conf.get(TOKENIZER, DEFAULT_TOKENIZER), "rb") as f:
+        return f.read()
 
-def n_tokens(text: Column) -> Column:
-    """A length in tokens without a vocabulary: bytes of UTF-8 over 4, rounded up, as byte-pair vocabularies average out."""
-    return F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4).cast("long")
 
+def tokenized(docs: DataFrame, ranks: bytes) -> DataFrame:
+    """row (its place), id, tokens and n_tokens of every row of ``docs`` (id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, whatever the corpus
 
-def binned(length: Column) -> Column:
-    """The length itself up to EXACT_LENGTHS, else rounded up on a grid: at most 2**17 + 1024 * 47 values, whatever the corpus."""
-    grid = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 10).cast("long")
-    return F.when(length <= EXACT_LENGTHS, length).otherwise(F.ceil(length / F.greatest(grid, F.lit(1))).cast("long") * F.greatest(grid, F.lit(1)))
+    def run(batches):
+        known = encoding(shared.value)
+        for batch in slices(batches, 1):
+            found = [np.asarray(known.encode_to_numpy(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *(len(x) for x in found)])
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.array(np.diff(ends), pa.int64())], ["id", "tokens", "n_tokens"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tokens array<int>, n_tokens long").withColumn("row", F.monotonically_increasing_id())
 
 
 def choose_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
@@ -82,36 +107,40 @@ def choose_bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> li
     return bounds[::-1]
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = N_BUCKETS, budget: int = BUDGET, shards: int = SHARDS) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = N_BUCKETS, budget: int = BUDGET, tokenizer: str | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row per row of ``df``: id, n_tokens, bucket, bucket_tokens (its bound), batch_id (in the bucket), slot (in the batch),
-    batch_docs and padding.
+    batch_docs, padding, and tokens, the document's ids.
 
     Documents of a bucket are numbered through: first within shards of the bucket, then shifted by the sizes of the shards
     before, so a bucket of any size is spread over tasks and its batches are all full but the last.
     """
-    spark = df.sparkSession
-    docs = saved(only(df, id=id_col, text=text_col).select("id", n_tokens(F.col("text")).alias("n_tokens")), "lengths")
-    # at most 2**17 + 48128 rows come to the driver
-    histogram = docs.where("n_tokens > 0").groupBy(binned(F.col("n_tokens")).alias("length")).count().collect()
-    lengths = np.array(sorted(r["length"] for r in histogram), np.int64)
-    by_length = {r["length"]: r["count"] for r in histogram}
-    bounds = choose_bounds(lengths, np.array([by_length[int(x)] for x in lengths], np.int64), n_buckets)
+    docs = saved(tokenized(only(df, id=id_col, text=text_col), ranks_of(df.sparkSession, tokenizer)), "tokens")
+    # n different lengths have n * (n + 1) / 2 tokens at least: ten million million tokens have 5 million lengths at most
+    histogram = docs.where("n_tokens > 0").groupBy("n_tokens").count().toPandas().sort_values("n_tokens")
+    bounds = choose_bounds(histogram["n_tokens"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), n_buckets)
     # the buckets' bounds are at most n_buckets constants of the plan
     bucket, bound = F.lit(0), F.lit(0).cast("long")
     for i, upper in reversed(list(enumerate(bounds, 1))):
         bucket, bound = F.when((F.col("n_tokens") > 0) & (F.col("n_tokens") <= upper), i).otherwise(bucket), F.when((F.col("n_tokens") > 0) & (F.col("n_tokens") <= upper), F.lit(upper).cast("long")).otherwise(bound)
-    placed = docs.select("id", "n_tokens", bucket.alias("bucket"), bound.alias("bucket_tokens"), F.xxhash64("id").alias("h"))
-    placed = placed.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
-    # repeated ids hash alike; their share of a shard is theirs alone
+    shards = max(64, -(-docs.count() // shard_docs))
+    placed = docs.select("row", "n_tokens", bucket.alias("bucket"), bound.alias("bucket_tokens"), F.xxhash64("row").alias("h")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     sizes = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
+    # one row for a shard of a bucket
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("bucket", "shard", before.alias("before"), F.sum("n").over(Window.partitionBy("bucket")).alias("bucket_docs"))
-    # (n_buckets + 1) * shards rows at most: safe to broadcast
-    numbered = placed.withColumn("row", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("h", "id")) - 1).join(F.broadcast(sizes), ["bucket", "shard"])
+    numbered = placed.withColumn("number", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("h")) - 1).join(sizes, ["bucket", "shard"]).withColumn("number", F.col("number") + F.col("before"))
     capacity = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_tokens", F.lit(1))), F.lit(1)).cast("long")
-    number = F.col("row") + F.col("before")
-    batch = F.floor(number / capacity).cast("long")
-    return numbered.select(
-        F.col("id").alias(id_col), "n_tokens", "bucket", "bucket_tokens", batch.alias("batch_id"), (number - batch * capacity).alias("slot"),
+    batch = F.floor(F.col("number") / capacity).cast("long")
+    numbered = numbered.select(
+        "row", "bucket", "bucket_tokens", batch.alias("batch_id"), (F.col("number") - batch * capacity).alias("slot"),
         F.least(capacity, F.col("bucket_docs") - batch * capacity).alias("batch_docs"), (F.col("bucket_tokens") - F.col("n_tokens")).alias("padding"),
     )
+    return docs.join(numbered, "row").select(F.col("id").alias(id_col), "n_tokens", "bucket", "bucket_tokens", "batch_id", "slot", "batch_docs", "padding", "tokens")
+
+
+def batches(packed: DataFrame, id_col: str = "doc_id", pad: int = PAD) -> DataFrame:
+    """One row per batch of pack()'s result: bucket, batch_id, ids and tokens, which holds every document's tokens, padded to the
+    bound, in the order of slots: the budget's number of them, or those of one longer document, or none (bucket 0)."""
+    padded = F.concat("tokens", F.array_repeat(F.lit(pad), F.col("padding").cast("int")))
+    rows = packed.groupBy("bucket", "batch_id").agg(F.array_sort(F.collect_list(F.struct("slot", F.col(f"`{id_col}`").alias("id"), padded.alias("tokens")))).alias("rows"))
+    return rows.select("bucket", "batch_id", F.col("rows.id").alias("ids"), F.flatten("rows.tokens").alias("tokens"))

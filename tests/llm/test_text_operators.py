@@ -203,14 +203,35 @@ def test_bucket_bounds_are_optimal():
         assert len(bounds) <= k and cost(bounds) == best
 
 
-def test_packing_keeps_every_document(docs, empty):
-    found = packing.pack(docs, n_buckets=3, budget=50, shards=2).toPandas()
-    assert sorted(map(str, found.doc_id.astype("Int64").astype(object))) == sorted(map(str, [i if i is not None else "<NA>" for i, _ in DOCS]))
+def test_packing_keeps_every_document(spark, docs, empty):
+    known = packing.encoding(packing.ranks_of(spark))
+    packed = packing.pack(docs, n_buckets=3, budget=50, shard_docs=1).persist()
+    found = packed.toPandas()
+    texts = sorted((str(i), t or "") for i, t in DOCS)
+    ids = found.doc_id.astype("Int64").astype(object).where(found.doc_id.notna(), None)
+    assert sorted((str(i), known.decode(list(x))) for i, x in zip(ids, found.tokens)) == texts and (found.tokens.map(len) == found.n_tokens).all()
     for (bucket, _), batch in found.groupby(["bucket", "batch_id"]):
         assert len(batch) == batch.batch_docs.iloc[0] and sorted(batch.slot) == list(range(len(batch)))
         assert bucket == 0 or len(batch) == 1 or len(batch) * batch.bucket_tokens.iloc[0] <= 50
-    assert (found.padding >= 0).all() and found[found.doc_id.isin([4, 5])].bucket.eq(0).all()
-    assert packing.pack(empty).count() == 0
+    # the least padding of all choices of three bounds, and in every bucket only the last batch has room
+    lengths = sorted(n for n in found.n_tokens if n)
+    cost = lambda bounds: sum(min(b for b in bounds if b >= n) - n for n in lengths)
+    assert found.padding.sum() == min(cost([*s, lengths[-1]]) for s in itertools.combinations(sorted(set(lengths)), 2))
+    for _, rows in found[found.bucket > 0].groupby("bucket"):
+        capacity = max(50 // rows.bucket_tokens.iloc[0], 1)
+        assert (rows[rows.batch_id < rows.batch_id.max()].batch_docs == capacity).all() and rows.batch_id.nunique() == -(-len(rows) // capacity)
+    assert found[found.doc_id.isin([4, 5])].bucket.eq(0).all() and packing.pack(empty).count() == 0
+    whole = {(r.bucket, r.batch_id): r for r in packing.batches(packed).collect()}
+    assert sum(len(r.ids) for r in whole.values()) == len(DOCS)
+    for (bucket, batch), rows in found.groupby(["bucket", "batch_id"]):
+        rows, r = rows.sort_values("slot"), whole[bucket, batch]
+        assert list(r.tokens) == [x for tokens, n in zip(rows.tokens, rows.padding) for x in [*tokens, *[packing.PAD] * n]] and len(r.tokens) == len(rows) * rows.bucket_tokens.iloc[0]
+
+
+def test_bounds_of_long_texts_are_exact(spark):
+    """Lengths far above any grid: two that differ by one token get bounds of their own."""
+    texts = spark.createDataFrame([(i, " a" * n) for i, n in enumerate([200_000, 200_001, 200_001, 5])], "doc_id long, text string")
+    assert packing.pack(texts, n_buckets=3).agg(F.sum("padding")).first()[0] == 0
 
 
 SECRETS = [
