@@ -115,7 +115,23 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(table(spark, sf_dir, "documents"), key=spark.conf.get(pii.KEY, None) or token_hex(32))
 
 
-@query("op10_warc")
+# 160 bits of a digest are 32 letters of five bits: five hexadecimal digits hold four of them
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31), 1)), '')"
+
+
+@query(
+    "op10_warc",
+    rf"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, split_part(regexp_replace(coalesce(url, ''), '^.*?://', ''), '#', 1) AS rest FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h, rest, split_part(rest, '/', 1) AS site, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(string_split(site, '@')[-1]), ':80$', ''), ':443$', ''), '^www\.', '') AS host FROM h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to,
+  array_to_string(list_reverse(string_split(host, '.')), ',') || ')/' || substr(rest, length(site) + 2) AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+FROM k
+""",
+)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the file's name changes from run to run and stays out
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("time").alias("captured"))

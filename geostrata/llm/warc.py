@@ -1,8 +1,11 @@
 """WARC archives written and read back by Spark, and their capture index merged by loser trees.
 
-Every row becomes one WARC/1.1 record. Records end with an empty line, which is the line separator of Spark's own text writer,
-so archives are written to any store that Spark can write to, without a driver or a local disk in between. Archives are read as
-whole files; each file's captures, sorted by URL key and timestamp, are a run. Runs are cut at common range boundaries, and the
+Every row becomes one WARC/1.1 record in a gzip member of its own, so that a record can be read from its offset alone. Archives are
+written by Spark's own text writer, to any store that Spark can write to, without a driver or a local disk in between: a member's
+bytes are the line, and an empty member is the line separator. Archives are read as whole files, member by member.
+
+The capture index is merged externally: each file's captures, sorted by URL key and timestamp, are a run, and the runs lie on
+shared files. They are cut at common boundaries into ranges of about RANGE_ROWS captures, however many runs there are, and the
 task that owns a range merges its pieces of all runs with a loser tree into globally ordered capture histories.
 
 Defined results: null html counts as empty, null url as an empty URI, null ids are written as an empty id and read back as null.
@@ -14,19 +17,25 @@ Rows repeated with the same id are all responses. Other columns of the input are
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import heapq
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import only, saved, scratch, utf8
+from geostrata.llm.common import only, saved, scratch, slices, utf8
 
 CRLF = "\r\n"
-#: Records in one archive file at most; a reader holds one file's bytes.
+#: Records in one archive file at most; a reader holds one file's compressed bytes and one record.
 FILE_RECORDS = 1000
+#: Captures in one range of the index, about: what a task holds when it merges.
+RANGE_ROWS = 50_000
+#: A gzip member without content.
+EMPTY = gzip.compress(b"", mtime=0)
 #: The captures' time: the tables have none, so record number n of a URL counts seconds from here.
 EPOCH = "2024-01-01T00:00:00Z"
 
@@ -48,11 +57,14 @@ def _no_breaks(column):
 
 
 def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, epoch: str = EPOCH) -> None:
-    """Writes ``df`` as gzipped WARC files below ``path``. Record times count seconds from ``epoch`` by the id."""
+    """Writes ``df`` as WARC files, one gzip member a record, below ``path``. Record times count seconds from ``epoch`` by the id.
+
+    Which records are revisits is found from ids and digests. That list then meets the pages by a join: where it is small it is
+    broadcast by Spark's own choice, else it moves the pages once.
+    """
     pages = only(df, id=id_col, url=url_col, html=html_col).mapInArrow(_digests, "id long, url string, html string, digest string, size long")
     captures = saved(pages.select("id", "digest", "size"), "captures")
     firsts = captures.where(f"size >= {int(min_bytes)}").groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
-    # the copies' side is small rows only; the page itself is not shuffled: its record kind is found by id
     kinds = saved(captures.join(firsts, "digest").where("id > first_id").where(f"size >= {int(min_bytes)}").select("id", "digest", "first_id").distinct(), "revisits")
     rows = pages.join(kinds, ["id", "digest"], "left")
     revisit = F.col("first_id").isNotNull()
@@ -66,19 +78,42 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         ("Content-Length", F.octet_length(block).cast("string")),
     ]
     text = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(F.concat(F.lit(f"{k}: "), v, F.lit(CRLF)) for k, v in heads), F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: "), urn(F.col("first_id")), F.lit(CRLF))).otherwise(""), F.lit(CRLF), block)
-    rows.select(text.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines = rows.select(text.alias("record")).mapInArrow(_compressed, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def _compressed(batches):
+    """Every record with the empty lines at its end, as a gzip member."""
+    for batch in batches:
+        for piece in slices([batch], 0):
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x.encode() + b"\r\n\r\n", mtime=0) for x in piece.column(0).to_pylist()], pa.binary())], ["value"])
 
 
-def records(data: bytes):
-    """The records of one archive: offset, headers and payload (without the HTTP head) of each, found by their lengths."""
+def members(data) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of the gzip members of a file that are not empty."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        heads = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in data[at:end].decode().split(CRLF)[1:])
-        size = int(heads["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        yield at, heads, block[block.index(b"\r\n\r\n") + 4 :]
-        at = end + 4 + size + 4
+        member, parts, end = zlib.decompressobj(31), [], at
+        while not member.eof:
+            if end >= len(data):
+                raise ValueError(f"the member at {at} has no end")
+            parts.append(member.decompress(data[end : end + (1 << 16)]))
+            end += 1 << 16
+        end = min(end, len(data)) - len(member.unused_data)
+        if content := b"".join(parts):
+            yield at, end - at, content
+        at = end
+
+
+def record(content: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and payload (without the HTTP head) of one record, found by their lengths."""
+    end = content.index(b"\r\n\r\n")
+    heads = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in content[:end].decode().split(CRLF)[1:])
+    size = int(heads["Content-Length"])
+    if len(content) != end + 4 + size + 4:
+        raise ValueError("a record's length is not that of its header")
+    block = content[end + 4 : end + 4 + size]
+    return heads, block[block.index(b"\r\n\r\n") + 4 :]
 
 
 def url_key(url: str) -> str:
@@ -89,7 +124,7 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (slash or "/") + path
 
 
-_INDEX = "url_key string, time string, id long, url string, offset long, size long, digest string, kind string, refers_to long, run string"
+_INDEX = "url_key string, time string, id long, url string, offset long, length long, size long, digest string, kind string, refers_to long, run string"
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -103,16 +138,17 @@ def read_warc(spark, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out = []
-                for at, h, payload in records(zlib.decompress(content.as_buffer(), 47)):
+                for at, length, raw in members(memoryview(content.as_buffer())):
+                    h, payload = record(raw)
                     url, digest, size = h["WARC-Target-URI"].replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%"), h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["Payload-Length"])
                     if h["WARC-Type"] == "response" and (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()) != (size, digest):
                         raise ValueError(f"damaged record at {at} of {name}")
-                    out.append((url_key(url), h["WARC-Date"], number(h["WARC-Record-ID"]), url, at, size, digest, h["WARC-Type"], number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None, name))
+                    out.append((url_key(url), h["WARC-Date"], number(h["WARC-Record-ID"]), url, at, length, size, digest, h["WARC-Type"], number(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None, name))
                 out.sort(key=_order)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _TYPES)], _NAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(parse, _INDEX)
 
 
@@ -121,7 +157,8 @@ _TYPES = [pa.string() if x.endswith("string") else pa.int64() for x in _INDEX.sp
 
 
 def _order(row: tuple):
-    return row[0], row[1], row[2] is None, row[2] or 0
+    """What captures are ordered by: URL key, time, id with null last, archive and offset."""
+    return row[0], row[1], row[2] is None, row[2] or 0, row[-1], row[4]
 
 
 class LoserTree:
@@ -160,13 +197,14 @@ class LoserTree:
             self._play(winner)
 
 
-def merge_runs(index: DataFrame, partitions: int | None = None) -> DataFrame:
+def merge_runs(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The runs merged into one order by URL key and time: the index's columns, in ranges whose partitions follow each other.
 
-    A range holds pieces of bounded size: the boundaries come from a sample of (URL key, time, id), so captures of one hot URL
-    spread over ranges by their time.
+    The number of ranges follows from that of the captures, and their boundaries from a sample of (URL key, time, id, archive,
+    offset), which no two captures share: so a range has about ``range_rows`` rows, captures of one hot URL, or of one page that is
+    repeated, spread over ranges, and a task holds the pieces of one range only.
     """
-    partitions = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, -(-index.count() // range_rows))
 
     def merge(batches):
         runs: dict[str, list] = {}
@@ -184,7 +222,7 @@ def merge_runs(index: DataFrame, partitions: int | None = None) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _TYPES)], _NAMES)
 
-    return index.repartitionByRange(partitions, "url_key", "time", "id").mapInArrow(merge, _INDEX)
+    return index.repartitionByRange(partitions, "url_key", "time", F.col("id").asc_nulls_last(), "run", "offset").mapInArrow(merge, _INDEX)
 
 
 def _ascending(rows: list) -> list[list]:
@@ -199,4 +237,4 @@ def archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     path = path or scratch(spark, "warc")
     write_warc(df, path, id_col, url_col, html_col, min_bytes)
     runs = saved(read_warc(spark, path), "runs")
-    return merge_runs(runs).select(F.col("id").alias(id_col), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "url_key", "time", "offset", F.col("run").alias("archive"))
+    return merge_runs(runs).select(F.col("id").alias(id_col), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "url_key", "time", "offset", "length", F.col("run").alias("archive"))

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geostrata.llm import chat, components, decontaminate, exact_dedup, minhash, packing, pii, quality, secrets, warc
-from geostrata.llm.common import slices, utf8, word_hashes
+from geostrata.llm.common import saved, scratch, slices, utf8, word_hashes
 
 DOCS = [
     (1, "The quick brown fox jumps over the lazy dog and runs away from all of the others"),
@@ -409,14 +410,19 @@ def test_surrogates_of_random_texts(spark):
 
 
 def test_archives_round_trip(spark):
-    rows = [(3, "http://b.example.com/x", "<p>é</p>"), (1, "http://a.example.com:80/?q=%0D#f", "same"), (2, "https://www.a.example.com/", "same"), (4, None, None), (5, "u", ""), (6, "http://a.example.com/", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n"), (None, "n", "same"), (7, "a\r\nb", "x" * 100000), (2, "r", "other")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)
+    rows = [(3, "http://b.example.com/x", "<p>é</p>"), (1, "http://a.example.com:80/?q=%0D#f", "same"), (2, "https://www.a.example.com/", "same"), (4, None, None), (5, "u", ""), (6, "http://a.example.com/", "WARC/1.1\r\n\r\nWARC-Type: x\r\n\r\n"), (None, "n", "same"), (7, "a\r\nb", "x" * 100000), (2, "r", "other"), (8, "v", "twice"), (8, "v", "twice")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "size", "id", "value", "first_id", "record", "time", "run")}).repartition(3)
     found = warc.archive(df).collect()
+    for r in found:  # every record is read by itself
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            content = gzip.decompress(f.read(r.length))
+        assert content.startswith(b"WARC/1.1\r\n") and f"<urn:capture:{r.page_id if r.page_id is not None else ''}>".encode() in content and warc.record(content)[0]["WARC-Type"] == r.record_type
     wanted = []
     for i, _, t in rows:
         body = (t or "").encode()
         same = [r[0] for r in rows if (r[2] or "") == (t or "") and r[0] is not None]
-        first = min(same) if len([r for r in rows if (r[2] or "") == (t or "")]) > 1 and same else None
+        first = min(same) if same else None
         revisit = first is not None and i is not None and i > first
         wanted.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=str) == sorted(wanted, key=str)
@@ -425,10 +431,23 @@ def test_archives_round_trip(spark):
     assert all(r.record_type == "response" for r in warc.archive(df, min_bytes=5).collect() if r.payload_bytes < 5)
 
 
+def test_index_is_ordered_over_ranges(spark):
+    """Many runs of one hot URL and of a repeated page, in ranges of a few rows: the partitions follow one another in one order."""
+    rows = [(i % 40 if i % 3 else None, "http://h.example.com/" if i % 2 else f"http://{i % 7}.example.com/{i % 5}", f"text {i % 11}") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    path = scratch(spark, "warc")
+    warc.write_warc(df, path)
+    runs = saved(warc.read_warc(spark, path), "runs")
+    merged = warc.merge_runs(runs, 20)
+    sizes = [r["count"] for r in merged.groupBy(F.spark_partition_id()).count().collect()]
+    keys = [warc._order(tuple(r)) for r in merged.collect()]
+    assert keys == sorted(keys) and len(keys) == 600 and max(sizes) < 200 and sorted(map(tuple, runs.collect()), key=warc._order) == [tuple(r) for r in merged.collect()]
+
+
 def test_loser_tree_merges():
     rng = np.random.default_rng(0)
     for k in range(8):
-        runs = [sorted(((f"k{int(rng.integers(5))}", "t", int(rng.integers(9))) for _ in range(int(rng.integers(0, 6)))), key=warc._order) for _ in range(k)]
+        runs = [sorted(((f"k{int(rng.integers(5))}", "t", int(rng.integers(9)), "u", int(rng.integers(9)), "run") for _ in range(int(rng.integers(0, 6)))), key=warc._order) for _ in range(k)]
         assert [warc._order(x) for x in warc.LoserTree(runs)] == sorted(warc._order(x) for r in runs for x in r)
 
 
