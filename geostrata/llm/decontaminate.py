@@ -6,13 +6,14 @@ benchmark items finds a place in every shared window of SPAN words. There the ma
 the hash is compared word by word, and those that are equal are hits. Items shorter than SPAN are one window; the runs of their
 length are hashed and compared directly.
 
-One pass over the documents: besides its fingerprints a document gives one row for itself, and what matches nothing ends there.
-The items' fingerprints are broadcast if they are few (``broadcast_rows``); beyond that they are joined by hash with fingerprints
-alone, and the words join the matches afterwards.
+The items' fingerprints are broadcast if they are few (``broadcast_rows``): then one pass over the documents finds all matches, and
+besides its fingerprints a document gives one row for itself. Beyond that fingerprints alone are joined by hash, what matches joins
+the words, and the documents' own rows come from the saved words.
 
 Defined results: words are as the pattern says, A-Z lowered; null and empty texts have none and are never hit. Items without words
 never occur; items repeated with one id are one item, null ids count as the empty string. Rows repeated give rows repeated, null
-document ids are kept. An empty benchmark hits nothing. Other columns of the inputs are not read.
+document ids are kept. An empty benchmark hits nothing. A text's words
+and hashes are arrays of one row, so a text of any length takes memory in proportion to it in one task. Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SPAN, K = 10, 5
 W = SPAN - K + 1
 #: Fingerprints of the benchmark that are broadcast at most.
 BROADCAST_ROWS = 200_000
-#: Low bits of a fingerprint that hold its position; the rest is hash.
-POSITION_BITS = 26
+#: Low bits of a fingerprint that hold its position, enough for any array; the rest is hash. Windows are compared word by word, so hashes need not be unlike.
+POSITION_BITS = 31
 
 _SEPARATORS = "".join(chr(c) for c in [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -88,13 +89,22 @@ def _place(v: Column) -> Column:
 _ITSELF = -1
 
 
+def _near(v: Column, length: int) -> Column:
+    """The words of a document that windows around a fingerprint can have: with it those of an item of that length, or of SPAN."""
+    at = _place(v)
+    if length:
+        return F.slice("words", at + 1, F.lit(length))
+    before = F.least(at, F.lit(W - 1))
+    return F.slice("words", at - before + 1, before + SPAN)
+
+
 def _windows() -> Column:
     """Starts of the windows of SPAN words in the document that equal the item's, around one match of fingerprints."""
-    tests = []
+    tests, first = [], F.least("place", F.lit(W - 1))
     for back in range(W):
-        start, mine = F.col("place") - back, F.col("before") - back
-        inside = (start >= 0) & (mine >= 0) & (start + SPAN <= F.col("n_words")) & (mine + SPAN <= F.size("context"))
-        tests.append(F.when(inside, F.when(F.slice("words", start + 1, SPAN) == F.slice("context", mine + 1, SPAN), start)))
+        here, there = first - back, F.col("before") - back
+        inside = (here >= 0) & (there >= 0) & (here + SPAN <= F.size("near")) & (there + SPAN <= F.size("context"))
+        tests.append(F.when(inside, F.when(F.slice("near", here + 1, SPAN) == F.slice("context", there + 1, SPAN), F.col("place") - back)))
     return F.array_compact(F.array(*tests))
 
 
@@ -117,30 +127,39 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     if not small:
         docs = saved(docs, "words")
     printed = fingerprints(docs)
-    # (length, fingerprint) pairs; length 0 stands for winnowed ones and for the document's own row
-    tagged = lambda a, n: F.transform(a, lambda v: F.struct(F.lit(n).alias("length"), v.alias("v")))
+    # (length, fingerprint) pairs; length 0 stands for winnowed ones and for the document's own row. Rows to broadcast items bring the words
+    # that they are compared by; rows that are shuffled meet them after the join
+    near = lambda v, n: [_near(v, n).alias("near")] if small else []
+    tagged = lambda a, n: F.transform(a, lambda v: F.struct(F.lit(n).alias("length"), v.alias("v"), *near(v, n)))
     given = [tagged(F.col("prints"), 0)]
     for length in lengths:
         printed, grams = _steps(printed, "h", length, lambda a, b: F.xxhash64(a, b))
         given.append(tagged(_located(F.col(grams)), length))
-    given.append(F.array(F.struct(F.lit(0).alias("length"), F.lit(_ITSELF).cast("long").alias("v"))))
+    if small:
+        given.append(F.array(F.struct(F.lit(0).alias("length"), F.lit(_ITSELF).cast("long").alias("v"), F.array().cast("array<string>").alias("near"))))
     known = index.select(F.lit(0).alias("length"), "print", "item", "before", "context")
     for length in lengths:
         short, grams = _steps(bench.where(F.col("n") == length).withColumn("h", F.transform("words", lambda w: F.xxhash64(w))), "h", length, lambda a, b: F.xxhash64(a, b))
         known = known.union(short.select(F.lit(length), _hash(F.element_at(_located(F.col(grams)), 1)), "item", F.lit(0), "words").distinct())
-    carried = ["row", "id", "n_words", *(["words"] if small else [])]
-    rows = printed.select(*carried, F.explode(F.concat(*given)).alias("p")).select(*carried, F.col("p.length").alias("length"), F.col("p.v").alias("v")).withColumn("print", _hash(F.col("v"))).withColumn("place", _place(F.col("v")))
+    rows = printed.select("row", "id", "n_words", F.explode(F.concat(*given)).alias("p")).select("row", "id", "n_words", "p.*").withColumn("print", _hash(F.col("v"))).withColumn("place", _place(F.col("v")))
     own = (F.col("v") == _ITSELF) & (F.col("length") == 0)
     if small:
         found = rows.join(F.broadcast(known), ["length", "print"], "left").where(own | F.col("item").isNotNull())
     else:
-        found = rows.join(known, ["length", "print"], "left").where(own | F.col("item").isNotNull()).join(docs.select("row", "words"), "row")
-    whole = F.when(F.slice("words", F.col("place") + 1, F.size("context")) == F.col("context"), F.array("place")).otherwise(F.array().cast("array<int>"))
+        # a frequent passage has many rows of one fingerprint on the documents' side, which adaptive execution may split
+        found = rows.join(known, ["length", "print"]).join(docs.select("row", "words"), "row")
+        of_length = F.lit(None).cast("array<string>")
+        for length in lengths:
+            of_length = F.when(F.col("length") == length, _near(F.col("v"), length)).otherwise(of_length)
+        found = found.withColumn("near", F.when(F.col("length") == 0, _near(F.col("v"), 0)).otherwise(of_length)).drop("words")
+    whole = F.when(F.col("near") == F.col("context"), F.array("place")).otherwise(F.array().cast("array<int>"))
     starts = F.when(own, F.array().cast("array<int>")).when(F.col("length") == 0, _windows()).otherwise(whole)
     hits = found.withColumn("starts", starts).where(own | (F.size("starts") > 0)).withColumn("span", F.when(F.col("length") == 0, SPAN).otherwise(F.col("length"))).select("row", "id", "n_words", F.when(~own, F.col("item")).alias("item"), F.explode_outer("starts").alias("start"), "span")
     # each hit adds the words that no hit before it has covered
     before_it = F.coalesce(F.max(F.col("start") + F.col("span")).over(Window.partitionBy("row").orderBy("start", "span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     new = F.when(F.col("start").isNotNull(), F.greatest(F.col("start") + F.col("span") - F.greatest("start", before_it), F.lit(0))).otherwise(0)
+    if not small:
+        hits = hits.union(docs.select("row", "id", "n_words", F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(0)))
     counted = hits.distinct().withColumn("new", new).groupBy("row").agg(F.first("id").alias("id"), F.max("n_words").alias("n_words"), F.sum("new").alias("n_hit"), F.sort_array(F.collect_set("item")).alias("items"))
     return counted.select(
         F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -169,7 +169,7 @@ def test_components_of_a_path_and_a_star(spark):
 def test_decontamination(spark, docs, empty):
     a = " ".join(f"w{i}" for i in range(30))
     items = [(1, a), (2, "short one here"), (3, "UNO"), (4, None), (5, ""), (6, "x y z " * 8), (None, "null item id"), (10, "short one here")]
-    rows = [(1, "foo " + a + " bar"), (2, None), (3, ""), (5, "Short, one-here uno"), (6, "x y z " * 30), (7, " ".join(f"w{i}" for i in range(5, 14))), (8, " ".join(f"w{i}" for i in range(5, 15))), (8, "dup uno"), (None, a[10:60]), (9, "ünö uno É é")]
+    rows = [(1, "foo " + a + " bar"), (2, None), (3, ""), (5, "Short, one-here uno"), (6, "x y z " * 30), (7, " ".join(f"w{i}" for i in range(5, 14))), (8, " ".join(f"w{i}" for i in range(5, 15))), (8, "dup uno"), (None, a[10:60]), (9, "ünö uno É é"), (11, "filler " * 40_000 + a + " filler" * 9_000)]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     known = {}
     for i, t in items:
@@ -470,10 +470,45 @@ def test_quality_is_learned_from_labels(spark, docs, empty):
 
 
 def test_attention_gradients_are_right():
+    """Against differences of the loss at both sides of every parameter that is looked at."""
     rng = np.random.default_rng(1)
-    x, counts, y = rng.random((7, quality.N_FEATURES)).astype(np.float32), np.array([3, 0, 4]), np.array([1.0, 0.0, 0.0], np.float32)
+    x, counts, y = rng.random((7, quality.N_FEATURES)), np.array([3, 0, 4]), np.array([1.0, 0.0, 0.0])
     model = quality.AttentionMil(seed=1)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     loss = lambda: float(-(y * np.log(s := model.forward(x, counts)[0]) + (1 - y) * np.log(1 - s)).mean())
-    before = loss()
-    model.fit(x, counts, y, steps=40, batch=3)
-    assert loss() < before / 2
+    for k, d in model.gradients(x, counts, y).items():
+        flat, d = model.p[k].reshape(-1), np.asarray(d).reshape(-1)
+        for i in rng.integers(0, len(flat), 12):
+            old, ends = flat[i], []
+            for step in (1e-5, -1e-5):
+                flat[i] = old + step
+                ends.append(loss())
+            flat[i] = old
+            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(d[i], rel=1e-4, abs=1e-9), k
+
+
+def test_texts_are_scored_by_passages(monkeypatch):
+    """Against a plain version, one passage and one document at a time; the size of chunks makes no difference."""
+    rng = np.random.default_rng(2)
+    texts = ["", "a", "the the cat " * 400, "é漢" * 700, "".join(rng.choice(list("ab C1.\n|#"), 5000)), "x" * 512, "word " * 103]
+    data, offsets = utf8(pa.array(texts))
+    model = quality.AttentionMil(seed=3)
+    p, wanted = model.p, []
+    for text in texts:
+        raw, codes = text.encode(), []
+        for at in range(0, len(raw), quality.PASSAGE):
+            piece = raw[at : at + quality.PASSAGE]
+            pairs = np.zeros((quality.N_CLASSES, quality.N_CLASSES))
+            for a, b in zip(piece, piece[1:]):
+                pairs[quality._CLASS[a], quality._CLASS[b]] += 1
+            words = re.split(rb"[ \n\r\t\x0b\x0c]+", piece.strip(b" \n\r\t\x0b\x0c"))
+            again = [sum(words[i] == words[i - back] for i in range(back, len(words))) / len(words) for back in (2, 1)]
+            codes.append(np.tanh(np.concatenate([np.sqrt(pairs.reshape(-1) / max(pairs.sum(), 1)), again]) @ p["We"] + p["be"]))
+        z = np.zeros(len(p["o"]))
+        if codes:
+            e = np.exp([(np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"] for h in codes])
+            z = (e[:, None] / e.sum() * np.array(codes)).sum(0)
+        wanted.append(1 / (1 + np.exp(-(z @ p["o"] + p["b"][0]))))
+    for chunk in (512, 1 << 21):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        assert model.scores(data, offsets)[0] == pytest.approx(wanted, abs=1e-5)
