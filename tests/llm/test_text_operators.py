@@ -242,12 +242,7 @@ SECRETS = [
 
 
 def test_secret_rules_and_added_spans(spark, empty):
-    model = secrets.CharCnn()
-    rng = np.random.default_rng(0)
-    keys = [("the key ", k, " and") for k in secrets._random_keys(300)]
-    plain = [("see ", "".join(rng.choice(list("etaoinshr"), 20)), " and") for _ in range(300)]
-    model.fit(secrets._encode(keys + plain), np.array([1.0] * 300 + [0.0] * 300, np.float32), epochs=6)
-    assert (model.scores(secrets._encode(keys)) >= model.threshold).mean() > 0.9 > 0.1 > (model.scores(secrets._encode(plain)) >= model.threshold).mean()
+    model = secrets.CharCnn().fit(*secrets.lessons(400))
     found = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(SECRETS, "doc_id long, text string").withColumn("spans", F.lit(1)), model=model).collect()}
     for i, text in SECRETS:
         spans = []
@@ -271,7 +266,7 @@ def test_candidates_are_scored_whole(spark):
         threshold = 0.5
 
         def scores(self, x):
-            return np.array([max((r == secrets._CODE[ord(c)]).sum() for c in "7Q") >= 16 for r in x[:, 16:56]], float)
+            return np.array([max((r == secrets._CODE[ord(c)]).sum() for c in "7Q") >= 16 for r in x[:, secrets.LEFT : secrets.LEFT + secrets.BODY]], float)
 
     name = "NAME_OF_A_LONG_SETTING_OF_SERVICE_X_AND_OF_Y="
     texts = [name + "7" * 20, "é " + "Q" * 20, "ZQ" + "7" * 24 + "QZ", "7" * 24]
@@ -279,6 +274,31 @@ def test_candidates_are_scored_whole(spark):
     assert [r.spans for r in found] == [f"network:0:{len(name) + 20}", "network:2:22", "network:0:28,hex:2:26", "hex:0:24"]
 
 
+def test_secrets_are_told_from_numbers_and_names():
+    """Recall and precision on made-up cases of another seed."""
+    model, rng = secrets.CharCnn().fit(*secrets.lessons()), random.Random(99)
+    cases = [secrets.made(rng) for _ in range(3000)]
+    data, offsets = utf8(pa.array(["".join(c[:3]) for c in cases]))
+    rows, starts, ends = secrets.candidates(data, offsets, every=True)
+    best, secret = np.zeros(len(cases)), np.array([c[3] for c in cases], bool)
+    np.maximum.at(best, rows, secrets.best_scores(model, data, offsets, rows, starts, ends))
+    found = best >= model.threshold
+    assert found[secret].mean() > 0.98 and found[~secret].mean() < 0.03
+
+
+def test_secret_training_is_on_few_of_many_findings(spark, monkeypatch):
+    rows = [(i % 7 or None, f"some words before it, as texts have them, and token = {i:032x} and some words after it") for i in range(300)] + [(1, None), (2, ""), (3, "x" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(secrets, "lessons", lambda: (np.zeros((0, secrets.LEFT + secrets.BODY + secrets.RIGHT), np.uint8), np.zeros(0, np.float32)))
+    monkeypatch.setattr(secrets.CharCnn, "fit", lambda self, x, y: seen.append((x, y)) or self)
+    secrets.train(df.select("text"), 20)
+    x, y = seen[0]
+    assert 20 <= y.sum() <= 2 * 40 and (y == 0).sum() <= 40 and x.shape == (len(y), 80)  # findings with and without their context
+    out = secrets.scan(df, model=secrets.CharCnn()).collect()
+    assert len(out) == len(rows) and sum(r.n_assign for r in out) == 300 and sum(r.doc_id is None for r in out) == 43
+
+
 def test_secret_threshold_keeps_its_recall():
     model, y = secrets.CharCnn(), np.array([1.0] * 100 + [0.0] * 300)
     logits = np.concatenate([np.linspace(-4, 4, 100), np.linspace(-6, 2, 300)])
