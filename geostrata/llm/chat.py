@@ -6,9 +6,11 @@ does not begin with the one before it shows a template that rewrites history. A
 the turn once more with a probe in the text's place and comparing the two.
 
 Prefixes are rendered whole, so the work of a conversation grows with the square of its turns: nothing less shows whether a
-template of which nothing is known rewrites a turn far back. For a template that is known to look back less, a ``window`` of turns
-bounds the prefixes, and the work grows with the number of turns. Turns arrive sorted in a stream per conversation, which is held
-in memory up to the window, and the formatted text leaves as one row per turn.
+template of which nothing is known rewrites a turn far back. For a template that is said to look back less, a ``window`` of turns
+bounds the prefixes, and the work grows with the number of turns. That it does is checked: at every doubling of the turns, and at the
+end, the whole prefix is rendered and compared with the joined pieces, and where they differ the conversation is done again with
+full prefixes. Turns arrive sorted in a stream per conversation, one of which a task holds in memory at a time, as the rendering of
+it all has to be one string; the formatted text leaves as one row per turn.
 
 Defined results: a null text or role counts as empty; turns are ordered by turn, then role and text, null turns first; a null
 conversation id is a conversation of its own. Rows repeated are turns repeated. Empty tables give empty results. Other columns
@@ -31,6 +33,8 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 #: The role whose texts are trained on.
 TRAINED = "assistant"
+#: Turns that standard() is rendered with: it looks at one turn at a time.
+STANDARD_WINDOW = 2
 
 _CONTROL = re.compile(r"[\\<>#:]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -77,13 +81,9 @@ def text_span(render: Template, before: list[Turn], turn: Turn, whole: str) -> t
     return start, len(whole) - min(tail, len(whole) - start)
 
 
-def pieces(render: Template, turns, window: int | None = None):
-    """For each turn of one conversation: the text it appends, where its own text stands in that, and whether history changed.
-
-    ``window``: turns of a prefix that are rendered, all by default.
-    """
+def _prefixes(render: Template, turns, window: int | None):
     recent: list[Turn] = []
-    before = render(recent)
+    before = ""  # what a template puts before all turns belongs to the first one's piece
     for turn in turns:
         after = render([*recent, turn])
         rewrites = not after.startswith(before)
@@ -97,6 +97,24 @@ def pieces(render: Template, turns, window: int | None = None):
             before = render(recent)
 
 
+def pieces(render: Template, turns, window: int | None = None):
+    """For each turn of one conversation: the text it appends, where its own text stands in that, and whether history changed.
+
+    ``window``: turns of a prefix that are rendered, all by default or where the window turns out too small.
+    """
+    if not window:
+        yield from _prefixes(render, turns, None)
+        return
+    turns = list(turns)
+    out: list[tuple[str, int, int, bool]] = []
+    for n, piece in enumerate(_prefixes(render, turns, window), 1):
+        out.append(piece)
+        if (n & (n - 1) == 0 or n == len(turns)) and "".join(p[0] for p in out) != render(turns[:n]):
+            yield from _prefixes(render, turns, None)
+            return
+    yield from out
+
+
 _PIECES = "conv long, seq long, piece string, text_start long, text_end long, trained boolean, rewrites boolean"
 
 
@@ -135,7 +153,9 @@ def _batches(rows, types, names, most: int = 2000, most_chars: int = 8 << 20):
 
 
 def format_chat(df: DataFrame, render: Template = standard, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int | None = None) -> DataFrame:
-    """One row per turn: conv, seq, piece (the formatted text it appends), text_start and text_end (its own text in the piece, code
+    """``window``: for a template that looks back no further than so many turns (see pieces()).
+
+    One row per turn: conv, seq, piece (the formatted text it appends), text_start and text_end (its own text in the piece, code
     points), trained (whether that text is under the loss mask) and rewrites. A conversation's pieces joined by seq are its text;
     they come from one partition, in order.
     """

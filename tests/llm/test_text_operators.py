@@ -332,6 +332,35 @@ def test_rewrites_of_turns_far_back_are_told():
     assert list(chat.pieces(chat.standard, turns)) == list(chat.pieces(chat.standard, turns, window=4))
 
 
+def forgetful(turns):
+    """Drops the first turn after six, and puts words before all turns."""
+    return "begin " + chat.standard(turns[1:] if len(turns) > 6 else turns)
+
+
+@pytest.mark.parametrize("render", [chat.rewriting, forgetful, lambda turns: f"{len(turns)} turns\n" + chat.standard(turns), lambda turns: "begin " + chat.standard(turns), lambda turns: chat.standard(turns) + "end"])
+def test_windows_that_are_too_small_make_no_difference(render):
+    """Over 200 turns with a system turn here and there, windowed rendering gives what full prefixes give."""
+    turns = [("system" if i % 67 == 0 else ("user", "assistant")[i % 2], f"text {i % 5}") for i in range(200)]
+    full = list(chat.pieces(render, turns))
+    assert list(chat.pieces(render, turns, window=3)) == full
+    if not any(r for *_, r in full):
+        assert "".join(p for p, *_ in full) == render(turns)
+    assert all(piece[a:b] == text for (piece, a, b, _), (_, text) in zip(full[1:], turns[1:]))
+
+
+def test_windowed_rendering_takes_linear_work():
+    seen = []
+    counted = lambda turns: seen.append(len(turns)) or chat.standard(turns)
+    turns = [("user", "abc")] * 4000
+    assert len(list(chat.pieces(counted, turns, window=chat.STANDARD_WINDOW))) == 4000 and sum(seen) < 15 * 4000
+
+
+def test_null_turns_come_first(spark):
+    rows = [(1, 2, "user", "c"), (1, None, "user", "a"), (1, 1, "user", "b"), (1, 1, None, None), (1, 1, "user", "b")]
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("seq").collect()
+    assert [chat.parse(r.piece)[0] for r in out] == [("user", "a"), ("", ""), ("user", "b"), ("user", "b"), ("user", "c")]
+
+
 def test_templates_that_rewrite_history_are_told():
     turns = [("system", "s1"), ("user", "u"), ("system", "s2"), ("assistant", "a")]
     assert any(r for *_, r in chat.pieces(chat.rewriting, turns)) and not any(r for *_, r in chat.pieces(chat.standard, turns))
