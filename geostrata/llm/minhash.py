@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.common import mix64, only, saved, slices, utf8, word_hashes
@@ -214,9 +214,13 @@ def _compare(words: int, percent: int):
             both += dense[: len(left)] @ dense[len(left) :].T
         size = [np.array([len(r[3]) for r in side], np.int64) for side in (left, right)]
         n = both.astype(np.int64)
-        for i, j in zip(*np.nonzero(100 * n >= percent * (size[0][:, None] + size[1] - n))):
-            if left[i][1] < right[j][1] and left[i][2] != right[j][2] or left[i][1] > right[j][1] and left[i][2] != right[j][2] and left is not right:
-                yield left[i][1], right[j][1]
+        i, j = np.nonzero(100 * n >= percent * (size[0][:, None] + size[1] - n))
+        label = [np.array([r[2] for r in side], np.int64)[at] for side, at in ((left, i), (right, j))]
+        other = np.flatnonzero(label[0] != label[1])
+        # of all links between two components one is enough to make them one
+        _, first = np.unique(np.sort(np.stack([x[other] for x in label]), axis=0), axis=1, return_index=True)
+        for k in other[first].tolist():
+            yield left[i[k]][1], right[j[k]][1]
 
     def run(batches):
         key, group = None, []
@@ -241,7 +245,8 @@ def _compare(words: int, percent: int):
 
 
 def compared_in_blocks(mixed: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """All links between members of one family of buckets that are of different components. Only links leave the tasks."""
+    """Links between members of one family of buckets that are of different components: of two blocks and two components one, if there
+    is any. Only links leave the tasks."""
     least = mixed.groupBy("a").agg(F.min("b").alias("least"))
     families = connected_components(mixed.join(least, "a").select(F.col("least").alias("a"), "b").distinct())
     known = sizes.groupBy(F.col("a").alias("id")).agg(F.max("b").alias("size"))
@@ -263,10 +268,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``df``: id, n_shingles, component_id (the smallest id that links reach), kept (it is the id itself)."""
     docs = only(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     rows = saved(docs.mapInArrow(_scan(words, percent), "kind byte, a long, b long"), "sets")
-    # what the scan tasks left together: buckets with their centre and size
-    bucket = Window.partitionBy("a")
-    buckets = rows.where("kind = 2").select("a", "b", F.min("b").over(bucket).alias("centre"), F.count("*").over(bucket).alias("n")).where("n > 1")
-    buckets = saved(buckets, "buckets")
+    # what the scan tasks left together: buckets and their centres; a bucket of any size is a join's key, which adaptive execution may split
+    stays = rows.where("kind = 2").select("a", "b")
+    centres = saved(stays.groupBy("a").agg(F.min("b").alias("centre"), F.count("*").alias("n")).where("n > 1").select("a", "centre"), "centres")
+    buckets = saved(stays.join(centres, "a").select("a", "b", "centre"), "buckets")
     # only members of a bucket are compared; their texts are moved once, by a join that is the same at every size
     texts = saved(docs.join(buckets.select(F.col("b").alias("id")).distinct().hint("merge"), "id"), "texts")
     links = rows.where("kind = 1 and a <> b").select("a", "b")

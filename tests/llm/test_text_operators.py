@@ -149,6 +149,21 @@ def test_members_folded_under_a_centre_still_link(spark, monkeypatch, parts, sma
     assert got(minhash.near_duplicates(frames[0] if parts == 1 else frames[0].union(frames[1]), words=2), "doc_id", "component_id") == sorted(component.items(), key=str)
 
 
+@pytest.mark.parametrize("parts", [1, 4, 30])
+def test_links_just_above_the_threshold(spark, parts):
+    """Triples in which only the middle text links with both others, and pairs on both sides of 0.8: recall is 1, here as elsewhere."""
+    rng, rows = np.random.default_rng(parts), []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(202)]
+        rows += [(3 * g, " ".join(words[:201])), (3 * g + 1, " ".join(words)), (3 * g + 2, " ".join(words[40:]))]  # 0.995, 0.8, and 0.796 between the outer ones
+    for g in range(200):
+        words, n = [f"p{g}w{i}" for i in range(101)], int(rng.integers(20, 25))
+        rows += [(1000 + 2 * g, " ".join(words)), (1001 + 2 * g, " ".join(words[: 101 - n]))]
+    _, component = brute_components(rows, 2)
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string").repartition(parts)
+    assert got(minhash.near_duplicates(df, words=2), "doc_id", "component_id") == sorted(component.items(), key=str)
+
+
 def test_densified_bins_agree_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     agree, trials = 0, 300
