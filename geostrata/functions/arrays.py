@@ -76,6 +76,21 @@ def piecewise(x: Column, xs: list[float], ys: list[float]) -> Column:
     return out
 
 
+def running_sums(a: Column, block: int = 32) -> Column:
+    """0 and the sums of the first 1, 2, ... elements: summed within blocks, then shifted by the blocks before, as a fold that
+    appends to one array copies it at every step."""
+
+    def fold(x: Column) -> Column:
+        return F.aggregate(x, F.array(F.lit(0.0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+    def shifted(inner: Column) -> Column:
+        return bound(fold(F.transform(inner, lambda b: F.element_at(b, -1))), lambda before: F.flatten(F.transform(inner, lambda b, i: F.transform(F.slice(b, 2, block), lambda v: v + F.get(before, i)))))
+
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda k: k * block)
+    inner = F.transform(starts, lambda k: fold(F.slice(a, k + 1, F.lit(block))))
+    return F.when(F.size(a) > 0, F.concat(F.array(F.lit(0.0)), bound(inner, shifted))).otherwise(F.array(F.lit(0.0)))
+
+
 def runs(flags: Column) -> Column:
     """For an array of booleans the array of structs (start, length) of its runs of true, in order."""
     step = lambda acc, on, i: F.when(on & (F.size(acc) > 0) & (F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["length"] == i), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (F.element_at(acc, -1)["length"] + 1).alias("length"))))).when(on, F.concat(acc, F.array(F.struct(i.alias("start"), F.lit(1).alias("length"))))).otherwise(acc)

@@ -9,7 +9,11 @@ from geostrata.operators.spatial import idw_weights, nearest_pairs, radius_pairs
 
 
 def evaluate(t: str, v: str, at: Column) -> Column:
-    """A function given by arrays of ascending knots, linear between them and beyond its ends; one knot is a constant."""
+    """A function given by columns of arrays of ascending knots, linear between them and beyond its ends; one knot is a constant."""
+    return at_array(F.col(t), F.col(v), at)
+
+
+def at_array(t: Column, v: Column, at: Column) -> Column:
     n = F.size(t)
     # the last knot that is not after ``at``, but neither the very last nor before the first
     k = F.greatest(F.least(F.size(F.filter(t, lambda x: x <= at)), n - 1), F.lit(1))
@@ -62,6 +66,19 @@ def to_parts(params: DataFrame, names: list[str], by: str) -> DataFrame:
     return params.select(by, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names))).alias("p")).select(by, "p.*")
 
 
+def constant(value: float, reach: float = 10_000.0) -> tuple[list[float], list[float]]:
+    """Knots of a function that has one value everywhere."""
+    return [0.0, float(reach)], [float(value)] * 2
+
+
+def checked(field: DataFrame, place: list[str], v: str, n_knots: int | None = None) -> DataFrame:
+    """``field`` with its rules kept: no coordinate is missing, no value negative or missing, and all models have ``n_knots`` if given."""
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (x < 0)) | F.greatest(*(F.col(c).isNull() for c in place), F.lit(False))
+    bad = bad | (F.size(v) != n_knots) if n_knots is not None else bad
+    said = F.concat(F.lit("no valid model at "), F.concat_ws(", ", *(F.coalesce(F.col(c).cast("string"), F.lit("nowhere")) for c in place)))
+    return field.withColumn(v, F.when(F.coalesce(bad, F.lit(True)), F.raise_error(said).cast("array<double>")).otherwise(F.col(v)))
+
+
 def describe(params: DataFrame, names: list[str]) -> DataFrame:
     """name, mean, std, min, quartiles and max of parameters."""
     long = params.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in names))).alias("p")).select("p.*")

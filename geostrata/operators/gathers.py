@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.functions.arrays import bound, element, moments, piecewise, runs, samples, valid
+from geostrata.functions.arrays import bound, element, moments, piecewise, running_sums, runs, samples, valid
 
 EPS = 1e-10
 #: The default velocity table: times in ms and velocities in m/s, fixed values.
@@ -90,22 +90,19 @@ def agc_coefs(data: Column, n: int, window: int, mode: str = "rms") -> Column:
     if not 3 <= window <= n:
         raise ValueError("a window has 3 samples at least and the trace's at most")
     amp = F.transform(samples(data), lambda x: F.when(F.isnan(x) | (x == 0), F.lit(0.0)).otherwise(x * x if mode == "rms" else F.abs(x)))
-    start = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")))
-    last = lambda acc: F.element_at(acc, -1)
-    sums = F.aggregate(amp, start, lambda acc, a: F.concat(acc, F.array(F.struct((last(acc)["s"] + a).alias("s"), (last(acc)["k"] + (a > 0).cast("int")).alias("k")))))
     half, end = window // 2, n - (window - window // 2)
     centre = lambda i: F.greatest(F.lit(half), F.least(i, F.lit(end)))
-    of = lambda acc, i, field: F.get(acc, i)[field]
+    sums = bound(amp, lambda x: F.struct(running_sums(x).alias("s"), running_sums(F.transform(x, lambda v: (v > 0).cast("double"))).alias("k")))
 
     def coefs(acc):
         def one(i):
             low, high = centre(i) - half, centre(i) - half + window
-            c = (of(acc, high, "k") - of(acc, low, "k")) / (of(acc, high, "s") - of(acc, low, "s") + F.lit(1e-15))
+            c = (F.get(acc["k"], high) - F.get(acc["k"], low)) / (F.get(acc["s"], high) - F.get(acc["s"], low) + F.lit(1e-15))
             return F.sqrt(c) if mode == "rms" else c
 
         return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
 
-    return F.aggregate(F.array(sums), F.array().cast("array<double>"), lambda acc, s: coefs(s))
+    return bound(sums, coefs)
 
 
 def apply_agc(df: DataFrame, data_col: str, n: int, window_ms: float = 250.0, interval: float = 2.0, mode: str = "rms", out: str = "gained", coefs: str = "agc_coefs") -> DataFrame:

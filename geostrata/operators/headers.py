@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.sources.scratch import saved
+
 #: Coordinate columns of a gather type, by its index columns: fixed values.
 INDEX_TO_COORDS = {
     "FieldRecord": ("SourceX", "SourceY"), "SourceX,SourceY": ("SourceX", "SourceY"), "GroupX,GroupY": ("GroupX", "GroupY"), "CDP": ("CDP_X", "CDP_Y"),
@@ -31,16 +33,12 @@ def select(df: DataFrame, cols: list[str] | str) -> DataFrame:
     return df.select(*cols)
 
 
-def filter_headers(df: DataFrame, condition: Callable | Column, cols: list[str] | None = None) -> DataFrame:
-    """Rows for which the condition holds: a Column, a callable from Columns to a Column, or one from pandas Series to booleans."""
+def filter_headers(df: DataFrame, condition: Callable | Column, cols: list[str] | None = None, use_pandas: bool = False) -> DataFrame:
+    """Rows for which the condition holds: a Column, a callable from Columns to a Column, or, with ``use_pandas``, one from Series to booleans."""
     if isinstance(condition, Column):
         return df.where(condition)
-    try:
-        kept = condition(*(F.col(c) for c in cols))
-        if isinstance(kept, Column):
-            return df.where(kept)
-    except (TypeError, AttributeError, ValueError):
-        pass
+    if not use_pandas:
+        return df.where(condition(*(F.col(c) for c in cols)))
 
     @F.pandas_udf("boolean")
     def holds(*series: pd.Series) -> pd.Series:
@@ -111,9 +109,16 @@ def sort_gathers(df: DataFrame, index: list[str], by: list[str], tie: str) -> Da
 
 
 def gather_numbers(df: DataFrame, index: list[str]) -> DataFrame:
-    """Each trace with the ordinal of its gather among all gathers: keys are ranked, not traces."""
-    keys = df.select(*index).distinct()
-    numbered = keys.withColumn("gather_pos", F.row_number().over(Window.orderBy(*index)) - 1)
+    """Each trace with the ordinal of its gather among all gathers: keys are ranked, not traces.
+
+    Keys are sorted into ranges; a key's ordinal is its place in its range and the number of keys in the ranges before. So no task
+    sees more than a range. The sorted keys are written once, as ranges come from a sample.
+    """
+    keys = saved(df.select(*index).distinct().orderBy(*index).withColumn("_at", F.monotonically_increasing_id()), "keys")  # partition and place in it
+    keys = keys.withColumn("_range", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = keys.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    numbered = keys.join(F.broadcast(before), "_range").select(*index, (F.col("_before") + F.col("_place")).alias("gather_pos"))
     return df.join(numbered, index)
 
 

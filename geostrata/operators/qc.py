@@ -130,6 +130,15 @@ def rms(squares: str, n: str) -> Column:
     return F.sqrt(F.try_divide(F.sum(squares), F.sum(n)))
 
 
+def rms_describe(df: DataFrame, prefix: str = "rms", threshold=None, lower_is_better: bool | None = None) -> DataFrame:
+    """One row: the mean of the traces' own RMS in a window without a threshold, else the number and share of bad traces."""
+    own = F.sqrt(F.try_divide(F.col(f"{prefix}_squares"), F.col(f"{prefix}_n")))
+    if threshold is None:
+        return df.agg(F.avg(own).alias("mean_rms"))
+    bad = is_bad(F.coalesce(own, F.lit(float("nan"))), lower_is_better, threshold)
+    return df.agg(F.count_if(bad).alias("n_bad"), F.try_divide(F.count_if(bad), F.count("*")).alias("share_bad"))
+
+
 def rms_map(df: DataFrame, by: list[str], prefix: str = "rms") -> DataFrame:
     return df.groupBy(*by).agg(rms(f"{prefix}_squares", f"{prefix}_n").alias("rms"))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.functions.arrays import samples
+from geostrata.functions.arrays import running_sums, samples
 
 
 def fir(low: float | None, high: float | None, interval: float, size: int = 81, window=np.hamming) -> np.ndarray:
@@ -115,5 +115,5 @@ def model_inputs(df: DataFrame, by: list[str], order: str, data_col: str) -> Dat
 
 
 def split_outputs(df: DataFrame, by: list[str], output: str = "input", sizes: str = "sizes") -> DataFrame:
-    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + n)))
+    ends = F.transform(F.slice(running_sums(F.col(sizes).cast("array<double>")), 2, F.size(sizes)), lambda x: x.cast("int"))
     return df.withColumn("_ends", ends).select(*by, F.posexplode(F.zip_with("_ends", sizes, lambda e, n: F.slice(output, e - n + 1, n))).alias("row", "data"))

@@ -8,12 +8,15 @@ enough points are certain to be inside.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.sources.scratch import saved
+
 
 def _cells(x: str, y: str, size: float):
     return F.floor(F.col(x) / size).cast("long"), F.floor(F.col(y) / size).cast("long")
@@ -76,16 +79,17 @@ def _nearest_by_grid(queries, points, k, query_id, point_id, query_xy, point_xy,
         full = ranked.where(F.col("rank") == min(k, box[4])).select("query_id")
         done = ranked.join(full, "query_id", "left_semi")
         out = done if out is None else out.unionByName(done)
-        left = left.join(full, left[query_id] == full["query_id"], "left_anti").checkpoint()
+        left = saved(left.join(full, left[query_id] == full["query_id"], "left_anti"), "queries")
         if left.isEmpty():
             return out
         radius *= 2
 
 
-def idw_weights(pairs: DataFrame, by: str = "query_id", power: float = 2.0, smoothing: float = 0.0, min_relative_weight: float = 1e-3) -> DataFrame:
-    """Pairs with a column ``weight``: inverse distances that sum to 1 by query; a point that is hit exactly has all the weight."""
+def idw_weights(pairs: DataFrame, by: str = "query_id", power: float | Callable[[Column], Column] = 2.0, smoothing: float = 0.0, min_relative_weight: float = 1e-3) -> DataFrame:
+    """Pairs with a column ``weight``: inverse distances that sum to 1 by query; a point that is hit exactly has all the weight.
+    Distances are raised to a power, or transformed by a function of Columns."""
     over = Window.partitionBy(by)
-    raw = F.pow("dist", F.lit(float(power))) + smoothing
+    raw = (power(F.col("dist")) if callable(power) else F.pow("dist", F.lit(float(power)))) + smoothing
     out = pairs.withColumn("_raw", raw).withColumn("_hit", F.min("_raw").over(over) <= 1e-15)
     out = out.withColumn("_w", F.when(F.col("_hit"), (F.col("_raw") <= 1e-15).cast("double")).otherwise(1 / F.greatest("_raw", F.lit(1e-300))))
     out = out.withColumn("_w", F.when(F.col("_w") < F.max("_w").over(over) * min_relative_weight, 0.0).otherwise(F.col("_w")))
@@ -127,6 +131,60 @@ def in_hull(df: DataFrame, hull: np.ndarray, x: str = "x", y: str = "y", name: s
     return df.withColumn(name, inside)
 
 
+def delaunay_weights(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, query_xy=("x", "y"), point_xy=("x", "y"), neighbors: int = 3, power: float = 2.0) -> DataFrame:
+    """query_id, point_id, weight: barycentric weights in the Delaunay triangle around each query, inverse distances outside the hull.
+
+    No triangulation is made. The triangle is the one that holds the query and whose circle is empty: it begins as any triangle
+    that holds it and takes in the point furthest inside its circle, in place of the corner that this leaves it without, until there
+    is none. Points are the knots of an interpolator and go to every task: BROADCAST_POINTS at most, else this fails.
+    """
+    known = points.select(F.col(point_id).alias("id"), *(F.col(c).cast("double") for c in point_xy)).orderBy("id").limit(BROADCAST_POINTS + 1).toPandas()
+    if len(known) > BROADCAST_POINTS:
+        raise ValueError(f"an interpolator has {BROADCAST_POINTS} knots at most")
+    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, point_id {points.schema[point_id].dataType.simpleString()}, weight double"
+    ids, xy = known["id"].to_numpy(), known[list(point_xy)].to_numpy(float)
+    shift, scale = (xy.mean(0), max(np.ptp(xy, axis=0).max(), 1e-12)) if len(xy) else (np.zeros(2), 1.0)
+    z = (xy - shift) / scale
+    hull = convex_hull(z) if len(z) else z
+
+    def around(frames):
+        for f in frames:
+            rows = [(q, i, w) for q, place in zip(f["query_id"], (f[["_x", "_y"]].to_numpy(float) - shift) / scale) for i, w in delaunay_triangle(place, z, hull)]
+            yield pd.DataFrame([(q, ids[i], w) for q, i, w in rows], columns=["query_id", "point_id", "weight"])
+
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_xy[0]).cast("double").alias("_x"), F.col(query_xy[1]).cast("double").alias("_y"))
+    inside = asked.mapInPandas(around, kinds)
+    outside = in_hull(asked.withColumns({"_zx": (F.col("_x") - float(shift[0])) / float(scale), "_zy": (F.col("_y") - float(shift[1])) / float(scale)}), hull, "_zx", "_zy").where("not inside")
+    return inside.union(idw_weights(nearest_pairs(outside, points, neighbors, "query_id", point_id, ("_x", "_y"), point_xy), power=power).select("query_id", "point_id", "weight"))
+
+
+def delaunay_triangle(q: np.ndarray, z: np.ndarray, hull: np.ndarray) -> list[tuple[int, float]]:
+    """Numbers and weights of the corners of the Delaunay triangle around ``q``, empty outside the hull."""
+    ends = np.roll(hull, -1, 0) - hull
+    if len(hull) < 3 or (ends[:, 0] * (q[1] - hull[:, 1]) - ends[:, 1] * (q[0] - hull[:, 0]) < 0).any():
+        return []
+    number = lambda p: int(np.flatnonzero((z == p).all(1))[0])
+    corners = np.column_stack([z, np.ones(len(z))])
+    target = np.array([*q, 1.0])
+    # of the fan of triangles from one corner of the hull, the one that holds the query
+    fan = [[number(hull[0]), number(hull[i]), number(hull[i + 1])] for i in range(1, len(hull) - 1)]
+    weights = [np.linalg.solve(corners[t].T, target) for t in fan]
+    best = int(np.argmax([w.min() for w in weights]))
+    triangle, w = fan[best], weights[best]
+    height = (z * z).sum(1)
+    for _ in range(10 * len(z) + 10):
+        plane = np.linalg.solve(corners[triangle], height[triangle])
+        below = height - corners @ plane  # below 0: inside the circle
+        enters = int(np.argmin(below))
+        if below[enters] > -1e-12:
+            break
+        d = np.linalg.solve(corners[triangle].T, corners[enters])
+        step = np.where(d > 1e-12, np.maximum(w, 0) / np.where(d > 1e-12, d, 1), np.inf)
+        triangle[int(np.argmin(step))] = enters
+        w = np.linalg.solve(corners[triangle].T, target)
+    return [(i, float(x)) for i, x in zip(triangle, w) if x > 1e-9]
+
+
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 

@@ -1,4 +1,5 @@
-"""Velocity analysis per gather: spectra, picking, near-surface models. One task holds one gather's matrix and no more."""
+"""Velocity analysis per gather: spectra, picking, near-surface models. One task holds a part of a gather's traces, or one gather's
+spectrum or picks."""
 
 from __future__ import annotations
 
@@ -6,10 +7,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.operators.gathers import through_knots
+from geostrata.functions.arrays import piecewise
+from geostrata.operators.gathers import COHERENCY, through_knots
+from geostrata.operators.spatial import idw, nearest_pairs, radius_pairs
+from geostrata.sources.scratch import saved
 
 
 def nmo_matrix(data: np.ndarray, offsets: np.ndarray, interval: float, times: np.ndarray, velocity: float, stretch: float = np.inf, delay: float = 0.0) -> np.ndarray:
@@ -25,68 +29,58 @@ def nmo_matrix(data: np.ndarray, offsets: np.ndarray, interval: float, times: np
     return np.where(inside, data[trace, i] * (1 - w) + data[trace, j] * w, np.nan)
 
 
-def coherency_parts(x: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray]:
-    """Numerator and denominator of a coherency measure by time, from a corrected gather (times by traces)."""
-    n = (~np.isnan(x)).sum(1)
-    s, e, a = np.nansum(x, 1), np.nansum(x * x, 1), np.nansum(np.abs(x), 1)
-    one = np.ones(len(x))
-    return {
-        "S": lambda: (np.abs(s) / np.maximum(n, 1), one), "NS": lambda: (np.abs(s), a), "SEMBLANCE": lambda: (s * s / np.maximum(n, 1), e),
-        "CC": lambda: ((s * s - e) / 2, one), "ENCC": lambda: ((s * s - e) / np.maximum(n - 1, 1), e),
-    }[mode]()
+#: Traces of one gather that one task stacks; a larger gather is split, and its parts' sums are added.
+PART_TRACES = 1024
 
 
-def windowed_ratio(num: np.ndarray, den: np.ndarray, half: int) -> np.ndarray:
-    """Sums over the window [t - h, t + h), which never has the last sample, of both parts, divided."""
-    n = len(num)
-    c = [np.concatenate([[0.0], np.cumsum(x)]) for x in (num, den)]
-    low, high = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half, n - 1)
-    return (c[0][high] - c[0][low]) / (c[1][high] - c[1][low] + 1e-8)
-
-
-def _gathers(df: DataFrame, by: list[str], data_col: str, offset_col: str, kernel, schema: str) -> DataFrame:
-    """kernel(key, data, offsets) -> frame, for every gather; traces come by offset so results don't depend on the plan."""
+def coherency_sums(df: DataFrame, by: list[str], data_col: str, offset_col: str, velocities: list[float], interval: float, max_stretch_factor: float = np.inf, delay: float = 0.0) -> DataFrame:
+    """by, v_ix, t_ix, s, e, a, n: sums of the samples, their squares and sizes, and their number, corrected with each velocity (m/s)."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > PART_TRACES)
+    parted = df.select(*by, offset_col, data_col).join(sizes.select(*by, F.ceil(F.col("_n") / PART_TRACES).alias("_parts")), by, "left")
+    parted = parted.withColumn("_part", F.pmod(F.xxhash64(offset_col, data_col), F.coalesce("_parts", F.lit(1))).cast("int"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(offset_col, kind="stable")
-        out = kernel(np.stack(frame[data_col].to_numpy()).astype(float), frame[offset_col].to_numpy(float))
-        for name, value in zip(reversed(by), reversed(key)):
-            out.insert(0, name, value)
-        return out
+        frame = frame.sort_values(offset_col, kind="stable")  # so that sums don't depend on the plan
+        data, offsets = np.stack(frame[data_col].to_numpy()).astype(float), frame[offset_col].to_numpy(float)
+        times, out = delay + interval * np.arange(data.shape[1]), []
+        for v in velocities:
+            x = nmo_matrix(data, offsets, interval, times, v / 1000, max_stretch_factor, delay)
+            out.append(pd.DataFrame({"t_ix": np.arange(len(times)), "s": np.nansum(x, 1), "e": np.nansum(x * x, 1), "a": np.nansum(np.abs(x), 1), "n": (~np.isnan(x)).sum(1)}))
+        made = pd.concat(out, keys=range(len(velocities)), names=["v_ix"]).reset_index("v_ix")
+        for name, value in zip(reversed(by), reversed(key[:-1])):
+            made.insert(0, name, value)
+        return made
 
     keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, offset_col, data_col).groupBy(*by).applyInPandas(run, f"{keys}, {schema}")
+    sums = parted.groupBy(*by, "_part").applyInPandas(run, f"{keys}, v_ix int, t_ix int, s double, e double, a double, n long")
+    return sums.groupBy(*by, "v_ix", "t_ix").agg(*(F.sum(c).alias(c) for c in ("s", "e", "a", "n")))
 
 
 def vertical_spectrum(df: DataFrame, by: list[str], data_col: str, offset_col: str, velocities: list[float], interval: float, window_ms: float = 50.0, mode: str = "SEMBLANCE", max_stretch_factor: float = np.inf, delay: float = 0.0) -> DataFrame:
-    """by, t_ix, v_ix, value: coherency of each gather by time and trial velocity (m/s)."""
+    """by, t_ix, v_ix, value: coherency of each gather by time and trial velocity (m/s), over a window [t - h, t + h) without the last sample."""
     half = max(math.ceil(window_ms / interval / 2), 1)
-
-    def kernel(data, offsets):
-        times = delay + interval * np.arange(data.shape[1])
-        columns = [windowed_ratio(*coherency_parts(nmo_matrix(data, offsets, interval, times, v / 1000, max_stretch_factor, delay), mode), half) for v in velocities]
-        s = np.stack(columns, 1)
-        t, v = np.indices(s.shape)
-        return pd.DataFrame({"t_ix": t.ravel(), "v_ix": v.ravel(), "value": s.ravel()})
-
-    return _gathers(df, by, data_col, offset_col, kernel, "t_ix int, v_ix int, value double")
+    sums = coherency_sums(df, by, data_col, offset_col, velocities, interval, max_stretch_factor, delay)
+    num, den = (f(F.col("s"), F.col("e"), F.col("a"), F.greatest("n", F.lit(1))) for f in COHERENCY[mode])
+    trace = Window.partitionBy(*by, "v_ix")  # one row for a sample
+    last = F.col("t_ix") == F.max("t_ix").over(trace)
+    parts = sums.withColumns({"_num": F.when(last, 0.0).otherwise(num), "_den": F.when(last, 0.0).otherwise(den)})
+    near = trace.orderBy("t_ix").rowsBetween(-half, half - 1)
+    return parts.select(*by, "t_ix", "v_ix", (F.sum("_num").over(near) / (F.sum("_den").over(near) + 1e-8)).alias("value"))
 
 
-def residual_spectrum(df: DataFrame, by: list[str], data_col: str, offset_col: str, velocity: tuple[list[float], list[float]], interval: float, relative_margin: float = 0.2, velocity_step: float = 25.0, window_ms: float = 50.0, mode: str = "SEMBLANCE", max_stretch_factor: float = np.inf) -> DataFrame:
+def residual_spectrum(df: DataFrame, by: list[str], data_col: str, offset_col: str, velocity: tuple[list[float], list[float]], interval: float, n_samples: int, relative_margin: float = 0.2, velocity_step: float = 25.0, window_ms: float = 50.0, mode: str = "SEMBLANCE", max_stretch_factor: float = np.inf) -> DataFrame:
     """by, t_ix, margin, value: coherency around a given velocity, on a grid of relative margins."""
-    half = max(math.ceil(window_ms / interval / 2), 1)
-
-    def kernel(data, offsets):
-        times = interval * np.arange(data.shape[1])
-        v0 = through_knots(times, velocity)
-        grid = np.arange(v0.min() * (1 - relative_margin), v0.max() * (1 + relative_margin) + velocity_step, velocity_step)
-        s = np.stack([windowed_ratio(*coherency_parts(nmo_matrix(data, offsets, interval, times, v / 1000, max_stretch_factor), mode), half) for v in grid], 1)
-        margins = np.linspace(-relative_margin, relative_margin, max(int(2 * relative_margin * v0.mean() / velocity_step), 1) + 1)
-        rows = [np.interp(v0[t] * (1 + margins), grid, s[t]) for t in range(len(times))]
-        t, m = np.indices((len(times), len(margins)))
-        return pd.DataFrame({"t_ix": t.ravel(), "margin": margins[m.ravel()], "value": np.concatenate(rows)})
-
-    return _gathers(df, by, data_col, offset_col, kernel, "t_ix int, margin double, value double")
+    v0 = through_knots(interval * np.arange(n_samples), velocity)
+    grid = np.arange(v0.min() * (1 - relative_margin), v0.max() * (1 + relative_margin) + velocity_step, velocity_step)
+    margins = np.linspace(-relative_margin, relative_margin, max(int(2 * relative_margin * v0.mean() / velocity_step), 1) + 1)
+    spectrum = vertical_spectrum(df, by, data_col, offset_col, grid.tolist(), interval, window_ms, mode, max_stretch_factor)
+    rows = spectrum.groupBy(*by, "t_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("v_ix", "value"))), lambda r: r["value"]).alias("_row"))  # as many as trial velocities
+    at = F.get(F.array(*(F.lit(float(v)) for v in v0)), F.col("t_ix"))
+    rows = rows.withColumn("_v", at).withColumn("margin", F.explode(F.array(*(F.lit(float(m)) for m in margins))))
+    place = (F.col("_v") * (1 + F.col("margin")) - float(grid[0])) / velocity_step
+    low = F.least(F.greatest(F.floor(place).cast("int"), F.lit(0)), F.lit(len(grid) - 2))
+    w = F.least(F.greatest(place - low, F.lit(0.0)), F.lit(1.0))
+    return rows.select(*by, "t_ix", "margin", (F.get("_row", low) * (1 - w) + F.get("_row", low + 1) * w).alias("value"))
 
 
 def pick_path(spectrum: np.ndarray, times: np.ndarray, velocities: np.ndarray, times_step: float = 100.0, max_skips: int = 2, low: np.ndarray | None = None, high: np.ndarray | None = None, acceleration: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -169,25 +163,9 @@ def loss_of(residuals: np.ndarray, loss: str = "L1", huber: float = 20.0) -> flo
     }[loss]().mean())
 
 
-def fit_refractors(offsets: np.ndarray, times: np.ndarray, n: int, loss: str = "L1", huber: float = 20.0, min_velocity_step: float = 1.0, min_size: float = 1.0, rounds: int = 400) -> dict[str, float]:
-    """A model of ``n`` layers, velocities rising downwards, that fits first breaks with a small loss: a simplex search.
-
-    Parameters are steps (sizes and rises over their minimum), so every constraint is that they are not negative.
-    """
-    far = max(float(offsets.max()), n * min_size + 1e-6)
-    line = np.polyfit(offsets, times, 1) if np.ptp(offsets) > 0 else np.array([1.0, times.mean()])
-    v = 1000 / max(line[0], 1e-3)
-
-    def model(p):
-        p = np.abs(p)
-        sizes, speeds = p[1:n] + min_size, np.cumsum(np.concatenate([[p[n]], p[n + 1 :] + min_velocity_step]))
-        return p[0], np.minimum(np.cumsum(sizes), far), np.maximum(speeds, 1.0)
-
-    def cost(p):
-        return loss_of(refractor_times(offsets, *model(p)) - times, loss, huber)
-
-    start = np.concatenate([[max(line[1], 0)], np.full(n - 1, far / n), [v * (0.7 if n > 1 else 1)], np.full(n - 1, 0.6 * v / max(n - 1, 1))])
-    for _ in range(3):  # a simplex search started again from where it ended
+def simplex_search(cost, start: np.ndarray, rounds: int = 400, restarts: int = 3) -> np.ndarray:
+    """A minimum of ``cost`` by a simplex that reflects, stretches and shrinks, started again from where it ended."""
+    for _ in range(restarts):
         simplex = [start, *(start + np.eye(len(start))[i] * max(abs(start[i]) * 0.2, 1.0) for i in range(len(start)))]
         values = [cost(p) for p in simplex]
         for _ in range(rounds):
@@ -213,25 +191,203 @@ def fit_refractors(offsets: np.ndarray, times: np.ndarray, n: int, loss: str = "
                     simplex = [simplex[0], *(simplex[0] + 0.5 * (p - simplex[0]) for p in simplex[1:])]
                     values = [values[0], *(cost(p) for p in simplex[1:])]
         start = simplex[int(np.argmin(values))]
+    return start
+
+
+def param_names(n: int) -> list[str]:
+    """The parameters of a near-surface model of n layers."""
+    return ["t0", *(f"x{i}" for i in range(1, n)), *(f"v{i}" for i in range(1, n + 1))]
+
+
+def check_params(params: dict[str, float], max_offset: float = float("inf"), min_velocity_step: float = 0.0, min_size: float = 0.0, bounds: dict[str, tuple[float, float]] | None = None) -> dict[str, float]:
+    """``params`` if they make a model: all there and none negative, layers wide enough, velocities rising enough, all within bounds."""
+    n = len(params) // 2
+    if not n or set(params) != set(param_names(n)):
+        raise ValueError(f"a model of {n} layers has the parameters {param_names(n)}, not {sorted(params)}")
+    if negative := [k for k, v in params.items() if v < 0]:
+        raise ValueError(f"negative parameters: {negative}")
+    slack = 1e-8
+    if (np.diff([0.0, *(params[f"x{i}"] for i in range(1, n)), max_offset]) < min_size * (1 - 1e-5) - slack).any():
+        raise ValueError(f"a layer is narrower than {min_size} m")
+    if (np.diff([params[f"v{i}"] for i in range(1, n + 1)]) < min_velocity_step * (1 - 1e-5) - slack).any():
+        raise ValueError(f"velocities rise by less than {min_velocity_step} m/s")
+    if bounds is not None:
+        if set(bounds) != set(params):
+            raise ValueError("bounds are for the same parameters")
+        if odd := [k for k, (low, high) in bounds.items() if low < 0 or low > high or not low <= params[k] <= high]:
+            raise ValueError(f"bounds that are negative, reversed or don't hold their parameter: {odd}")
+    return params
+
+
+def constant_refractor(velocity: float) -> dict[str, float]:
+    """A model of one layer, reached at once."""
+    return check_params({"t0": 0.0, "v1": float(velocity)})
+
+
+def stepped(values: np.ndarray, fixed: np.ndarray, least: float) -> np.ndarray:
+    """``values`` with steps of ``least`` at least, those that are ``fixed`` unchanged: others give way, away from the nearest fixed one."""
+    out = values.astype(float).copy()
+    at = np.flatnonzero(fixed)
+    for i in range(at[0] - 1, -1, -1):
+        out[i] = min(out[i], out[i + 1] - least)
+    for i in range(at[0] + 1, len(out)):
+        if not fixed[i]:
+            out[i] = max(out[i], out[i - 1] + least)
+    for i in range(len(out) - 2, at[0], -1):
+        if not fixed[i]:
+            out[i] = min(out[i], out[i + 1] - least) if fixed[i + 1 :].any() else out[i]
+    return out
+
+
+def complete_init(init: dict[str, float], offsets: np.ndarray, times: np.ndarray, n: int, min_velocity_step: float = 1.0, min_size: float = 1.0) -> dict[str, float]:
+    """All parameters to begin a fit with: missing crossover offsets between known ones, missing velocities and t0 by lines through a layer's picks."""
+    far = max(float(offsets.max()), max([init.get(f"x{i}", 0.0) for i in range(1, n)], default=0.0) + n * min_size)
+    cross = np.array([0.0, *(init.get(f"x{i}", np.nan) for i in range(1, n)), far])
+    known = ~np.isnan(cross)
+    cross = stepped(np.interp(np.arange(n + 1), np.flatnonzero(known), cross[known]), known, min_size)
+    speeds, firsts = np.array([init.get(f"v{i}", np.nan) for i in range(1, n + 1)]), []
+    counts = []
+    for i in range(n):
+        inside = (offsets >= cross[i]) & (offsets <= cross[i + 1])
+        counts.append(int(inside.sum()))
+        line = np.polyfit(offsets[inside], times[inside], 1) if counts[-1] > 1 and np.ptp(offsets[inside]) > 0 else (np.nan, np.nan)
+        firsts.append(line[1])
+        if np.isnan(speeds[i]) and line[0] > 0:
+            speeds[i] = 1000 / line[0]
+    given = np.array([f"v{i}" in init for i in range(1, n + 1)])
+    if np.isnan(speeds).all():
+        speeds = 1600 + min_velocity_step * np.arange(n)
+    else:
+        found = np.flatnonzero(~np.isnan(speeds))
+        speeds = np.interp(np.arange(n), found, speeds[found])
+        fixed = given if given.any() else np.arange(n) == found[int(np.argmax(np.array(counts)[found]))]
+        speeds = np.maximum(stepped(speeds, fixed, min_velocity_step), 1.0)
+    t0 = init["t0"] if "t0" in init else float(np.nan_to_num(firsts[0]))
+    return {"t0": max(float(t0), 0.0)} | {f"x{i}": float(cross[i]) for i in range(1, n)} | {f"v{i + 1}": float(v) for i, v in enumerate(speeds)}
+
+
+def fit_refractors(offsets: np.ndarray, times: np.ndarray, n: int, loss: str = "L1", huber: float = 20.0, min_velocity_step: float = 1.0, min_size: float = 1.0, rounds: int = 400, init: dict[str, float] | None = None, bounds: dict[str, tuple[float, float]] | None = None, max_offset: float | None = None) -> dict[str, float]:
+    """A model of ``n`` layers, velocities rising downwards, that fits first breaks with a small loss: a simplex search.
+
+    Parameters are steps (sizes and rises over their minimum), so every constraint is that they are not negative. A search begins
+    at ``init``, completed, if there is any; ``bounds`` keep each parameter between two values. Picks beyond ``max_offset`` don't count.
+    """
+    if max_offset is not None:
+        offsets, times = offsets[offsets <= max_offset], times[offsets <= max_offset]
+    far = max(float(offsets.max()), n * min_size + 1e-6)
+    line = np.polyfit(offsets, times, 1) if np.ptp(offsets) > 0 else np.array([1.0, times.mean()])
+    v = 1000 / max(line[0], 1e-3)
+
+    def model(p):
+        p = np.abs(p)
+        sizes, speeds = p[1:n] + min_size, np.cumsum(np.concatenate([[p[n]], p[n + 1 :] + min_velocity_step]))
+        t0, x, v = p[0], np.minimum(np.cumsum(sizes), far), np.maximum(speeds, 1.0)
+        if bounds is not None:
+            clip = lambda name, value: np.clip(value, *bounds[name])
+            t0, x, v = clip("t0", t0), np.array([clip(f"x{i + 1}", a) for i, a in enumerate(x)]), np.array([clip(f"v{i + 1}", a) for i, a in enumerate(v)])
+            x, v = np.maximum.accumulate(x) if n > 1 else x, np.maximum.accumulate(v)
+        return t0, x, v
+
+    start = np.concatenate([[max(line[1], 0)], np.full(n - 1, far / n), [v * (0.7 if n > 1 else 1)], np.full(n - 1, 0.6 * v / max(n - 1, 1))])
+    if init is not None:
+        p = complete_init(init, offsets, times, n, min_velocity_step, min_size)
+        sizes, rises = np.diff([0.0, *(p[f"x{i}"] for i in range(1, n))]), np.diff([p[f"v{i}"] for i in range(1, n + 1)])
+        start = np.concatenate([[p["t0"]], np.maximum(sizes - min_size, 0), [p["v1"]], np.maximum(rises - min_velocity_step, 0)])
+    start = simplex_search(lambda p: loss_of(refractor_times(offsets, *model(p)) - times, loss, huber), start, rounds)
     t0, x, v = model(start)
     return {"t0": float(t0)} | {f"x{i + 1}": float(a) for i, a in enumerate(x)} | {f"v{i + 1}": float(a) for i, a in enumerate(v)}
 
 
-def refractor_velocities(df: DataFrame, by: list[str], offset_col: str, time_col: str, n_refractors: int, loss: str = "L1", **kwargs) -> DataFrame:
-    """by, t0, x1.., v1.., loss: one near-surface model per gather."""
-    names = ["t0", *(f"x{i}" for i in range(1, n_refractors)), *(f"v{i}" for i in range(1, n_refractors + 1))]
+def refractor_velocities(df: DataFrame, by: list[str], offset_col: str, time_col: str, n_refractors: int, loss: str = "L1", starts: DataFrame | None = None, **kwargs) -> DataFrame:
+    """by, t0, x1.., v1.., loss: one near-surface model per gather. ``starts``: parameters that a gather's search begins at, with a
+    lower and an upper bound of each in columns <name>_low and <name>_high."""
+    names = param_names(n_refractors)
+    extra = [f"{c}{end}" for c in names for end in ("", "_low", "_high")] if starts is not None else []
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.dropna(subset=[offset_col, time_col]).sort_values([offset_col, time_col])
         x, t = frame[offset_col].to_numpy(float), frame[time_col].to_numpy(float)
         if not len(x):
             return pd.DataFrame(columns=[*by, *names, "loss"])
-        p = fit_refractors(x, t, n_refractors, loss, **kwargs)
+        first = frame.iloc[0]
+        more = {"init": {c: float(first[c]) for c in names}, "bounds": {c: (float(first[f"{c}_low"]), float(first[f"{c}_high"])) for c in names}} if extra else {}
+        p = fit_refractors(x, t, n_refractors, loss, **kwargs, **more)
         fitted = refractor_times(x, p["t0"], np.array([p[f"x{i}"] for i in range(1, n_refractors)]), np.array([p[f"v{i}"] for i in range(1, n_refractors + 1)]))
         return pd.DataFrame([[*key, *(p[c] for c in names), loss_of(fitted - t, loss)]], columns=[*by, *names, "loss"])
 
     keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, offset_col, time_col).groupBy(*by).applyInPandas(run, keys + "".join(f", {c} double" for c in [*names, "loss"]))
+    picks = df.select(*by, offset_col, time_col)
+    if starts is not None:
+        picks = picks.join(starts.select(*by, *extra), by)
+    return picks.groupBy(*by).applyInPandas(run, keys + "".join(f", {c} double" for c in [*names, "loss"]))
+
+
+def refractor_points(picks: DataFrame, params: DataFrame, by: list[str], offset_col: str, n_refractors: int) -> DataFrame:
+    """by, n1..: the picks of each model in each of its layers, the last offset of a layer belonging to the next one."""
+    edges = [F.lit(0.0), *(F.col(f"x{i}") for i in range(1, n_refractors)), F.lit(float("inf"))]
+    inside = [(F.col("_off") >= a) & (F.col("_off") < b) for a, b in zip(edges, edges[1:])]
+    joined = picks.select(*by, F.col(offset_col).cast("double").alias("_off")).join(params, by)
+    return joined.groupBy(*by).agg(*(F.count_if(c).alias(f"n{i}") for i, c in enumerate(inside, 1)))
+
+
+def refined(params: DataFrame, points: DataFrame, id_col: str, n_refractors: int, min_points: int = 0, quantile: float = 0.0, neighbors: int = 4, xy=("x", "y")) -> DataFrame:
+    """``params`` with those of layers with too few picks (fewer than 2, ``min_points`` or a quantile over the field) taken from the
+    nearest models that have enough, by inverse distance. t0 depends on the first layer, a crossover on both its layers."""
+    layers = [f"n{i}" for i in range(1, n_refractors + 1)]
+    least = points.agg(*(F.greatest(F.percentile(c, F.lit(quantile)), F.lit(float(max(2, min_points)))).alias(f"_{c}") for c in layers), *(F.max(c).alias(f"_most_{c}") for c in layers))
+    flags = params.join(points, id_col).crossJoin(F.broadcast(least))  # one row of thresholds
+    few = {c: (F.col(c) < F.col(f"_{c}")) & (F.col(f"_most_{c}") >= F.col(f"_{c}")) for c in layers}  # a layer that is poor everywhere is used as it is
+    needs = {"t0": few["n1"]} | {f"x{i}": few[f"n{i}"] | few[f"n{i + 1}"] for i in range(1, n_refractors)} | {f"v{i}": few[f"n{i}"] for i in range(1, n_refractors + 1)}
+    flags = saved(flags.select(*params.columns, *(f.alias(f"_bad_{c}") for c, f in needs.items())), "flags")
+    out = params
+    for c in param_names(n_refractors):
+        bad, good = flags.where(f"_bad_{c}"), flags.where(f"not _bad_{c}")
+        near = nearest_pairs(bad, good, neighbors, id_col, id_col, xy, xy, [c])
+        found = idw(near, [c]).select(F.col("query_id").alias(id_col), F.col(c).alias("_new"))
+        out = out.join(found, id_col, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+    return postprocess(out, n_refractors)
+
+
+def smoothed_refractors(params: DataFrame, id_col: str, n_refractors: int, radius: float, xy=("x", "y")) -> DataFrame:
+    """id, xy and the mean of each parameter over the models within the radius, made models again."""
+    names = param_names(n_refractors)
+    near = radius_pairs(params, params, radius, id_col, id_col, xy, xy, keep_right=names)
+    means = near.groupBy(F.col("left_id").alias(id_col)).agg(*(F.avg(c).alias(c) for c in names))
+    return postprocess(params.select(id_col, *xy).join(means, id_col), n_refractors)
+
+
+def search_bounds(params: DataFrame, by: list[str], n_refractors: int, relative_size: float = 0.25) -> DataFrame:
+    """by, and each parameter with its bounds: half of a share of its range over the field to both sides, none below 0."""
+    names = param_names(n_refractors)
+    half = params.agg(*(((F.max(c) - F.min(c)) * (relative_size / 2)).alias(f"_{c}") for c in names))
+    rows = params.crossJoin(F.broadcast(half))  # one row of sizes
+    return rows.select(*by, *names, *(F.greatest(F.col(c) - F.col(f"_{c}"), F.lit(0.0)).alias(f"{c}_low") for c in names), *((F.col(c) + F.col(f"_{c}")).alias(f"{c}_high") for c in names))
+
+
+def refit(picks: DataFrame, params: DataFrame, id_col: str, offset_col: str, time_col: str, n_refractors: int, radius: float, relative_size: float = 0.25, min_points: int = 0, quantile: float = 0.0, neighbors: int = 4, xy=("x", "y"), loss: str = "L1") -> DataFrame:
+    """A field refined: parameters of poor layers replaced, all smoothed, and every model fitted again in narrow bounds around that."""
+    points = refractor_points(picks, params, [id_col], offset_col, n_refractors)
+    smooth = smoothed_refractors(refined(params, points, id_col, n_refractors, min_points, quantile, neighbors, xy), id_col, n_refractors, radius, xy)
+    starts = saved(search_bounds(smooth, [id_col], n_refractors, relative_size), "starts")
+    return refractor_velocities(picks, [id_col], offset_col, time_col, n_refractors, loss, starts, min_velocity_step=0.0, min_size=0.0)
+
+
+def velocity_range(velocity: tuple[list[float], list[float]], relative_margin: float, step: float) -> list[float]:
+    """The velocities of a spectrum: from the least of a function's knots less a share to the greatest and a share more."""
+    low, high = min(velocity[1]) * (1 - relative_margin), max(velocity[1]) * (1 + relative_margin)
+    return np.arange(low, high + step, step).tolist()
+
+
+def spectrum_places(df: DataFrame, t_ix: str, v_ix: str, velocities: list[float], interval: float, delay: float = 0.0) -> DataFrame:
+    """Columns ``time`` and ``velocity`` from fractional positions in a vertical spectrum."""
+    return df.withColumns({"time": F.col(t_ix) * interval + delay, "velocity": piecewise(F.col(v_ix).cast("double"), list(range(len(velocities))), velocities)})
+
+
+def residual_places(df: DataFrame, t_ix: str, margin_ix: str, n_margins: int, relative_margin: float, velocity: tuple[list[float], list[float]], interval: float, delay: float = 0.0) -> DataFrame:
+    """The same for a residual spectrum, whose positions are relative margins around a velocity function."""
+    df = df.withColumn("time", F.col(t_ix) * interval + delay)
+    margin = F.col(margin_ix) * (2 * relative_margin / (n_margins - 1)) - relative_margin
+    return df.withColumn("velocity", piecewise(F.col("time"), *velocity) * (1 + margin))
 
 
 def postprocess(df: DataFrame, n_refractors: int) -> DataFrame:

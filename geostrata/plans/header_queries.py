@@ -22,7 +22,7 @@ def hdr_filter(spark, d):
 
 @query("hdr_filter_pandas", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 40")
 def hdr_filter_pandas(spark, d):
-    return headers.filter_headers(lines(spark, d), lambda q: q.map(lambda v: v > 40), ["l_quantity"]).select("l_orderkey", "l_linenumber")
+    return headers.filter_headers(lines(spark, d), lambda q: q.map(lambda v: v > 40), ["l_quantity"], use_pandas=True).select("l_orderkey", "l_linenumber")
 
 
 @query("hdr_apply", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2))) AS DOUBLE) AS net FROM lineitem")

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 
 # the modules below register their queries when they are imported
-from geostrata.plans import header_queries, plane_queries, trace_queries  # noqa: E402, F401
+from geostrata.plans import header_queries, model_queries, plane_queries, source_queries, trace_queries  # noqa: E402, F401

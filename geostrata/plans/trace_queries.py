@@ -233,9 +233,16 @@ def nmo_stack(spark, d):
     return gathers.stack(df, "corrected", ["label"]).select("label", F.col("i").cast("long").alias("i"), F.round("stacked", 6).alias("stacked"))
 
 
-@query("nmo_variable")
+@query("nmo_variable", f"""
+WITH {_E}, {_OFF}, v AS (SELECT i, 2.0::DOUBLE * i AS t, CASE WHEN i <= 30 THEN 1.8 + 2.0::DOUBLE * i * 0.2 / 60 ELSE 2.0 + (2.0::DOUBLE * i - 60) * 0.4 / 66 END AS v FROM range(64) r(i)),
+g AS (SELECT i, t, v, (coalesce(lead(v) OVER (ORDER BY i), v) - coalesce(lag(v) OVER (ORDER BY i), v)) / (CASE WHEN i IN (0, 63) THEN 2 ELSE 4 END) AS g FROM v),
+h AS (SELECT vec_id, label, off, i, x, t, sqrt(t * t + (off / v) * (off / v)) AS h, t - off * off * g / (v * v * v) AS z FROM o JOIN g USING (i)),
+own AS (SELECT vec_id, label, off, max(CASE WHEN z <= 0 OR h > 1.65 * z THEN i ELSE -1 END) AS own FROM h GROUP BY vec_id, label, off),
+last AS (SELECT vec_id, max(own) OVER (PARTITION BY label ORDER BY off RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM own)
+SELECT h.vec_id, h.i, round(CASE WHEN h.i <= last OR h.h > 126 THEN 0 ELSE a.x * (1 - (h.h / 2 - floor(h.h / 2))) + coalesce(b.x, 0) * (h.h / 2 - floor(h.h / 2)) END, 6) AS x
+FROM h JOIN last USING (vec_id) LEFT JOIN e a ON a.vec_id = h.vec_id AND a.i = floor(h.h / 2) LEFT JOIN e b ON b.vec_id = h.vec_id AND b.i = floor(h.h / 2) + 1""")
 def nmo_variable(spark, d):
-    df = gathers.apply_nmo(with_offset(traces(spark, d)), "embedding", "offset", N, DT, ([0, 60, 126], [1800, 2000, 2400]), ["label"], 0.65)
+    df = gathers.apply_nmo(with_offset(traces(spark, d)), "embedding", "offset", N, DT, ([0, 60, 126], [1800, 2000, 2400]), ["label"], 0.65, fill=0.0)
     return _rounded(df, ["vec_id"], "corrected")
 
 
@@ -264,7 +271,14 @@ def semblance_window(spark, d):
 VELOCITIES = [1500.0, 1800.0, 2100.0, 2400.0, 3000.0]
 
 
-@query("spectrum_small")
+@query("spectrum_small", f"""
+WITH {_E}, {_OFF}, t AS (SELECT v - 1 AS v_ix, [1500.0, 1800, 2100, 2400, 3000][v]::DOUBLE / 1000 AS v FROM range(1, 6) r(v)),
+h AS (SELECT vec_id, label, i, v_ix, sqrt((2.0 * i) ** 2 + (off / v) ** 2) / 2 AS pos FROM o, t),
+c AS (SELECT h.label, h.i, v_ix, a.x * (1 - (pos - floor(pos))) + coalesce(b.x, 0) * (pos - floor(pos)) AS x
+  FROM h LEFT JOIN e a ON a.vec_id = h.vec_id AND a.i = floor(pos) AND pos <= 63 LEFT JOIN e b ON b.vec_id = h.vec_id AND b.i = floor(pos) + 1 AND pos <= 63),
+p AS (SELECT label, i, v_ix, CASE WHEN i = 63 THEN 0 ELSE coalesce(sum(x) ** 2 / count(x), 0) END AS a, CASE WHEN i = 63 THEN 0 ELSE coalesce(sum(x * x), 0) END AS b FROM c GROUP BY label, i, v_ix)
+SELECT label, CAST(i AS INT) AS t_ix, CAST(v_ix AS INT) AS v_ix, round(sum(a) OVER w / (sum(b) OVER w + 1e-8), 6) AS value
+FROM p WINDOW w AS (PARTITION BY label, v_ix ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)""")
 def spectrum_small(spark, d):
     s = velocity.vertical_spectrum(with_offset(traces(spark, d)), ["label"], "embedding", "offset", VELOCITIES, DT, 20)
     return s.withColumn("value", F.round("value", 6))
@@ -272,7 +286,7 @@ def spectrum_small(spark, d):
 
 @query("spectrum_residual")
 def spectrum_residual(spark, d):
-    s = velocity.residual_spectrum(with_offset(traces(spark, d)), ["label"], "embedding", "offset", ([0, 126], [1800, 2400]), DT, 0.2, 100, 20)
+    s = velocity.residual_spectrum(with_offset(traces(spark, d)), ["label"], "embedding", "offset", ([0, 126], [1800, 2400]), DT, N, 0.2, 100, 20)
     return s.withColumns({"margin": F.round("margin", 6), "value": F.round("value", 6)})
 
 
@@ -305,12 +319,23 @@ def resample_linear(spark, d):
     return _rounded(traces(spark, d).withColumn("r", signal.resample_linear(F.col("embedding"), N, DT, 3.0)), ["vec_id"], "r")
 
 
-@query("resample_cubic")
+# at whole samples the cubic is the sample; half-way its four neighbours weigh -1, 9, 9 and -1 sixteenths, mirrored at the ends
+@query("resample_cubic", f"""
+WITH {_E}, t AS (SELECT k, k // 2 AS low, k % 2 AS odd FROM range(127) r(k)),
+n AS (SELECT k, odd, unnest([low - 1, low, low + 1, low + 2]) AS j, unnest([-0.0625::DOUBLE, 0.5625, 0.5625, -0.0625]) AS w, unnest([0.0::DOUBLE, 1, 0, 0]) AS w0 FROM t)
+SELECT vec_id, k AS i, round(sum(x * CASE WHEN odd = 1 THEN w ELSE w0 END), 6) AS x FROM n JOIN e ON e.i = CASE WHEN abs(j) < 64 THEN abs(j) ELSE 126 - j END GROUP BY vec_id, k""")
 def resample_cubic(spark, d):
     return _rounded(signal.resample(traces(spark, d), "embedding", N, DT, 1.0), ["vec_id"], "resampled")
 
 
-@query("bandpass")
+_SINC = "CASE WHEN k = 10 THEN 1 ELSE sin(pi() * {0} / 250 * (k - 10)) / (pi() * {0} / 250 * (k - 10)) END * {0} / 250"
+
+
+@query("bandpass", f"""
+WITH {_E}, h AS (SELECT k, ({_SINC.format("100.0")} - {_SINC.format("10.0")}) * (0.54 - 0.46 * cos(2 * pi() * k / 20)) AS h FROM range(21) r(k)),
+s AS (SELECT sum(h * cos(pi() * 55 / 250 * (k - 10))) AS s FROM h),
+n AS (SELECT i, k, i + k - 10 AS j FROM range(64) r(i), range(21) q(k))
+SELECT vec_id, n.i, round(sum(x * h / s), 6) AS x FROM n JOIN h USING (k) JOIN e ON e.i = CASE WHEN j < 0 THEN -j WHEN j > 63 THEN 126 - j ELSE j END, s GROUP BY vec_id, n.i""")
 def bandpass(spark, d):
     return _rounded(signal.bandpass(traces(spark, d), "embedding", DT, 10, 100, 21), ["vec_id"], "filtered")
 

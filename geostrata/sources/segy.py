@@ -1,7 +1,8 @@
 """SEG-Y files as a Spark data source: reading by ranges of traces, and writing one file per partition.
 
 ``spark.read.format("segy")`` reads every file that a path or glob names. A trace's headers are columns, its samples the array
-``data``; only headers asked for by the option ``headers`` are decoded, and the samples only unless the option ``data`` is false.
+``data``; only headers asked for by the option ``headers`` are decoded, and the samples only unless the option ``data`` is false, and of
+these only the ones within the option ``limits`` (start:stop or start:stop:step, as slices in Python): other bytes are not looked at.
 Files are opened by the tasks, so they have to be on a file system that all of them mount.
 """
 
@@ -10,19 +11,34 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-#: Fixed values of the format: first byte (from 1) and width of the trace headers that are read.
-HEADERS = {
-    "TRACE_SEQUENCE_LINE": (1, 4), "FieldRecord": (9, 4), "TraceNumber": (13, 4), "EnergySourcePoint": (17, 4), "CDP": (21, 4), "CDP_TRACE": (25, 4),
-    "offset": (37, 4), "ReceiverGroupElevation": (41, 4), "SourceSurfaceElevation": (45, 4), "SourceDepth": (49, 4), "SourceX": (73, 4), "SourceY": (77, 4),
-    "GroupX": (81, 4), "GroupY": (85, 4), "SourceUpholeTime": (95, 2), "GroupUpholeTime": (97, 2), "SourceStaticCorrection": (99, 2), "GroupStaticCorrection": (101, 2),
-    "DelayRecordingTime": (109, 2), "TRACE_SAMPLE_COUNT": (115, 2), "TRACE_SAMPLE_INTERVAL": (117, 2), "CDP_X": (181, 4), "CDP_Y": (185, 4), "INLINE_3D": (189, 4), "CROSSLINE_3D": (193, 4),
-}
+#: Fixed values of the format: the trace headers in the order of their bytes, and which of them are four bytes wide; the others have two.
+NAMES = (
+    "TRACE_SEQUENCE_LINE TRACE_SEQUENCE_FILE FieldRecord TraceNumber EnergySourcePoint CDP CDP_TRACE TraceIdentificationCode NSummedTraces NStackedTraces DataUse offset "
+    "ReceiverGroupElevation SourceSurfaceElevation SourceDepth ReceiverDatumElevation SourceDatumElevation SourceWaterDepth GroupWaterDepth ElevationScalar SourceGroupScalar "
+    "SourceX SourceY GroupX GroupY CoordinateUnits WeatheringVelocity SubWeatheringVelocity SourceUpholeTime GroupUpholeTime SourceStaticCorrection GroupStaticCorrection "
+    "TotalStaticApplied LagTimeA LagTimeB DelayRecordingTime MuteTimeStart MuteTimeEND TRACE_SAMPLE_COUNT TRACE_SAMPLE_INTERVAL GainType InstrumentGainConstant InstrumentInitialGain "
+    "Correlated SweepFrequencyStart SweepFrequencyEnd SweepLength SweepType SweepTraceTaperLengthStart SweepTraceTaperLengthEnd TaperType AliasFilterFrequency AliasFilterSlope "
+    "NotchFilterFrequency NotchFilterSlope LowCutFrequency HighCutFrequency LowCutSlope HighCutSlope YearDataRecorded DayOfYear HourOfDay MinuteOfHour SecondOfMinute TimeBaseCode "
+    "TraceWeightingFactor GeophoneGroupNumberRoll1 GeophoneGroupNumberFirstTraceOrigField GeophoneGroupNumberLastTraceOrigField GapSize OverTravel CDP_X CDP_Y INLINE_3D CROSSLINE_3D "
+    "ShotPoint ShotPointScalar TraceValueMeasurementUnit TransductionConstantMantissa TransductionConstantPower TransductionUnit TraceIdentifier ScalarTraceHeader SourceType "
+    "SourceEnergyDirectionMantissa SourceEnergyDirectionExponent SourceMeasurementMantissa SourceMeasurementExponent SourceMeasurementUnit UnassignedInt1 UnassignedInt2"
+).split()
+WIDE = set(
+    "TRACE_SEQUENCE_LINE TRACE_SEQUENCE_FILE FieldRecord TraceNumber EnergySourcePoint CDP CDP_TRACE offset ReceiverGroupElevation SourceSurfaceElevation SourceDepth ReceiverDatumElevation "
+    "SourceDatumElevation SourceWaterDepth GroupWaterDepth SourceX SourceY GroupX GroupY CDP_X CDP_Y INLINE_3D CROSSLINE_3D ShotPoint TransductionConstantMantissa "
+    "SourceEnergyDirectionMantissa SourceMeasurementMantissa UnassignedInt1 UnassignedInt2".split()
+)
+#: First byte (from 1) and width of every header.
+HEADERS = {name: (1 + sum(4 if other in WIDE else 2 for other in NAMES[:i]), 4 if name in WIDE else 2) for i, name in enumerate(NAMES)}
+#: What the reader and the writer number themselves.
+NUMBERED = ("TRACE_SEQUENCE_LINE", "TRACE_SEQUENCE_FILE")
 HEAD, TRACE_HEAD = 3600, 240
 WIDTH = {1: 4, 2: 4, 3: 2, 5: 4, 8: 1}
 
@@ -65,29 +81,47 @@ class SegyReader(DataSourceReader):
         self.paths = sorted(p for part in options["path"].split(",") for p in glob.glob(part.removeprefix("file://")))
         self.order = "<" if options.get("endian", "big") == "little" else ">"
         self.chunk, self.headers, self.data = int(options.get("chunk_size", 25000)), headers, data
+        self.limits = slice(*(int(v) if v.strip() else None for v in options.get("limits", ":").split(":")))
 
     def partitions(self):
         return [_Range(p, a, min(a + self.chunk, n)) for p in self.paths for n in [layout(p, self.order)[0]] for a in range(0, max(n, 1), self.chunk)]
 
     def read(self, part):
         _, n, _, fmt = layout(part.path, self.order)
-        size, block = TRACE_HEAD + n * WIDTH[fmt], 2000
-        with open(part.path, "rb") as f:
-            f.seek(HEAD + part.first * size)
-            for at in range(part.first, part.last, block):
-                count = min(block, part.last - at)
-                raw = np.frombuffer(f.read(count * size), np.uint8).reshape(-1, size)
-                columns = [pa.array([part.path] * len(raw), pa.string()), pa.array(np.arange(at + 1, at + 1 + len(raw)), pa.int64())]
-                for h in self.headers:
-                    first, width = HEADERS[h]
-                    columns.append(pa.array(np.ascontiguousarray(raw[:, first - 1 : first - 1 + width]).view(f"{self.order}i{width}").ravel().astype(np.int32)))
-                if self.data:
-                    body = np.ascontiguousarray(raw[:, TRACE_HEAD:])
-                    kind = {1: "u4", 2: "i4", 3: "i2", 5: "f4", 8: "i1"}[fmt]
-                    x = body.view(self.order + kind)
-                    x = ibm_to_ieee(x.astype(np.uint32)) if fmt == 1 else x.astype(np.float32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, n), pa.int32()), pa.array(x.ravel())))
-                yield pa.RecordBatch.from_arrays(columns, ["file", "TRACE_SEQUENCE_FILE", *self.headers, *(["data"] if self.data else [])])
+        size, block, width = TRACE_HEAD + n * WIDTH[fmt], 2000, WIDTH[fmt]
+        kept = range(n)[self.limits]
+        if self.data and not len(kept):
+            raise ValueError("no samples are left within the limits")
+        for at in range(part.first, part.last, block):
+            count = min(block, part.last - at)
+            raw = np.memmap(part.path, np.uint8, "r", HEAD + at * size, (count, size))
+            columns = [pa.array([part.path] * count, pa.string()), pa.array(np.arange(at + 1, at + 1 + count), pa.int64())]
+            for h in self.headers:
+                first, wide = HEADERS[h]
+                columns.append(pa.array(np.ascontiguousarray(raw[:, first - 1 : first - 1 + wide]).view(f"{self.order}i{wide}").ravel().astype(np.int32)))
+            if self.data:
+                low, high = min(kept[0], kept[-1]), max(kept[0], kept[-1]) + 1
+                x = decoded(raw[:, TRACE_HEAD + low * width : TRACE_HEAD + high * width], fmt, self.order)[:, [i - low for i in kept] if abs(kept.step) > 1 or kept.step < 0 else slice(None)]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).ravel())))
+            yield pa.RecordBatch.from_arrays(columns, ["file", "TRACE_SEQUENCE_FILE", *self.headers, *(["data"] if self.data else [])])
+
+
+def decoded(raw: np.ndarray, fmt: int, order: str) -> np.ndarray:
+    """Bytes of samples (traces by bytes) as float32."""
+    x = np.ascontiguousarray(raw).view(order + {1: "u4", 2: "i4", 3: "i2", 5: "f4", 8: "i1"}[fmt])
+    return ibm_to_ieee(x.astype(np.uint32)) if fmt == 1 else x.astype(np.float32)
+
+
+def encoded(x: np.ndarray, fmt: int) -> bytes:
+    return (ieee_to_ibm(x).astype(">u4") if fmt == 1 else np.asarray(x).astype(">f4")).tobytes()
+
+
+def file_head(n: int, interval: int, fmt: int) -> bytes:
+    """The blank text header, in EBCDIC, and the binary one."""
+    head = bytearray(400)
+    for at, value in ((16, interval), (20, n), (24, fmt)):
+        struct.pack_into(">H", head, at, value)
+    return b"\x40" * 3200 + bytes(head)
 
 
 class _Written(WriterCommitMessage):
@@ -96,12 +130,13 @@ class _Written(WriterCommitMessage):
 
 
 class SegyWriter(DataSourceWriter):
-    """Writes each partition as ``<name>-<number>.sgy``; traces are numbered from 1 in every file."""
+    """Writes each partition as ``<name>-<time of the job>-<number>.sgy``, so that appended files come after those before them; traces
+    are numbered from 1 in every file. Overwriting removes the files of that name that were there, once the new ones are complete."""
 
     def __init__(self, options: dict, schema, overwrite: bool):
         self.path, self.names = options["path"].removeprefix("file://"), [f.name for f in schema.fields]
         self.interval, self.format = int(float(options.get("sample_interval", 2.0)) * 1000), int(options.get("sample_format", 5))
-        self.name, self.job = options.get("name", "part"), uuid.uuid4().hex
+        self.name, self.job, self.overwrite, self.began = options.get("name", "part"), uuid.uuid4().hex, overwrite, time.time_ns()
         os.makedirs(self.path, exist_ok=True)
 
     def write(self, rows):
@@ -111,25 +146,25 @@ class SegyWriter(DataSourceWriter):
             x = np.asarray(row["data"], np.float32)
             if out is None:
                 out, n = open(path, "wb"), len(x)
-                head = bytearray(400)
-                for at, value in ((16, self.interval), (20, n), (24, self.format)):
-                    struct.pack_into(">H", head, at, value)
-                out.write(b"\x40" * 3200 + head)  # the text header is blank, in EBCDIC
+                out.write(file_head(n, self.interval, self.format))
             if len(x) != n:
                 raise ValueError("traces of one file are of equal length")
             head = bytearray(TRACE_HEAD)
-            row |= {"TRACE_SEQUENCE_LINE": i + 1, "TRACE_SAMPLE_COUNT": n, "TRACE_SAMPLE_INTERVAL": self.interval}
+            row |= {"TRACE_SEQUENCE_LINE": i + 1, "TRACE_SEQUENCE_FILE": i + 1, "TRACE_SAMPLE_COUNT": n, "TRACE_SAMPLE_INTERVAL": self.interval}
             for h, (first, width) in HEADERS.items():
                 if row.get(h) is not None:
                     struct.pack_into({4: ">i", 2: ">H" if "SAMPLE" in h else ">h"}[width], head, first - 1, int(row[h]))
-            out.write(head + (ieee_to_ibm(x).astype(">u4") if self.format == 1 else x.astype(">f4")).tobytes())
+            out.write(head + encoded(x, self.format))
         if out:
             out.close()
         return _Written(path if out else None)
 
     def commit(self, messages):
+        old = glob.glob(os.path.join(glob.escape(self.path), f"{glob.escape(self.name)}-*.sgy")) if self.overwrite else []
         for i, m in enumerate(m for m in messages if m and m.path):
-            os.rename(m.path, os.path.join(self.path, f"{self.name}-{i:05}.sgy"))
+            os.rename(m.path, os.path.join(self.path, f"{self.name}-{self.began:020}-{i:05}.sgy"))
+        for path in old:
+            os.remove(path)
 
     def abort(self, messages):
         for m in messages:
@@ -144,7 +179,7 @@ class SegySource(DataSource):
 
     def _headers(self):
         asked = self.options.get("headers", "all")
-        names = [h for h in HEADERS if h != "TRACE_SEQUENCE_LINE"] if asked == "all" else [h.strip() for h in asked.split(",")]
+        names = [h for h in HEADERS if h not in NUMBERED] if asked == "all" else [h.strip() for h in asked.split(",")]
         if missing := set(names) - set(HEADERS):
             raise ValueError(f"no such headers: {sorted(missing)}")
         return names
@@ -166,12 +201,50 @@ def register(spark) -> None:
     spark.dataSource.register(SegySource)
 
 
-def aggregate(spark, path: str, out: str, **options) -> None:
-    """All files of a glob as one, traces numbered through; files have to agree on interval and length. Inputs are kept."""
-    register(spark)
-    paths = sorted(glob.glob(path))
-    kinds = {layout(p, ">")[1:3] for p in paths}
-    if len(kinds) != 1:
-        raise ValueError(f"files differ in number of samples or interval: {sorted(kinds)}")
-    df = spark.read.format("segy").option("path", ",".join(paths)).load()
-    df.repartitionByRange(1, "file", "TRACE_SEQUENCE_FILE").sortWithinPartitions("file", "TRACE_SEQUENCE_FILE").drop("file", "TRACE_SEQUENCE_FILE").write.format("segy").mode("append").option("sample_interval", kinds.pop()[1] / 1000).options(**options).save(out)
+#: Traces that one task copies when files are aggregated.
+COPIED = 25_000
+
+
+def aggregate(spark, path: str, out: str, name: str = "part", sample_format: int | None = None) -> None:
+    """All files of a glob as one below ``out``, traces numbered through; files have to agree on interval and length. Inputs are kept.
+
+    Every trace has its place in the new file from the start, so tasks copy ranges of traces to their places side by side, with
+    headers as they are; a range that is copied again is written over with the same bytes. The file gets its name at the end.
+    """
+    paths = sorted(glob.glob(path.removeprefix("file://")))
+    kinds = [layout(p, ">") for p in paths]
+    if len({k[1:3] for k in kinds}) != 1:
+        raise ValueError(f"files differ in number of samples or interval: {sorted({k[1:3] for k in kinds})}")
+    n, interval, fmt = kinds[0][1], kinds[0][2], sample_format or kinds[0][3]
+    out = out.removeprefix("file://")
+    os.makedirs(out, exist_ok=True)
+    part, made, size = os.path.join(out, f".{name}-{uuid.uuid4().hex}"), os.path.join(out, f"{name}-{time.time_ns():020}-00000.sgy"), TRACE_HEAD + n * WIDTH[fmt]
+    with open(part, "wb") as f:
+        f.write(file_head(n, interval, fmt))
+        f.truncate(HEAD + size * sum(k[0] for k in kinds))
+    ranges, before = [], 0
+    for p, (count, _, _, kind) in zip(paths, kinds):
+        ranges += [(p, kind, a, min(a + COPIED, count), before + a) for a in range(0, count, COPIED)]
+        before += count
+
+    def copy(batches):
+        for batch in batches:
+            for source, kind, first, last, place in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                old = TRACE_HEAD + n * WIDTH[kind]
+                with open(part, "r+b") as f:
+                    f.seek(HEAD + place * size)
+                    for at in range(first, last, 2000):
+                        raw = np.memmap(source, np.uint8, "r", HEAD + at * old, (min(2000, last - at), old))
+                        heads = raw[:, :TRACE_HEAD].copy()
+                        numbers = np.arange(place + at - first + 1, place + at - first + 1 + len(raw)).astype(">i4").view(np.uint8).reshape(-1, 4)
+                        heads[:, :4] = heads[:, 4:8] = numbers
+                        bodies = raw[:, TRACE_HEAD:] if kind == fmt else np.frombuffer(encoded(decoded(raw[:, TRACE_HEAD:], kind, ">"), fmt), np.uint8).reshape(len(raw), -1)
+                        f.write(np.concatenate([heads, bodies], 1).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([last - first], pa.int64())], ["copied"])
+
+    if ranges:
+        asked = spark.createDataFrame(ranges, "path string, kind int, first long, last long, place long").repartition(len(ranges))
+        copied = asked.mapInArrow(copy, "copied long").groupBy().sum("copied").first()[0]
+        if copied != before:
+            raise RuntimeError(f"{copied} of {before} traces were copied")
+    os.rename(part, made)

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str], usecols: list[int] | None = None, fmt: str = "fwf", sep: str = ",", skiprows: int = 0, decimal: str = ".", types: dict[str, str] | None = None) -> DataFrame:
     """A table of numbers separated by white space (``fwf``) or ``sep`` (``csv``): columns by name, chosen by position.
 
-    Positions may be negative; they and the names are in ascending order of position. A header row is one of the rows skipped.
+    Positions may be negative; they and the names are in ascending order of position. ``skiprows`` rows are skipped of every file, of
+    which a heading is one.
     """
     lines = spark.read.text(path)
     if skiprows:
-        lines = lines.withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_n", F.monotonically_increasing_id())
-        first = lines.where("_at = 0").select("_n", "value").orderBy("_n").limit(skiprows)  # as many rows as are skipped
-        lines = lines.join(F.broadcast(first.select("_n")), "_n", "left_anti")
+        lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
+        place = F.row_number().over(Window.partitionBy("_file").orderBy("_n"))  # a few rows of each file's beginning
+        first = lines.where("_at = 0").select("_n", "_file", place.alias("_place")).where(F.col("_place") <= skiprows)
+        lines = lines.join(first.select("_n"), "_n", "left_anti")
     value = F.trim("value")
     parts = F.split(value, r"\s+") if fmt == "fwf" else F.transform(F.split(value, re.escape(sep)), lambda s: F.trim(s))
     lines = lines.where(value != "").select(parts.alias("p"))
