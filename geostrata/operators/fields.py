@@ -33,13 +33,17 @@ def knots(field: DataFrame, t: str) -> DataFrame:
     return field.select(F.explode(t).alias("t")).distinct()
 
 
+#: Different times of a field's knots, at which all its models are evaluated.
+MOST_KNOTS = 10_000
+
+
 def at_knots(field: DataFrame, keep: list[str], t: str, v: str, times: list[float] | None = None) -> DataFrame:
-    """keep, t, v: every model at all knots of the field, or at the times given."""
-    if times is not None:
-        grid = field.select("*", F.explode(F.array(*(F.lit(float(x)) for x in times))).alias("_at"))
-    else:
-        union = field.select(F.explode(t).alias("k")).agg(F.sort_array(F.collect_set("k")).alias("_grid"))  # the times of a survey's models
-        grid = field.crossJoin(F.broadcast(union)).select("*", F.explode("_grid").alias("_at"))
+    """keep, t, v: every model at all knots of the field, which are MOST_KNOTS at most, or at the times given."""
+    if times is None:
+        times = [r.t for r in knots(field, t).orderBy("t").limit(MOST_KNOTS + 1).collect()]
+        if len(times) > MOST_KNOTS:
+            raise ValueError(f"models with more than {MOST_KNOTS} different knots need the times to evaluate them at")
+    grid = field.select("*", F.explode(F.array(*(F.lit(float(x)) for x in times)).cast("array<double>")).alias("_at"))
     return grid.select(*keep, F.col("_at").alias("t"), evaluate(t, v, F.col("_at")).alias("v"))
 
 

@@ -53,13 +53,13 @@ def nearest_pairs(queries: DataFrame, points: DataFrame, k: int, query_id: str,
         return _nearest_by_grid(queries, points, k, query_id, point_id, query_xy, point_xy, values)
     known = points.select(F.col(point_id).alias("id"), *(F.col(c).cast("double") for c in point_xy), *(F.col(v).cast("double") for v in values)).orderBy("id").toPandas()
     xy, ids, extra = known[list(point_xy)].to_numpy(float), known["id"].to_numpy(), {v: known[v].to_numpy(float) for v in values}
-    k = min(k, len(ids))
+    k, step = min(k, len(ids)), max(1, min(512, 2_000_000 // max(len(ids), 1)))  # two million distances at a time
 
     def near(frames):
         for f in frames:
-            for low in range(0, len(f), 512):
-                part = f.iloc[low : low + 512]
-                d = np.sqrt(((part[["_x", "_y"]].to_numpy(float)[:, None, :] - xy[None]) ** 2).sum(-1))
+            for low in range(0, len(f), step):
+                part = f.iloc[low : low + step]
+                d = np.hypot(part["_x"].to_numpy(float)[:, None] - xy[None, :, 0], part["_y"].to_numpy(float)[:, None] - xy[None, :, 1])
                 at = np.argsort(d, 1, kind="stable")[:, :k]
                 out = {"query_id": np.repeat(part["query_id"].to_numpy(), k), "point_id": ids[at].ravel(), "dist": np.take_along_axis(d, at, 1).ravel(), "rank": np.tile(np.arange(1, k + 1), len(part))}
                 yield pd.DataFrame(out | {v: extra[v][at].ravel() for v in values})

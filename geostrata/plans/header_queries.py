@@ -194,10 +194,10 @@ def validate_geometry(spark, d):
     return validation.report(validation.offsets(df, ("sx", "sy"), ("gx", "gy"), "offset"), validation.midpoints(df, ("sx", "sy"), ("gx", "gy"), ("cx", "cy")))
 
 
-@query("index_concat", "SELECT part, count(*) AS n FROM (SELECT 0 AS part FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 1 FROM orders WHERE o_orderstatus = 'F') GROUP BY part")
+@query("index_concat", "SELECT part, count(*) AS n FROM (SELECT 0 AS part FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 1 FROM orders WHERE o_orderstatus <> 'O') GROUP BY part")
 def index_concat(spark, d):
     o = table(spark, d, "orders")
-    return combine.concat(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus = 'F'")).groupBy("part").agg(F.count("*").alias("n"))
+    return combine.concat(o.where("o_orderstatus = 'O'"), o.where("o_orderstatus <> 'O'")).groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query("index_merge_1to1", "SELECT a.o_orderkey, a.o_totalprice AS before, b.o_totalprice * 2 AS after FROM orders a JOIN orders b USING (o_orderkey) WHERE b.o_orderkey % 3 = 0")
@@ -214,15 +214,15 @@ def merge_filter_equal(spark, d):
     return combine.filter_equal(m, ["before", "after"], ["o_custkey"]).select("o_orderkey")
 
 
-@query("load_headers_inner", "SELECT l_orderkey, l_linenumber, l_partkey, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+@query("load_headers_inner", "SELECT l_orderkey, l_linenumber, l_partkey, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def load_headers_inner(spark, d):
-    t = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("l_orderkey"), "o_totalprice")
+    t = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("l_orderkey"), "o_totalprice")
     return combine.load_headers(lines(spark, d), t, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "o_totalprice")
 
 
-@query("load_headers_left", "SELECT l_orderkey, l_linenumber, l_partkey, o_totalprice AS l_quantity_loaded FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey")
+@query("load_headers_left", "SELECT l_orderkey, l_linenumber, l_partkey, o_totalprice AS l_quantity_loaded FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
 def load_headers_left(spark, d):
-    t = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("l_quantity"))
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("l_quantity"))
     return combine.load_headers(lines(spark, d), t, ["l_orderkey"], "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity_loaded")
 
 

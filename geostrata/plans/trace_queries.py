@@ -182,10 +182,10 @@ def sdc_apply(spark, d):
     return _rounded(gathers.apply_sdc(traces(spark, d), "embedding", N, DT), ["vec_id"], "corrected")
 
 
-@query("sdc_undo", f"WITH {_E} SELECT vec_id, i, round(x, 6) AS x FROM e WHERE i > 0")
+@query("sdc_undo", f"WITH {_E} SELECT vec_id, i, CASE WHEN i > 0 THEN round(x, 6) END AS x FROM e")  # the gain at time 0 is 0, which can't be undone
 def sdc_undo(spark, d):
     df = gathers.apply_sdc(gathers.apply_sdc(traces(spark, d), "embedding", N, DT), "corrected", N, DT, out="restored", undo=True)
-    return _rounded(df, ["vec_id"], "restored").where("i > 0")
+    return _rounded(df, ["vec_id"], "restored").withColumn("x", F.when(~F.isnan("x"), F.col("x")))
 
 
 @query("pick_to_mask", f"WITH {_E} SELECT vec_id, i, CAST(i >= round_even(((vec_id % 61) * 2.1 + 1) / 2, 0) AS INT) AS mask FROM e")

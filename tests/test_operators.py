@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from geostrata.functions.arrays import limits, piecewise
+from geostrata.functions.arrays import limits, piecewise, running_sums
 from geostrata.operators import combine, fields, gathers, headers, maps, qc, signal, spatial, supergathers, velocity
 from geostrata.sources import segy, synthetic, text
 from geostrata.streaming import maps as streaming
@@ -20,18 +20,40 @@ def array(*values):
 
 
 def test_muting_times_through_knots(spark):
-    df = spark.createDataFrame([(float(x),) for x in (0, 100, 500, 1000, 1500, 2000)], "x double")
-    assert [r[0] for r in df.select(piecewise(F.col("x"), [100, 1000, 2000], [200, 2000, 3000])).collect()] == pytest.approx([0, 200, 1000, 2000, 2500, 3000])
-
-
-@pytest.mark.parametrize(("time", "wanted"), [(0.0, [1, 1, 1, 1, 1]), (4.0, [0, 0, 1, 1, 1]), (6.0, [0, 0, 0, 1, 1])])
-def test_picks_to_masks(spark, time, wanted):
-    assert one(spark, gathers.pick_to_mask(F.lit(time), 5, 2.0)) == wanted
-
-
-@pytest.mark.parametrize(("mask", "wanted"), [([1, 1, 1, 1, 1], 0), ([0, 0, 1, 1, 1], 4), ([0.6, 0, 0, 1, 1], 6), ([0, 0, 0], 0)])
-def test_masks_to_picks(spark, mask, wanted):
-    assert one(spark, gathers.mask_to_pick(array(*mask), 2.0)) == wanted
+    rng = np.random.default_rng(8)
+    xs, ys = np.sort(rng.choice(np.arange(40, 900), 5, False)).tolist(), rng.integers(5, 700, 5).tolist()
+    at = [float(x) for x in (*rng.integers(-200, 1500, 30), *xs)]
+
+    def plain(x):
+        k = min(max(sum(x > v for v in xs) - 1, 0), len(xs) - 2)
+        return ys[k] + (x - xs[k]) * (ys[k + 1] - ys[k]) / (xs[k + 1] - xs[k])
+
+    df = spark.createDataFrame([(x,) for x in at], "x double")
+    assert [r[0] for r in df.select(piecewise(F.col("x"), xs, ys)).collect()] == pytest.approx([plain(x) for x in at])
+
+
+def test_picks_and_masks(spark):
+    """Against plain loops, and back from a mask to the pick that it was made of."""
+    rng = np.random.default_rng(9)
+    n, interval, delay = 13, 1.5, 7.0
+    picks = [float(delay + k * interval + shift) for k in rng.integers(0, n, 12) for shift in (0.0, 0.4, -0.4)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(picks)], "i int, t double")
+    masks = [r.m for r in df.select("i", gathers.pick_to_mask(F.col("t"), n, interval, delay).alias("m")).orderBy("i").collect()]
+    for t, mask in zip(picks, masks):
+        first = round((t - delay) / interval)
+        assert mask == [int(k >= first) for k in range(n)]
+    back = [r.t for r in df.select("i", gathers.mask_to_pick(gathers.pick_to_mask(F.col("t"), n, interval, delay).cast("array<double>"), interval, delay).alias("t")).orderBy("i").collect()]
+    assert back == pytest.approx([delay + interval * round((t - delay) / interval) for t in picks])
+    scores = [[round(float(x), 2) for x in rng.random(11)] for _ in range(20)] + [[0.1] * 11]
+    for row in scores:
+        best = max(((b - a, -a) for a in range(11) for b in range(a + 1, 12) if min(row[a:b]) >= 0.6), default=(0, 0))
+        assert one(spark, gathers.mask_to_pick(array(*row), interval, delay, 0.6)) == delay - best[1] * interval
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 100])
+def test_running_sums(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    assert one(spark, running_sums(array(*x).cast("array<double>"))) == pytest.approx([0, *np.cumsum(x)])
 
 
 def test_limits_fail_when_nothing_is_left(spark):
