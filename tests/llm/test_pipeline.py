@@ -4,6 +4,7 @@ import re
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from test_text_operators import brute_components
 
 import corpus_pipeline
@@ -53,6 +54,23 @@ def test_rows_with_null_and_repeated_ids_are_judged_one_by_one(spark, tmp_path):
     assert sorted(found, key=str) == sorted([(None, "a0"), (None, "b0"), (1, "c0"), (1, "d0"), (2, "n0"), (2, "e0"), (3, "f0"), (None, "g0")], key=str)
 
 
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeats and columns whose names the operators use, through all stages but the classifier."""
+    long = " ".join(f"l{i % 5000}" for i in range(40_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, long), (5, long + " "), (6, long.replace("l7 ", "x7 ", 1)), (7, "leak " * 12), (8, "one"), (8, "one"), (9, "two words")]
+    spark.createDataFrame([("i", "leak " * 12), (None, None), ("e", "")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = ("row_key", "id", "a", "kept", "words", "row", "norm", "n_tokens", "tokens", "component", "Row_Key_")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in extra})
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = saved(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == ["doc_id", "text", *extra]
+    assert sorted(r.doc_id for r in docs.collect()) == [3, 5, 8, 9]  # of equal texts the longest stays, and of near copies the smallest id
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_tokens > 40_000) for r in packed) == [(3, False), (5, True), (8, False), (9, False)]
+    found = quality.keep(spark.createDataFrame(rows, "doc_id long, text string").withColumn("x", F.lit(1)), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert found.columns == ["doc_id", "text", "x"] and found.count() <= len(rows)
+
+
 def test_pipeline_without_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
