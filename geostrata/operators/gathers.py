@@ -72,14 +72,26 @@ def scale_standard(df: DataFrame, data_col: str, by: list[str] | None = None, ou
     return joined.withColumn(out, _scaled(F.col(data_col), F.col("_mean"), F.col("_std") + eps)).drop("_mean", "_std")
 
 
-def scale_maxabs(df: DataFrame, data_col: str, q_min: float = 0.0, q_max: float = 1.0, clip: bool = False, out: str = "scaled", eps: float = EPS) -> DataFrame:
-    d = F.col(data_col)
-    return df.withColumn("_by", F.greatest(F.abs(trace_quantile(d, q_min)), F.abs(trace_quantile(d, q_max))) + eps).withColumn(out, _scaled(d, F.lit(0.0), F.col("_by"), *((-1.0, 1.0) if clip else ()))).drop("_by")
+def _with_quantiles(df: DataFrame, data_col: str, low: float, high: float, by: list[str] | None) -> DataFrame:
+    """``df`` with columns _low and _high: quantiles of each trace, of a gather with ``by``, or of all with an empty ``by``."""
+    if by is None:
+        return df.withColumn("_low", trace_quantile(F.col(data_col), low)).withColumn("_high", trace_quantile(F.col(data_col), high))
+    if (low, high) == (0.0, 1.0):  # extremes are merged from each trace's, and no sample is shuffled
+        found = stats(df, data_col, by).select(*by, F.col("min").alias("_low"), F.col("max").alias("_high"))
+    else:
+        found = exploded(df, data_col, by).groupBy(*by).agg(F.percentile("x", F.lit(low)).alias("_low"), F.percentile("x", F.lit(high)).alias("_high"))
+    return df.join(found, by) if by else df.crossJoin(F.broadcast(found))  # one row
+
+
+def scale_maxabs(df: DataFrame, data_col: str, q_min: float = 0.0, q_max: float = 1.0, clip: bool = False, out: str = "scaled", eps: float = EPS, by: list[str] | None = None) -> DataFrame:
+    """x over the greater size of two quantiles, by trace; by gather with ``by``, over all with an empty ``by``."""
+    scale = F.greatest(F.abs("_low"), F.abs("_high")) + eps
+    return _with_quantiles(df, data_col, q_min, q_max, by).withColumn(out, _scaled(F.col(data_col), F.lit(0.0), scale, *((-1.0, 1.0) if clip else ()))).drop("_low", "_high")
 
 
-def scale_minmax(df: DataFrame, data_col: str, q_min: float = 0.0, q_max: float = 1.0, clip: bool = False, out: str = "scaled", eps: float = EPS) -> DataFrame:
-    d = F.col(data_col)
-    return df.withColumn("_low", trace_quantile(d, q_min)).withColumn("_high", trace_quantile(d, q_max)).withColumn(out, _scaled(d, F.col("_low"), F.col("_high") - F.col("_low") + eps, *((0.0, 1.0) if clip else ()))).drop("_low", "_high")
+def scale_minmax(df: DataFrame, data_col: str, q_min: float = 0.0, q_max: float = 1.0, clip: bool = False, out: str = "scaled", eps: float = EPS, by: list[str] | None = None) -> DataFrame:
+    """(x - low) / (high - low) for two quantiles, by trace; by gather with ``by``, over all with an empty ``by``."""
+    return _with_quantiles(df, data_col, q_min, q_max, by).withColumn(out, _scaled(F.col(data_col), F.col("_low"), F.col("_high") - F.col("_low") + eps, *((0.0, 1.0) if clip else ()))).drop("_low", "_high")
 
 
 def agc_coefs(data: Column, n: int, window: int, mode: str = "rms") -> Column:

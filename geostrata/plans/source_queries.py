@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geostrata.operators import combine
 from geostrata.plans.plane_queries import _POINTS, suppliers
-from geostrata.plans.registry import query
+from geostrata.plans.registry import query, table
 from geostrata.plans.trace_queries import _E, traces, with_offset
 from geostrata.sources import segy, text
 from geostrata.sources.scratch import scratch
@@ -56,6 +57,24 @@ for _fmt in ("fwf", "csv"):
         return text.read_table(spark, path, ["id", "x", "y"], fmt=fmt, skiprows=1, types={"id": "bigint"})
 
 
+@query("header_files", "SELECT o_orderkey, o_custkey, o_totalprice AS price FROM orders")
+def header_files(spark, d):
+    """Headers dumped to a text file and loaded again by their keys."""
+    keys, path, o = ["o_orderkey", "o_custkey"], scratch(spark, "headers"), table(spark, d, "orders")
+    text.write_table(o.select(*keys, F.col("o_totalprice").cast("double").alias("price")), path, "csv", precision=2)
+    found = text.read_table(spark, path, [*keys, "price"], fmt="csv", types=dict.fromkeys(keys, "bigint"))
+    return combine.load_headers(o.select(*keys), found, keys).select(*keys, "price")
+
+
+@query("first_break_files", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS first_break FROM orders")
+def first_break_files(spark, d):
+    """Picks of some traces dumped in columns of fixed width, decimal commas and all, and loaded again: traces without one stay."""
+    path, o = scratch(spark, "picks"), table(spark, d, "orders")
+    text.write_table(o.where("o_orderkey % 3 > 0").select("o_orderkey", F.col("o_totalprice").cast("double").alias("first_break")), path, decimal=",")
+    found = text.read_table(spark, path, ["o_orderkey", "first_break"], decimal=",", types={"o_orderkey": "bigint"})
+    return combine.load_headers(o.select("o_orderkey"), found, ["o_orderkey"], "left").select("o_orderkey", "first_break")
+
+
 @query("vfunc_files", f"WITH {_POINTS} SELECT id, CAST(x AS BIGINT) AS line, unnest([0.0::DOUBLE, 500, 1000, 1500, 2000]) AS t, unnest([1500.0::DOUBLE + id, 1700 + id, 1900 + id * 2, 2100 + id, 2600 - id % 7]) AS v FROM s")
 def vfunc_files(spark, d):
     i, path = F.col("id").cast("double"), scratch(spark, "vfuncs")

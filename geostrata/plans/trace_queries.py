@@ -158,6 +158,21 @@ def scale_minmax(spark, d):
     return _rounded(gathers.scale_minmax(traces(spark, d), "embedding"), ["vec_id"], "scaled")
 
 
+@query("scale_maxabs_gather", f"WITH {_E}, q AS (SELECT label, greatest(abs(quantile_cont(x, 0.05)), abs(quantile_cont(x, 0.95))) AS s FROM e GROUP BY label) SELECT vec_id, i, round(x / (s + 1e-10), 6) AS x FROM e JOIN q USING (label)")
+def scale_maxabs_gather(spark, d):
+    return _rounded(gathers.scale_maxabs(traces(spark, d), "embedding", 0.05, 0.95, by=["label"]), ["vec_id"], "scaled")
+
+
+@query("scale_minmax_gather", f"WITH {_E}, q AS (SELECT label, min(x) AS low, max(x) AS high FROM e GROUP BY label) SELECT vec_id, i, round((x - low) / (high - low + 1e-10), 6) AS x FROM e JOIN q USING (label)")
+def scale_minmax_gather(spark, d):
+    return _rounded(gathers.scale_minmax(traces(spark, d), "embedding", by=["label"]), ["vec_id"], "scaled")
+
+
+@query("scale_minmax_global", f"WITH {_E}, q AS (SELECT min(x) AS low, max(x) AS high FROM e) SELECT vec_id, i, round((x - low) / (high - low + 1e-10), 6) AS x FROM e, q")
+def scale_minmax_global(spark, d):
+    return _rounded(gathers.scale_minmax(traces(spark, d), "embedding", by=[]), ["vec_id"], "scaled")
+
+
 _AGC = """c AS (SELECT i, greatest(4, least(i, 59)) AS j FROM range(64) t(i)), k AS (SELECT a.vec_id, c.i, count(*) FILTER (a.x <> 0) AS n, sum(a.x * a.x) AS q, sum(abs(a.x)) AS s
 FROM e a JOIN c ON a.i BETWEEN c.j - 4 AND c.j + 4 GROUP BY a.vec_id, c.i)"""
 
