@@ -7,7 +7,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, decontaminate, exact_dedup, extract, minhash, packing, pii, quality, secrets, warc
+from geostrata.llm import chat, decontaminate, exact_dedup, extract, language, minhash, packing, pii, quality, secrets, vector_codes, warc
 from geostrata.llm.common import table
 
 QUERIES: dict = {}
@@ -150,3 +150,38 @@ FROM k
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the file's name changes from run to run and stays out
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("time").alias("captured"))
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # by its contract the query names a language for every text with a letter: narrow margins show as scores near 0
+    return language.languages(table(spark, sf_dir, "documents"), narrow=0.0)
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Assignments and means of each round, over lists of doubles that hold integers."""
+    steps = [
+        """k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x) AS DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "p AS MATERIALIZED (SELECT vec_id, label, j, list_slice(v, j * (len(v) // 4) + 1, (j + 1) * (len(v) // 4)) AS x FROM k, range(4) AS t(j))",
+        "b0 AS MATERIALIZED (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT vec_id, j, any_value(x) AS x, any_value(label) AS label,
+  min(CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) * 256 + e) AS m FROM p JOIN b{r} USING (j) GROUP BY vec_id, j)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""b{r + 1} AS MATERIALIZED (SELECT b.j, b.e, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (
+  SELECT j, e, list(y ORDER BY i) AS c FROM (SELECT j, m % 256 AS e, i, floor(sum(x[i]) / count(*)) AS y FROM a{r}, unnest(range(1, len(x) + 1)) AS t(i) GROUP BY ALL) GROUP BY j, e) n USING (j, e))"""
+            )
+    last = f"a{rounds}"
+    steps.append(f"r AS (SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', m % 256), '' ORDER BY j) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM {last} GROUP BY vec_id)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM b{rounds})")
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h"
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
