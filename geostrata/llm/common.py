@@ -10,13 +10,27 @@ from pyspark.sql import functions as F
 
 from geostrata.sources.scratch import clean, saved, scratch, shared_dir
 
-__all__ = ["clean", "mix64", "only", "saved", "scratch", "shared_dir", "slices", "table", "utf8", "word_hashes"]
+__all__ = ["clean", "mix64", "only", "saved", "saved_lean", "scratch", "shared_dir", "slices", "table", "utf8", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def saved_lean(df: DataFrame, name: str) -> DataFrame:
+    """saved(), after which the shuffle files of making ``df`` are gone, and written so as to need little room."""
+    conf = df.sparkSession.conf
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+    before = {k: conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            conf.set(k, v)
+        return saved(df, name)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the columns that an operator reads, under its own names, so that no other column can clash with one it makes."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))

@@ -7,7 +7,7 @@ from secrets import token_hex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, decontaminate, exact_dedup, extract, language, minhash, packing, pii, quality, secrets, vector_codes, warc
+from geostrata.llm import align, chat, decontaminate, exact_dedup, extract, language, minhash, packing, pii, quality, secrets, vector_codes, warc
 from geostrata.llm.common import table
 
 QUERIES: dict = {}
@@ -152,6 +152,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.col("time").alias("captured"))
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 @query("op12_language_id")
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     # by its contract the query names a language for every text with a letter: narrow margins show as scores near 0
