@@ -20,7 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import cache
+import re
+from collections import defaultdict
+from functools import cache, reduce
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,14 @@ from geostrata.llm.common import only, saved_lean, slices
 #: Settings that name the two vocabularies' files, which the driver reads, and where they are else looked for.
 FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.geostrata.align.b": "/opt/tokenizers/piece_bpe_32k.model"}
 #: Characters of a slice, about: a task composes a slice's documents in arrays of about ten times as much memory.
-SLICE = 1 << 24
+SLICE = 1 << 25
+#: Slices are served in so many rounds, and only one round's shuffle files are on the disks at a time.
+ROUNDS = 3
 #: Segments that are tokenized at once, and occurrences of pairs that are counted at once.
 BATCH, PAIRS = 2048, 1 << 22
 #: What counts as white here: all that either side may take for it, since a place that is no cut does no harm.
-WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"᠎"}
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e"}
+_NO_CUT = re.compile("[" + "".join(map(re.escape, sorted(WHITE))) + "] ")
 _SPACE = "▁"
 
 
@@ -60,8 +66,9 @@ class ByteLevel:
         cutter = json.loads(content).get("pre_tokenizer") or {}
         self.cuts_at_spaces = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.known.encode_batch_fast(segments, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The tokens of texts with a space before each."""
+        return [e.ids for e in self.known.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class Pieces:
@@ -76,9 +83,9 @@ class Pieces:
         whole = "a  b c "
         self.cuts_at_spaces = not self.known.is_unknown(self.space) and not any(_SPACE in n.lstrip(_SPACE) for n in names) and b"".join(self.bytes[i] for i in self.known.encode(whole)) == b" " + whole.encode()
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        found = self.known.encode([s[1:] for s in segments], num_threads=1)
-        return [[self.space] if s == " " else ids for s, ids in zip(segments, found)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The tokens of texts with a space before each."""
+        return [ids if t else [self.space] for t, ids in zip(texts, self.known.encode(texts, num_threads=1))]
 
 
 @cache
@@ -96,16 +103,16 @@ def contents(spark: SparkSession) -> tuple[bytes, bytes]:
 
 
 def segments(text: str) -> list[str]:
-    """The segments of a text, which joined are a space and the text."""
-    found, held = [], ""
+    """The segments of a text, each without the space it begins with: joined by spaces they are the text."""
+    if text[0] != " " and not _NO_CUT.search(text):
+        return text.split(" ")
+    found, held = [], None
     for part in text.split(" "):
-        held += " " + part
+        held = part if held is None else held + " " + part
         if part and part[-1] not in WHITE:
             found.append(held)
-            held = ""
-    if held:
-        found.append(held)
-    return found
+            held = None
+    return found if held is None else [*found, held]
 
 
 def sliced(docs: DataFrame, at_spaces: bool, most: int) -> DataFrame:
@@ -113,7 +120,7 @@ def sliced(docs: DataFrame, at_spaces: bool, most: int) -> DataFrame:
 
     def run(batches):
         first, number = TaskContext.get().partitionId() << 32, 0
-        known: dict[str, int] = {}
+        known: dict[str, int] = defaultdict(count().__next__)
         ids, seqs, size = [], [], 0
 
         def closed():
@@ -128,14 +135,14 @@ def sliced(docs: DataFrame, at_spaces: bool, most: int) -> DataFrame:
 
         for batch in slices(batches, 1):
             for i, text in enumerate(batch.column(1).to_pylist()):
-                cut = [] if not text else segments(text) if at_spaces else [" " + text]
+                cut = [] if not text else segments(text) if at_spaces else [text]
                 ids.append(batch.column(0).slice(i, 1))
-                seqs.append(np.array([known.setdefault(s, len(known)) for s in cut], np.int32))
+                seqs.append(np.fromiter(map(known.__getitem__, cut), np.int32, len(cut)))
                 size += len(text or "")
                 if size >= most:
                     yield from closed()
                     number, size = number + 1, 0
-                    known.clear()
+                    known = defaultdict(count().__next__)
                     ids.clear()
                     seqs.clear()
         if seqs:
@@ -145,25 +152,46 @@ def sliced(docs: DataFrame, at_spaces: bool, most: int) -> DataFrame:
     return docs.mapInArrow(run, f"slice long, row int, id {docs.schema['id'].dataType.simpleString()}, seq array<int>, at int, segment string")
 
 
-def tokenized(parts: DataFrame, a: bytes, b: bytes) -> DataFrame:
+def batched(vocabulary: ByteLevel | Pieces, size: np.ndarray, texts: list[str], spans: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The tokens of segments and how many each has, from the one text that they make; ``spans`` are the segments' bytes. None where
+    the tokens don't end where the segments do or their bytes differ."""
+    ids = np.array(vocabulary.encode([" ".join(texts)])[0], np.int32)
+    last = np.searchsorted(np.cumsum(size[ids]), np.cumsum(spans))
+    if len(ids) == 0 or last[-1] != len(ids) - 1 or (np.cumsum(size[ids])[last] != np.cumsum(spans)).any() or b"".join(map(vocabulary.bytes.__getitem__, ids.tolist())) != (" " + " ".join(texts)).encode():
+        return None
+    return ids, np.diff(last, prepend=-1)
+
+
+def one_by_one(vocabulary: ByteLevel | Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same segment by segment; one whose tokens' bytes differ has none."""
+    found = [ids if b"".join(map(vocabulary.bytes.__getitem__, ids)) == (" " + t).encode() else [] for t, ids in zip(texts, vocabulary.encode(texts))]
+    return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64)
+
+
+def tokenized(parts: DataFrame, a: bytes, b: bytes, at_spaces: bool) -> DataFrame:
     """Every distinct segment with its tokens of both vocabularies and their sizes in bytes; without any where bytes differ."""
     shared = parts.sparkSession.sparkContext.broadcast((a, b))  # two vocabularies, whatever the corpus
 
-    def lists(rows, kind=pa.int32()):
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32)), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32), kind))
-
     def run(batches):
         both = vocabularies(*shared.value)
         sizes = [np.array([len(x) for x in v.bytes], np.int32) for v in both]
         for batch in slices(batches, 0, most_rows=BATCH):
             texts = batch.column(0).to_pylist()
-            found = [v.encode(texts) for v in both]
-            whole = [all(b"".join(map(v.bytes.__getitem__, ids[i])) == t.encode() for v, ids in zip(both, found)) for i, t in enumerate(texts)]
-            columns = [batch.column(0), pa.array(whole)]
-            for ids, size in zip(found, sizes):
-                ids = [np.array(x if ok else [], np.int32) for x, ok in zip(ids, whole)]
-                columns += [lists(ids), lists([size[x] for x in ids])]
-            yield pa.RecordBatch.from_arrays(columns, ["segment", "whole", "a", "a_sizes", "b", "b_sizes"])
+            # a segment that ends in white space is the last of its text: nothing may follow it
+            inner = [i for i, t in enumerate(texts) if at_spaces and t and t[-1] not in WHITE]
+            for rows in (inner, sorted(set(range(len(texts))) - set(inner))):
+                if not rows:
+                    continue
+                own = [texts[i] for i in rows]
+                spans = np.array([1 + len(t.encode()) for t in own])
+                found = [(batched(v, size, own, spans) if rows is inner else None) or one_by_one(v, own) for v, size in zip(both, sizes)]
+                whole = (found[0][1] > 0) & (found[1][1] > 0)
+                columns = [batch.column(0).take(pa.array(rows)), pa.array(whole)]
+                for (ids, counts), size in zip(found, sizes):
+                    ids = ids[np.repeat(whole, counts)]
+                    ends = pa.array(np.append(0, np.cumsum(np.where(whole, counts, 0))).astype(np.int32))
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(size[ids]))]
+                yield pa.RecordBatch.from_arrays(columns, ["segment", "whole", "a", "a_sizes", "b", "b_sizes"])
 
     distinct = parts.where("segment is not null").select("segment").distinct()
     return distinct.mapInArrow(run, "segment string, whole boolean, a array<int>, a_sizes array<int>, b array<int>, b_sizes array<int>").withColumn("seg", F.monotonically_increasing_id())
@@ -171,13 +199,14 @@ def tokenized(parts: DataFrame, a: bytes, b: bytes) -> DataFrame:
 
 def ends(tokens: DataFrame, side: str) -> DataFrame:
     """seg, end and id of every token of one side."""
-    each = tokens.select("seg", F.posexplode(F.arrays_zip(side, f"{side}_sizes")).alias("pos", "token")).select("seg", "pos", f"token.{side}", F.col(f"token.{side}_sizes").cast("long").alias("size"))
+    each = tokens.select("seg", side, f"{side}_sizes").repartition("seg").select("seg", F.posexplode(F.arrays_zip(side, f"{side}_sizes")).alias("pos", "token")).select("seg", "pos", f"token.{side}", F.col(f"token.{side}_sizes").cast("long").alias("size"))
     return each.select("seg", side, F.sum("size").over(Window.partitionBy("seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
 
 
 def intervals(tokens: DataFrame) -> DataFrame:
     """A row for every end of a token in ``tokens`` (seg, a, a_sizes, b, b_sizes): seg, end, the tokens a and b that end there, null for
-    none, the number of the group it belongs to, and link_a and link_b, the tokens over the interval that ends there."""
+    none, the number of the group it belongs to, and link_a and link_b, the tokens over the interval that ends there. Both sides are dealt by
+    segment, lists as they are, and stay so: neither the join nor a window moves a token."""
     both = ends(tokens, "a").join(ends(tokens, "b"), ["seg", "end"], "full_outer")
     by_end = Window.partitionBy("seg").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("seg").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
@@ -289,12 +318,15 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_c
     docs = only(df, id=id_col, text=text_col)
     parts = saved_lean(sliced(docs, at_spaces, slice_chars), "slices")
     rows, places = parts.where("seq is not null").select("slice", "row", "id", "seq"), parts.where("segment is not null").select(F.col("slice").alias("of_slice"), "at", "segment")
-    known = saved_lean(aligned(saved_lean(tokenized(parts, a, b), "tokens")), "aligned")
-    both = saved_lean(composed(rows, places.join(known.drop("seg"), "segment").drop("segment"), docs.schema["id"].dataType.simpleString()), "composed")
+    known = saved_lean(aligned(saved_lean(tokenized(parts, a, b, at_spaces), "tokens")), "aligned")
+    id_type, of_round = docs.schema["id"].dataType.simpleString(), lambda c, r: F.pmod(F.xxhash64(c), F.lit(ROUNDS)) == r
+    meet = lambda values, r: places.where(of_round("of_slice", r)).join(values, "segment").drop("segment")
+    in_rounds = lambda made, name: reduce(DataFrame.unionByName, [saved_lean(made(r), name) for r in range(ROUNDS)])
+    both = in_rounds(lambda r: composed(rows.where(of_round("slice", r)), meet(known.drop("seg"), r), id_type), "composed")
     counts = pair_counts(both.where("pair is not null"))
     of_links = known.where("whole").select("seg", F.explode("links").alias("pair")).join(counts, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    values = known.select("seg", "segment").join(of_links, "seg", "left").select("segment", "n_best", "count_sum").na.fill(0)
-    sums = saved_lean(summed(rows, places.join(values, "segment").drop("segment")), "sums")
+    values = saved_lean(known.select("seg", "segment").join(of_links, "seg", "left").select("segment", "n_best", "count_sum").na.fill(0), "values")
+    sums = in_rounds(lambda r: summed(rows.where(of_round("slice", r)), meet(values, r)), "sums")
     found = both.where("slice is not null").join(sums, ["slice", "row"])
     # a document without tokens counts for nothing, whatever its other segments
     has = F.col("groups_sha256") != ""

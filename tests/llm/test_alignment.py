@@ -13,7 +13,7 @@ from geostrata.llm.common import table
 
 ODD = [
     (1, "The quick brown fox isn't over-\nestimating 12345 things, naïve café \t tabs  and   spaces "), (2, None), (3, ""), (4, " "), (5, "   "), (6, "a "), (7, "\n\n x \n"), (8, "漢字かな交じり文 🙂👩‍👩‍👧 ﬁ é"), (9, "with ▁ mark inside"),
-    (10, "<|endoftext|> <s> </s> <0x41> <unk>"), (11, "x᠎ y  z　 w\x00\x1c v"), (12, "The quick brown fox"), (12, "The quick brown fox"), (None, "The quick"), (13, "y" * 30_000), (14, "a" + " " * 50_000 + "b" + "\n" * 50_000), (15, "word " * 20_000),
+    (10, "<|endoftext|> <s> </s> <0x41> <unk>"), (11, "x\u180e y  z　 w\x00\x1c v"), (12, "The quick brown fox"), (12, "The quick brown fox"), (None, "The quick"), (13, "y" * 30_000), (14, "a" + " " * 50_000 + "b" + "\n" * 50_000), (15, "word " * 20_000),
 ]
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
@@ -81,4 +81,4 @@ def test_alignment_of_the_documents(spark):
 def test_segments_join_to_the_text_and_cut_where_both_cut():
     for text in (t for _, t in ODD if t):
         cut = align.segments(text)
-        assert "".join(cut) == " " + text and all(s[0] == " " and s[:-1] for s in cut[:-1])
+        assert " ".join(cut) == text and all(s and s[-1] not in align.WHITE for s in cut[:-1])
