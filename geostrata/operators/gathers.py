@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.functions.arrays import bound, element, moments, piecewise, running_sums, runs, samples, valid
+from geostrata.operators.quantiles import exact_quantiles
 
 EPS = 1e-10
 #: The default velocity table: times in ms and velocities in m/s, fixed values.
@@ -42,7 +43,7 @@ def quantiles(df: DataFrame, data_col: str, q: list[float], by: list[str] = (),
     """Exact quantiles with linear interpolation, of all samples or of those of a number of traces drawn by hash."""
     if sample_traces:
         df = df.orderBy(F.xxhash64(F.lit(seed), F.col(tie))).limit(sample_traces)
-    return exploded(df, data_col, list(by)).groupBy(*by).agg(*(F.percentile("x", F.lit(v)).alias(f"q{v:g}".replace(".", "_")) for v in q))
+    return exact_quantiles(df, data_col, q, list(by))
 
 
 def trace_quantile(data: Column, q: float) -> Column:
@@ -79,7 +80,7 @@ def _with_quantiles(df: DataFrame, data_col: str, low: float, high: float, by: l
     if (low, high) == (0.0, 1.0):  # extremes are merged from each trace's, and no sample is shuffled
         found = stats(df, data_col, by).select(*by, F.col("min").alias("_low"), F.col("max").alias("_high"))
     else:
-        found = exploded(df, data_col, by).groupBy(*by).agg(F.percentile("x", F.lit(low)).alias("_low"), F.percentile("x", F.lit(high)).alias("_high"))
+        found = exact_quantiles(df, data_col, [low, high], by, ["_low", "_high"])
     return df.join(found, by) if by else df.crossJoin(F.broadcast(found))  # one row
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.functions.arrays import piecewise
-from geostrata.operators.gathers import COHERENCY, through_knots
+from geostrata.operators.gathers import COHERENCY
 from geostrata.operators.spatial import idw, nearest_pairs, radius_pairs
 from geostrata.sources.scratch import saved
 
@@ -37,7 +37,7 @@ def coherency_sums(df: DataFrame, by: list[str], data_col: str, offset_col: str,
     """by, v_ix, t_ix, s, e, a, n: sums of the samples, their squares and sizes, and their number, corrected with each velocity (m/s)."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > PART_TRACES)
     parted = df.select(*by, offset_col, data_col).join(sizes.select(*by, F.ceil(F.col("_n") / PART_TRACES).alias("_parts")), by, "left")
-    parted = parted.withColumn("_part", F.pmod(F.xxhash64(offset_col, data_col), F.coalesce("_parts", F.lit(1))).cast("int"))
+    parted = parted.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_parts", F.lit(1))).cast("int"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(offset_col, kind="stable")  # so that sums don't depend on the plan
@@ -68,21 +68,6 @@ def vertical_spectrum(df: DataFrame, by: list[str], data_col: str, offset_col: s
     return parts.select(*by, "t_ix", "v_ix", (F.sum("_num").over(near) / (F.sum("_den").over(near) + 1e-8)).alias("value"))
 
 
-def residual_spectrum(df: DataFrame, by: list[str], data_col: str, offset_col: str, velocity: tuple[list[float], list[float]], interval: float, n_samples: int, relative_margin: float = 0.2, velocity_step: float = 25.0, window_ms: float = 50.0, mode: str = "SEMBLANCE", max_stretch_factor: float = np.inf) -> DataFrame:
-    """by, t_ix, margin, value: coherency around a given velocity, on a grid of relative margins."""
-    v0 = through_knots(interval * np.arange(n_samples), velocity)
-    grid = np.arange(v0.min() * (1 - relative_margin), v0.max() * (1 + relative_margin) + velocity_step, velocity_step)
-    margins = np.linspace(-relative_margin, relative_margin, max(int(2 * relative_margin * v0.mean() / velocity_step), 1) + 1)
-    spectrum = vertical_spectrum(df, by, data_col, offset_col, grid.tolist(), interval, window_ms, mode, max_stretch_factor)
-    rows = spectrum.groupBy(*by, "t_ix").agg(F.transform(F.array_sort(F.collect_list(F.struct("v_ix", "value"))), lambda r: r["value"]).alias("_row"))  # as many as trial velocities
-    at = F.get(F.array(*(F.lit(float(v)) for v in v0)), F.col("t_ix"))
-    rows = rows.withColumn("_v", at).withColumn("margin", F.explode(F.array(*(F.lit(float(m)) for m in margins))))
-    place = (F.col("_v") * (1 + F.col("margin")) - float(grid[0])) / velocity_step
-    low = F.least(F.greatest(F.floor(place).cast("int"), F.lit(0)), F.lit(len(grid) - 2))
-    w = F.least(F.greatest(place - low, F.lit(0.0)), F.lit(1.0))
-    return rows.select(*by, "t_ix", "margin", (F.get("_row", low) * (1 - w) + F.get("_row", low + 1) * w).alias("value"))
-
-
 def pick_path(spectrum: np.ndarray, times: np.ndarray, velocities: np.ndarray, times_step: float = 100.0, max_skips: int = 2, low: np.ndarray | None = None, high: np.ndarray | None = None, acceleration: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the velocity that crosses a spectrum (times by velocities) at the least cost: dynamic programming over layers.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geostrata.functions.arrays import limits, longest_run, samples
-from geostrata.operators import gathers, maps, qc, signal, velocity
+from geostrata.operators import gathers, maps, moveout, qc, signal, velocity
 from geostrata.plans.registry import query, table
 
 N, DT = 64, 2.0
@@ -128,6 +128,12 @@ def stats_quantiles(spark, d):
     return q.select(*(F.round(c, 8).alias(c) for c in q.columns))
 
 
+@query("stats_quantiles_gather", f"WITH {_E} SELECT label, round(quantile_cont(x, 0.05), 8) AS q0_05, round(quantile_cont(x, 0.333), 8) AS q0_333, max(x) AS q1 FROM e GROUP BY label")
+def stats_quantiles_gather(spark, d):
+    q = gathers.quantiles(traces(spark, d), "embedding", [0.05, 0.333, 1.0], ["label"])
+    return q.select("label", *(F.round(c, 8).alias(c) for c in ("q0_05", "q0_333")), "q1")
+
+
 @query("trace_quantile", f"WITH {_E} SELECT vec_id, round(quantile_cont(x, 0.9), 8) AS q FROM e GROUP BY vec_id")
 def trace_quantile(spark, d):
     return traces(spark, d).select("vec_id", F.round(gathers.trace_quantile(F.col("embedding"), 0.9), 8).alias("q"))
@@ -299,10 +305,67 @@ def spectrum_small(spark, d):
     return s.withColumn("value", F.round("value", 6))
 
 
-@query("spectrum_residual")
+def _residual_sql(low: str, high: str) -> str:
+    """Each gather's function runs from ``low`` to ``high`` m/s; margins of 0.2, velocities 100 m/s apart, windows of 20 ms."""
+    return f"""
+WITH {_E}, {_OFF}, k AS (SELECT DISTINCT label FROM e), f AS (SELECT label, i, {low} + ({high} - ({low})) * i / 63.0::DOUBLE AS v0 FROM k, range(64) r(i)),
+s AS (SELECT label, min(v0 * 0.8) AS first, CAST(ceil((max(v0 * 1.2) - min(v0 * 0.8)) / 100) AS BIGINT) + 1 AS n_v FROM f GROUP BY label),
+g AS (SELECT label, unnest(range(n_v)) AS v_ix, first + 100.0::DOUBLE * unnest(range(n_v)) AS v FROM s),
+d AS (SELECT label, i, v0, first, arg_min(v_ix, (abs(v - v0 * 0.8), v_ix)) AS low, arg_min(v_ix, (abs(v - v0 * 1.2), v_ix)) AS high FROM f JOIN s USING (label) JOIN g USING (label) GROUP BY ALL),
+h AS (SELECT vec_id, label, i, v_ix, sqrt((2.0 * i) ** 2 + (off / (v / 1000)) ** 2) / 2 AS pos FROM o JOIN g USING (label)),
+c AS (SELECT h.label, h.i, v_ix, a.x * (1 - (pos - floor(pos))) + coalesce(b.x, 0) * (pos - floor(pos)) AS x
+  FROM h LEFT JOIN e a ON a.vec_id = h.vec_id AND a.i = floor(pos) AND pos <= 63 LEFT JOIN e b ON b.vec_id = h.vec_id AND b.i = floor(pos) + 1 AND pos <= 63),
+p AS (SELECT label, i, v_ix, CASE WHEN i = 63 THEN 0 ELSE coalesce(sum(x) ** 2 / count(x), 0) END AS a, CASE WHEN i = 63 THEN 0 ELSE coalesce(sum(x * x), 0) END AS b FROM c GROUP BY label, i, v_ix),
+w AS (SELECT label, i, v_ix, sum(a) OVER w / (sum(b) OVER w + 1e-8) AS value FROM p WINDOW w AS (PARTITION BY label, v_ix ORDER BY i ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)),
+m AS (SELECT d.*, m_ix, -0.2 + m_ix * 0.4 / (n_m - 1) AS margin FROM d JOIN (SELECT label, max(high - low) AS n_m FROM d GROUP BY label) USING (label), LATERAL (SELECT unnest(range(n_m)) AS m_ix)),
+q AS (SELECT *, least(greatest((v0 * (1 + margin) - first) / 100, low), high) AS pos FROM m)
+SELECT q.label, CAST(q.i AS INT) AS t_ix, CAST(m_ix AS INT) AS m_ix, round(margin, 6) AS margin, round(a.value * (1 - (pos - floor(pos))) + coalesce(b.value, 0) * (pos - floor(pos)), 5) AS value
+FROM q JOIN w a ON a.label = q.label AND a.i = q.i AND a.v_ix = floor(pos) LEFT JOIN w b ON b.label = q.label AND b.i = q.i AND b.v_ix = floor(pos) + 1"""
+
+
+def _residual(df, models):
+    s = moveout.residual_spectra(df, models, ["label"], "embedding", "offset", DT, N, "t", "v", 0.2, 100, 20)
+    return s.withColumns({"margin": F.round("margin", 6), "value": F.round("value", 5)})
+
+
+def gather_velocities(spark, d, constant=False):
+    """A velocity function per label: 1800 m/s to 2400 m/s over the trace, faster by 10 and 30 m/s with each label unless constant."""
+    k = F.lit(0.0) if constant else F.col("label").cast("double")
+    return traces(spark, d).select("label").distinct().select("label", F.array(F.lit(0.0), F.lit(126.0)).alias("t"), F.array(1800 + 10 * k, 2400 + 30 * k).alias("v"))
+
+
+@query("spectrum_residual", _residual_sql("1800", "2400"))
 def spectrum_residual(spark, d):
-    s = velocity.residual_spectrum(with_offset(traces(spark, d)), ["label"], "embedding", "offset", ([0, 126], [1800, 2400]), DT, N, 0.2, 100, 20)
-    return s.withColumns({"margin": F.round("margin", 6), "value": F.round("value", 6)})
+    return _residual(with_offset(traces(spark, d)), gather_velocities(spark, d, constant=True))
+
+
+@query("residual_field", _residual_sql("1800 + 10 * label", "2400 + 30 * label"))
+def residual_field(spark, d):
+    return _residual(with_offset(traces(spark, d)), gather_velocities(spark, d))
+
+
+@query("nmo_field", f"""
+WITH {_E}, {_OFF}, k AS (SELECT DISTINCT label FROM e), v AS (SELECT label, i, 2.0::DOUBLE * i AS t, (1800 + 10 * label + (600 + 20 * label) * i / 63.0::DOUBLE) / 1000 AS v FROM k, range(64) r(i)),
+g AS (SELECT label, i, t, v, (coalesce(lead(v) OVER w, v) - coalesce(lag(v) OVER w, v)) / (CASE WHEN i IN (0, 63) THEN 2 ELSE 4 END) AS g FROM v WINDOW w AS (PARTITION BY label ORDER BY i)),
+h AS (SELECT vec_id, label, off, i, x, t, sqrt(t * t + (off / v) * (off / v)) AS h, t - off * off * g / (v * v * v) AS z FROM o JOIN g USING (label, i)),
+own AS (SELECT vec_id, label, off, max(CASE WHEN z <= 0 OR h > 1.65 * z THEN i ELSE -1 END) AS own FROM h GROUP BY vec_id, label, off),
+last AS (SELECT vec_id, max(own) OVER (PARTITION BY label ORDER BY off RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM own)
+SELECT h.vec_id, h.i, round(CASE WHEN h.i <= last OR h.h > 126 THEN 0 ELSE a.x * (1 - (h.h / 2 - floor(h.h / 2))) + coalesce(b.x, 0) * (h.h / 2 - floor(h.h / 2)) END, 6) AS x
+FROM h JOIN last USING (vec_id) LEFT JOIN e a ON a.vec_id = h.vec_id AND a.i = floor(h.h / 2) LEFT JOIN e b ON b.vec_id = h.vec_id AND b.i = floor(h.h / 2) + 1""")
+def nmo_field(spark, d):
+    df = moveout.nmo_by_model(with_offset(traces(spark, d)), gather_velocities(spark, d), ["label"], "embedding", "offset", N, DT, max_stretch_factor=0.65, fill=0.0)
+    return _rounded(df, ["vec_id"], "corrected")
+
+
+_GATHER_RV = "CASE WHEN off <= 100 + 10 * label THEN 10 + label + off * 1000 / (2000 + 50 * label) ELSE 10 + label + (100 + 10 * label) * 1000 / (2000 + 50.0::DOUBLE * label) + (off - 100 - 10 * label) * 1000 / (4000 + 100 * label) END"
+
+
+@query("lmo_field", f"WITH {_E}, {_OFF}, s AS (SELECT vec_id, i, x, round_even((100.37::DOUBLE - ({_GATHER_RV}) + vec_id % 3) / 2, 0)::INT AS s FROM o), w AS (SELECT vec_id, i + s AS i, x FROM s) SELECT e.vec_id, e.i, round(coalesce(w.x, 0), 6) AS x FROM e LEFT JOIN w USING (vec_id, i)")
+def lmo_field(spark, d):
+    k = F.col("label").cast("double")
+    models = traces(spark, d).select("label").distinct().select("label", (10 + k).alias("t0"), (100 + 10 * k).alias("x1"), (2000 + 50 * k).alias("v1"), (4000 + 100 * k).alias("v2"), F.lit(True).alias("is_uphole_corrected"))
+    df = with_offset(traces(spark, d)).withColumn("uphole", (F.col("vec_id") % 3).cast("double"))
+    return _rounded(moveout.lmo_by_model(df, models, ["label"], "embedding", "offset", 2, DT, 100.37, 0.0, "uphole"), ["vec_id"], "corrected")
 
 
 @query("velocity_pick")
@@ -312,11 +375,19 @@ def velocity_pick(spark, d):
     return picked.select("label", F.explode(F.arrays_zip("times", "velocities")).alias("k")).select("label", F.col("k.times").alias("t"), F.col("k.velocities").alias("v"))
 
 
-@query("signal_leakage")
+@query("signal_leakage", f"""
+WITH {_E}, {_OFF}, t AS (SELECT v - 1 AS v_ix, [1500.0, 1800, 2100][v]::DOUBLE / 1000 AS v FROM range(1, 4) r(v)),
+h AS (SELECT vec_id, label, i, v_ix, sqrt((2.0 * i) ** 2 + (off / v) ** 2) / 2 AS pos FROM o, t),
+c AS (SELECT h.label, h.i, v_ix, a.x * (1 - (pos - floor(pos))) + coalesce(b.x, 0) * (pos - floor(pos)) AS x
+  FROM h LEFT JOIN e a ON a.vec_id = h.vec_id AND a.i = floor(pos) AND pos <= 63 LEFT JOIN e b ON b.vec_id = h.vec_id AND b.i = floor(pos) + 1 AND pos <= 63),
+p AS (SELECT label, i, v_ix, CASE WHEN i = 63 THEN 0 ELSE coalesce(sum(x) ** 2 / count(x), 0) END AS a, CASE WHEN i = 63 THEN 0 ELSE coalesce(sum(x * x), 0) END AS b FROM c GROUP BY label, i, v_ix),
+w AS (SELECT label, i, v_ix, sum(a) OVER w / (sum(b) OVER w + 1e-8) AS b, sum(a * 0.01) OVER w / (sum(b * 0.01) OVER w + 1e-8) AS d FROM p WINDOW w AS (PARTITION BY label, v_ix ORDER BY i ROWS BETWEEN 13 PRECEDING AND 12 FOLLOWING)),
+r AS (SELECT label, i, max(b) - min(b) AS b, max(d) - min(d) AS d FROM w GROUP BY label, i)
+SELECT label, round(greatest(max(d / (1 + 1e-6 - b)), 0), 4) AS leakage FROM r GROUP BY label""")
 def signal_leakage(spark, d):
     df = with_offset(traces(spark, d))
     after = df.withColumn("embedding", F.transform(samples(F.col("embedding")), lambda x: x * 0.9))
-    return velocity.signal_leakage(df, after, ["label"], "vec_id", "embedding", "offset", VELOCITIES[:3], DT).withColumn("leakage", F.round("leakage", 6))
+    return velocity.signal_leakage(df, after, ["label"], "vec_id", "embedding", "offset", VELOCITIES[:3], DT).withColumn("leakage", F.round("leakage", 4))
 
 
 @query("limits", f"WITH {_E} SELECT vec_id, CAST((i - 10) // 2 AS BIGINT) AS i, round(x, 8) AS x FROM e WHERE i >= 10 AND i < 60 AND (i - 10) % 2 = 0")
