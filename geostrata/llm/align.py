@@ -33,16 +33,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from geostrata.functions.arrays import bound
 from geostrata.llm.common import only, saved_lean, slices
 
 #: Settings that name the two vocabularies' files, which the driver reads, and where they are else looked for.
 FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.geostrata.align.b": "/opt/tokenizers/piece_bpe_32k.model"}
 #: Characters of a slice, about: a task composes a slice's documents in arrays of about ten times as much memory.
-SLICE = 1 << 25
+SLICE = 1 << 24
 #: Slices are served in so many rounds, and only one round's shuffle files are on the disks at a time.
 ROUNDS = 3
 #: Segments that are tokenized at once, and occurrences of pairs that are counted at once.
-BATCH, PAIRS = 2048, 1 << 22
+BATCH, PAIRS = 2048, 1 << 19
 #: What counts as white here: all that either side may take for it, since a place that is no cut does no harm.
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e"}
 _NO_CUT = re.compile("[" + "".join(map(re.escape, sorted(WHITE))) + "] ")
@@ -208,26 +209,31 @@ def intervals(tokens: DataFrame) -> DataFrame:
     none, the number of the group it belongs to, and link_a and link_b, the tokens over the interval that ends there. Both sides are dealt by
     segment, lists as they are, and stay so: neither the join nor a window moves a token."""
     both = ends(tokens, "a").join(ends(tokens, "b"), ["seg", "end"], "full_outer")
-    by_end = Window.partitionBy("seg").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("seg").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    return both.select("seg", "end", "a", "b", F.coalesce(F.sum(cut).over(by_end), F.lit(0)).alias("group"), F.last("a", True).over(later).alias("link_a"), F.last("b", True).over(later).alias("link_b"))
+    # cuts are counted from the segment's end, so that one order serves for groups and links
+    return both.select("seg", "end", "a", "b", (-F.sum(cut).over(later)).alias("group"), F.last("a", True).over(later).alias("link_a"), F.last("b", True).over(later).alias("link_b"))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """One row per segment of ``tokens``: segment, whole, n_a, n_b, n_groups, groups (their text) and links (a pair's ids as one number)."""
+    rows = intervals(tokens).groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("end", "group", "a", "b", "link_a", "link_b"))).alias("r"))
 
-    def listed(side):
-        found = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
-        return F.transform(found, lambda x: x[side])
-
-    pair = F.col("link_a").cast("long") * (1 << 32) + F.col("link_b")
-    groups = intervals(tokens).groupBy("seg", "group").agg(listed("a").alias("a"), listed("b").alias("b"), F.collect_list(pair).alias("links"))
-    said = F.concat(F.array_join(F.col("a").cast("array<string>"), ","), F.lit("|"), F.array_join(F.col("b").cast("array<string>"), ","))
-    in_order = F.array_sort(F.collect_list(F.struct("group", said.alias("said"))))
-    found = groups.groupBy("seg").agg(
-        F.sum(F.size("a")).cast("int").alias("n_a"), F.sum(F.size("b")).cast("int").alias("n_b"), F.count("*").cast("int").alias("n_groups"),
-        F.array_join(F.transform(in_order, lambda x: x["said"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
+    def sided(side, number):
+        return F.transform(F.filter("r", lambda x: x[side].isNotNull()), lambda x: F.struct(x["group"].alias("group"), F.lit(number).alias("side"), x["end"].alias("end"), x[side].alias("id")))
+
+    def said(tokens_):
+        def one(x, i):
+            before = F.get(tokens_, i - 1)
+            sign = F.when(i == 0, "").when(x["group"] != before["group"], ";").when(x["side"] != before["side"], "|").otherwise(",")
+            return F.concat(sign, x["id"].cast("string"))
+
+        return F.array_join(F.transform(tokens_, one), "")
+
+    counted = lambda held: F.size(F.filter("r", held))
+    found = rows.select(
+        "seg", counted(lambda x: x["a"].isNotNull()).alias("n_a"), counted(lambda x: x["b"].isNotNull()).alias("n_b"), counted(lambda x: x["a"].isNotNull() & x["b"].isNotNull()).alias("n_groups"),
+        bound(F.array_sort(F.concat(sided("a", 0), sided("b", 1))), said).alias("groups"), F.transform("r", lambda x: x["link_a"].cast("long") * (1 << 32) + x["link_b"]).alias("links"),
     )
     return tokens.select("seg", "segment", "whole").join(found, "seg", "left").na.fill(0, ["n_a", "n_b", "n_groups"])
 

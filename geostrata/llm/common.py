@@ -19,9 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def saved_lean(df: DataFrame, name: str) -> DataFrame:
     """saved(), after which the shuffle files of making ``df`` are gone, and written so as to need little room. Tables dealt by some of the
-    columns that join them are joined as they lie."""
+    columns that join them are joined as they lie, and lists are collected from rows that are in order already."""
     conf = df.sparkSession.conf
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
     before = {k: conf.get(k) for k in settings}
     try:
         for k, v in settings.items():
