@@ -2,7 +2,7 @@
 
 A radius join puts both sides on a grid of the radius' size and joins each cell with its neighbours, so it is an equi-join whose
 candidates grow with the local density and not with the product of the tables. Nearest neighbours widen the ring of cells until
-enough points are certain to be inside.
+enough points are certain to be inside. Interpolators have their knots in every task, at most BROADCAST_POINTS.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.operators.triangulation import Cells, Located, delaunay, gradients
+from geostrata.operators.triangulation import clough_tocher as patches
 from geostrata.sources.scratch import saved
 
 
@@ -41,32 +43,48 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, left_id: str,
 
 #: Reference points that are broadcast at most; knots of an interpolator are few next to the traces that are asked for.
 BROADCAST_POINTS = 100_000
+#: Places that a task works on at once.
+PLACES = 4096
+
+
+def knots_of(points: DataFrame, point_id: str, xy: tuple[str, str], values: list[str] = ()) -> pd.DataFrame:
+    """The knots of an interpolator in the order of their ids, on the driver: id, x, y and values. More than BROADCAST_POINTS fail."""
+    known = points.select(F.col(point_id).alias("id"), F.col(xy[0]).cast("double").alias("x"), F.col(xy[1]).cast("double").alias("y"), *(F.col(v).cast("double").alias(f"v_{v}") for v in values))
+    found = known.orderBy("id").limit(BROADCAST_POINTS + 1).toPandas()
+    if len(found) > BROADCAST_POINTS:
+        raise ValueError(f"an interpolator has {BROADCAST_POINTS} knots at most")
+    return found
+
+
+def _asked(queries: DataFrame, query_id: str, xy: tuple[str, str]) -> DataFrame:
+    return queries.select(F.col(query_id).alias("query_id"), F.col(xy[0]).cast("double").alias("_x"), F.col(xy[1]).cast("double").alias("_y"))
 
 
 def nearest_pairs(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, query_xy=("x", "y"), point_xy=("x", "y"), values: list[str] = ()) -> DataFrame:
     """query_id, point_id, dist, rank (from 1; ties by point id) of the k nearest points of every query, with the points' values.
 
-    Queries are never shuffled: points, up to BROADCAST_POINTS of them, go to every task as an array, and numpy compares blocks
-    of queries with them. Beyond that bound the grid join takes over, with a radius that doubles for queries not yet full.
+    Queries are never shuffled: points, up to BROADCAST_POINTS of them, go to every task sorted into cells, and a place meets those of the
+    cells around it. Beyond that bound the grid join takes over, with a radius that doubles for queries not yet full; distances are the same.
     """
     if points.limit(BROADCAST_POINTS + 1).count() > BROADCAST_POINTS:
         return _nearest_by_grid(queries, points, k, query_id, point_id, query_xy, point_xy, values)
-    known = points.select(F.col(point_id).alias("id"), *(F.col(c).cast("double") for c in point_xy), *(F.col(v).cast("double") for v in values)).orderBy("id").toPandas()
-    xy, ids, extra = known[list(point_xy)].to_numpy(float), known["id"].to_numpy(), {v: known[v].to_numpy(float) for v in values}
-    k, step = min(k, len(ids)), max(1, min(512, 2_000_000 // max(len(ids), 1)))  # two million distances at a time
+    known = knots_of(points, point_id, point_xy, values)
+    ids, extra = known["id"].to_numpy(), {v: known[f"v_{v}"].to_numpy(float) for v in values}
+    cells = Cells(known[["x", "y"]].to_numpy(float))
+    shared = queries.sparkSession.sparkContext.broadcast((ids, extra, cells))
 
     def near(frames):
+        ids, extra, cells = shared.value
         for f in frames:
-            for low in range(0, len(f), step):
-                part = f.iloc[low : low + step]
-                d = np.hypot(part["_x"].to_numpy(float)[:, None] - xy[None, :, 0], part["_y"].to_numpy(float)[:, None] - xy[None, :, 1])
-                at = np.argsort(d, 1, kind="stable")[:, :k]
-                out = {"query_id": np.repeat(part["query_id"].to_numpy(), k), "point_id": ids[at].ravel(), "dist": np.take_along_axis(d, at, 1).ravel(), "rank": np.tile(np.arange(1, k + 1), len(part))}
+            for low in range(0, len(f), PLACES):
+                part = f.iloc[low : low + PLACES]
+                at, d = cells.nearest(part[["_x", "_y"]].to_numpy(float), k)
+                n = at.shape[1]
+                out = {"query_id": np.repeat(part["query_id"].to_numpy(), n), "point_id": ids[at].ravel(), "dist": d.ravel(), "rank": np.tile(np.arange(1, n + 1), len(part))}
                 yield pd.DataFrame(out | {v: extra[v][at].ravel() for v in values})
 
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_xy[0]).cast("double").alias("_x"), F.col(query_xy[1]).cast("double").alias("_y"))
     kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, point_id {points.schema[point_id].dataType.simpleString()}, dist double, rank int" + "".join(f", {v} double" for v in values)
-    return asked.mapInPandas(near, kinds)
+    return _asked(queries, query_id, query_xy).mapInPandas(near, kinds)
 
 
 def _nearest_by_grid(queries, points, k, query_id, point_id, query_xy, point_xy, values) -> DataFrame:
@@ -131,78 +149,162 @@ def in_hull(df: DataFrame, hull: np.ndarray, x: str = "x", y: str = "y", name: s
     return df.withColumn(name, inside)
 
 
+def distance_weights(dist: np.ndarray, power: float = 2.0, min_relative_weight: float = 1e-3) -> np.ndarray:
+    """idw_weights() for rows of distances in a task."""
+    raw = dist**power
+    hit = raw.min(1, keepdims=True, initial=np.inf) <= 1e-15
+    w = np.where(hit, raw <= 1e-15, 1 / np.maximum(raw, 1e-300))
+    w = np.where(w < w.max(1, keepdims=True, initial=0) * min_relative_weight, 0, w)
+    return w / w.sum(1, keepdims=True)
+
+
+def _triangulated(known: pd.DataFrame) -> Located:
+    xy = known[["x", "y"]].to_numpy(float)
+    return Located(xy, *delaunay(xy))
+
+
 def delaunay_weights(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, query_xy=("x", "y"), point_xy=("x", "y"), neighbors: int = 3, power: float = 2.0) -> DataFrame:
-    """query_id, point_id, weight: barycentric weights in the Delaunay triangle around each query, inverse distances outside the hull.
+    """query_id, point_id, weight: barycentric weights in the Delaunay triangle around each query, inverse distances outside the hull."""
+    known = knots_of(points, point_id, point_xy)
+    located = _triangulated(known)
+    shared = queries.sparkSession.sparkContext.broadcast((known["id"].to_numpy(), located, Cells(located.xy)))
+
+    def around(frames):
+        ids, located, cells = shared.value
+        for f in frames:
+            for low in range(0, len(f), PLACES):
+                part, places = f["query_id"].to_numpy()[low : low + PLACES], f[["_x", "_y"]].to_numpy(float)[low : low + PLACES]
+                at, w = located.weights(places)
+                inside, outside = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                near, dist = cells.nearest(places[outside], neighbors)
+                rows = np.concatenate([np.repeat(inside, 3), np.repeat(outside, near.shape[1])])
+                knots = np.concatenate([located.triangles[at[inside]].ravel(), near.ravel()])
+                weight = np.concatenate([w[inside].ravel(), distance_weights(dist, power).ravel()])
+                kept = weight > 1e-9
+                yield pd.DataFrame({"query_id": part[rows[kept]], "point_id": ids[knots[kept]], "weight": weight[kept]})
 
-    No triangulation is made. The triangle is the one that holds the query and whose circle is empty: it begins as any triangle
-    that holds it and takes in the point furthest inside its circle, in place of the corner that this leaves it without, until there
-    is none. Points are the knots of an interpolator and go to every task: BROADCAST_POINTS at most, else this fails.
-    """
-    known = points.select(F.col(point_id).alias("id"), *(F.col(c).cast("double") for c in point_xy)).orderBy("id").limit(BROADCAST_POINTS + 1).toPandas()
-    if len(known) > BROADCAST_POINTS:
-        raise ValueError(f"an interpolator has {BROADCAST_POINTS} knots at most")
     kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, point_id {points.schema[point_id].dataType.simpleString()}, weight double"
-    ids, xy = known["id"].to_numpy(), known[list(point_xy)].to_numpy(float)
-    shift, scale = (xy.mean(0), max(np.ptp(xy, axis=0).max(), 1e-12)) if len(xy) else (np.zeros(2), 1.0)
-    z = (xy - shift) / scale
-    hull = convex_hull(z) if len(z) else z
+    return _asked(queries, query_id, query_xy).mapInPandas(around, kinds)
 
-    def around(frames):
+
+def clough_tocher(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, values: list[str], query_xy=("x", "y"), point_xy=("x", "y"), neighbors: int = 3, power: float = 2.0, slopes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """query_id and the values of smooth surfaces through the points: cubic patches on the Delaunay triangles, inverse distances outside the hull.
+
+    ``slopes`` names the columns of a value's gradient where it is known; else the gradients are those with which the edges bend least.
+    """
+    given = slopes or {}
+    known = knots_of(points, point_id, point_xy, [*values, *(c for pair in given.values() for c in pair)])
+    located = _triangulated(known)
+    heights = known[[f"v_{v}" for v in values]].to_numpy(float)
+    of = lambda i, v: known[[f"v_{c}" for c in given[v]]].to_numpy(float) * located.scale if v in given else gradients(located.z, located.triangles, heights[:, i])
+    slopes = np.stack([of(i, v) for i, v in enumerate(values)], 1) if len(located.triangles) else None
+    shared = queries.sparkSession.sparkContext.broadcast((located, Cells(located.xy), heights, slopes))
+
+    def surface(frames):
+        located, cells, heights, slopes = shared.value
         for f in frames:
-            rows = [(q, i, w) for q, place in zip(f["query_id"], (f[["_x", "_y"]].to_numpy(float) - shift) / scale) for i, w in delaunay_triangle(place, z, hull)]
-            yield pd.DataFrame([(q, ids[i], w) for q, i, w in rows], columns=["query_id", "point_id", "weight"])
-
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_xy[0]).cast("double").alias("_x"), F.col(query_xy[1]).cast("double").alias("_y"))
-    inside = asked.mapInPandas(around, kinds)
-    outside = in_hull(asked.withColumns({"_zx": (F.col("_x") - float(shift[0])) / float(scale), "_zy": (F.col("_y") - float(shift[1])) / float(scale)}), hull, "_zx", "_zy").where("not inside")
-    return inside.union(idw_weights(nearest_pairs(outside, points, neighbors, "query_id", point_id, ("_x", "_y"), point_xy), power=power).select("query_id", "point_id", "weight"))
-
-
-def delaunay_triangle(q: np.ndarray, z: np.ndarray, hull: np.ndarray) -> list[tuple[int, float]]:
-    """Numbers and weights of the corners of the Delaunay triangle around ``q``, empty outside the hull."""
-    ends = np.roll(hull, -1, 0) - hull
-    if len(hull) < 3 or (ends[:, 0] * (q[1] - hull[:, 1]) - ends[:, 1] * (q[0] - hull[:, 0]) < 0).any():
-        return []
-    number = lambda p: int(np.flatnonzero((z == p).all(1))[0])
-    corners = np.column_stack([z, np.ones(len(z))])
-    target = np.array([*q, 1.0])
-    # of the fan of triangles from one corner of the hull, the one that holds the query
-    fan = [[number(hull[0]), number(hull[i]), number(hull[i + 1])] for i in range(1, len(hull) - 1)]
-    weights = [np.linalg.solve(corners[t].T, target) for t in fan]
-    best = int(np.argmax([w.min() for w in weights]))
-    triangle, w = fan[best], weights[best]
-    height = (z * z).sum(1)
-    for _ in range(10 * len(z) + 10):
-        plane = np.linalg.solve(corners[triangle], height[triangle])
-        below = height - corners @ plane  # below 0: inside the circle
-        enters = int(np.argmin(below))
-        if below[enters] > -1e-12:
-            break
-        d = np.linalg.solve(corners[triangle].T, corners[enters])
-        step = np.where(d > 1e-12, np.maximum(w, 0) / np.where(d > 1e-12, d, 1), np.inf)
-        triangle[int(np.argmin(step))] = enters
-        w = np.linalg.solve(corners[triangle].T, target)
-    return [(i, float(x)) for i, x in zip(triangle, w) if x > 1e-9]
+            for low in range(0, len(f), PLACES):
+                part, places = f["query_id"].to_numpy()[low : low + PLACES], f[["_x", "_y"]].to_numpy(float)[low : low + PLACES]
+                at, w = located.weights(places)
+                inside, outside = at >= 0, at < 0
+                near, dist = cells.nearest(places[outside], neighbors)
+                by_distance, corners = distance_weights(dist, power), located.triangles[at[inside]]
+                out = {"query_id": part}
+                for i, v in enumerate(values):
+                    out[v] = np.full(len(part), np.nan)
+                    out[v][outside] = (heights[near, i] * by_distance).sum(1)
+                    if len(corners):
+                        out[v][inside] = patches(located.z[corners], heights[corners, i], slopes[corners, i], w[inside])
+                yield pd.DataFrame(out)
+
+    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}" + "".join(f", {v} double" for v in values)
+    return _asked(queries, query_id, query_xy).mapInPandas(surface, kinds)
 
 
 def regression(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-def rbf(df: DataFrame, points: np.ndarray, values: np.ndarray, x: str = "x", y: str = "y", name: str = "value", smoothing: float = 0.0) -> DataFrame:
-    """Thin-plate splines through known points, solved once and evaluated in tasks."""
-    n = len(points)
-    kernel = lambda r2: np.where(r2 > 0, 0.5 * r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
+#: Knots of a spline that are solved as one system; more of them are cut into boxes of at most this number.
+SPLINE_KNOTS = 400
+
+
+def _kernel(r2: np.ndarray) -> np.ndarray:
+    return np.where(r2 > 0, 0.5 * r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
+
+
+def spline_boxes(z: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Lower and upper corners of boxes that cut the plane in halves until each has ``most`` knots at most."""
+    boxes, todo = [], [(z.min(0), z.max(0), np.arange(len(z)))] if len(z) else []
+    while todo:
+        low, high, own = todo.pop()
+        side = int(np.argmax(high - low))
+        middle = np.median(z[own, side])
+        left = z[own, side] <= middle
+        if len(own) <= most or left.all():
+            boxes.append((low, high))
+            continue
+        for part, a, b in ((left, low[side], middle), (~left, middle, high[side])):
+            lower, upper = low.copy(), high.copy()
+            lower[side], upper[side] = a, b
+            todo.append((lower, upper, own[part]))
+    return boxes
+
+
+def rbf(df: DataFrame, points: np.ndarray, values: np.ndarray, x: str = "x", y: str = "y", name: str = "value", smoothing: float = 0.0, most: int = SPLINE_KNOTS) -> DataFrame:
+    """Thin-plate splines through known points, of which there are BROADCAST_POINTS at most.
+
+    Up to ``most`` points make one system. More are cut into boxes; each box's spline goes through the points of the box and of a border half as wide as the
+    box around it, solved by a task of its own, and a place takes the mean of the splines whose bordered boxes hold it, weighted so that it changes smoothly.
+    """
+    if len(points) > BROADCAST_POINTS:
+        raise ValueError(f"an interpolator has {BROADCAST_POINTS} knots at most")
+    spark = df.sparkSession
+    points, values = np.asarray(points, float).reshape(-1, 2), np.asarray(values, float)
     shift, scale = points.mean(0), max(np.ptp(points, axis=0).max(), 1e-12)
     z = (points - shift) / scale
-    side = np.column_stack([np.ones(n), z])
-    a = np.block([[kernel(((z[:, None] - z[None]) ** 2).sum(-1)) + smoothing * np.eye(n), side], [side.T, np.zeros((3, 3))]])
-    w = np.linalg.lstsq(a, np.concatenate([values, np.zeros(3)]), rcond=None)[0]
+    boxes = spline_boxes(z, most)
+    low, high = (np.array([b[i] for b in boxes]) for i in (0, 1))
+    border = np.maximum((high - low) / 2, 1e-9)
+    low, high = low - border, high + border
+    knots = spark.sparkContext.broadcast((z, values, low, high))
+
+    def solved(numbers):
+        z, values, low, high = knots.value
+        for k in (k for batch in numbers for k in batch["id"]):
+            own = np.flatnonzero(((z >= low[k]) & (z <= high[k])).all(1))
+            n, side = len(own), np.column_stack([np.ones(len(own)), z[own]])
+            a = np.block([[_kernel(((z[own][:, None] - z[own][None]) ** 2).sum(-1)) + smoothing * np.eye(n), side], [side.T, np.zeros((3, 3))]])
+            yield pd.DataFrame({"box": [k], "knots": [own.tolist()], "w": [np.linalg.lstsq(a, np.concatenate([values[own], np.zeros(3)]), rcond=None)[0].tolist()]})
+
+    # all weights together are a few numbers for each knot
+    made = spark.range(len(boxes), numPartitions=min(len(boxes), 200)).mapInPandas(solved, "box long, knots array<long>, w array<double>").toPandas()
+    splines = spark.sparkContext.broadcast([(low[r.box], high[r.box], z[np.array(r.knots, int)], np.array(r.w)) for r in made.sort_values("box").itertuples()])
+
+    def evaluated(q: np.ndarray) -> np.ndarray:
+        total, weight = np.zeros(len(q)), np.zeros(len(q))
+        whole = len(splines.value) == 1
+        for low, high, own, w in splines.value:
+            at = np.arange(len(q)) if whole else np.flatnonzero(((q > low) & (q < high)).all(1))
+            for part in np.array_split(at, max(1, len(at) // 1024)):
+                if len(part):
+                    n = len(own)
+                    value = _kernel(((q[part, None] - own[None]) ** 2).sum(-1)) @ w[:n] + w[n] + q[part] @ w[n + 1 :]
+                    tent = np.ones(len(part)) if whole else (np.minimum(q[part] - low, high - q[part]) / (high - low)).prod(1) ** 2
+                    total[part] += tent * value
+                    weight[part] += tent
+        far = np.flatnonzero(weight <= 0)
+        if len(far):  # outside all boxes: the spline whose box is nearest
+            gap = [(np.maximum(np.maximum(low - q[far], q[far] - high), 0) ** 2).sum(1) for low, high, _, _ in splines.value]
+            for k in np.unique(best := np.argmin(gap, 0)):
+                _, _, own, w = splines.value[k]
+                part, n = far[best == k], len(own)
+                total[part], weight[part] = _kernel(((q[part, None] - own[None]) ** 2).sum(-1)) @ w[:n] + w[n] + q[part] @ w[n + 1 :], 1.0
+        return total / np.maximum(weight, 1e-300)
 
     @F.pandas_udf("double")
-    def evaluated(px: pd.Series, py: pd.Series) -> pd.Series:
+    def value(px: pd.Series, py: pd.Series) -> pd.Series:
         q = (np.column_stack([px, py]) - shift) / scale
-        out = [kernel(((q[i : i + 1024, None] - z[None]) ** 2).sum(-1)) @ w[:n] + w[n] + q[i : i + 1024] @ w[n + 1 :] for i in range(0, len(q), 1024)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pd.Series(np.concatenate([evaluated(q[i : i + PLACES]) for i in range(0, len(q), PLACES)]) if len(q) else np.zeros(0))
 
-    return df.withColumn(name, evaluated(F.col(x).cast("double"), F.col(y).cast("double")))
+    return df.withColumn(name, value(F.col(x).cast("double"), F.col(y).cast("double")))

@@ -211,6 +211,46 @@ def delaunay(spark, d):
     return weights.join(known.select(F.col("id").alias("point_id"), "v"), "point_id").groupBy(F.col("query_id").alias("id")).agg(F.round(F.sum(F.col("weight") * F.col("v")), 4).alias("v"))
 
 
+# Customers are knots of a lattice that leans over, ten to a column: the short diagonal parts each of its cells in two Delaunay
+# triangles. Parts are places in it, each at (a, b) in the cell (i, j).
+_LATTICE = """n AS (SELECT (max(c_custkey) + 1) // 10 AS n FROM customer),
+l AS (SELECT c_custkey AS id, c_custkey // 10 AS i, c_custkey % 10 AS j FROM customer WHERE c_custkey // 10 < (SELECT n FROM n)),
+k AS (SELECT *, (i * 7 + j * j * 3) % 11 + i * j * 0.5::DOUBLE AS v FROM l),
+q AS (SELECT p_partkey AS id, p_partkey * 7 % (n - 1) AS i, p_partkey % 9 AS j, (p_partkey * 37 % 100 + 0.3::DOUBLE) / 101 AS a, (p_partkey * 61 % 97 + 0.45::DOUBLE) / 98 AS b FROM part, n)"""
+
+
+def lattice(spark, d):
+    """The knots (id, i, j, x, y) and the places (id, x, y)."""
+    known = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 10).alias("i"), (F.col("c_custkey") % 10).alias("j"))
+    n = known.agg(F.max("id")).first()[0] + 1
+    key = F.col("p_partkey")
+    s, w = key * 7 % (n // 10 - 1) + (key * 37 % 100 + 0.3) / 101, key % 9 + (key * 61 % 97 + 0.45) / 98
+    places = table(spark, d, "part").select(key.alias("id"), (100 * s + 30 * w).alias("x"), (90 * w).alias("y"))
+    return known.where(F.col("i") < n // 10).withColumns({"x": 100.0 * F.col("i") + 30 * F.col("j"), "y": 90.0 * F.col("j")}), places
+
+
+@query("delaunay_lattice", f"""
+WITH {_LATTICE}, t AS (SELECT id, i, j, unnest(CASE WHEN a + b <= 1 THEN [0, 1, 0] ELSE [1, 0, 1] END) AS di, unnest(CASE WHEN a + b <= 1 THEN [0, 0, 1] ELSE [1, 1, 0] END) AS dj,
+  unnest(CASE WHEN a + b <= 1 THEN [1 - a - b, a, b] ELSE [a + b - 1, 1 - a, 1 - b] END) AS w FROM q)
+SELECT t.id, round(sum(w * k.v), 4) AS v FROM t JOIN k ON k.i = t.i + di AND k.j = t.j + dj GROUP BY t.id""")
+def delaunay_lattice(spark, d):
+    """A function that no two neighbouring triangles agree on, on knots whose triangulation is known."""
+    known, places = lattice(spark, d)
+    known = known.withColumn("v", (F.col("i") * 7 + F.col("j") * F.col("j") * 3) % 11 + F.col("i") * F.col("j") * 0.5)
+    weights = spatial.delaunay_weights(places, known, "id", "id")
+    return weights.join(known.select(F.col("id").alias("point_id"), "v"), "point_id").groupBy(F.col("query_id").alias("id")).agg(F.round(F.sum(F.col("weight") * F.col("v")), 4).alias("v"))
+
+
+@query("clough_tocher", f"WITH {_LATTICE}, p AS (SELECT id, 100 * (i + a) + 30 * (j + b) AS x, 90 * (j + b) AS y FROM q) SELECT id, round(0.002 * x * x - 0.03 * x * y + 0.1 * y * y + 5 * x - 7, 3) AS v FROM p")
+def clough_tocher(spark, d):
+    """Patches with known gradients meet a quadratic function everywhere."""
+    known, places = lattice(spark, d)
+    x, y = F.col("x"), F.col("y")
+    known = known.withColumns({"v": 0.002 * x * x - 0.03 * x * y + 0.1 * y * y + 5 * x - 7, "by_x": 0.004 * x - 0.03 * y + 5, "by_y": 0.2 * y - 0.03 * x})
+    found = spatial.clough_tocher(places, known, "id", "id", ["v"], slopes={"v": ("by_x", "by_y")})
+    return found.select(F.col("query_id").alias("id"), F.round("v", 3).alias("v"))
+
+
 @query("validate_elevations", f"WITH {_POINTS}, m AS (SELECT a.id, a.v, CAST(sum(CAST(b.v AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean FROM s a JOIN s b ON {_DIST} <= 150 * (1 + 1e-5) + 1e-8 GROUP BY a.id, a.v) SELECT 'elevation differs from its surroundings' AS rule, count(*) FILTER (abs(v - mean) > 1000) AS n_bad, count(*) AS n FROM m")
 def validate_elevations(spark, d):
     return validation.elevations(suppliers(spark, d), "id", "x", "y", "v", 150.0, 1000.0)

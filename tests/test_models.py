@@ -53,23 +53,6 @@ def test_gathers_are_numbered_over_ranges(spark):
     assert [tuple(r) for r in found] == [(i, i) for i in range(97)]
 
 
-def test_delaunay_triangles_are_empty_and_hold_their_place(spark):
-    rng = np.random.default_rng(5)
-    z = rng.normal(size=(60, 2))
-    hull = spatial.convex_hull(z)
-    for q in rng.normal(size=(80, 2)):
-        found = spatial.delaunay_triangle(q, z, hull)
-        ends = np.roll(hull, -1, 0) - hull
-        if (ends[:, 0] * (q[1] - hull[:, 1]) - ends[:, 1] * (q[0] - hull[:, 0]) < 0).any():
-            assert found == []
-            continue
-        at, w = zip(*found)
-        assert np.array(w) @ z[list(at)] == pytest.approx(q) and min(w) > 0 and sum(w) == pytest.approx(1)
-        a, b, c = z[list(at)]
-        center = np.linalg.solve(2 * np.array([b - a, c - a]), [b @ b - a @ a, c @ c - a @ a])
-        assert (np.hypot(*(z - center).T) >= np.hypot(*(a - center)) - 1e-9).all()
-
-
 def test_delaunay_outside_the_hull_is_by_distance(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 4.0, 0.0), (3, 0.0, 4.0), (4, 4.0, 4.0)], "id long, x double, y double")
     queries = spark.createDataFrame([(10, 1.0, 0.5), (11, 9.0, 9.0), (12, 4.0, 0.0)], "id long, x double, y double")
