@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from geostrata.functions.arrays import bound
-from geostrata.llm.common import only, saved_lean, slices
+from geostrata.llm.common import dropped, only, saved_lean, slices
 
 #: Settings that name the two vocabularies' files, which the driver reads, and where they are else looked for.
 FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.geostrata.align.b": "/opt/tokenizers/piece_bpe_32k.model"}
 #: Characters of a slice, about: a task composes a slice's documents in arrays of about ten times as much memory.
 SLICE = 1 << 24
-#: Slices are served in so many rounds, and only one round's shuffle files are on the disks at a time.
+#: Aligned segments reach the slices in so many rounds, and only one round's shuffle files are on the disks at a time.
 ROUNDS = 3
 #: Segments that are tokenized at once, and occurrences of pairs that are counted at once.
 BATCH, PAIRS = 2048, 1 << 19
@@ -191,11 +191,11 @@ def tokenized(parts: DataFrame, a: bytes, b: bytes, at_spaces: bool) -> DataFram
                 for (ids, counts), size in zip(found, sizes):
                     ids = ids[np.repeat(whole, counts)]
                     ends = pa.array(np.append(0, np.cumsum(np.where(whole, counts, 0))).astype(np.int32))
-                    columns += [pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(size[ids]))]
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(size[ids].astype(np.int16)))]
                 yield pa.RecordBatch.from_arrays(columns, ["segment", "whole", "a", "a_sizes", "b", "b_sizes"])
 
     distinct = parts.where("segment is not null").select("segment").distinct()
-    return distinct.mapInArrow(run, "segment string, whole boolean, a array<int>, a_sizes array<int>, b array<int>, b_sizes array<int>").withColumn("seg", F.monotonically_increasing_id())
+    return distinct.mapInArrow(run, "segment string, whole boolean, a array<int>, a_sizes array<smallint>, b array<int>, b_sizes array<smallint>").withColumn("seg", F.monotonically_increasing_id())
 
 
 def ends(tokens: DataFrame, side: str) -> DataFrame:
@@ -324,15 +324,16 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_c
     docs = only(df, id=id_col, text=text_col)
     parts = saved_lean(sliced(docs, at_spaces, slice_chars), "slices")
     rows, places = parts.where("seq is not null").select("slice", "row", "id", "seq"), parts.where("segment is not null").select(F.col("slice").alias("of_slice"), "at", "segment")
-    known = saved_lean(aligned(saved_lean(tokenized(parts, a, b, at_spaces), "tokens")), "aligned")
+    tokens = saved_lean(tokenized(parts, a, b, at_spaces), "tokens")
+    known = saved_lean(aligned(tokens), "aligned")
+    dropped(tokens)
     id_type, of_round = docs.schema["id"].dataType.simpleString(), lambda c, r: F.pmod(F.xxhash64(c), F.lit(ROUNDS)) == r
-    meet = lambda values, r: places.where(of_round("of_slice", r)).join(values, "segment").drop("segment")
-    in_rounds = lambda made, name: reduce(DataFrame.unionByName, [saved_lean(made(r), name) for r in range(ROUNDS)])
-    both = in_rounds(lambda r: composed(rows.where(of_round("slice", r)), meet(known.drop("seg"), r), id_type), "composed")
+    meet = lambda r: places.where(of_round("of_slice", r)).join(known.drop("seg"), "segment").drop("segment")
+    both = reduce(DataFrame.unionByName, [saved_lean(composed(rows.where(of_round("slice", r)), meet(r), id_type), "composed") for r in range(ROUNDS)])
     counts = pair_counts(both.where("pair is not null"))
     of_links = known.where("whole").select("seg", F.explode("links").alias("pair")).join(counts, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     values = saved_lean(known.select("seg", "segment").join(of_links, "seg", "left").select("segment", "n_best", "count_sum").na.fill(0), "values")
-    sums = in_rounds(lambda r: summed(rows.where(of_round("slice", r)), meet(values, r)), "sums")
+    sums = saved_lean(summed(rows, places.join(values, "segment").drop("segment")), "sums")
     found = both.where("slice is not null").join(sums, ["slice", "row"])
     # a document without tokens counts for nothing, whatever its other segments
     has = F.col("groups_sha256") != ""

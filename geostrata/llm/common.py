@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from geostrata.sources.scratch import clean, saved, scratch, shared_dir
 
-__all__ = ["clean", "mix64", "only", "saved", "saved_lean", "scratch", "shared_dir", "slices", "table", "utf8", "word_hashes"]
+__all__ = ["clean", "dropped", "mix64", "only", "saved", "saved_lean", "scratch", "shared_dir", "slices", "table", "utf8", "word_hashes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def saved_lean(df: DataFrame, name: str) -> DataFrame:
             conf.set(k, v)
 
 
+def dropped(table_: DataFrame) -> None:
+    """Removes the files of a table that saved() made and that nothing will read any more."""
+    hadoop = table_.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for parent in {f.rpartition("/")[0] for f in table_.inputFiles()}:
+        path = table_.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the columns that an operator reads, under its own names, so that no other column can clash with one it makes."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
