@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from geostrata.functions.arrays import piecewise
 from geostrata.operators.gathers import COHERENCY
+from geostrata.operators.nearsurface import arrival_times, fit_refractors, losses
 from geostrata.operators.spatial import idw, nearest_pairs, radius_pairs
 from geostrata.sources.scratch import saved
 
@@ -130,53 +131,7 @@ def stacking_velocities(spectrum: DataFrame, by: list[str], velocities: list[flo
     return spectrum.groupBy(*by).applyInPandas(run, f"{keys}, times array<double>, velocities array<double>")
 
 
-# Near-surface models: t0 and the slowness of each layer, with offsets at which layers change
-
-
-def refractor_times(offsets: np.ndarray, t0: float, x: np.ndarray, v: np.ndarray) -> np.ndarray:
-    edges = np.concatenate([[0.0], x])
-    starts = t0 + np.concatenate([[0.0], np.cumsum(np.diff(edges) * 1000 / v[:-1])])
-    k = np.searchsorted(x, offsets, "right")
-    return starts[k] + (offsets - edges[k]) * 1000 / v[k]
-
-
-def loss_of(residuals: np.ndarray, loss: str = "L1", huber: float = 20.0) -> float:
-    a = np.abs(residuals)
-    return float({
-        "MSE": lambda: a * a, "L1": lambda: a, "huber": lambda: np.where(a <= huber, a * a / 2, huber * a - huber * huber / 2),
-        "soft_L1": lambda: 2 * (np.sqrt(1 + a) - 1), "cauchy": lambda: np.log(1 + a),
-    }[loss]().mean())
-
-
-def simplex_search(cost, start: np.ndarray, rounds: int = 400, restarts: int = 3) -> np.ndarray:
-    """A minimum of ``cost`` by a simplex that reflects, stretches and shrinks, started again from where it ended."""
-    for _ in range(restarts):
-        simplex = [start, *(start + np.eye(len(start))[i] * max(abs(start[i]) * 0.2, 1.0) for i in range(len(start)))]
-        values = [cost(p) for p in simplex]
-        for _ in range(rounds):
-            order = np.argsort(values, kind="stable")
-            simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-            if values[-1] - values[0] < 1e-10:
-                break
-            center = np.mean(simplex[:-1], 0)
-            tried = center + (center - simplex[-1])
-            f = cost(tried)
-            if f < values[0]:
-                further = center + 2 * (center - simplex[-1])
-                g = cost(further)
-                simplex[-1], values[-1] = (further, g) if g < f else (tried, f)
-            elif f < values[-2]:
-                simplex[-1], values[-1] = tried, f
-            else:
-                nearer = center + 0.5 * (simplex[-1] - center)
-                g = cost(nearer)
-                if g < values[-1]:
-                    simplex[-1], values[-1] = nearer, g
-                else:
-                    simplex = [simplex[0], *(simplex[0] + 0.5 * (p - simplex[0]) for p in simplex[1:])]
-                    values = [values[0], *(cost(p) for p in simplex[1:])]
-        start = simplex[int(np.argmin(values))]
-    return start
+# Near-surface models: t0 and the velocity of each layer, with offsets at which layers change
 
 
 def param_names(n: int) -> list[str]:
@@ -209,99 +164,25 @@ def constant_refractor(velocity: float) -> dict[str, float]:
     return check_params({"t0": 0.0, "v1": float(velocity)})
 
 
-def stepped(values: np.ndarray, fixed: np.ndarray, least: float) -> np.ndarray:
-    """``values`` with steps of ``least`` at least, those that are ``fixed`` unchanged: others give way, away from the nearest fixed one."""
-    out = values.astype(float).copy()
-    at = np.flatnonzero(fixed)
-    for i in range(at[0] - 1, -1, -1):
-        out[i] = min(out[i], out[i + 1] - least)
-    for i in range(at[0] + 1, len(out)):
-        if not fixed[i]:
-            out[i] = max(out[i], out[i - 1] + least)
-    for i in range(len(out) - 2, at[0], -1):
-        if not fixed[i]:
-            out[i] = min(out[i], out[i + 1] - least) if fixed[i + 1 :].any() else out[i]
-    return out
-
-
-def complete_init(init: dict[str, float], offsets: np.ndarray, times: np.ndarray, n: int, min_velocity_step: float = 1.0, min_size: float = 1.0) -> dict[str, float]:
-    """All parameters to begin a fit with: missing crossover offsets between known ones, missing velocities and t0 by lines through a layer's picks."""
-    far = max(float(offsets.max()), max([init.get(f"x{i}", 0.0) for i in range(1, n)], default=0.0) + n * min_size)
-    cross = np.array([0.0, *(init.get(f"x{i}", np.nan) for i in range(1, n)), far])
-    known = ~np.isnan(cross)
-    cross = stepped(np.interp(np.arange(n + 1), np.flatnonzero(known), cross[known]), known, min_size)
-    speeds, firsts = np.array([init.get(f"v{i}", np.nan) for i in range(1, n + 1)]), []
-    counts = []
-    for i in range(n):
-        inside = (offsets >= cross[i]) & (offsets <= cross[i + 1])
-        counts.append(int(inside.sum()))
-        line = np.polyfit(offsets[inside], times[inside], 1) if counts[-1] > 1 and np.ptp(offsets[inside]) > 0 else (np.nan, np.nan)
-        firsts.append(line[1])
-        if np.isnan(speeds[i]) and line[0] > 0:
-            speeds[i] = 1000 / line[0]
-    given = np.array([f"v{i}" in init for i in range(1, n + 1)])
-    if np.isnan(speeds).all():
-        speeds = 1600 + min_velocity_step * np.arange(n)
-    else:
-        found = np.flatnonzero(~np.isnan(speeds))
-        speeds = np.interp(np.arange(n), found, speeds[found])
-        fixed = given if given.any() else np.arange(n) == found[int(np.argmax(np.array(counts)[found]))]
-        speeds = np.maximum(stepped(speeds, fixed, min_velocity_step), 1.0)
-    t0 = init["t0"] if "t0" in init else float(np.nan_to_num(firsts[0]))
-    return {"t0": max(float(t0), 0.0)} | {f"x{i}": float(cross[i]) for i in range(1, n)} | {f"v{i + 1}": float(v) for i, v in enumerate(speeds)}
-
-
-def fit_refractors(offsets: np.ndarray, times: np.ndarray, n: int, loss: str = "L1", huber: float = 20.0, min_velocity_step: float = 1.0, min_size: float = 1.0, rounds: int = 400, init: dict[str, float] | None = None, bounds: dict[str, tuple[float, float]] | None = None, max_offset: float | None = None) -> dict[str, float]:
-    """A model of ``n`` layers, velocities rising downwards, that fits first breaks with a small loss: a simplex search.
-
-    Parameters are steps (sizes and rises over their minimum), so every constraint is that they are not negative. A search begins
-    at ``init``, completed, if there is any; ``bounds`` keep each parameter between two values. Picks beyond ``max_offset`` don't count.
-    """
-    if max_offset is not None:
-        offsets, times = offsets[offsets <= max_offset], times[offsets <= max_offset]
-    far = max(float(offsets.max()), n * min_size + 1e-6)
-    line = np.polyfit(offsets, times, 1) if np.ptp(offsets) > 0 else np.array([1.0, times.mean()])
-    v = 1000 / max(line[0], 1e-3)
-
-    def model(p):
-        p = np.abs(p)
-        sizes, speeds = p[1:n] + min_size, np.cumsum(np.concatenate([[p[n]], p[n + 1 :] + min_velocity_step]))
-        t0, x, v = p[0], np.minimum(np.cumsum(sizes), far), np.maximum(speeds, 1.0)
-        if bounds is not None:
-            clip = lambda name, value: np.clip(value, *bounds[name])
-            t0, x, v = clip("t0", t0), np.array([clip(f"x{i + 1}", a) for i, a in enumerate(x)]), np.array([clip(f"v{i + 1}", a) for i, a in enumerate(v)])
-            x, v = np.maximum.accumulate(x) if n > 1 else x, np.maximum.accumulate(v)
-        return t0, x, v
-
-    start = np.concatenate([[max(line[1], 0)], np.full(n - 1, far / n), [v * (0.7 if n > 1 else 1)], np.full(n - 1, 0.6 * v / max(n - 1, 1))])
-    if init is not None:
-        p = complete_init(init, offsets, times, n, min_velocity_step, min_size)
-        sizes, rises = np.diff([0.0, *(p[f"x{i}"] for i in range(1, n))]), np.diff([p[f"v{i}"] for i in range(1, n + 1)])
-        start = np.concatenate([[p["t0"]], np.maximum(sizes - min_size, 0), [p["v1"]], np.maximum(rises - min_velocity_step, 0)])
-    start = simplex_search(lambda p: loss_of(refractor_times(offsets, *model(p)) - times, loss, huber), start, rounds)
-    t0, x, v = model(start)
-    return {"t0": float(t0)} | {f"x{i + 1}": float(a) for i, a in enumerate(x)} | {f"v{i + 1}": float(a) for i, a in enumerate(v)}
-
-
 def refractor_velocities(df: DataFrame, by: list[str], offset_col: str, time_col: str, n_refractors: int, loss: str = "L1", starts: DataFrame | None = None, **kwargs) -> DataFrame:
-    """by, t0, x1.., v1.., loss: one near-surface model per gather. ``starts``: parameters that a gather's search begins at, with a
-    lower and an upper bound of each in columns <name>_low and <name>_high."""
+    """by, t0, x1.., v1.., loss: one near-surface model per gather. ``starts``: parameters that a gather's descent begins at, with a
+    lower and an upper bound of each in columns <name>_low and <name>_high. Equal picks of a gather are counted before a task gets them."""
     names = param_names(n_refractors)
     extra = [f"{c}{end}" for c in names for end in ("", "_low", "_high")] if starts is not None else []
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=[offset_col, time_col]).sort_values([offset_col, time_col])
-        x, t = frame[offset_col].to_numpy(float), frame[time_col].to_numpy(float)
-        if not len(x):
-            return pd.DataFrame(columns=[*by, *names, "loss"])
+        frame = frame.sort_values(["_x", "_t"])
+        x, t, counts = (frame[c].to_numpy(float) for c in ("_x", "_t", "_n"))
         first = frame.iloc[0]
         more = {"init": {c: float(first[c]) for c in names}, "bounds": {c: (float(first[f"{c}_low"]), float(first[f"{c}_high"])) for c in names}} if extra else {}
-        p = fit_refractors(x, t, n_refractors, loss, **kwargs, **more)
-        fitted = refractor_times(x, p["t0"], np.array([p[f"x{i}"] for i in range(1, n_refractors)]), np.array([p[f"v{i}"] for i in range(1, n_refractors + 1)]))
-        return pd.DataFrame([[*key, *(p[c] for c in names), loss_of(fitted - t, loss)]], columns=[*by, *names, "loss"])
+        p = fit_refractors(x, t, n_refractors, loss, counts=counts, **kwargs, **more)
+        fitted = arrival_times(x, p["t0"], np.array([p[f"x{i}"] for i in range(1, n_refractors)]), np.array([p[f"v{i}"] for i in range(1, n_refractors + 1)]))
+        mean = float(losses(fitted - t, loss, kwargs.get("huber", 20.0))[0] @ counts / counts.sum())
+        return pd.DataFrame([[*key, *(p[c] for c in names), mean]], columns=[*by, *names, "loss"])
 
     keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    picks = df.select(*by, offset_col, time_col)
+    x, t = F.col(offset_col).cast("double").alias("_x"), F.col(time_col).cast("double").alias("_t")
+    picks = df.select(*by, x, t).where("_x is not null and _t is not null and not isnan(_x) and not isnan(_t)").groupBy(*by, "_x", "_t").agg(F.count("*").alias("_n"))
     if starts is not None:
         picks = picks.join(starts.select(*by, *extra), by)
     return picks.groupBy(*by).applyInPandas(run, keys + "".join(f", {c} double" for c in [*names, "loss"]))

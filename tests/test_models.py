@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geostrata.operators import fields, geometry, headers, muters, spatial, velocity
+from geostrata.operators import fields, geometry, headers, muters, nearsurface, spatial, velocity
 
 
 def test_affine_maps_are_inverse(spark):
@@ -90,18 +90,18 @@ def test_parameters_of_models_are_checked():
 
 def test_missing_parameters_are_completed_and_bounds_are_kept():
     x = np.linspace(0, 1000, 200)
-    t = velocity.refractor_times(x, 12.0, np.array([400.0]), np.array([1500.0, 3000.0]))
-    full = velocity.complete_init({"x1": 400.0}, x, t, 2)
+    t = nearsurface.arrival_times(x, 12.0, np.array([400.0]), np.array([1500.0, 3000.0]))
+    full = nearsurface.complete_init({"x1": 400.0}, x, t, 2)
     assert full == pytest.approx({"t0": 12.0, "x1": 400.0, "v1": 1500.0, "v2": 3000.0}, rel=1e-3)
-    assert list(velocity.complete_init({"v1": 1400.0}, x, t, 3)) == velocity.param_names(3)
-    fitted = velocity.fit_refractors(x, t, 2, init={"x1": 380.0}, bounds={"t0": (0.0, 20.0), "x1": (300.0, 390.0), "v1": (1400.0, 1600.0), "v2": (2900.0, 3100.0)})
+    assert list(nearsurface.complete_init({"v1": 1400.0}, x, t, 3)) == velocity.param_names(3)
+    fitted = nearsurface.fit_refractors(x, t, 2, init={"x1": 380.0}, bounds={"t0": (0.0, 20.0), "x1": (300.0, 390.0), "v1": (1400.0, 1600.0), "v2": (2900.0, 3100.0)})
     assert fitted["x1"] <= 390 and velocity.check_params(fitted) and 2900 <= fitted["v2"] <= 3100
-    assert velocity.fit_refractors(x, t, 1, max_offset=390.0)["v1"] == pytest.approx(1500, rel=1e-3)
+    assert nearsurface.fit_refractors(x, t, 1, max_offset=390.0)["v1"] == pytest.approx(1500, rel=1e-3)
 
 
 def test_steps_are_enforced_around_what_is_fixed():
-    out = velocity.stepped(np.array([5.0, 4.0, 3.0, 9.0, 9.0]), np.array([False, True, False, True, False]), 1.0)
-    assert out.tolist() == [3, 4, 5, 9, 10]
+    out = nearsurface.rising(np.array([5.0, 4.0, 3.0, 9.0, 9.0]), np.array([1, 1e9, 1, 1e9, 1]), 1.0)
+    assert out == pytest.approx([3, 4, 5, 9, 10], abs=1e-6)
 
 
 def test_models_that_are_no_models(spark):
@@ -118,7 +118,7 @@ def test_refitting_stays_in_its_bounds(spark):
     for g in range(6):
         truth[g] = (10.0 + g, 300.0 + 5 * g, 1500.0 + 10 * g, 3000.0 + 10 * g)
         x = np.linspace(0, 900, 60)
-        t = velocity.refractor_times(x, truth[g][0], np.array([truth[g][1]]), np.array(truth[g][2:])) + rng.normal(0, 0.5, 60)
+        t = nearsurface.arrival_times(x, truth[g][0], np.array([truth[g][1]]), np.array(truth[g][2:])) + rng.normal(0, 0.5, 60)
         rows += [(g, float(a), float(b)) for a, b in zip(x, t)]
     picks = spark.createDataFrame(rows, "g int, off double, t double")
     params = spark.createDataFrame([(g, 100.0 * g, 0.0, *p) for g, p in truth.items()], "g int, x double, y double, t0 double, x1 double, v1 double, v2 double")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geostrata.functions.arrays import limits, piecewise, running_sums
-from geostrata.operators import combine, fields, gathers, headers, maps, qc, signal, spatial, supergathers, velocity
+from geostrata.operators import combine, fields, gathers, headers, maps, nearsurface, qc, signal, spatial, supergathers, velocity
 from geostrata.sources import segy, synthetic, text
 from geostrata.streaming import maps as streaming
 
@@ -126,8 +126,8 @@ def test_spectrum_finds_the_velocity(spark):
 
 def test_refractor_fit_recovers_a_model():
     x = np.arange(0, 1000, 10.0)
-    t = velocity.refractor_times(x, 20.0, np.array([400.0]), np.array([1500.0, 3500.0]))
-    p = velocity.fit_refractors(x, t, 2)
+    t = nearsurface.arrival_times(x, 20.0, np.array([400.0]), np.array([1500.0, 3500.0]))
+    p = nearsurface.fit_refractors(x, t, 2)
     assert (p["t0"], p["x1"], p["v1"], p["v2"]) == pytest.approx((20, 400, 1500, 3500), rel=0.05)
 
 
