@@ -12,9 +12,11 @@ it as its centre, so a group of copies of any size arrives there as one row per
 Stars alone can miss a link between two members that a bucket's centre confirms neither or only one of. So what stars leave in
 different components is tested too, and the folded members of such buckets come back for that: every pair of one bucket and two
 components is tested. Buckets with up to SMALL such pairs a member are tested by further stars, whose centres are outside the
-bucket's most frequent component, and the others by comparing blocks of sets. Blocks hold a bounded number of shingles, a task
-compares two blocks by matrix products of which only links leave it, and the sets of a family of buckets that share members meet
-in as many tasks as it takes; blocks of the family's most frequent component are not compared with one another.
+bucket's most frequent component. Of the others' members each set keeps a prefix, its rarest shingles: as many as a set that is alike
+enough can't miss, a fifth of them and one more. Only sets of different components that share one of these go on, so that a
+template's words, which bring texts into one bucket, bring no work. What goes on is compared in blocks of a bounded number of
+shingles and documents: a task compares two blocks by matrix products of which only links leave it, and the sets of a family that
+shares prefixes meet in as many tasks as it takes; blocks of the family's most frequent component are not compared with one another.
 
 At a similarity of 0.8 two sets share no bucket with a probability of (1 - 0.8**6)**42 = 3e-6.
 
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.llm.common import mix64, only, saved, slices, utf8, word_hashes
@@ -38,6 +40,8 @@ BINS, ROWS, BANDS = 256, 6, 42
 STAR = 256
 #: Pairs of different components for each member of a bucket up to which further stars are used, and the shingles of a block beyond that.
 SMALL, BLOCK = 16, 150_000
+#: Documents of a block: a task compares two blocks by matrices of so many rows and columns.
+BLOCK_DOCS = 2048
 #: Shares are compared as integers: PERCENT * union <= 100 * intersection.
 PERCENT = 80
 
@@ -244,6 +248,36 @@ def _compare(words: int, percent: int):
     return run
 
 
+def _shingle_rows(words: int):
+    """A row for each distinct shingle of each document: its id, its label, the size of its set, the shingle's hash."""
+
+    def run(batches):
+        for batch in slices(batches, 2, 1 << 20):
+            sets = shingle_sets(*utf8(batch.column(2)), words)
+            n = np.array([len(s) for s in sets], np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "label", "n", "h"])
+
+    return run
+
+
+def sharing_prefixes(mixed: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """a (a shingle), b (an id), component: the entries of ``mixed`` whose sets share one of their rarest shingles with one of another component.
+
+    Two sets that link share at least ``percent`` of either's shingles, so they share one of all but those and one more, whatever order all sets are cut in.
+    """
+    members = mixed.select(F.col("b").alias("id"), F.col("component").alias("label")).distinct()
+    rows = saved(docs.join(members.hint("merge"), "id").select("id", "label", "text").mapInArrow(_shingle_rows(words), "id long, label long, n long, h long"), "shingles")
+    often = rows.groupBy("h").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "h"))  # the rows of one set
+    # the last place of a prefix; what ceil() would be of whole numbers
+    last = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    prefixes = rows.join(often.hint("merge"), "h").withColumn("rank", rank).where((F.col("rank") <= last) & (F.col("low") < F.col("high")))
+    prefixes = saved(prefixes.select(F.col("h").alias("a"), F.col("id").alias("b"), F.col("label").alias("component")), "prefixes")
+    shared = prefixes.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("a")
+    return saved(prefixes.join(shared, "a", "left_semi"), "shared")
+
+
 def compared_in_blocks(mixed: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between members of one family of buckets that are of different components: of two blocks and two components one, if there
     is any. Only links leave the tasks."""
@@ -251,10 +285,11 @@ def compared_in_blocks(mixed: DataFrame, sizes: DataFrame, docs: DataFrame, word
     families = connected_components(mixed.join(least, "a").select(F.col("least").alias("a"), "b").distinct())
     known = sizes.groupBy(F.col("a").alias("id")).agg(F.max("b").alias("size"))
     members = saved(mixed.select(F.col("b").alias("id"), F.col("component").alias("label")).distinct().join(families.withColumnRenamed("component", "family"), "id").join(known, "id"), "members")
-    labels = members.groupBy("family", "label").agg(F.sum("size").alias("size"))
+    labels = members.groupBy("family", "label").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     # the blocks of the largest component come first, and are compared with the others only
-    most = labels.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.max("size").alias("first"), F.sum("size").alias("all"))
-    blocks = most.select("family", "most", F.ceil(F.col("first") / BLOCK).cast("int").alias("first"), F.ceil((F.col("all") - F.col("first")) / BLOCK).cast("int").alias("rest"))
+    most = labels.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.max(F.struct("size", "label", "n")).alias("first"), F.sum("size").alias("all"), F.sum("n").alias("n"))
+    needed = lambda size, n: F.greatest(F.ceil(size / BLOCK), F.ceil(n / BLOCK_DOCS)).cast("int")
+    blocks = most.select("family", "most", needed(F.col("first.size"), F.col("first.n")).alias("first"), needed(F.col("all") - F.col("first.size"), F.col("n") - F.col("first.n")).alias("rest"))
     is_most, total = F.col("label") == F.col("most"), F.col("first") + F.col("rest")
     own = F.when(is_most, F.pmod(F.xxhash64("id"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
     placed = members.join(blocks, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.when(is_most, F.col("first")).otherwise(F.lit(0)), total - 1)))
@@ -300,7 +335,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = confirmed(pairs, texts, words, percent)
     large = mixed.where("not few")
     if not large.isEmpty():
-        more = more.union(compared_in_blocks(large, rows.where("kind = 0"), texts, words, percent))
+        shared = sharing_prefixes(large, texts, words, percent)
+        if not shared.isEmpty():
+            more = more.union(compared_in_blocks(shared, rows.where("kind = 0"), texts, words, percent))
     more = saved(more, "links")
     if not more.isEmpty():
         components = connected_components(links.union(more))

@@ -14,6 +14,7 @@ table gives an empty result. Other columns of the input are not read.
 from __future__ import annotations
 
 import base64
+import re
 from functools import cache
 
 import numpy as np
@@ -42,6 +43,22 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
 
 
+#: Runs of white space from this length on are cut here, as the pattern's backtracking over a long one runs out of stack.
+LONG_RUN = 10_000
+_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
+def token_ids(known: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The ids of a text. Where a long run of white space stands before other text, the pattern takes all of it but its last character for one
+    piece, and at the text's end all of it; such a piece goes to the merges as it is, and what is between is encoded by itself."""
+    found, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        found += [known.encode_to_numpy(text[at : run.start()]), np.array(known._encode_single_piece(text[run.start() : end]), np.int64)]
+        at = end
+    return np.concatenate([*found, known.encode_to_numpy(text[at:])]).astype(np.int32) if found else known.encode_to_numpy(text).astype(np.int32)
+
+
 def ranks_of(spark: SparkSession, path: str | None = None) -> bytes:
     with open(path or spark.conf.get(TOKENIZER, DEFAULT_TOKENIZER), "rb") as f:
         return f.read()
@@ -54,7 +71,7 @@ def tokenized(docs: DataFrame, ranks: bytes) -> DataFrame:
     def run(batches):
         known = encoding(shared.value)
         for batch in slices(batches, 1):
-            found = [np.asarray(known.encode_to_numpy(t), np.int32) if t else np.zeros(0, np.int32) for t in batch.column(1).to_pylist()]
+            found = [token_ids(known, t) if t else np.zeros(0, np.int32) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(x) for x in found)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), tokens, pa.array(np.diff(ends), pa.int64())], ["id", "tokens", "n_tokens"])

@@ -130,6 +130,29 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert got(minhash.near_duplicates(df, words=2), "doc_id", "component_id") == sorted(component.items(), key=str)
 
 
+def test_short_texts_of_one_template_are_told_apart(spark):
+    """All share a shingle and many a bucket, none links but the planted pairs; the blocks hold what shares rare shingles only."""
+    rows = [(i, f"user posted w{i}") for i in range(6000)] + [(10_000 + i, f"user posted w{i} " + " ".join(f"x{k}" for k in range(i % 3))) for i in range(5)]
+    rows += [(20_000 + i, " ".join(f"a{i}b{k}" for k in range(30))) for i in range(2)] + [(30_000 + i, " ".join([f"a{i}b{k}" for k in range(29)] + ["end"])) for i in range(2)]
+    wanted = {i: i for i, _ in rows} | {10_000: 0, 10_003: 3, 30_000: 20_000, 30_001: 20_001}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert dict(got(minhash.near_duplicates(df, words=2), "doc_id", "component_id")) == wanted
+
+
+@pytest.mark.parametrize(("docs_of_block", "words"), [(3, 2), (2048, 3)])
+def test_prefixes_and_blocks_of_few_documents_lose_no_link(spark, monkeypatch, docs_of_block, words):
+    rng = np.random.default_rng(docs_of_block)
+    core, rows = [f"c{i}" for i in range(60)], []
+    for g in range(40):
+        own = core[: 30 + g % 7] + [f"g{g % 9}x{i}" for i in range(30 - g % 5)]
+        rows.append((g, edited(rng, own, 0.03 * (g % 3))))
+    _, component = brute_components(rows, words)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", docs_of_block)
+    monkeypatch.setattr(minhash, "SMALL", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert got(minhash.near_duplicates(df, words=words), "doc_id", "component_id") == sorted(component.items(), key=str)
+
+
 @pytest.mark.parametrize(("parts", "small"), [(1, 16), (2, 0)])
 def test_members_folded_under_a_centre_still_link(spark, monkeypatch, parts, small):
     """A bridge m with m ~ c for 30 lower ids c and m ~ d, but no c ~ d: nearly every bucket of m and d folds m under some c."""
@@ -244,6 +267,16 @@ def test_packing_keeps_every_document(spark, docs, empty):
         assert list(r.tokens) == [x for tokens, n in zip(rows.tokens, rows.padding) for x in [*tokens, *[packing.PAD] * n]] and len(r.tokens) == len(rows) * rows.bucket_tokens.iloc[0]
 
 
+def test_long_runs_of_white_space_have_the_same_ids(spark):
+    known = packing.encoding(packing.ranks_of(spark))
+    for run in (" ", "\n", "\t\n ", "\u3000 ", "\x1c"):
+        for text in ("a" + run * 20_000 + "b", "x" + run * 15_000, run * 12_000 + "y", run * 30_000, "a" + run * 11_000 + " b" + run * 10_000 + "\nc" + " " * 9_999 + "d"):
+            assert packing.token_ids(known, text).tolist() == known.encode_ordinary(text)
+    texts = ["a" + run * (5_000_000 // len(run)) + "b" for run in (" ", "\n", " \n\t")]
+    found = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [known.decode(list(r.tokens)) for r in sorted(found)] == texts
+
+
 def test_bounds_of_long_texts_are_exact(spark):
     """Lengths far above any grid: two that differ by one token get bounds of their own."""
     texts = spark.createDataFrame([(i, " a" * n) for i, n in enumerate([200_000, 200_001, 200_001, 5])], "doc_id long, text string")
