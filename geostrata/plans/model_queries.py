@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from geostrata.operators import fields, geometry, muters, qc, spatial, supergathers, validation, velocity
+from geostrata.operators import contours, fields, geometry, muters, qc, spatial, supergathers, validation, velocity
 from geostrata.plans.header_queries import bins, lines
 from geostrata.plans.plane_queries import _DIST, _NEAR, _POINTS, customers, picks, suppliers, velocity_models
 from geostrata.plans.registry import query, table
@@ -57,6 +58,38 @@ def contour_distance(spark, d):
     return geometry.contour_distance(customers(spark, d), boxes, "x", "y").select("id", F.round("distance", 6).alias("distance"))
 
 
+# parts are bins of rows of 40, without the columns 18 to 21, which leaves two pieces, and without a hole in the second row from the end
+_PIECES = "r AS (SELECT (max(p_partkey) + 1) // 40 - 1 AS last FROM part)"
+
+
+@query("survey_outlines", f"WITH {_PIECES} SELECT CAST(unnest([0, 0, last, last, 0, 0, last, last]) AS BIGINT) AS il, CAST(unnest([0, 17, 17, 0, 22, 39, 39, 22]) AS BIGINT) AS xl, unnest([0, 1, 2, 3, 0, 1, 2, 3]) AS corner FROM r")
+def survey_outlines(spark, d):
+    ring = contours.outlines(pieces(spark, d), ("il", "xl"))
+    order = F.row_number().over(Window.partitionBy("ring").orderBy("place")) - 1
+    at = F.when(F.col("a") > 0, F.when(F.col("b").isin(17, 39), 2).otherwise(3)).otherwise(F.when(F.col("b").isin(17, 39), 1).otherwise(0))
+    # the way around begins anywhere: corners are named by where they are, and have to follow one another
+    steps = ring.withColumns({"order": order, "corner": at}).withColumn("turn", F.pmod(F.col("corner") - F.col("order"), F.lit(4)))
+    same = steps.groupBy("ring").agg(F.count_distinct("turn").alias("ways"), F.count("*").alias("n")).where("ways = 1 and n = 4")
+    return steps.join(same.select("ring"), "ring").select(F.col("a").alias("il"), F.col("b").alias("xl"), "corner")
+
+
+def pieces(spark, d):
+    key = F.col("p_partkey")
+    p = table(spark, d, "part")
+    last = (p.agg(F.max("p_partkey")).first()[0] + 1) // 40 - 1
+    df = p.select(F.floor(key / 40).alias("il"), (key % 40).alias("xl")).where((F.col("il") <= last) & ~F.col("xl").between(18, 21))
+    return df.where(~((F.col("il") == last - 1) & F.col("xl").between(5, 7)))
+
+
+@query("outline_distance", f"WITH {_PIECES}, c AS (SELECT c_custkey AS id, c_custkey * 7 % 61 - 10.25::DOUBLE AS x, c_custkey * 11 % 53 - 6.5::DOUBLE AS y FROM customer), d AS (SELECT id, CASE WHEN x BETWEEN 0 AND last AND y BETWEEN 0 AND 17 THEN least(x, last - x, y, 17 - y) ELSE -sqrt(greatest(-x, 0, x - last) ** 2 + greatest(-y, 0, y - 17) ** 2) END AS a, CASE WHEN x BETWEEN 0 AND last AND y BETWEEN 22 AND 39 THEN least(x, last - x, y - 22, 39 - y) ELSE -sqrt(greatest(-x, 0, x - last) ** 2 + greatest(22 - y, 0, y - 39) ** 2) END AS b FROM c, r) SELECT id, round(CASE WHEN abs(a) <= abs(b) THEN a ELSE b END, 6) AS distance FROM d")
+def outline_distance(spark, d):
+    """From the outlines that are traced from the bins; a hole counts as inside."""
+    key = F.col("c_custkey")
+    places = table(spark, d, "customer").select(key.alias("id"), (key * 7 % 61 - 10.25).alias("x"), (key * 11 % 53 - 6.5).alias("y"))
+    found = geometry.contour_distance(places, contours.contours(pieces(spark, d), ("il", "xl")), "x", "y")
+    return found.select("id", F.round("distance", 6).alias("distance"))
+
+
 _OFF = "o AS (SELECT *, CAST(vec_id % 40 * 10 AS DOUBLE) AS off FROM e)"
 
 

@@ -5,10 +5,11 @@ The sample interval is 2 ms and the delay 0; a trace's offset is 10 m times its
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geostrata.functions.arrays import limits, longest_run, samples
-from geostrata.operators import gathers, maps, moveout, qc, signal, velocity
+from geostrata.operators import crops, gathers, maps, moveout, qc, signal, velocity
 from geostrata.plans.registry import query, table
 
 N, DT = 64, 2.0
@@ -441,6 +442,58 @@ def crop_assemble(spark, d):
     return signal.assemble(c).select("trace", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
+_NUMBERED = "n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding AS e FROM embeddings), z AS (SELECT label, count(*) AS nt FROM n GROUP BY label)"
+#: Which of n positions stands for position p under each mode; a constant's is none.
+_STANDS = {"constant": "CASE WHEN {p} < {n} THEN {p} END", "edge": "least({p}, {n} - 1)", "wrap": "{p} % {n}", "symmetric": "CASE WHEN {p} % (2 * {n}) < {n} THEN {p} % (2 * {n}) ELSE 2 * {n} - 1 - {p} % (2 * {n}) END", "reflect": "CASE WHEN {p} % greatest(2 * {n} - 2, 1) < {n} THEN {p} % greatest(2 * {n} - 2, 1) ELSE 2 * {n} - 2 - {p} % greatest(2 * {n} - 2, 1) END"}
+
+
+def numbered(spark, d):
+    """Traces numbered in their gathers from 0, as the headers of a survey number them."""
+    t = traces(spark, d)
+    return t.withColumn("pos", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+
+
+def _crop_sql(origins: str, mode: str) -> str:
+    trace, sample = (_STANDS[mode].format(p=p, n=n) for p, n in (("(ot + row)", "nt"), ("(os + k)", "64")))
+    return f"""WITH {_NUMBERED}, o AS ({origins}),
+r AS (SELECT o.*, nt, row, {trace} AS t FROM o JOIN z USING (label), (SELECT unnest(range(5)) AS row)),
+s AS (SELECT r.*, k, {sample} AS i FROM r, (SELECT unnest(range(7)) AS k))
+SELECT s.label, s.crop, CAST(row AS INT) AS row, k, round(coalesce(CAST(e[i + 1] AS DOUBLE), 0), 6) AS x FROM s LEFT JOIN n ON n.label = s.label AND n.pos = s.t"""
+
+
+def _crop_rows(spark, d, origins, mode):
+    df = numbered(spark, d)
+    out = crops.crops(df, origins(crops.sizes(df, ["label"], "embedding")), ["label"], ["embedding"], "pos", (5, 7), mode)
+    return out.select("label", "crop", "row", F.posexplode("embedding").alias("k", "x")).select("label", "crop", "row", F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"))
+
+
+_LISTED = [(0, 0), (2, 60), (40, 10), (500, 63)]
+_LISTED_SQL = "SELECT label, CAST(c AS VARCHAR) AS crop, [0, 2, 40, 500][c + 1] AS ot, [0, 60, 10, 63][c + 1] AS os FROM z, (SELECT unnest(range(4)) AS c)"
+_DRAWN_SQL = "SELECT label, CAST(c AS VARCHAR) AS crop, CAST('0x' || substr(md5('7:' || label || ':' || c || ':trace'), 1, 12) AS BIGINT) % (1 + greatest(nt - 5, 0)) AS ot, CAST('0x' || substr(md5('7:' || label || ':' || c || ':sample'), 1, 12) AS BIGINT) % 58 AS os FROM z, (SELECT unnest(range(6)) AS c)"
+
+
+@query("crop_drawn", _crop_sql(_DRAWN_SQL, "constant"))
+def crop_drawn(spark, d):
+    return _crop_rows(spark, d, lambda g: crops.drawn(g, ["label"], (5, 7), 6, 7), "constant")
+
+
+for _mode in _STANDS:
+
+    @query(f"crop_listed_{_mode}", _crop_sql(_LISTED_SQL, _mode))
+    def crop_listed(spark, d, mode=_mode):
+        return _crop_rows(spark, d, lambda g: crops.listed(g, ["label"], _LISTED), mode)
+
+
+@query("crop_joint", f"WITH {_NUMBERED}, o AS (SELECT label, ot, os FROM z, LATERAL (SELECT unnest(list_distinct(list_append(list_filter(range(0, nt, 3), lambda v: v < greatest(nt - 5, 0)), greatest(nt - 5, 0)))) AS ot), (SELECT unnest([0, 30, 57]) AS os)), r AS (SELECT label, ot, os, ot + row AS t FROM o, (SELECT unnest(range(5)) AS row)) SELECT r.label, ot, os, round(sum(list_sum(list_slice(e, CAST(os + 1 AS INT), CAST(os + 7 AS INT)))), 4) AS total, round(sum(list_sum(list_transform(list_slice(e, CAST(os + 1 AS INT), CAST(os + 7 AS INT)), lambda x: x * x))), 4) AS squares FROM r JOIN n ON n.label = r.label AND n.pos = r.t GROUP BY ALL")
+def crop_joint(spark, d):
+    """Two components, the samples and their squares, cropped at the same origins."""
+    df = numbered(spark, d).withColumn("squared", F.transform(samples(F.col("embedding")), lambda x: x * x))
+    origins = crops.grid(crops.sizes(df, ["label"], "embedding"), ["label"], (5, 7), (3, 30))
+    out = crops.crops(df, origins, ["label"], ["embedding", "squared"], "pos", (5, 7))
+    total = lambda c: F.round(F.sum(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)), 4)
+    return out.groupBy("label", F.col("origin_trace").alias("ot"), F.col("origin_sample").alias("os")).agg(total("embedding").alias("total"), total("squared").alias("squares"))
+
+
 @query("model_inputs", f"WITH {_E} SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS pos, x FROM e")
 def model_inputs(spark, d):
     return signal.model_inputs(traces(spark, d), ["label"], "vec_id", "embedding").select("label", F.posexplode(samples(F.col("input"))).alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
