@@ -40,8 +40,8 @@ from geostrata.llm.common import dropped, only, saved_lean, slices
 FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.geostrata.align.b": "/opt/tokenizers/piece_bpe_32k.model"}
 #: Characters of a slice, about: a task composes a slice's documents in arrays of about ten times as much memory.
 SLICE = 1 << 24
-#: Aligned segments and their sums reach the slices in so many rounds, and only one round's shuffle files are on the disks at a time.
-ROUNDS, SUM_ROUNDS = 4, 2
+#: Segments are aligned in so many rounds, and reach the slices in so many: only one round's shuffle files are on the disks at a time.
+ALIGN_ROUNDS, ROUNDS = 2, 3
 #: Segments that are tokenized at once, and occurrences of pairs that are counted at once.
 BATCH, PAIRS = 2048, 1 << 19
 #: What counts as white here: all that either side may take for it, since a place that is no cut does no harm.
@@ -325,17 +325,17 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_c
     parts = saved_lean(sliced(docs, at_spaces, slice_chars), "slices")
     rows, places = parts.where("seq is not null").select("slice", "row", "id", "seq"), parts.where("segment is not null").select(F.col("slice").alias("of_slice"), "at", "segment")
     tokens = saved_lean(tokenized(parts, a, b, at_spaces), "tokens")
-    known = saved_lean(aligned(tokens), "aligned")
-    dropped(tokens)
     id_type, of_round = docs.schema["id"].dataType.simpleString(), lambda c, r, n: F.pmod(F.xxhash64(c), F.lit(n)) == r
-    meet = lambda values, r, n: places.where(of_round("of_slice", r, n)).join(values, "segment").drop("segment")
-    in_rounds = lambda made, n, name: reduce(DataFrame.unionByName, [saved_lean(made(rows.where(of_round("slice", r, n)), r), name) for r in range(n)])
-    both = in_rounds(lambda docs, r: composed(docs, meet(known.drop("seg"), r, ROUNDS), id_type), ROUNDS, "composed")
+    in_rounds = lambda made, n, name: reduce(DataFrame.unionByName, [saved_lean(made(r), name) for r in range(n)])
+    known = in_rounds(lambda r: aligned(tokens.where(of_round("seg", r, ALIGN_ROUNDS))), ALIGN_ROUNDS, "aligned")
+    dropped(tokens)
+    meet = lambda r: places.where(of_round("of_slice", r, ROUNDS)).join(known.drop("seg"), "segment").drop("segment")
+    both = in_rounds(lambda r: composed(rows.where(of_round("slice", r, ROUNDS)), meet(r), id_type), ROUNDS, "composed")
     counts = pair_counts(both.where("pair is not null"))
     of_links = known.where("whole").select("seg", F.explode("links").alias("pair")).join(counts, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     values = saved_lean(known.select("seg", "segment").join(of_links, "seg", "left").select("segment", "n_best", "count_sum").na.fill(0), "values")
     dropped(known)
-    sums = in_rounds(lambda docs, r: summed(docs, meet(values, r, SUM_ROUNDS)), SUM_ROUNDS, "sums")
+    sums = saved_lean(summed(rows, places.join(values, "segment").drop("segment")), "sums")
     found = both.where("slice is not null").join(sums, ["slice", "row"])
     # a document without tokens counts for nothing, whatever its other segments
     has = F.col("groups_sha256") != ""
