@@ -48,6 +48,23 @@ def segy_aggregate(spark, d):
     return back.agg(F.count("*").alias("n"), F.max("TRACE_SEQUENCE_FILE").alias("last"), F.sum("CDP").alias("total"), F.round(F.sum(energy), 3).alias("energy"))
 
 
+@query("segy_parent_headers", "SELECT md5(rpad('C 1 SURVEY OF ' || count(*) || ' TRACES', 3200, ' ')) AS text, md5(rpad('C 1 MORE ON ' || sum(vec_id), 3200, ' ')) AS extended, count(*) AS n_traces, true AS same_binary FROM embeddings")
+def segy_parent_headers(spark, d):
+    """Traces are dumped with the headers of a parent file, and these read again."""
+    n, total = traces(spark, d).agg(F.count("*"), F.sum("vec_id")).first()
+    segy.register(spark)
+    df = traces(spark, d).select(F.col("vec_id").cast("int").alias("CDP"), F.col("embedding").alias("data"))
+    parent, out = scratch(spark, "parent"), scratch(spark, "dump")
+    df.coalesce(1).write.format("segy").mode("append").option("text", f"C 1 SURVEY OF {n} TRACES").option("extended", f"C 1 MORE ON {total}").save(parent)
+    df.write.format("segy").mode("append").option("parent", parent + "/*.sgy").save(out)
+    headers = lambda path: spark.read.format("segy_files").load(path + "/*.sgy").select("n_traces", F.md5(F.col("text").cast("binary")).alias("text"), "binary", F.col("extended_text").alias("pages"))
+    first = headers(parent).select(F.col("binary").alias("parent_binary"))
+    rows = headers(out).crossJoin(F.broadcast(first))  # one file
+    counted = spark.read.format("segy").option("headers", "CDP").option("data", "false").load(out + "/*.sgy").select("file").groupBy("file").count().agg(F.sum("count").alias("n_traces"))
+    same = rows.groupBy("text", F.md5(F.get("pages", F.lit(0)).cast("binary")).alias("extended")).agg(F.every(F.col("binary") == F.col("parent_binary")).alias("same_binary"))
+    return same.crossJoin(counted)
+
+
 for _fmt in ("fwf", "csv"):
 
     @query(f"table_{_fmt}", f"WITH {_POINTS} SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM s")

@@ -3,11 +3,16 @@
 ``spark.read.format("segy")`` reads every file that a path or glob names. A trace's headers are columns, its samples the array
 ``data``; only headers asked for by the option ``headers`` are decoded, and the samples only unless the option ``data`` is false, and of
 these only the ones within the option ``limits`` (start:stop or start:stop:step, as slices in Python): other bytes are not looked at.
-Files are opened by the tasks, so they have to be on a file system that all of them mount.
+Files are opened by the tasks, by path where it is local and else by ranges through Arrow's file systems (``s3://``, ``gs://``, ``hdfs://``).
+
+``spark.read.format("segy_files")`` gives a row for each file instead: its size, its text headers, decoded, and its binary and extended ones
+as they are. The writer's option ``parent`` names a file whose headers new files get, byte for byte but for the numbers of samples,
+their interval and format, which are those of the traces written; ``text`` and ``extended`` give text headers themselves.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import os
 import struct
@@ -16,7 +21,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Fixed values of the format: the trace headers in the order of their bytes, and which of them are four bytes wide; the others have two.
 NAMES = (
@@ -62,13 +68,41 @@ def ieee_to_ibm(x: np.ndarray) -> np.ndarray:
     return np.where(size > 0, out, 0).astype(np.uint32)
 
 
-def layout(path: str, order: str) -> tuple[int, int, int, int]:
-    """Number of traces, samples of a trace, interval in microseconds and sample format of a file."""
-    with open(path, "rb") as f:
-        f.seek(3200)
-        head = f.read(400)
+def is_local(path: str) -> bool:
+    return "://" not in path or path.startswith("file://")
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a path, and the path in it."""
+    return (fs.LocalFileSystem(), path.removeprefix("file://")) if is_local(path) else fs.FileSystem.from_uri(path)
+
+
+def ranged(path: str, first: int, size: int, opened=file_system) -> bytes:
+    """Bytes of a file from ``first`` on, fewer at its end."""
+    system, at = opened(path)
+    with system.open_input_file(at) as f:
+        return f.read_at(size, first)
+
+
+def named(pattern: str, opened=file_system) -> list[str]:
+    """The files of a path or a glob; beyond local ones wildcards may be in the name only."""
+    if is_local(pattern):
+        return sorted(glob.glob(pattern.removeprefix("file://")))
+    folder, _, name = pattern.rpartition("/")
+    system, at = opened(folder)
+    return sorted(f"{folder}/{i.base_name}" for i in system.get_file_info(fs.FileSelector(at)) if i.is_file and fnmatch.fnmatch(i.base_name, name))
+
+
+def layout(path: str, order: str, opened=file_system) -> tuple[int, int, int, int, int]:
+    """Number of traces, samples of a trace, interval in microseconds, sample format, and bytes before the first trace of a file."""
+    head = ranged(path, 3200, 400, opened)
     interval, n, fmt = struct.unpack(order + "h", head[16:18])[0], struct.unpack(order + "H", head[20:22])[0], struct.unpack(order + "h", head[24:26])[0]
-    return (os.path.getsize(path) - HEAD) // (TRACE_HEAD + n * WIDTH[fmt]), n, interval, fmt
+    extended = struct.unpack(order + "h", head[304:306])[0]
+    if extended < 0:
+        raise ValueError(f"{path} doesn't tell how many extended text headers it has")
+    system, at = opened(path)
+    first = HEAD + 3200 * extended
+    return (system.get_file_info(at).size - first) // (TRACE_HEAD + n * WIDTH[fmt]), n, interval, fmt, first
 
 
 class _Range(InputPartition):
@@ -78,7 +112,7 @@ class _Range(InputPartition):
 
 class SegyReader(DataSourceReader):
     def __init__(self, options: dict, headers: list[str], data: bool):
-        self.paths = sorted(p for part in options["path"].split(",") for p in glob.glob(part.removeprefix("file://")))
+        self.paths = sorted(p for part in options["path"].split(",") for p in named(part))
         self.order = "<" if options.get("endian", "big") == "little" else ">"
         self.chunk, self.headers, self.data = int(options.get("chunk_size", 25000)), headers, data
         self.limits = slice(*(int(v) if v.strip() else None for v in options.get("limits", ":").split(":")))
@@ -86,15 +120,18 @@ class SegyReader(DataSourceReader):
     def partitions(self):
         return [_Range(p, a, min(a + self.chunk, n)) for p in self.paths for n in [layout(p, self.order)[0]] for a in range(0, max(n, 1), self.chunk)]
 
-    def read(self, part):
-        _, n, _, fmt = layout(part.path, self.order)
+    def read(self, part, opened=file_system):
+        _, n, _, fmt, head = layout(part.path, self.order, opened)
         size, block, width = TRACE_HEAD + n * WIDTH[fmt], 2000, WIDTH[fmt]
         kept = range(n)[self.limits]
         if self.data and not len(kept):
             raise ValueError("no samples are left within the limits")
         for at in range(part.first, part.last, block):
             count = min(block, part.last - at)
-            raw = np.memmap(part.path, np.uint8, "r", HEAD + at * size, (count, size))
+            if is_local(part.path):
+                raw = np.memmap(part.path.removeprefix("file://"), np.uint8, "r", head + at * size, (count, size))
+            else:
+                raw = np.frombuffer(ranged(part.path, head + at * size, count * size, opened), np.uint8).reshape(count, size)
             columns = [pa.array([part.path] * count, pa.string()), pa.array(np.arange(at + 1, at + 1 + count), pa.int64())]
             for h in self.headers:
                 first, wide = HEADERS[h]
@@ -116,12 +153,37 @@ def encoded(x: np.ndarray, fmt: int) -> bytes:
     return (ieee_to_ibm(x).astype(">u4") if fmt == 1 else np.asarray(x).astype(">f4")).tobytes()
 
 
-def file_head(n: int, interval: int, fmt: int) -> bytes:
-    """The blank text header, in EBCDIC, and the binary one."""
-    head = bytearray(400)
+def file_head(n: int, interval: int, fmt: int, old: bytes | None = None) -> bytes:
+    """A file's headers: those of another file, or blank ones, in EBCDIC, with the given numbers."""
+    head = bytearray(old or b"\x40" * 3200 + bytes(400))
     for at, value in ((16, interval), (20, n), (24, fmt)):
-        struct.pack_into(">H", head, at, value)
-    return b"\x40" * 3200 + bytes(head)
+        struct.pack_into(">H", head, 3200 + at, value)
+    return bytes(head)
+
+
+def text_heads(text: str, extended: list[str]) -> bytes:
+    """Headers with the given texts, each 3200 characters at most."""
+    pages = [t.ljust(3200)[:3200].encode("cp500", "replace") for t in (text, *extended)]
+    binary = bytearray(400)
+    struct.pack_into(">h", binary, 304, len(extended))
+    return pages[0] + bytes(binary) + b"".join(pages[1:])
+
+
+def packed_heads(batch: pa.RecordBatch, first: int, n: int, interval: int) -> np.ndarray:
+    """The trace headers of a batch (traces by bytes), numbered from ``first``."""
+    rows = batch.num_rows
+    heads, number = np.zeros((rows, TRACE_HEAD), np.uint8), np.arange(first, first + rows)
+    own = {"TRACE_SEQUENCE_LINE": number, "TRACE_SEQUENCE_FILE": number, "TRACE_SAMPLE_COUNT": np.full(rows, n), "TRACE_SAMPLE_INTERVAL": np.full(rows, interval)}
+    for h, (at, width) in HEADERS.items():
+        if h not in own and h not in batch.schema.names:
+            continue
+        values = own[h] if h in own else np.trunc(batch.column(h).cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        kind = ">i4" if width == 4 else ">u2" if "SAMPLE" in h else ">i2"
+        bounds = np.iinfo(np.dtype(kind))
+        if len(values) and (values.min() < bounds.min or values.max() > bounds.max):
+            raise ValueError(f"{h} holds numbers that don't fit into {width} bytes")
+        heads[:, at - 1 : at - 1 + width] = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(rows, width)
+    return heads
 
 
 class _Written(WriterCommitMessage):
@@ -129,32 +191,39 @@ class _Written(WriterCommitMessage):
         self.path = path
 
 
-class SegyWriter(DataSourceWriter):
+class SegyWriter(DataSourceArrowWriter):
     """Writes each partition as ``<name>-<time of the job>-<number>.sgy``, so that appended files come after those before them; traces
-    are numbered from 1 in every file. Overwriting removes the files of that name that were there, once the new ones are complete."""
+    are numbered from 1 in every file. Overwriting removes the files of that name that were there, once the new ones are complete.
+    Files are written where all tasks mount the path."""
 
     def __init__(self, options: dict, schema, overwrite: bool):
-        self.path, self.names = options["path"].removeprefix("file://"), [f.name for f in schema.fields]
+        self.path = options["path"].removeprefix("file://")
         self.interval, self.format = int(float(options.get("sample_interval", 2.0)) * 1000), int(options.get("sample_format", 5))
         self.name, self.job, self.overwrite, self.began = options.get("name", "part"), uuid.uuid4().hex, overwrite, time.time_ns()
+        self.old = text_heads(options.get("text", ""), [t for t in options.get("extended", "").split("\f") if t]) if "text" in options or "extended" in options else None
+        if "parent" in options:
+            parent = named(options["parent"])
+            if not parent:
+                raise ValueError(f"no such parent: {options['parent']}")
+            self.old = ranged(parent[0], 0, layout(parent[0], ">")[4])
         os.makedirs(self.path, exist_ok=True)
 
-    def write(self, rows):
-        path, out, n = os.path.join(self.path, f".{self.name}-{uuid.uuid4().hex}.{self.job}"), None, 0
-        for i, row in enumerate(rows):
-            row = row.asDict()
-            x = np.asarray(row["data"], np.float32)
+    def write(self, batches):
+        path, out, n, number = os.path.join(self.path, f".{self.name}-{uuid.uuid4().hex}.{self.job}"), None, 0, 1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = batch.column("data")
+            lengths = np.diff(data.offsets.to_numpy())
             if out is None:
-                out, n = open(path, "wb"), len(x)
-                out.write(file_head(n, self.interval, self.format))
-            if len(x) != n:
+                out, n = open(path, "wb"), int(lengths[0])
+                out.write(file_head(n, self.interval, self.format, self.old))
+            if (lengths != n).any() or data.null_count:
                 raise ValueError("traces of one file are of equal length")
-            head = bytearray(TRACE_HEAD)
-            row |= {"TRACE_SEQUENCE_LINE": i + 1, "TRACE_SEQUENCE_FILE": i + 1, "TRACE_SAMPLE_COUNT": n, "TRACE_SAMPLE_INTERVAL": self.interval}
-            for h, (first, width) in HEADERS.items():
-                if row.get(h) is not None:
-                    struct.pack_into({4: ">i", 2: ">H" if "SAMPLE" in h else ">h"}[width], head, first - 1, int(row[h]))
-            out.write(head + encoded(x, self.format))
+            x = data.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, n)
+            bodies = np.frombuffer(encoded(x, self.format), np.uint8).reshape(batch.num_rows, -1)
+            out.write(np.concatenate([packed_heads(batch, number, n, self.interval), bodies], 1).tobytes())
+            number += batch.num_rows
         if out:
             out.close()
         return _Written(path if out else None)
@@ -197,8 +266,42 @@ class SegySource(DataSource):
         return SegyWriter(self.options, schema, overwrite)
 
 
+class _File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class SegyFilesReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.paths = sorted(p for part in options["path"].split(",") for p in named(part))
+        self.order = "<" if options.get("endian", "big") == "little" else ">"
+
+    def partitions(self):
+        return [_File(p) for p in self.paths]
+
+    def read(self, part):
+        traces, n, interval, fmt, first = layout(part.path, self.order)
+        head = ranged(part.path, 0, first)
+        yield part.path, traces, n, interval / 1000, fmt, head[:3200].decode("cp500"), bytes(head[3200:3600]), [bytes(head[at : at + 3200]) for at in range(HEAD, first, 3200)], [head[at : at + 3200].decode("cp500") for at in range(HEAD, first, 3200)]
+
+
+class SegyFiles(DataSource):
+    """A row for each file: what it holds, and its headers."""
+
+    @classmethod
+    def name(cls):
+        return "segy_files"
+
+    def schema(self):
+        return "file string, n_traces long, n_samples int, sample_interval double, sample_format int, text string, binary binary, extended array<binary>, extended_text array<string>"
+
+    def reader(self, schema):
+        return SegyFilesReader(self.options)
+
+
 def register(spark) -> None:
     spark.dataSource.register(SegySource)
+    spark.dataSource.register(SegyFiles)
 
 
 #: Traces that one task copies when files are aggregated.
@@ -223,18 +326,18 @@ def aggregate(spark, path: str, out: str, name: str = "part", sample_format: int
         f.write(file_head(n, interval, fmt))
         f.truncate(HEAD + size * sum(k[0] for k in kinds))
     ranges, before = [], 0
-    for p, (count, _, _, kind) in zip(paths, kinds):
-        ranges += [(p, kind, a, min(a + COPIED, count), before + a) for a in range(0, count, COPIED)]
+    for p, (count, _, _, kind, head) in zip(paths, kinds):
+        ranges += [(p, kind, a, min(a + COPIED, count), before + a, head) for a in range(0, count, COPIED)]
         before += count
 
     def copy(batches):
         for batch in batches:
-            for source, kind, first, last, place in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for source, kind, first, last, place, head in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 old = TRACE_HEAD + n * WIDTH[kind]
                 with open(part, "r+b") as f:
                     f.seek(HEAD + place * size)
                     for at in range(first, last, 2000):
-                        raw = np.memmap(source, np.uint8, "r", HEAD + at * old, (min(2000, last - at), old))
+                        raw = np.memmap(source, np.uint8, "r", head + at * old, (min(2000, last - at), old))
                         heads = raw[:, :TRACE_HEAD].copy()
                         numbers = np.arange(place + at - first + 1, place + at - first + 1 + len(raw)).astype(">i4").view(np.uint8).reshape(-1, 4)
                         heads[:, :4] = heads[:, 4:8] = numbers
@@ -243,7 +346,7 @@ def aggregate(spark, path: str, out: str, name: str = "part", sample_format: int
                 yield pa.RecordBatch.from_arrays([pa.array([last - first], pa.int64())], ["copied"])
 
     if ranges:
-        asked = spark.createDataFrame(ranges, "path string, kind int, first long, last long, place long").repartition(len(ranges))
+        asked = spark.createDataFrame(ranges, "path string, kind int, first long, last long, place long, head long").repartition(len(ranges))
         copied = asked.mapInArrow(copy, "copied long").groupBy().sum("copied").first()[0]
         if copied != before:
             raise RuntimeError(f"{copied} of {before} traces were copied")

@@ -73,3 +73,37 @@ def test_scratch_is_removed(spark):
     assert saved.count() == 3
     scratch.clean(spark)
     assert not os.path.exists(f"{scratch.shared_dir(spark).removeprefix('file://')}/geostrata-{spark.sparkContext.applicationId}")
+
+
+def test_headers_of_a_parent_are_kept(spark, tmp_path):
+    segy.register(spark)
+    rows = [(i, 1000 + i, -5, [float(i + k) for k in range(7)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "CDP int, SourceX int, offset int, data array<float>")
+    df.coalesce(1).write.format("segy").mode("append").option("text", "C 1 LINE ÄÖ").option("extended", "page one\fpage two").option("sample_format", 1).save(str(tmp_path / "a"))
+    parent = next((tmp_path / "a").glob("*.sgy"))
+    df.limit(20).repartition(3).write.format("segy").mode("append").option("parent", str(parent)).option("sample_format", 1).save(str(tmp_path / "b"))
+    head = parent.read_bytes()[: 3600 + 6400]
+    files = list((tmp_path / "b").glob("*.sgy"))
+    assert files and all(f.read_bytes()[: len(head)] == head for f in files)
+    back = spark.read.format("segy").option("headers", "CDP,SourceX,offset").load(str(tmp_path / "b") + "/*.sgy").collect()
+    assert len(back) == 20 and all((r.SourceX, r.offset, list(r.data)) == (1000 + r.CDP, -5, rows[r.CDP][3]) for r in back)
+    info = spark.read.format("segy_files").load(str(parent)).first()
+    assert (info.n_traces, info.n_samples, info.sample_interval, info.sample_format) == (30, 7, 2.0, 1) and info.text.startswith("C 1 LINE ÄÖ ") and [bytes(e).decode("cp500").strip() for e in info.extended] == ["page one", "page two"]
+    segy.aggregate(spark, str(tmp_path / "[ab]") + "/*.sgy", str(tmp_path / "c"))
+    assert spark.read.format("segy").option("headers", "CDP").load(str(tmp_path / "c") + "/*.sgy").agg({"CDP": "sum"}).first()[0] == sum(range(30)) + sum(r.CDP for r in back)
+    with pytest.raises(Exception, match="don't fit"):
+        df.withColumn("YearDataRecorded", df.CDP + 70_000).write.format("segy").mode("append").save(str(tmp_path / "d"))
+
+
+def test_files_are_read_by_ranges(spark, tmp_path):
+    """Through a file system that opens by ranges only, as those of object stores do."""
+    from pyarrow import fs
+
+    segy.register(spark)
+    spark.createDataFrame([(i, [float(i + k) for k in range(9)]) for i in range(50)], "CDP int, data array<float>").coalesce(1).write.format("segy").mode("append").option("extended", "page").save(str(tmp_path))
+    opened = lambda path: (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), path.removeprefix("store://bucket").lstrip("/"))
+    found = segy.named("store://bucket/*.sgy", opened)
+    assert len(found) == 1 and found[0].startswith("store://bucket/part-") and segy.layout(found[0], ">", opened)[:2] == (50, 9)
+    reader = segy.SegyReader({"path": str(tmp_path) + "/none", "limits": "2:8:3"}, ["CDP"], True)
+    batches = list(reader.read(segy._Range(found[0], 5, 45), opened))
+    assert [(n, x) for b in batches for n, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist())] == [(i, [i + 2.0, i + 5.0]) for i in range(5, 45)]
