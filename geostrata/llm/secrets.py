@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from random import Random
 
 import numpy as np
@@ -272,6 +273,41 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> CharCnn:
     return CharCnn().fit(np.concatenate(xs), np.concatenate(ys))
 
 
+#: Bytes whose code points are counted at once.
+COUNTED = 1 << 22
+
+
+def _begun(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many code points begin before each of some ascending places of UTF-8 bytes."""
+    counts = np.zeros(len(at), np.int64)
+    total, low = 0, 0
+    for high in range(0, len(data) + COUNTED, COUNTED):
+        inner = np.searchsorted(at, [low, high], "left")
+        if inner[1] > inner[0]:
+            running = np.append(0, np.cumsum((data[low:high] & 0xC0) != 0x80))
+            counts[inner[0] : inner[1]] = total + running[at[inner[0] : inner[1]] - low]
+        total += int(((data[low:high] & 0xC0) != 0x80).sum())
+        low = high
+    counts[np.searchsorted(at, low, "left") :] = total
+    return counts
+
+
+def _reaches(spans) -> tuple[list[int], list[int]]:
+    """The starts of spans in order, and how far those up to each reach."""
+    starts, ends, most = [], [], 0
+    for start, _, end in sorted(spans):
+        most = max(most, end)
+        starts.append(start)
+        ends.append(most)
+    return starts, ends
+
+
+def _within(reaches: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    """Whether one of the spans holds the whole of another."""
+    k = bisect_right(reaches[0], start)
+    return k > 0 and reaches[1][k - 1] >= end
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: CharCnn | None = None) -> DataFrame:
     """One row per row of ``df``: id, n_assign, n_access, n_hex, base_sha256, spans, n_added, all spans as kind:start:end."""
     docs = only(df, id=id_col, text=text_col)
@@ -281,20 +317,24 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: C
         for batch in slices(batches, 1):
             column = pc.fill_null(batch.column(1), "")
             data, offsets = utf8(column)
-            raw = data.tobytes()
             spans: dict[int, list] = {}
             for i in np.flatnonzero(pc.match_substring_regex(column, _MAYBE).to_numpy(zero_copy_only=False)).tolist():
-                spans[i] = base_spans(raw[offsets[i] : offsets[i + 1]].decode())
+                spans[i] = base_spans(data[offsets[i] : offsets[i + 1]].tobytes().decode())
             added = [0] * batch.num_rows
             rows, starts, ends = candidates(data, offsets, every=True)
             if len(rows):
                 good = best_scores(model, data, offsets, rows, starts, ends) >= model.threshold
-                base = {i: list(s) for i, s in spans.items()}
-                for r, a, b in zip(rows[good].tolist(), starts[good].tolist(), ends[good].tolist()):
-                    text = raw[offsets[r] : a].decode()  # candidates are ASCII: only what stands before can be wider
-                    start, end = len(text), len(text) + b - a
-                    if not any(s <= start and end <= e for s, _, e in base.get(r, ())):
-                        spans.setdefault(r, []).append((start, 3, end))
+                rows, starts, ends = rows[good], starts[good], ends[good]
+                # candidates are ASCII, so a start's place in code points is a count of what begins before it: one running count of the slice
+                at = np.concatenate([offsets[:-1], starts])
+                order = np.argsort(at, kind="stable")
+                begun = np.zeros(len(at), np.int64)
+                begun[order] = _begun(data, at[order])
+                first = begun[len(offsets) - 1 :] - begun[rows]
+                base = {i: _reaches(spans.get(i, ())) for i in set(rows.tolist())}
+                for r, start, n in zip(rows.tolist(), first.tolist(), (ends - starts).tolist()):
+                    if not _within(base[r], start, start + n):
+                        spans.setdefault(r, []).append((start, 3, start + n))
                         added[r] += 1
             found = [sorted(spans.get(i, ())) for i in range(batch.num_rows)]
             basis = [[s for s in x if s[1] < 3] for x in found]
