@@ -4,7 +4,7 @@ Entities are found by one pattern per text. Each has a canonical form (addresses
 that its mentions refer to one entity however they are written; all distinct entities of the corpus make a dictionary, in which
 every entity gets a surrogate from a keyed hash of its canonical form: digits for digits, letters for letters, the same
 country code, card network, top-level domain, title and script, names of the title's gender, and a valid check digit for a
-card. A number like a card's whose check digit is wrong is no card and stays. Surrogates that two entities share, or that are themselves an entity of the corpus, are drawn again with the next
+card. A number like a card's or an account's whose check digits are wrong is none and stays. Surrogates that two entities share, or that are themselves an entity of the corpus, are drawn again with the next
 attempt's hash, the smallest canonical form keeping its own, until all are distinct. Each mention then gets its entity's
 surrogate in the mention's own format. Texts without an entity are never shuffled and stay as they are. An address has labels of 63
 characters and 127 of them at most, as names of hosts do.
@@ -66,13 +66,15 @@ def _digits(s: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    """The first pattern that is the whole mention; ``none`` for a card number whose check digit is wrong, which is no card."""
+    """The first pattern that is the whole mention; ``none`` for a card number whose check digit is wrong, and for an account number that doesn't
+    leave 1 modulo 97: they are none."""
     out = F.lit("name")
     for kind in reversed([k for k in PATTERNS if k != "name"]):
         out = F.when(entity.rlike(rf"\A(?:{PATTERNS[kind].replace(chr(92) + '2', chr(92) + '1')})\z"), kind).otherwise(out)
     digits = _digits(entity)
     valid = _luhn(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits), F.lit(1))
-    return F.when((out == "card") & ~valid, "none").otherwise(out)
+    account = F.replace(entity, F.lit(" "), F.lit(""))
+    return F.when((out == "card") & ~valid, "none").when((out == "iban") & (_modulo_97(F.concat(F.substr(account, F.lit(5)), F.substr(account, F.lit(1), F.lit(4)))) != 1), "none").otherwise(out)
 
 
 def canonical(kind: Column, entity: Column) -> Column:
@@ -124,6 +126,15 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(-F.aggregate(doubled, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0))), F.lit(10)).cast("string")
 
 
+def _modulo_97(account: Column) -> Column:
+    """What digits and capital letters, which stand for 10 to 35, leave as one number modulo 97."""
+    def step(acc, c):
+        v = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return F.pmod(acc * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)).cast("int")
+
+    return F.aggregate(F.split(account, ""), F.lit(0), step)
+
+
 def _pick(values: list[str], v: Column) -> Column:
     return F.element_at(F.array(*(F.lit(x) for x in values)), (F.pmod(v, F.lit(len(values))) + 1).cast("int"))
 
@@ -153,8 +164,12 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str, gender: Co
     head = F.greatest(F.length(canon) - 10, F.lit(0))  # digits before the last ten are the country's
     phone = F.concat(F.substr(canon, F.lit(1), head), _redrawn(F.substr(canon, head + 1, F.lit(10)), h), more("0"))
     ip = F.concat_ws(".", *((F.pmod(_number(h, 1 + 8 * i), F.lit(254)) + 1).cast("string") for i in range(4)))
-    iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _redrawn(F.substr(canon, F.lit(3), F.length(canon)), h))
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", F.concat(_redrawn(canon, h), more("0"))).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(_name(canon, h, attempt, gender))
+    country, account = F.substr(canon, F.lit(1), F.lit(2)), _redrawn(F.substr(canon, F.lit(5), F.length(canon)), h)
+    iban = F.concat(country, F.lpad((98 - _modulo_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    # an insurance number's area is 001 to 899 without 666, its group and its serial are not 0
+    area = 1 + F.pmod(_number(h, 41), F.lit(898))
+    ssn = F.concat(F.lpad((area + (area >= 666).cast("int")).cast("string"), 3, "0"), F.lpad((1 + F.pmod(_number(h, 49), F.lit(99))).cast("string"), 2, "0"), F.lpad((1 + F.pmod(_number(h, 57), F.lit(9999))).cast("string"), 4, "0"), more("0"))
+    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(_name(canon, h, attempt, gender))
 
 
 def _formatted(kind: Column, mention: Column, canon: Column, found: Column) -> Column:
