@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from geostrata.llm.common import only, saved, scratch, slices, utf8
 
 CRLF = "\r\n"
-#: Records in one archive file at most; a reader holds one file's compressed bytes and one record.
-FILE_RECORDS = 1000
+#: Records and compressed bytes of a bundle at most, unless it is one record, and bundles of an archive file. A reader holds one file's
+#: compressed bytes and one record.
+BUNDLE_RECORDS, BUNDLE_BYTES, FILE_BUNDLES = 250, 16 << 20, 4
 #: Captures in one range of the index, about: what a task holds when it merges.
 RANGE_ROWS = 50_000
 #: A gzip member without content.
@@ -79,14 +80,23 @@ def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     ]
     text = F.concat(F.lit(f"WARC/1.1{CRLF}"), *(F.concat(F.lit(f"{k}: "), v, F.lit(CRLF)) for k, v in heads), F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: "), urn(F.col("first_id")), F.lit(CRLF))).otherwise(""), F.lit(CRLF), block)
     lines = rows.select(text.alias("record")).mapInArrow(_compressed, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).option("maxRecordsPerFile", FILE_BUNDLES).text(path)
 
 
 def _compressed(batches):
-    """Every record with the empty lines at its end, as a gzip member."""
+    """Bundles of records, each with the empty lines at its end as a gzip member, and an empty member between two."""
+    held, size = [], 0
     for batch in batches:
         for piece in slices([batch], 0):
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x.encode() + b"\r\n\r\n", mtime=0) for x in piece.column(0).to_pylist()], pa.binary())], ["value"])
+            for text in piece.column(0).to_pylist():
+                member = gzip.compress(text.encode() + b"\r\n\r\n", mtime=0)
+                if held and (len(held) >= BUNDLE_RECORDS or size + len(member) > BUNDLE_BYTES):
+                    yield pa.RecordBatch.from_arrays([pa.array([EMPTY.join(held)], pa.binary())], ["value"])
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([EMPTY.join(held)], pa.binary())], ["value"])
 
 
 def members(data) -> Iterator[tuple[int, int, bytes]]:
