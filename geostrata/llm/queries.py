@@ -116,7 +116,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.format_chat(turns.union(extra), window=chat.STANDARD_WINDOW))
+    return chat.read_back(chat.format_chat(turns.union(extra)))  # every prefix is rendered whole
 
 
 @query("op8_html_extract")

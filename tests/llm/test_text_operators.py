@@ -609,3 +609,49 @@ def test_texts_are_scored_by_passages(monkeypatch):
     for chunk in (512, 1 << 21):
         monkeypatch.setattr(quality, "CHUNK", chunk)
         assert model.scores(data, offsets)[0] == pytest.approx(wanted, abs=1e-5)
+
+
+def test_places_of_many_findings_are_counted_once(monkeypatch):
+    monkeypatch.setattr(secrets, "COUNTED", 7)
+    rng = random.Random(1)
+    for n in (0, 1, 7, 14, 50):
+        data = "".join(rng.choice("aé漢🙂") for _ in range(n)).encode()
+        at = np.sort(np.array([rng.randrange(len(data) + 1) for _ in range(20)] + [0, len(data)]))
+        assert secrets._begun(np.frombuffer(data, np.uint8), at).tolist() == [sum(b & 0xC0 != 0x80 for b in data[:k]) for k in at]
+    for _ in range(200):
+        spans = [(a, 0, a + rng.randrange(1, 9)) for a in (rng.randrange(30) for _ in range(rng.randrange(6)))]
+        a, b = sorted((rng.randrange(30), rng.randrange(30)))
+        assert secrets._within(secrets._reaches(spans), a, b) == any(s <= a and b <= e for s, _, e in spans)
+
+
+def test_account_and_insurance_numbers_are_of_their_type(spark):
+    valid = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"]
+    left = lambda account: int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+    rows = [(i, f"to {v} now") for i, v in enumerate(valid)] + [(9, "no account: DE88 3704 0044 0532 0130 00")] + [(100 + i, f"insured as {i:03}-45-6789 here") for i in range(100, 400)]
+    found = {r.doc_id: r for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    for i, v in enumerate(valid):
+        new = found[i].text[3:-4]
+        assert new != v and left(new.replace(" ", "")) == 1 and new[:2] == v[:2] and [c == " " for c in new] == [c == " " for c in v] and [c.isdigit() for c in new[4:]] == [c.isdigit() for c in v[4:]]
+    assert found[9].text == rows[3][1] and found[9].n_entities == 0
+    numbers = [found[i].text.split()[2] for i, _ in rows[4:]]
+    assert len(set(numbers)) == 300 and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", n) for n in numbers)
+
+
+def test_archives_are_cut_by_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    page = lambda n: "".join(chr(33 + int(x)) for x in rng.integers(0, 90, n))
+    rows = [(i, f"http://h{i}.org/", page(20_000)) for i in range(40)]
+    whole = list(warc._compressed([pa.RecordBatch.from_pydict({"r": [r[2] for r in rows]})]))
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 50_000)
+    cut = list(warc._compressed([pa.RecordBatch.from_pydict({"r": [r[2] for r in rows]})]))
+    sizes = [len(b.column(0)[0].as_py()) for b in cut]
+    assert len(whole) == 1 and len(cut) > 10 and max(sizes) <= 51_000
+    joined = warc.EMPTY.join(b.column(0)[0].as_py() for b in cut)
+    assert [c for _, _, c in warc.members(joined)] == [r[2].encode() + b"\r\n\r\n" for r in rows] and joined == whole[0].column(0)[0].as_py()
+
+
+def test_every_turn_is_checked_by_the_query(spark):
+    """A template that drops its first turn when there are exactly five is told at turns five and six."""
+    odd = lambda turns: "".join(f"[{r}]{t}" for r, t in (turns[1:] if len(turns) == 5 else turns))
+    flags = [p[3] for p in chat.pieces(odd, [("user", f"t{i}") for i in range(8)])]
+    assert flags == [False] * 4 + [True, True, False, False]
