@@ -53,9 +53,9 @@ _BODY_WORDS = frozenset("article articlebody main post entry story content".spli
 _BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs consent contentinfo cookie cookies footer form header masthead menu modal nav navbar navigation "
     "newsletter notice notification popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget complementary "
-    "alert gdpr login".split()
+    "alert gdpr login onetrust adsbygoogle dfp gpt taboola outbrain anzeige anzeigen werbung reklame publicite publicidad pubblicita datenschutz".split()
 )
-_TALK_WORDS = frozenset("comment comments disqus discussion reader replies reply respond".split())
+_TALK_WORDS = frozenset("comment comments disqus discussion reader replies reply respond kommentar kommentare commentaire commentaires comentario comentarios commenti opinions".split())
 _PLAIN_WORDS = frozenset("area bar block bottom box button buttons class col column container group info inner item items left links list section site top global page primary right row secondary text thread wrap wrapper".split())
 #: What an enclosing element can be. The last three: a class that is nothing but such words, one that has such a word beside others, readers' comments.
 _MARKS = ["body", "nav", "footer", "header", "aside", "form", "whole", "part", "talk"]
@@ -63,7 +63,7 @@ _BIT = {name: 1 << i for i, name in enumerate(_MARKS)}
 _MARK_OF_TAG = {"article": "body", "main": "body", "nav": "nav", "menu": "nav", "footer": "footer", "header": "header", "aside": "aside", "form": "form", "dialog": "form", "button": "form", "fieldset": "form"}
 _TAGS = ["p", "li", "h", "td", "div"]
 _TEXT = 8 + len(_TAGS)
-N_FEATURES = _TEXT + 2 * len(_MARKS) + 6
+N_FEATURES = _TEXT + 2 * len(_MARKS) + 7
 
 
 class Block:
@@ -86,7 +86,18 @@ def _marks(tag: str, attributes: str) -> int:
                     out |= _BIT["whole" if words <= _BOILER_WORDS | _PLAIN_WORDS else "part"]
                 elif words & _BODY_WORDS:
                     out |= _BIT["body"]
-    return out
+    # a reader's comment that is an article of its own is a comment
+    return out & ~_BIT["body"] if out & (_BIT["talk"] | _BIT["whole"]) else out
+
+
+_VALUES = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])", re.I)
+_NOT_SHOWN = re.compile(r"(?<![\w-])style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)display\s*:\s*none", re.I)
+
+
+def _unseen(attributes: str) -> bool:
+    """Whether an element says that it isn't shown."""
+    return ("hidden" in attributes.lower() and bool(_HIDDEN.search(_VALUES.sub("", attributes)))) or ("none" in attributes and bool(_NOT_SHOWN.search(attributes)))
 
 
 def _tag_end(page: str, at: int, closed: dict[str, int]) -> int:
@@ -151,8 +162,8 @@ def _tokens(page: str):
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    # of every open element: tag, marks of the nearest telling one, marks of those around it, number of the nearest telling one, own number, place of the nearest block element
-    stack: list[tuple[str, int, int, int, int, int]] = [("", 0, 0, 0, 0, 0)]
+    # of every open element: tag, marks of the nearest telling one, marks of those around it, number of the nearest telling one, own number, place of the nearest block element, whether it is hidden
+    stack: list[tuple[str, int, int, int, int, int, bool]] = [("", 0, 0, 0, 0, 0, False)]
     opened: Counter[str] = Counter()
     inline: list[Counter[str]] = [Counter()]  # open inline elements in each open block element
     parts, linked, links, number = [], 0, 0, 0
@@ -176,7 +187,7 @@ def blocks(page: str) -> list[Block]:
             inline.pop()
 
     for low, high, tag, closes, attributes in _tokens(page):
-        if high > low:
+        if high > low and not stack[-1][6]:
             parts.append(page[low:high])
             if links:
                 linked += high - low
@@ -204,18 +215,18 @@ def blocks(page: str) -> list[Block]:
             elif tag == "a":
                 links += 1
             number += 1
-            _, near, outer, region, _, block_at = stack[-1]
-            own = _marks(tag, attributes)
+            _, near, outer, region, _, block_at, hidden = stack[-1]
+            own, hidden = _marks(tag, attributes), hidden or _unseen(attributes)
             if own:
                 near, outer, region = own, near | outer, number
             if tag in _INLINE:
                 if not attributes.endswith("/"):
                     inline[-1][tag] += 1
-                    stack.append((tag, near, outer, region, number, block_at))
+                    stack.append((tag, near, outer, region, number, block_at, hidden))
             else:
                 opened[tag] += 1
                 inline.append(Counter())
-                stack.append((tag, near, outer, region, number, len(stack)))
+                stack.append((tag, near, outer, region, number, len(stack), hidden))
     flush()
     return out
 
@@ -224,6 +235,7 @@ def features(found: list[Block]) -> np.ndarray:
     """What the classifier sees of each block."""
     x = np.zeros((len(found), N_FEATURES))
     body, header, part = _BIT["body"], _BIT["header"], _BIT["part"]
+    has_body = any((b.near | b.outer) & body for b in found)
     for i, b in enumerate(found):
         n = len(b.text)
         density, length = min(b.linked / n, 1), math.log1p(n) / 6
@@ -235,6 +247,7 @@ def features(found: list[Block]) -> np.ndarray:
         for j in range(len(_MARKS)):
             x[i, _TEXT + j], x[i, _TEXT + len(_MARKS) + j] = b.near >> j & 1, b.outer >> j & 1
         is_part = bool(b.near & part)
+        x[i, -7] = has_body and not (b.near | b.outer) & body  # outside what the page itself calls its main text
         x[i, -6:] = (is_part * density, is_part * length, is_part and bool(b.outer & body), bool(b.near & header) and bool(b.outer & body), bool(b.near & header) and tag == "h", not b.near)
     return x
 
@@ -293,6 +306,9 @@ def lesson(rng: Random) -> str:
         return f"<div>{pick([items('b', 1), ' '.join(link('b') for _ in range(4)), words('b', 1, 4)])}</div>"
 
     def comments() -> str:
+        if chance(0.35):  # each an article of its own, named or not, with who said it and when
+            one = lambda: f"<article{' ' + named(pick(talk)) if chance(0.5) else ''}><p>{words('b', 1, 3)} {rng.randrange(1, 28)}.{rng.randrange(1, 12)}.</p>{paragraph('b')}</article>"
+            return f"<section {named(pick(talk))}>" + "".join(one() for _ in range(rng.randrange(1, 6))) + "</section>"
         return f"<{(tag := pick(['div', 'section', 'ol']))} {named(pick(talk))}>" + "".join(paragraph("b") for _ in range(rng.randrange(1, 6))) + f"</{tag}>"
 
     if chance(0.05):  # bare text
@@ -304,6 +320,8 @@ def lesson(rng: Random) -> str:
     open_, close = pick([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), (f"<div {named(pick(body))}>", "</div>"), ("<div>", "</div>"), ("", "")])
     page = "".join(side(pick(["nav", "header", "nav", None, None]), False) for _ in range(rng.randrange(1, 4))) + open_ + story + close
     page += "".join(pick([lambda: side(pick(["footer", "aside", "form", None, None]), False), comments])() for _ in range(rng.randrange(1, 4)))
+    if open_ and "<div>" != open_ and chance(0.3):  # what a page that names its main text has outside of it, under no name
+        page = (f"<div>{prose('b', 3, 20)}</div>" if chance(0.5) else "") + page + f"<div><h3>{words('b', 1, 3)}</h3>" + "".join(f"<div>{prose('b')}</div>" for _ in range(rng.randrange(1, 4))) + "</div>"
     if chance(0.1):  # a teaser is an article in a bar at the side
         page += f"<aside {named('related')}><article><h3>{link('b', 3, 9)}</h3><p>{prose('b', 3, 14)}</p></article></aside>"
     return f"<form>{page}</form>" if chance(0.08) else page

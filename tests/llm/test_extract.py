@@ -85,3 +85,22 @@ def test_long_pages_take_linear_time(weights, page):
     began = time.time()
     extract.main_text(page, weights)
     assert time.time() - began < 30
+
+
+STORY = "<article><h1>Title of it</h1><p>The council met on Monday and voted for the bridge, which will be built next year.</p><p>Work begins in spring, said the mayor, and ends a year later.</p></article>"
+TOLD = "Title of it\nThe council met on Monday and voted for the bridge, which will be built next year.\nWork begins in spring, said the mayor, and ends a year later."
+PAGES = [
+    STORY + '<section id="comments"><article class="comment"><p>I do not like this bridge at all, it costs too much money for the town.</p></article></section>',
+    '<div id="onetrust-banner">We value your privacy. Accept all</div>' + STORY,
+    '<div class="adsbygoogle">Buy the best shoes of the town today, they are cheap.</div>' + STORY,
+    STORY + '<div class="dfp-slot">Buy the best shoes of the town today, they are cheap.</div>',
+    STORY + '<div class="kommentare"><p>Ich mag diese neue Brücke gar nicht, sie kostet viel zu viel Geld.</p></div>',
+    STORY + "<div><h3>3 comments</h3><div>I do not like this bridge at all, it costs too much money.</div><div>I do like it, and so will all of you.</div></div>",
+    STORY.replace("<p>Work", "<p hidden>Never shown to anybody who reads this page.</p><p style='color:red; display: none'>Nor this.</p><p class=hidden data-x='hidden'>Work"),
+]
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_what_is_outside_the_main_text_goes(page):
+    w = extract.fit(*extract.lessons())
+    assert extract.main_text(page, w) == TOLD
