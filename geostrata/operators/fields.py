@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geostrata.operators.spatial import idw_weights, nearest_pairs, radius_pairs
+from geostrata.operators.spatial import clough_tocher, delaunay_weights, idw_weights, knots_of, nearest_pairs, radius_pairs, rbf
 
 
 def evaluate(t: str, v: str, at: Column) -> Column:
@@ -43,7 +43,8 @@ def at_knots(field: DataFrame, keep: list[str], t: str, v: str, times: list[floa
         times = [r.t for r in knots(field, t).orderBy("t").limit(MOST_KNOTS + 1).collect()]
         if len(times) > MOST_KNOTS:
             raise ValueError(f"models with more than {MOST_KNOTS} different knots need the times to evaluate them at")
-    grid = field.select("*", F.explode(F.array(*(F.lit(float(x)) for x in times)).cast("array<double>")).alias("_at"))
+    # one small array of the plan, whatever its length, not an expression for each time
+    grid = field.crossJoin(F.broadcast(field.sparkSession.createDataFrame([([float(x) for x in times],)], "_times array<double>"))).select("*", F.explode("_times").alias("_at"))
     return grid.select(*keep, F.col("_at").alias("t"), evaluate(t, v, F.col("_at")).alias("v"))
 
 
@@ -58,13 +59,52 @@ def smooth(field: DataFrame, id_col: str, t: str, v: str, radius: float, xy=("x"
     return near.groupBy(F.col("left_id").alias(id_col), "t").agg(F.avg("v").alias("v"))
 
 
-def interpolate(field: DataFrame, queries: DataFrame, id_col: str, t: str, v: str, times: list[float], neighbors: int = 4, xy=("x", "y")) -> DataFrame:
-    """query_id, t, v: weighted means of the nearest models at places and times asked for."""
-    weights = idw_weights(nearest_pairs(queries, field, neighbors, id_col, id_col, xy, xy))
+#: Interpolators by what they can do: weights of models, or values of parameters only.
+WEIGHTS, SURFACES = ("idw", "delaunay"), ("idw", "delaunay", "ct", "rbf")
+
+
+def checked_interpolator(name: str, known: tuple[str, ...]) -> str:
+    if name not in known:
+        raise ValueError(f"interpolators of this field are {', '.join(known)}, not {name}")
+    return name
+
+
+def weights_of(field: DataFrame, queries: DataFrame, id_col: str, interpolator: str = "idw", neighbors: int = 4, radius: float | None = None, xy=("x", "y")) -> DataFrame:
+    """query_id, point_id, weight: which models of a field count how much at each place. With ``radius`` those within it, and the
+    nearest where none is."""
+    if checked_interpolator(interpolator, WEIGHTS) == "delaunay":
+        return delaunay_weights(queries, field, id_col, id_col, xy, xy)
+    nearest = nearest_pairs(queries, field, neighbors, id_col, id_col, xy, xy)
+    if radius is None:
+        return idw_weights(nearest).select("query_id", "point_id", "weight")
+    inside = radius_pairs(queries, field, radius, id_col, id_col, xy, xy).withColumnsRenamed({"left_id": "query_id", "right_id": "point_id"})
+    rest = nearest.join(inside.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "point_id", "dist")
+    return idw_weights(inside.select("query_id", "point_id", "dist").union(rest)).select("query_id", "point_id", "weight")
+
+
+def interpolate(field: DataFrame, queries: DataFrame, id_col: str, t: str, v: str, times: list[float], neighbors: int = 4, xy=("x", "y"), interpolator: str = "idw", radius: float | None = None) -> DataFrame:
+    """query_id, t, v: weighted means of the models at places and times asked for."""
+    weights = weights_of(field, queries, id_col, interpolator, neighbors, radius, xy)
     values = at_knots(field, [F.col(id_col).alias("point_id")], t, v, times)
     return weights.join(values, "point_id").groupBy("query_id", "t").agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
 
 
+def values_at(params: DataFrame, queries: DataFrame, id_col: str, names: list[str], interpolator: str = "idw", neighbors: int = 4, radius: float | None = None, xy=("x", "y")) -> DataFrame:
+    """query_id and each parameter of a field of models (id, xy, names) at places, by weights, smooth patches or splines."""
+    checked_interpolator(interpolator, SURFACES)
+    if interpolator == "ct":
+        return clough_tocher(queries, params, id_col, id_col, names, xy, xy)
+    if interpolator == "rbf":
+        known = knots_of(params, id_col, xy, names)
+        out = queries.select(F.col(id_col).alias("query_id"), *xy)
+        for name in names:
+            out = rbf(out, known[["x", "y"]].to_numpy(float), known[f"v_{name}"].to_numpy(float), *xy, name)
+        return out.select("query_id", *names)
+    weights = weights_of(params, queries, id_col, interpolator, neighbors, radius, xy)
+    joined = weights.join(params.select(F.col(id_col).alias("point_id"), *names), "point_id")
+    return joined.groupBy("query_id").agg(*(F.sum(F.col("weight") * F.col(n)).alias(n) for n in names))
+
+
 def to_parts(params: DataFrame, names: list[str], by: str) -> DataFrame:
     """by, name, value: parameters of models in long form, for averages and summaries."""
     return params.select(by, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names))).alias("p")).select(by, "p.*")

@@ -10,19 +10,28 @@ from pyspark.sql import functions as F
 
 from geostrata.sources.scratch import saved
 
-#: Coordinate columns of a gather type, by its index columns: fixed values.
+#: Coordinate columns of a gather type, by its index columns in any order: fixed values.
 INDEX_TO_COORDS = {
-    "FieldRecord": ("SourceX", "SourceY"), "SourceX,SourceY": ("SourceX", "SourceY"), "GroupX,GroupY": ("GroupX", "GroupY"), "CDP": ("CDP_X", "CDP_Y"),
-    "CDP_X,CDP_Y": ("CDP_X", "CDP_Y"), "INLINE_3D,CROSSLINE_3D": ("INLINE_3D", "CROSSLINE_3D"), "SUPERGATHER_INLINE_3D,SUPERGATHER_CROSSLINE_3D": ("SUPERGATHER_INLINE_3D", "SUPERGATHER_CROSSLINE_3D"),
+    "FieldRecord": ("SourceX", "SourceY"), "SourceX SourceY": ("SourceX", "SourceY"), "GroupX GroupY": ("GroupX", "GroupY"), "TRACE_SEQUENCE_FILE": ("CDP_X", "CDP_Y"), "FieldRecord TraceNumber": ("CDP_X", "CDP_Y"),
+    "SourceX SourceY GroupX GroupY": ("CDP_X", "CDP_Y"), "CDP": ("CDP_X", "CDP_Y"), "CDP_X CDP_Y": ("CDP_X", "CDP_Y"), "INLINE_3D CROSSLINE_3D": ("INLINE_3D", "CROSSLINE_3D"),
+    "SUPERGATHER_INLINE_3D SUPERGATHER_CROSSLINE_3D": ("SUPERGATHER_INLINE_3D", "SUPERGATHER_CROSSLINE_3D"),
 }
 
 
-def coords_of(index: list[str]) -> tuple[str, str]:
-    key = ",".join(sorted(index, key=lambda c: (not c.endswith("X") and "INLINE" not in c, c)))
-    for k in (",".join(index), key):
-        if k in INDEX_TO_COORDS:
-            return INDEX_TO_COORDS[k]
-    raise KeyError(f"no coordinates are known for an index of {index}")
+def coords_of(index: list[str] | str, source_ids: list[str] | None = None, receiver_ids: list[str] | None = None) -> tuple[str, str]:
+    """The coordinate columns of gathers by ``index``; a survey's own columns of source or receiver ids have the source's or the receiver's."""
+    asked = {index} if isinstance(index, str) else set(index)
+    known = [(set(k.split()), v) for k, v in INDEX_TO_COORDS.items()] + [(set(source_ids or ()), ("SourceX", "SourceY")), (set(receiver_ids or ()), ("GroupX", "GroupY"))]
+    for columns, found in known:
+        if asked and columns == asked:
+            return found
+    raise KeyError(f"no coordinates are known for an index of {sorted(asked)}")
+
+
+def drawn(index: list[str], seed: int) -> Column:
+    """An even number in [0, 1) for each key, the same in every engine: from the digits of a digest of the key and the seed."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in index)).cast("binary")), 1, 12)
+    return F.conv(digits, 16, 10).cast("long") / float(1 << 48)
 
 
 def select(df: DataFrame, cols: list[str] | str) -> DataFrame:
@@ -99,7 +108,7 @@ def get_gathers(df: DataFrame, index: list[str], keys: list[tuple], order: str)
 
 def sample_gather(df: DataFrame, index: list[str], seed: int = 0) -> DataFrame:
     """The traces of one gather that the seed picks."""
-    picked = df.select(*index).distinct().orderBy(F.xxhash64(*index, F.lit(seed)), *index).limit(1)
+    picked = df.select(*index).distinct().orderBy(drawn(index, seed), *index).limit(1)
     return df.join(F.broadcast(picked), index, "left_semi")
 
 
@@ -139,5 +148,5 @@ def common_value(df: DataFrame, index: list[str], col: str) -> DataFrame:
 
 def split(df: DataFrame, index: list[str], shares: tuple[float, float, float], seed: int = 0) -> DataFrame:
     """A column ``split`` of train, test or validation, alike for all traces of a gather, by a hash of its key."""
-    u = F.pmod(F.xxhash64(*index, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    u = drawn(index, seed)
     return df.withColumn("split", F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "test").otherwise("validation"))

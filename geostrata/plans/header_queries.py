@@ -71,12 +71,15 @@ def common_value(spark, d):
     return headers.common_value(lines(spark, d), ["l_orderkey"], "l_suppkey")
 
 
-@query("split_hash")
+_DRAWN = "CAST('0x' || substr(md5('{}:' || {}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
+@query("split_hash", f"WITH u AS (SELECT {_DRAWN.format(7, 'o_custkey')} AS u FROM orders) SELECT CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.8 + 0.1 THEN 'test' ELSE 'validation' END AS split, count(*) AS n FROM u GROUP BY 1")
 def split_hash(spark, d):
     return headers.split(table(spark, d, "orders"), ["o_custkey"], (0.8, 0.1, 0.1), 7).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("sample_gather")
+@query("sample_gather", f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = (SELECT l_orderkey FROM lineitem ORDER BY {_DRAWN.format(3, 'l_orderkey')}, l_orderkey LIMIT 1)")
 def sample_gather(spark, d):
     return headers.sample_gather(lines(spark, d), ["l_orderkey"], 3).select("l_orderkey", "l_linenumber", "l_quantity")
 

@@ -274,6 +274,21 @@ def delaunay_lattice(spark, d):
     return weights.join(known.select(F.col("id").alias("point_id"), "v"), "point_id").groupBy(F.col("query_id").alias("id")).agg(F.round(F.sum(F.col("weight") * F.col("v")), 4).alias("v"))
 
 
+_BARY = """t AS (SELECT id, i, j, unnest(CASE WHEN a + b <= 1 THEN [0, 1, 0] ELSE [1, 0, 1] END) AS di, unnest(CASE WHEN a + b <= 1 THEN [0, 0, 1] ELSE [1, 1, 0] END) AS dj,
+  unnest(CASE WHEN a + b <= 1 THEN [1 - a - b, a, b] ELSE [a + b - 1, 1 - a, 1 - b] END) AS w FROM q)"""
+
+
+@query("field_delaunay", f"WITH {_LATTICE}, {_BARY} SELECT t.id, s.t, round(sum(w * CASE WHEN k.id % 2 = 0 THEN 1500 + k.v + s.t * 0.5 ELSE 1800 + k.v + s.t * s.t / 2000 END), 4) AS v FROM t JOIN k ON k.i = t.i + di AND k.j = t.j + dj, (SELECT unnest([0.0::DOUBLE, 1000, 2000]) AS t) s GROUP BY t.id, s.t")
+def field_delaunay(spark, d):
+    """Velocity functions between knots, by the weights of their triangles; every second function bends at 1000 ms."""
+    known, places = lattice(spark, d)
+    v = (F.col("i") * 7 + F.col("j") * F.col("j") * 3) % 11 + F.col("i") * F.col("j") * 0.5
+    even = F.col("id") % 2 == 0
+    field = known.select("id", "x", "y", F.when(even, F.array(F.lit(0.0), F.lit(2000.0))).otherwise(F.array(F.lit(0.0), F.lit(1000.0), F.lit(2000.0))).alias("t"), F.when(even, F.array(1500 + v, 2500 + v)).otherwise(F.array(1800 + v, 2300 + v, 3800 + v)).alias("vel"))
+    out = fields.interpolate(field, places, "id", "t", "vel", [0.0, 1000.0, 2000.0], interpolator="delaunay")
+    return out.select(F.col("query_id").alias("id"), "t", F.round("v", 4).alias("v"))
+
+
 @query("clough_tocher", f"WITH {_LATTICE}, p AS (SELECT id, 100 * (i + a) + 30 * (j + b) AS x, 90 * (j + b) AS y FROM q) SELECT id, round(0.002 * x * x - 0.03 * x * y + 0.1 * y * y + 5 * x - 7, 3) AS v FROM p")
 def clough_tocher(spark, d):
     """Patches with known gradients meet a quadratic function everywhere."""

@@ -74,6 +74,14 @@ for _fmt in ("fwf", "csv"):
         return text.read_table(spark, path, ["id", "x", "y"], fmt=fmt, skiprows=1, types={"id": "bigint"})
 
 
+@query("table_with_heading", f"WITH {_POINTS} SELECT y, id FROM (SELECT CAST(id AS DOUBLE) AS id, round(y, 3) AS y FROM s)")
+def table_with_heading(spark, d):
+    """Two columns by the names of a heading, numbers with decimal commas that nothing says."""
+    path = scratch(spark, "table")
+    text.write_table(suppliers(spark, d).select("id", "x", "y"), path, "fwf", precision=3, header=True, decimal=",")
+    return text.read_table(spark, path, ["y", "id"], has_header=True, decimal=None)
+
+
 @query("header_files", "SELECT o_orderkey, o_custkey, o_totalprice AS price FROM orders")
 def header_files(spark, d):
     """Headers dumped to a text file and loaded again by their keys."""

@@ -8,13 +8,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, path: str, columns: list[str], usecols: list[int] | None = None, fmt: str = "fwf", sep: str = ",", skiprows: int = 0, decimal: str = ".", types: dict[str, str] | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, usecols: list[int] | None = None, fmt: str = "fwf", sep: str = ",", skiprows: int = 0, decimal: str | None = ".", types: dict[str, str] | None = None, has_header: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """A table of numbers separated by white space (``fwf``) or ``sep`` (``csv``): columns by name, chosen by position.
 
-    Positions may be negative; they and the names are in ascending order of position. ``skiprows`` rows are skipped of every file, of
-    which a heading is one.
+    Positions may be negative; they and the names are in ascending order of position. ``skiprows`` rows are skipped of every file; with
+    ``has_header`` the next one is a heading, which gives the names, or those of ``columns`` are looked for in it. Without ``decimal``
+    the sign is a comma where the first row of numbers of a ``fwf`` file has no point.
     """
-    lines = spark.read.text(path)
+    if columns is None and not has_header:
+        raise ValueError("a table without a heading needs the names of its columns")
+    if has_header or decimal is None:
+        # a few rows of the first file tell what all are like
+        top = [r.value for r in spark.read.option("encoding", encoding).text(path).limit(skiprows + has_header + 1).collect()]
+        cells = lambda line: [c.strip() for c in (line.split() if fmt == "fwf" else line.split(sep))]
+        if len(top) <= skiprows + has_header - 1:
+            raise ValueError(f"{path} ends before its heading")
+        if has_header:
+            names = cells(top[skiprows])
+            if usecols is not None:
+                usecols = [i % len(names) for i in usecols]
+                columns = columns or [names[i] for i in usecols]
+            elif columns is not None:
+                if missing := set(columns) - set(names):
+                    raise ValueError(f"no such columns: {sorted(missing)}")
+                usecols = [names.index(c) for c in columns]
+            columns = columns or names
+            skiprows += 1
+        if decimal is None:
+            decimal = "." if fmt == "csv" or len(top) <= skiprows or "." in top[-1] else ","
+    if usecols is not None and any(a >= 0 and b >= 0 and a > b for a, b in zip(usecols, usecols[1:])) and not has_header:
+        raise ValueError("positions are in ascending order")
+    spark_text = spark.read.option("encoding", encoding)
+    lines = spark_text.text(path)
     if skiprows:
         lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
         place = F.row_number().over(Window.partitionBy("_file").orderBy("_n"))  # a few rows of each file's beginning
