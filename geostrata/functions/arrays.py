@@ -91,14 +91,6 @@ def running_sums(a: Column, block: int = 32) -> Column:
     return F.when(F.size(a) > 0, F.concat(F.array(F.lit(0.0)), bound(inner, shifted))).otherwise(F.array(F.lit(0.0)))
 
 
-def runs(flags: Column) -> Column:
-    """For an array of booleans the array of structs (start, length) of its runs of true, in order."""
-    step = lambda acc, on, i: F.when(on & (F.size(acc) > 0) & (F.element_at(acc, -1)["start"] + F.element_at(acc, -1)["length"] == i), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (F.element_at(acc, -1)["length"] + 1).alias("length"))))).when(on, F.concat(acc, F.array(F.struct(i.alias("start"), F.lit(1).alias("length"))))).otherwise(acc)
-    numbered = F.transform(flags, lambda x, i: F.struct(x.alias("on"), i.alias("i")))
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    return F.aggregate(numbered, empty, lambda acc, p: F.when(F.size(acc) == 0, F.when(p["on"], F.array(F.struct(p["i"].alias("start"), F.lit(1).alias("length")))).otherwise(acc)).otherwise(step(acc, p["on"], p["i"])))
-
-
 def longest_run(flags: Column) -> Column:
     """Length of the longest run of true: a fold over (current, best)."""
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))

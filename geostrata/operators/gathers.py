@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geostrata.functions.arrays import bound, element, moments, piecewise, running_sums, runs, samples, valid
+from geostrata.functions.arrays import bound, element, moments, piecewise, running_sums, samples, valid
 from geostrata.operators.quantiles import exact_quantiles
 
 EPS = 1e-10
@@ -147,7 +147,13 @@ def pick_to_mask(time: Column, n: int, interval: float, delay: float = 0.0) -> C
 
 def mask_to_pick(mask: Column, interval: float, delay: float = 0.0, threshold: float = 0.5) -> Column:
     """The time at which the first of the longest runs of values over the threshold starts; the delay without one."""
-    best = F.aggregate(runs(F.transform(mask, lambda x: x >= threshold)), F.struct(F.lit(0).alias("start"), F.lit(0).alias("length")), lambda acc, r: F.when(r["length"] > acc["length"], r).otherwise(acc))
+    def step(acc, x):
+        now = F.when(x["on"], acc["now"] + 1).otherwise(0)
+        longer = now > acc["length"]
+        return F.struct(F.when(longer, x["i"] - now + 1).otherwise(acc["start"]).alias("start"), F.when(longer, now).otherwise(acc["length"]).alias("length"), now.alias("now"))
+
+    numbered = F.transform(mask, lambda x, i: F.struct((x >= threshold).alias("on"), i.alias("i")))
+    best = F.aggregate(numbered, F.struct(F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).alias("now")), step)
     return best["start"] * F.lit(float(interval)) + F.lit(float(delay))
 
 

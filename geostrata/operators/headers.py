@@ -98,12 +98,16 @@ def get_gather(df: DataFrame, index: list[str], key: tuple) -> DataFrame:
     return df.where(gather_condition(index, key))
 
 
+#: Keys that are broadcast to the traces at most; more of them are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+
+
 def get_gathers(df: DataFrame, index: list[str], keys: list[tuple], order: str) -> DataFrame:
     """The traces of the gathers asked for, in the order of asking, repeated if asked for twice."""
     spark = df.sparkSession
     schema = ", ".join(["ask long", *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in index)])
     asked = spark.createDataFrame([(i, *k) for i, k in enumerate(keys)], schema)
-    return df.join(F.broadcast(asked), index).orderBy("ask", *index, order)  # a list of keys that the caller holds
+    return df.join(F.broadcast(asked) if len(keys) <= BROADCAST_KEYS else asked, index).orderBy("ask", *index, order)
 
 
 def sample_gather(df: DataFrame, index: list[str], seed: int = 0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geostrata.operators.quantiles import exact_quantiles
+
 AGGREGATES = {
     "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "std": F.stddev_samp, "var": F.var_samp, "median": F.median,
     "count": F.count, "first": F.first, "nunique": F.count_distinct,
@@ -77,7 +79,8 @@ def append(a: DataFrame, b: DataFrame) -> DataFrame:
 def centered_norm(items: DataFrame, value: str, quantile: float) -> DataFrame:
     """The mean and a quantile of absolute deviations from it: the range of a map's colours."""
     center = items.agg(F.avg(value).alias("center"))
-    return items.crossJoin(F.broadcast(center)).groupBy("center").agg(F.percentile(F.abs(F.col(value) - F.col("center")), F.lit(quantile)).alias("half_range"))
+    far = items.crossJoin(F.broadcast(center)).select(F.array(F.abs(F.col(value) - F.col("center"))).alias("far"))
+    return center.crossJoin(exact_quantiles(far, "far", [quantile], names=["half_range"]))  # one row each
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geostrata.functions.arrays import piecewise
+from geostrata.operators import surfacesums
 from geostrata.operators.gathers import COHERENCY
 from geostrata.operators.nearsurface import arrival_times, fit_refractors, losses
 from geostrata.operators.spatial import idw, nearest_pairs, radius_pairs
@@ -164,6 +165,10 @@ def constant_refractor(velocity: float) -> dict[str, float]:
     return check_params({"t0": 0.0, "v1": float(velocity)})
 
 
+#: Different picks of a gather that one task fits a model to at most.
+MOST_PICKS = 200_000
+
+
 def refractor_velocities(df: DataFrame, by: list[str], offset_col: str, time_col: str, n_refractors: int, loss: str = "L1", starts: DataFrame | None = None, **kwargs) -> DataFrame:
     """by, t0, x1.., v1.., loss: one near-surface model per gather. ``starts``: parameters that a gather's descent begins at, with a
     lower and an upper bound of each in columns <name>_low and <name>_high. Equal picks of a gather are counted before a task gets them."""
@@ -183,9 +188,19 @@ def refractor_velocities(df: DataFrame, by: list[str], offset_col: str, time_col
     keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
     x, t = F.col(offset_col).cast("double").alias("_x"), F.col(time_col).cast("double").alias("_t")
     picks = df.select(*by, x, t).where("_x is not null and _t is not null and not isnan(_x) and not isnan(_t)").groupBy(*by, "_x", "_t").agg(F.count("*").alias("_n"))
+    schema = keys + "".join(f", {c} double" for c in [*names, "loss"])
     if starts is not None:
-        picks = picks.join(starts.select(*by, *extra), by)
-    return picks.groupBy(*by).applyInPandas(run, keys + "".join(f", {c} double" for c in [*names, "loss"]))
+        return picks.join(starts.select(*by, *extra), by).groupBy(*by).applyInPandas(run, schema)
+    # a gather of many different picks is never in one task: its fit is made of sums
+    picks = saved(picks, "picks")
+    if (max_offset := kwargs.get("max_offset")) is not None:
+        picks = picks.where(F.col("_x") <= max_offset)
+    large = saved(picks.groupBy(*by).agg(F.count("*").alias("_k")).where(F.col("_k") > MOST_PICKS).select(*by), "large")
+    small = picks.join(large, by, "left_anti").groupBy(*by).applyInPandas(run, schema)
+    if large.isEmpty():
+        return small
+    found = surfacesums.fitted(picks.join(large, by, "left_semi"), by, n_refractors, loss, **{k: v for k, v in kwargs.items() if k in ("huber", "min_velocity_step", "min_size")})
+    return small.unionByName(found.select(*by, *(F.get("fit_p", F.lit(i)).alias(c) for i, c in enumerate(names)), F.col("fit_loss").alias("loss")))
 
 
 def refractor_points(picks: DataFrame, params: DataFrame, by: list[str], offset_col: str, n_refractors: int) -> DataFrame:

@@ -91,3 +91,19 @@ def test_rising_numbers_are_the_nearest():
         assert (np.diff(out) >= 0.5 - 1e-9).all()
         cost = (weights * (out - values) ** 2).sum()
         assert all(cost <= (weights * (np.cumsum(np.append(out[0] + a, 0.5 + np.abs(np.diff(out) - 0.5 + b))) - values) ** 2).sum() + 1e-9 for a, b in zip(rng.normal(size=40) * 0.3, rng.normal(size=(40, 3)) * 0.3))
+
+
+@pytest.mark.parametrize("loss", ["L1", "MSE", "huber"])
+def test_fits_made_of_sums_are_those_of_one_task(spark, monkeypatch, loss):
+    rows, n = [], 2
+    for g in range(3):
+        x, t = noisy(g, 200, 10.0 + 5 * g, 300.0 + 50 * g, (1500.0 + 100 * g, 3500.0))
+        rows += [(g, float(a), float(b)) for a, b in zip(x, t)]
+    df = spark.createDataFrame(rows, "g int, off double, t double").repartition(3)
+    whole = {r.g: r for r in velocity.refractor_velocities(df, ["g"], "off", "t", n, loss).collect()}
+    monkeypatch.setattr(velocity, "MOST_PICKS", 100)
+    sums = {r.g: r for r in velocity.refractor_velocities(df, ["g"], "off", "t", n, loss).collect()}
+    assert whole.keys() == sums.keys() == {0, 1, 2}
+    for g in whole:
+        velocity.check_params({c: sums[g][c] for c in velocity.param_names(n)}, min_velocity_step=1.0, min_size=1.0)
+        assert sums[g].loss <= whole[g].loss * 1.01
