@@ -41,7 +41,7 @@ FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.
 #: Characters of a slice, about: a task composes a slice's documents in arrays of about ten times as much memory.
 SLICE = 1 << 24
 #: Segments are aligned in so many rounds, and reach the slices in so many: only one round's shuffle files are on the disks at a time.
-ALIGN_ROUNDS, ROUNDS = 2, 3
+ALIGN_ROUNDS, ROUNDS = 2, 4
 #: Segments that are tokenized at once, and occurrences of pairs that are counted at once.
 BATCH, PAIRS = 2048, 1 << 19
 #: What counts as white here: all that either side may take for it, since a place that is no cut does no harm.
