@@ -275,16 +275,19 @@ def sharing_prefixes(mixed: DataFrame, docs: DataFrame, words: int, percent: int
     prefixes = rows.join(often.hint("merge"), "h").withColumn("rank", rank).where((F.col("rank") <= last) & (F.col("low") < F.col("high")))
     prefixes = saved(prefixes.select(F.col("h").alias("a"), F.col("id").alias("b"), F.col("label").alias("component")), "prefixes")
     shared = prefixes.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("a")
-    return saved(prefixes.join(shared, "a", "left_semi"), "shared")
+    return saved(prefixes.join(shared.hint("merge"), "a", "left_semi"), "shared")
 
 
 def compared_in_blocks(mixed: DataFrame, sizes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between members of one family of buckets that are of different components: of two blocks and two components one, if there
-    is any. Only links leave the tasks."""
-    least = mixed.groupBy("a").agg(F.min("b").alias("least"))
-    families = connected_components(mixed.join(least, "a").select(F.col("least").alias("a"), "b").distinct())
+    """Links between members of one family of components, which share entries (a, b, component) of ``mixed``: of two blocks and two
+    components one, if there is any. Only links leave the tasks."""
+    # families are made of components: members of one are together already
+    held = saved(mixed.select("a", "component").distinct(), "held")
+    least = held.groupBy("a").agg(F.min("component").alias("least"))
+    families = connected_components(held.join(least.hint("merge"), "a").select(F.col("least").alias("a"), F.col("component").alias("b")).distinct())
     known = sizes.groupBy(F.col("a").alias("id")).agg(F.max("b").alias("size"))
-    members = saved(mixed.select(F.col("b").alias("id"), F.col("component").alias("label")).distinct().join(families.withColumnRenamed("component", "family"), "id").join(known, "id"), "members")
+    labelled = mixed.select(F.col("b").alias("id"), F.col("component").alias("label")).distinct()
+    members = saved(labelled.join(families.select(F.col("id").alias("label"), F.col("component").alias("family")), "label").join(known, "id"), "members")
     labels = members.groupBy("family", "label").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     # the blocks of the largest component come first, and are compared with the others only
     most = labels.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.max(F.struct("size", "label", "n")).alias("first"), F.sum("size").alias("all"), F.sum("n").alias("n"))
