@@ -11,9 +11,9 @@ it as its centre, so a group of copies of any size arrives there as one row per
 
 Stars alone can miss a link between two members that a bucket's centre confirms neither or only one of. So what stars leave in
 different components is tested too, and the folded members of such buckets come back for that: every pair of one bucket and two
-components is tested. Buckets with up to SMALL such pairs a member are tested by further stars, whose centres are outside the
-bucket's most frequent component. Of the others' members each set keeps a prefix, its rarest shingles: as many as a set that is alike
-enough can't miss, a fifth of them and one more. Only sets of different components that share one of these go on, so that a
+components is tested. Buckets of up to FEW members with up to SMALL such pairs a member are tested by further stars, whose centres are outside the
+bucket's most frequent component. Of the others' members each set keeps a prefix, its rarest shingles by counts of COUNTS bins of hashes, which is one order for all
+sets and needs no table of shingles: as many as a set that is alike enough can't miss, a fifth of them and one more. Only sets of different components that share one of these go on, so that a
 template's words, which bring texts into one bucket, bring no work. What goes on is compared in blocks of a bounded number of
 shingles and documents: a task compares two blocks by matrix products of which only links leave it, and the sets of a family that
 shares prefixes meet in as many tasks as it takes; blocks of the family's most frequent component are not compared with one another.
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geostrata.llm.common import mix64, only, saved, slices, utf8, word_hashes
@@ -38,8 +38,10 @@ from geostrata.llm.components import connected_components
 BINS, ROWS, BANDS = 256, 6, 42
 #: Links of one centre that one task confirms.
 STAR = 256
-#: Pairs of different components for each member of a bucket up to which further stars are used, and the shingles of a block beyond that.
-SMALL, BLOCK = 16, 150_000
+#: Pairs of different components for each member of a bucket, and members of it, up to which further stars are used, and the shingles of a block beyond that.
+SMALL, FEW, BLOCK = 16, 64, 150_000
+#: Bins in which shingles are counted, whatever the corpus: the rarest ones are those of the smallest bins.
+COUNTS = 1 << 18
 #: Documents of a block: a task compares two blocks by matrices of so many rows and columns.
 BLOCK_DOCS = 2048
 #: Shares are compared as integers: PERCENT * union <= 100 * intersection.
@@ -248,15 +250,52 @@ def _compare(words: int, percent: int):
     return run
 
 
-def _shingle_rows(words: int):
-    """A row for each distinct shingle of each document: its id, its label, the size of its set, the shingle's hash."""
+def _whole_sets(words: int):
+    """id, label and the sorted shingle hashes of every document."""
 
     def run(batches):
         for batch in slices(batches, 2, 1 << 20):
             sets = shingle_sets(*utf8(batch.column(2)), words)
-            n = np.array([len(s) for s in sets], np.int64)
-            at = pa.array(np.repeat(np.arange(len(sets)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "label", "n", "h"])
+            ends = np.cumsum([0, *map(len, sets)])
+            hashes = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), hashes.cast(pa.list_(pa.int64()))], ["id", "label", "hashes"])
+
+    return run
+
+
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a batch's sets and the offsets of its rows in them."""
+    return column.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+
+
+def _bin_counts(bins: int):
+    """The number of shingles of a task's sets in each bin that has any."""
+
+    def run(batches):
+        n = np.zeros(bins, np.int64)
+        for batch in batches:
+            n += np.bincount((_hashes(batch.column(0))[0] % np.uint64(bins)).astype(np.int64), minlength=bins)
+        has = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(n[has])], ["bin", "n"])
+
+    return run
+
+
+def prefix(shingles: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest of a sorted set's shingles, by their bins' counts and then by themselves, of which sets that are alike enough share one."""
+    order = np.argsort(often[(shingles % np.uint64(len(often))).astype(np.int64)], kind="stable")
+    return shingles[order[: len(shingles) - (len(shingles) * percent + 99) // 100 + 1]]
+
+
+def _prefixes(often, percent: int):
+    """A row for each shingle of each set's prefix: the shingle's hash, the id, its label."""
+
+    def run(batches):
+        for batch in batches:
+            flat, ends = _hashes(batch.column(2))
+            found = [prefix(flat[a:b], often.value, percent) for a, b in zip(ends[:-1], ends[1:])]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["a", "b", "component"])
 
     return run
 
@@ -267,13 +306,12 @@ def sharing_prefixes(mixed: DataFrame, docs: DataFrame, words: int, percent: int
     Two sets that link share at least ``percent`` of either's shingles, so they share one of all but those and one more, whatever order all sets are cut in.
     """
     members = mixed.select(F.col("b").alias("id"), F.col("component").alias("label")).distinct()
-    rows = saved(docs.join(members.hint("merge"), "id").select("id", "label", "text").mapInArrow(_shingle_rows(words), "id long, label long, n long, h long"), "shingles")
-    often = rows.groupBy("h").agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "h"))  # the rows of one set
-    # the last place of a prefix; what ceil() would be of whole numbers
-    last = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    prefixes = rows.join(often.hint("merge"), "h").withColumn("rank", rank).where((F.col("rank") <= last) & (F.col("low") < F.col("high")))
-    prefixes = saved(prefixes.select(F.col("h").alias("a"), F.col("id").alias("b"), F.col("label").alias("component")), "prefixes")
+    sets = saved(docs.join(members.hint("merge"), "id").select("id", "label", "text").mapInArrow(_whole_sets(words), "id long, label long, hashes array<long>"), "shingles")
+    counts = sets.select("hashes").mapInArrow(_bin_counts(COUNTS), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNTS, np.int64)  # of one size for every corpus
+    often[counts["bin"]] = counts["n"]
+    shared_counts = docs.sparkSession.sparkContext.broadcast(often)
+    prefixes = saved(sets.mapInArrow(_prefixes(shared_counts, percent), "a long, b long, component long"), "prefixes")
     shared = prefixes.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("a")
     return saved(prefixes.join(shared.hint("merge"), "a", "left_semi"), "shared")
 
@@ -327,7 +365,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = saved(stayed.union(folded).distinct(), "entries")
     shares = entries.groupBy("a", "component").agg(F.count("*").alias("n"))
     shares = shares.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("components"))
-    mixed = saved(entries.join(shares.where("components > 1"), "a").select("a", "b", "component", "most", ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= SMALL * F.col("n")).alias("few")), "mixed")
+    mixed = saved(entries.join(shares.where("components > 1"), "a").select("a", "b", "component", "most", ((F.col("n") <= FEW) & ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= SMALL * F.col("n"))).alias("few")), "mixed")
     small = mixed.where("few")
     other = small.where("component <> most").select("a", F.col("b").alias("c"), F.col("component").alias("c_component"))
     pairs = small.join(other, "a").where("component <> c_component and (component = most or b < c)")

@@ -187,6 +187,40 @@ def test_links_just_above_the_threshold(spark, parts):
     assert got(minhash.near_duplicates(df, words=2), "doc_id", "component_id") == sorted(component.items(), key=str)
 
 
+@pytest.mark.parametrize("small", [16, 0])
+def test_outliers_of_a_large_component_are_not_paired_with_all_of_it(spark, monkeypatch, small):
+    """Buckets of 300 members of one component and a few texts that are just less alike: neither pairs nor shingles become rows of a join."""
+    rng, saved, made = np.random.default_rng(5), minhash.saved, {}
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, edited(rng, words, 0.004)) for i in range(300)] + [(1000 + k, " ".join(words[:160] + [f"o{k}x{i}" for i in range(40)])) for k in range(12)]
+    rows += [(2000, " ".join(words[:150] + [f"o3x{i}" for i in range(40)]))]  # links with an outlier only
+    _, component = brute_components(rows, 2)
+    assert component[2000] == 1003 and len(set(component.values())) == 13
+
+    def counted(df, name):
+        out = saved(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "saved", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert got(minhash.near_duplicates(df, words=2), "doc_id", "component_id") == sorted(component.items(), key=str)
+    assert made["stars"] <= 4 * len(rows) and made.get("shingles", 0) <= len(rows), made
+
+
+def test_prefixes_of_sets_that_link_meet_in_any_order():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 4, 5, 9, 60):
+        for _ in range(200):
+            often = rng.integers(0, 3, int(rng.integers(1, 50)))
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, n // 8).astype(np.uint64)]))
+            if minhash.linked(a, b):
+                assert len(np.intersect1d(minhash.prefix(a, often, 80), minhash.prefix(b, often, 80)))
+                assert len(minhash.prefix(a, often, 80)) == len(a) - -(-len(a) * 80 // 100) + 1
+
+
 def test_densified_bins_agree_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     agree, trials = 0, 300
