@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,18 +13,20 @@ from pyspark.sql import functions as F
 
 from geostrata.sources.scratch import clean, saved, scratch, shared_dir
 
-__all__ = ["clean", "dropped", "mix64", "only", "saved", "saved_lean", "scratch", "shared_dir", "slices", "table", "utf8", "word_hashes"]
+__all__ = ["clean", "dropped", "mix64", "only", "released", "saved", "saved_by_batches", "saved_lean", "scratch", "shared_dir", "slices", "table", "utf8", "word_hashes"]
+
+
+#: Bytes of an Arrow batch where a table is saved by batches.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved_lean(df: DataFrame, name: str) -> DataFrame:
-    """saved(), after which the shuffle files of making ``df`` are gone, and written so as to need little room. Tables dealt by some of the
-    columns that join them are joined as they lie, and lists are collected from rows that are in order already."""
+def _saved_under(df: DataFrame, name: str, settings: dict[str, str]) -> DataFrame:
+    """saved() under settings that are put back afterwards."""
     conf = df.sparkSession.conf
-    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
     before = {k: conf.get(k) for k in settings}
     try:
         for k, v in settings.items():
@@ -32,6 +37,17 @@ def saved_lean(df: DataFrame, name: str) -> DataFrame:
             conf.set(k, v)
 
 
+def saved_lean(df: DataFrame, name: str) -> DataFrame:
+    """saved(), after which the shuffle files of making ``df`` are gone, and written so as to need little room. Tables dealt by some of the
+    columns that join them are joined as they lie, and lists are collected from rows that are in order already."""
+    return _saved_under(df, name, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd", "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"})
+
+
+def saved_by_batches(df: DataFrame, name: str) -> DataFrame:
+    """saved(), whose Arrow batches hold about BATCH_BYTES, or one larger row: else 10,000 rows of text are whole in the JVM and in a worker."""
+    return _saved_under(df, name, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)})
+
+
 def dropped(table_: DataFrame) -> None:
     """Removes the files of a table that saved() made and that nothing will read any more."""
     hadoop = table_.sparkSession.sparkContext._jsc.hadoopConfiguration()
@@ -56,8 +72,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+@cache
+def _libc():
+    """The C library where it can give back memory, else None."""
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") else None
+
+
+def released() -> None:
+    """Gives back the memory that this process has freed but holds, numpy's and Arrow's."""
+    pa.default_memory_pool().release_unused()
+    if _libc():
+        _libc().malloc_trim(0)
+
+
 def slices(batches, column: int, most_bytes: int = 4 << 20, most_rows: int = 2048):
-    """Arrow batches cut so that one holds at most so many bytes of a string column, or a single row."""
+    """Arrow batches cut so that one holds at most so many bytes of a string column, or a single row. What a batch took goes back to the
+    system after it and after the last: workers are used again by later stages, and what they keep adds up to theirs."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -68,6 +99,7 @@ def slices(batches, column: int, most_bytes: int = 4 << 20, most_rows: int = 204
             end = min(max(end, at + 1), at + most_rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+        released()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geostrata.llm.common import only, saved, slices
+from geostrata.llm.common import only, saved_by_batches, slices
 
 N_BUCKETS = 12
 #: Tokens of a batch, padding included.
@@ -70,7 +70,7 @@ def tokenized(docs: DataFrame, ranks: bytes) -> DataFrame:
 
     def run(batches):
         known = encoding(shared.value)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 1 << 20):
             found = [token_ids(known, t) if t else np.zeros(0, np.int32) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *(len(x) for x in found)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
@@ -131,7 +131,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_bucket
     Documents of a bucket are numbered through: first within shards of the bucket, then shifted by the sizes of the shards
     before, so a bucket of any size is spread over tasks and its batches are all full but the last.
     """
-    docs = saved(tokenized(only(df, id=id_col, text=text_col), ranks_of(df.sparkSession, tokenizer)), "tokens")
+    docs = saved_by_batches(tokenized(only(df, id=id_col, text=text_col), ranks_of(df.sparkSession, tokenizer)), "tokens")
     # n different lengths have n * (n + 1) / 2 tokens at least: ten million million tokens have 5 million lengths at most
     histogram = docs.where("n_tokens > 0").groupBy("n_tokens").count().toPandas().sort_values("n_tokens")
     bounds = choose_bounds(histogram["n_tokens"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), n_buckets)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from geostrata.llm import chat, components, decontaminate, exact_dedup, minhash, packing, pii, quality, secrets, warc
+from geostrata.llm import chat, common, components, decontaminate, exact_dedup, minhash, packing, pii, quality, secrets, warc
 from geostrata.llm.common import saved, scratch, slices, utf8, word_hashes
 
 DOCS = [
@@ -221,6 +221,33 @@ def test_prefixes_of_sets_that_link_meet_in_any_order():
                 assert len(minhash.prefix(a, often, 80)) == len(a) - -(-len(a) * 80 // 100) + 1
 
 
+def test_workers_give_back_what_a_batch_took():
+    """A small array at the heap's top keeps what lies below it, unless it is given back."""
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    batch = pa.record_batch({"text": ["a"] * 10})
+    for _ in common.slices(iter([batch]), 0):
+        held = [np.ones(100_000, np.uint8) for _ in range(2000)]
+        most, held = resident(), held[-1:]
+    assert most - resident() > 100_000_000 and held[0].sum() == 100_000
+
+
+def test_saved_by_batches_holds_few_bytes_at_once(spark):
+    df = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"n": [sum(len(t) for t in batch.column(0).to_pylist())]})
+
+    found = [r.n for r in common.saved_by_batches(df.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(found) == 32_000_000 and max(found) <= common.BATCH_BYTES + 4000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_densified_bins_agree_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     agree, trials = 0, 300
