@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from geostrata.functions.arrays import bound
-from geostrata.llm.common import dropped, only, saved_lean, slices
+from geostrata.llm.common import dropped, only, released, saved_lean, slices
 
 #: Settings that name the two vocabularies' files, which the driver reads, and where they are else looked for.
 FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.geostrata.align.b": "/opt/tokenizers/piece_bpe_32k.model"}
 #: Characters of a slice, about: a task composes a slice's documents in arrays of about ten times as much memory.
 SLICE = 1 << 24
-#: Segments are aligned in so many rounds, and reach the slices in so many: only one round's shuffle files are on the disks at a time.
-ALIGN_ROUNDS, ROUNDS = 2, 4
+#: Aligned segments reach the slices in so many rounds: only one round's shuffle files are on the disks at a time.
+ROUNDS = 3
 #: Segments that are tokenized at once, and occurrences of pairs that are counted at once.
 BATCH, PAIRS = 2048, 1 << 19
 #: What counts as white here: all that either side may take for it, since a place that is no cut does no harm.
@@ -281,7 +281,7 @@ def composed(docs: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
         of = {c: right[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups")}
         links, link_offsets = _lists(right["links"])
         of["n_links"] = np.diff(link_offsets)
-        whole = (_sums(1 - right["whole"].to_numpy(zero_copy_only=False).astype(np.int64), seq, offsets) == 0) & (np.diff(offsets) > 0)
+        whole = (_sums((of["n_a"] == 0).astype(np.int64), seq, offsets) == 0) & (np.diff(offsets) > 0)
         said = right["groups"].to_pylist()
         digests = [hashlib.sha256(";".join([said[i] for i in seq[offsets[d] : offsets[d + 1]].tolist()]).encode()).hexdigest() if whole[d] else "" for d in range(n)]
         kept = np.repeat(whole, np.diff(offsets))
@@ -292,6 +292,7 @@ def composed(docs: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
         columns |= {c: padded(np.where(whole, _sums(v, seq, offsets), 0)) for c, v in of.items()}
         columns["groups_sha256"] = pa.concat_arrays([pa.array(digests, pa.string()), pa.nulls(m, pa.string())])
         columns |= {c: pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(v, pa.int64())]) for c, v in (("pair", pairs), ("n_docs", counts))}
+        released()
         return pa.table(columns)
 
     schema = f"slice long, row long, id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, n_docs long"
@@ -317,6 +318,12 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return counts.withColumn("a", F.shiftright("pair", 32)).join(highest, "a").select("pair", "count", (F.col("count") == F.col("highest")).cast("int").alias("best"))
 
 
+def of_round(slice_, r: int, n: int):
+    """Whether a slice is met in round ``r`` of ``n``: a task's slices, and the first ones of tasks, go to one round after the other, so that rounds are of one size
+    where slices are few."""
+    return F.pmod(F.shiftright(slice_, 32) + slice_.bitwiseAND((1 << 32) - 1), F.lit(n)) == r
+
+
 def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = SLICE) -> DataFrame:
     """One row per row of ``df``: id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
     a, b = contents(df.sparkSession)
@@ -325,12 +332,12 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_c
     parts = saved_lean(sliced(docs, at_spaces, slice_chars), "slices")
     rows, places = parts.where("seq is not null").select("slice", "row", "id", "seq"), parts.where("segment is not null").select(F.col("slice").alias("of_slice"), "at", "segment")
     tokens = saved_lean(tokenized(parts, a, b, at_spaces), "tokens")
-    id_type, of_round = docs.schema["id"].dataType.simpleString(), lambda c, r, n: F.pmod(F.xxhash64(c), F.lit(n)) == r
-    in_rounds = lambda made, n, name: reduce(DataFrame.unionByName, [saved_lean(made(r), name) for r in range(n)])
-    known = in_rounds(lambda r: aligned(tokens.where(of_round("seg", r, ALIGN_ROUNDS))), ALIGN_ROUNDS, "aligned")
+    id_type = docs.schema["id"].dataType.simpleString()
+    known = saved_lean(aligned(tokens), "aligned")
     dropped(tokens)
-    meet = lambda r: places.where(of_round("of_slice", r, ROUNDS)).join(known.drop("seg"), "segment").drop("segment")
-    both = in_rounds(lambda r: composed(rows.where(of_round("slice", r, ROUNDS)), meet(r), id_type), ROUNDS, "composed")
+    # a segment that isn't whole has no tokens, so their number tells
+    meet = lambda r: places.where(of_round(F.col("of_slice"), r, ROUNDS)).join(known.drop("seg", "whole"), "segment").drop("segment")
+    both = reduce(DataFrame.unionByName, [saved_lean(composed(rows.where(of_round(F.col("slice"), r, ROUNDS)), meet(r), id_type), "composed") for r in range(ROUNDS)])
     counts = pair_counts(both.where("pair is not null"))
     of_links = known.where("whole").select("seg", F.explode("links").alias("pair")).join(counts, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     values = saved_lean(known.select("seg", "segment").join(of_links, "seg", "left").select("segment", "n_best", "count_sum").na.fill(0), "values")

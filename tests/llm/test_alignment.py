@@ -82,3 +82,11 @@ def test_segments_join_to_the_text_and_cut_where_both_cut():
     for text in (t for _, t in ODD if t):
         cut = align.segments(text)
         assert " ".join(cut) == text and all(s and s[-1] not in align.WHITE for s in cut[:-1])
+
+
+def test_few_slices_are_dealt_evenly_over_rounds(spark):
+    """By hashes one of four rounds had 15 of 32 slices and their shuffle files."""
+    for tasks, each in ((32, 1), (7, 9), (1, 30)):
+        found = spark.range(tasks * each).select((F.floor(F.col("id") / each) * (1 << 32) + F.col("id") % each).cast("long").alias("slice"))
+        sizes = [found.where(align.of_round(F.col("slice"), r, align.ROUNDS)).count() for r in range(align.ROUNDS)]
+        assert sum(sizes) == tasks * each and max(sizes) - min(sizes) <= 1
