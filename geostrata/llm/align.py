@@ -7,9 +7,10 @@ their byte lengths, an equi-join on segment and end, and the running count of co
 neighbouring ends lies one token of either vocabulary, and two tokens overlap if and only if one such interval lies in both: a link is an
 interval with its two tokens, so ranges are joined without making the pairs of a group.
 
-A *slice* is the documents of one task up to ``SLICE`` characters; it numbers its own segments, and a document is the list of these numbers. Aligned
-segments are joined back to the slices that hold them, where documents are composed in arrays. How many documents hold a pair linked is
-counted in slices, a document once, and then summed. Segments get the sums over their links' counts by a join on the pair, and slices meet them once more.
+A *slice* is the documents of one task up to ``SLICE`` characters; it numbers its own segments, and a document is the list of these numbers. A distinct
+segment carries its *places*, the slices that hold it with its number in each, so once aligned it is dealt to the slices without a join on its text; there
+documents are composed in arrays. How many documents hold a pair linked is counted in slices, a document once, and then summed. Segments get the sums over
+their links' counts by a join on the pair, and slices meet them once more.
 
 Defined results: null and empty texts have no tokens, nor have texts whose tokens' bytes differ from the text with a space before it (as those with
 U+2581); their numbers are 0, their digest is empty, and they count for no pair. A text is cut whole, whatever its length; one without spaces is one segment.
@@ -27,13 +28,13 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geostrata.functions.arrays import bound
 from geostrata.llm.common import dropped, only, released, saved_lean, slices
 
 #: Settings that name the two vocabularies' files, which the driver reads, and where they are else looked for.
@@ -42,8 +43,8 @@ FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.
 SLICE = 1 << 24
 #: Aligned segments reach the slices in so many rounds: only one round's shuffle files are on the disks at a time.
 ROUNDS = 3
-#: Segments that are tokenized at once, and occurrences of pairs that are counted at once.
-BATCH, PAIRS = 2048, 1 << 19
+#: Places whose segments are tokenized at once, and occurrences of pairs that are counted at once.
+PLACES, PAIRS = 10_000, 1 << 19
 #: What counts as white here: all that either side may take for it, since a place that is no cut does no harm.
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e"}
 _NO_CUT = re.compile("[" + "".join(map(re.escape, sorted(WHITE))) + "] ")
@@ -170,14 +171,19 @@ def one_by_one(vocabulary: ByteLevel | Pieces, texts: list[str]) -> tuple[np.nda
 
 
 def tokenized(parts: DataFrame, a: bytes, b: bytes, at_spaces: bool) -> DataFrame:
-    """Every distinct segment with its tokens of both vocabularies and their sizes in bytes; without any where bytes differ."""
+    """Every distinct segment with the places that hold it (slices of_slice, and its numbers at in them), its tokens of both vocabularies and
+    their sizes in bytes; without any where bytes differ. Equal segments lie side by side; one that more than ``PLACES`` hold is several rows,
+    and each place is in one of them."""
     shared = parts.sparkSession.sparkContext.broadcast((a, b))  # two vocabularies, whatever the corpus
 
     def run(batches):
         both = vocabularies(*shared.value)
         sizes = [np.array([len(x) for x in v.bytes], np.int32) for v in both]
-        for batch in slices(batches, 0, most_rows=BATCH):
-            texts = batch.column(0).to_pylist()
+        for batch in slices(batches, 0, most_rows=PLACES):
+            runs = pc.run_end_encode(batch.column(0))
+            held_by, first = runs.values, np.append(0, runs.run_ends.to_numpy())
+            of_slice, at = (pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), batch.column(c)) for c in (1, 2))
+            texts = held_by.to_pylist()
             # a segment that ends in white space is the last of its text: nothing may follow it
             inner = [i for i, t in enumerate(texts) if at_spaces and t and t[-1] not in WHITE]
             for rows in (inner, sorted(set(range(len(texts))) - set(inner))):
@@ -187,15 +193,15 @@ def tokenized(parts: DataFrame, a: bytes, b: bytes, at_spaces: bool) -> DataFram
                 spans = np.array([1 + len(t.encode()) for t in own])
                 found = [(batched(v, size, own, spans) if rows is inner else None) or one_by_one(v, own) for v, size in zip(both, sizes)]
                 whole = (found[0][1] > 0) & (found[1][1] > 0)
-                columns = [batch.column(0).take(pa.array(rows)), pa.array(whole)]
+                columns = [x.take(pa.array(rows)) for x in (of_slice, at)]
                 for (ids, counts), size in zip(found, sizes):
                     ids = ids[np.repeat(whole, counts)]
                     ends = pa.array(np.append(0, np.cumsum(np.where(whole, counts, 0))).astype(np.int32))
                     columns += [pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(size[ids].astype(np.int16)))]
-                yield pa.RecordBatch.from_arrays(columns, ["segment", "whole", "a", "a_sizes", "b", "b_sizes"])
+                yield pa.RecordBatch.from_arrays(columns, ["of_slice", "at", "a", "a_sizes", "b", "b_sizes"])
 
-    distinct = parts.where("segment is not null").select("segment").distinct()
-    return distinct.mapInArrow(run, "segment string, whole boolean, a array<int>, a_sizes array<smallint>, b array<int>, b_sizes array<smallint>").withColumn("seg", F.monotonically_increasing_id())
+    places = parts.where("segment is not null").select("segment", "slice", "at").repartition("segment").sortWithinPartitions("segment")
+    return places.mapInArrow(run, "of_slice array<long>, at array<int>, a array<int>, a_sizes array<smallint>, b array<int>, b_sizes array<smallint>").withColumn("seg", F.monotonically_increasing_id())
 
 
 def ends(tokens: DataFrame, side: str) -> DataFrame:
@@ -215,27 +221,39 @@ def intervals(tokens: DataFrame) -> DataFrame:
     return both.select("seg", "end", "a", "b", (-F.sum(cut).over(later)).alias("group"), F.last("a", True).over(later).alias("link_a"), F.last("b", True).over(later).alias("link_b"))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """One row per segment of ``tokens``: segment, whole, n_a, n_b, n_groups, groups (their text) and links (a pair's ids as one number)."""
-    rows = intervals(tokens).groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("end", "group", "a", "b", "link_a", "link_b"))).alias("r"))
+def written(batches):
+    """Rows of segments (seg, of_slice, at, n_a, n_b, n_groups, groups, links) from those with their intervals r (end, link, mark) in any order."""
+    for batch in batches:
+        r = batch.column("r")
+        counts = np.nan_to_num(r.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        end, link, mark = (x.to_numpy(zero_copy_only=False) for x in r.flatten().flatten())
+        n, of_row = len(counts), np.repeat(np.arange(len(counts)), counts)
+        order = np.argsort(of_row * (int(end.max(initial=0)) + 1) + end, kind="stable")
+        row, ids, kind = of_row[order], link[order], mark[order] & 3
+        group = np.cumsum(np.append(True, (np.diff(row) != 0) | (np.diff(mark[order] >> 2) != 0))[: len(row)]) - 1
+        cuts = row[kind == 3]
+
+        def joined(values, of, most, sign):
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=most))).astype(np.int32)), values), sign)
 
-    def sided(side, number):
-        return F.transform(F.filter("r", lambda x: x[side].isNotNull()), lambda x: F.struct(x["group"].alias("group"), F.lit(number).alias("side"), x["end"].alias("end"), x[side].alias("id")))
+        sides = [joined(pa.array(x[kind & bit > 0]).cast(pa.string()), group[kind & bit > 0], len(cuts), ",") for bit, x in ((1, ids >> 32), (2, ids & (1 << 32) - 1))]
+        columns = [batch.column(c) for c in ("seg", "of_slice", "at")] + [pa.array(np.bincount(x, minlength=n).astype(np.int32)) for x in (row[kind & 1 > 0], row[kind & 2 > 0], cuts)]
+        columns += [joined(pc.binary_join_element_wise(*sides, "|"), cuts, n, ";"), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(link))]
+        yield pa.RecordBatch.from_arrays(columns, ["seg", "of_slice", "at", "n_a", "n_b", "n_groups", "groups", "links"])
 
-    def said(tokens_):
-        def one(x, i):
-            before = F.get(tokens_, i - 1)
-            sign = F.when(i == 0, "").when(x["group"] != before["group"], ";").when(x["side"] != before["side"], "|").otherwise(",")
-            return F.concat(sign, x["id"].cast("string"))
 
-        return F.array_join(F.transform(tokens_, one), "")
+def aligned(tokens: DataFrame) -> DataFrame:
+    """One row per row of ``tokens``: seg, of_slice, at, n_a, n_b, n_groups, groups (their text) and links (a pair's ids as one number)."""
+    link = F.col("link_a").cast("long") * (1 << 32) + F.col("link_b")
+    # which sides' tokens end here: a token that does is the one over the interval
+    ends_here = F.col("a").isNotNull().cast("int") + 2 * F.col("b").isNotNull().cast("int")
+    rows = intervals(tokens).groupBy("seg").agg(F.collect_list(F.struct("end", link.alias("link"), (F.col("group") * 4 + ends_here).alias("mark"))).alias("r"))
+    return tokens.select("seg", "of_slice", "at").join(rows, "seg", "left").mapInArrow(written, "seg long, of_slice array<long>, at array<int>, n_a int, n_b int, n_groups int, groups string, links array<long>")
+
 
-    counted = lambda held: F.size(F.filter("r", held))
-    found = rows.select(
-        "seg", counted(lambda x: x["a"].isNotNull()).alias("n_a"), counted(lambda x: x["b"].isNotNull()).alias("n_b"), counted(lambda x: x["a"].isNotNull() & x["b"].isNotNull()).alias("n_groups"),
-        bound(F.array_sort(F.concat(sided("a", 0), sided("b", 1))), said).alias("groups"), F.transform("r", lambda x: x["link_a"].cast("long") * (1 << 32) + x["link_b"]).alias("links"),
-    )
-    return tokens.select("seg", "segment", "whole").join(found, "seg", "left").na.fill(0, ["n_a", "n_b", "n_groups"])
+def at_places(found: DataFrame, *columns: str) -> DataFrame:
+    """A row (of_slice, at and ``columns``) for every place of every row."""
+    return found.select(F.explode(F.arrays_zip("of_slice", "at")).alias("place"), *columns).select("place.of_slice", "place.at", *columns)
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -330,19 +348,19 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_c
     at_spaces = all(v.cuts_at_spaces for v in vocabularies(a, b))
     docs = only(df, id=id_col, text=text_col)
     parts = saved_lean(sliced(docs, at_spaces, slice_chars), "slices")
-    rows, places = parts.where("seq is not null").select("slice", "row", "id", "seq"), parts.where("segment is not null").select(F.col("slice").alias("of_slice"), "at", "segment")
+    rows = parts.where("seq is not null").select("slice", "row", "id", "seq")
     tokens = saved_lean(tokenized(parts, a, b, at_spaces), "tokens")
     id_type = docs.schema["id"].dataType.simpleString()
     known = saved_lean(aligned(tokens), "aligned")
     dropped(tokens)
     # a segment that isn't whole has no tokens, so their number tells
-    meet = lambda r: places.where(of_round(F.col("of_slice"), r, ROUNDS)).join(known.drop("seg", "whole"), "segment").drop("segment")
+    meet = lambda r: at_places(known, "n_a", "n_b", "n_groups", "groups", "links").where(of_round(F.col("of_slice"), r, ROUNDS))
     both = reduce(DataFrame.unionByName, [saved_lean(composed(rows.where(of_round(F.col("slice"), r, ROUNDS)), meet(r), id_type), "composed") for r in range(ROUNDS)])
     counts = pair_counts(both.where("pair is not null"))
-    of_links = known.where("whole").select("seg", F.explode("links").alias("pair")).join(counts, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    values = saved_lean(known.select("seg", "segment").join(of_links, "seg", "left").select("segment", "n_best", "count_sum").na.fill(0), "values")
+    of_links = known.select("seg", F.explode("links").alias("pair")).join(counts, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    values = saved_lean(known.select("seg", "of_slice", "at").join(of_links, "seg", "left").drop("seg").na.fill(0, ["n_best", "count_sum"]), "values")
     dropped(known)
-    sums = saved_lean(summed(rows, places.join(values, "segment").drop("segment")), "sums")
+    sums = saved_lean(summed(rows, at_places(values, "n_best", "count_sum")), "sums")
     found = both.where("slice is not null").join(sums, ["slice", "row"])
     # a document without tokens counts for nothing, whatever its other segments
     has = F.col("groups_sha256") != ""

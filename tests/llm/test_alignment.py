@@ -90,3 +90,30 @@ def test_few_slices_are_dealt_evenly_over_rounds(spark):
         found = spark.range(tasks * each).select((F.floor(F.col("id") / each) * (1 << 32) + F.col("id") % each).cast("long").alias("slice"))
         sizes = [found.where(align.of_round(F.col("slice"), r, align.ROUNDS)).count() for r in range(align.ROUNDS)]
         assert sum(sizes) == tasks * each and max(sizes) - min(sizes) <= 1
+
+
+def test_segments_carry_the_places_that_hold_them(spark):
+    """Each place is in one row, with its segment's tokens, also where an Arrow batch ends among equal segments."""
+    rows = [(i, "some words of some text, the same every time " + "x y z"[i % 4 :]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    a, b = align.contents(spark)
+    parts = align.sliced(docs, True, 200).localCheckpoint()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        tokens = align.tokenized(parts, a, b, True).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    vocabularies = align.vocabularies(a, b)
+    found = [(s, at, *(b"".join(v.bytes[i] for i in ids).decode() for v, ids in zip(vocabularies, (r.a, r.b)))) for r in tokens for s, at in zip(r.of_slice, r.at, strict=True)]
+    held = [(r.slice, r.at, " " + r.segment, " " + r.segment) for r in parts.where("segment is not null").collect()]
+    assert sorted(found) == sorted(held) and len(tokens) < len(held) / 2
+
+
+def test_no_join_reads_the_texts_of_segments(spark, monkeypatch):
+    """Aligned segments met the slices in joins on their texts, once a round and once more for the sums."""
+    plans, saved = [], align.saved_lean
+    monkeypatch.setattr(align, "saved_lean", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or saved(df, name))
+    align.align(spark.createDataFrame([(1, "the quick brown fox"), (2, "the brown dog")], "doc_id long, text string"))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
+    assert joins and not any("segment" in line for line in joins)
