@@ -22,9 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import defaultdict
 from functools import cache, reduce
-from itertools import chain, count
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from geostrata.llm.common import dropped, only, released, saved_lean, slices
+from geostrata.llm.common import dropped, only, released, saved_lean, slices, utf8
 
 #: Settings that name the two vocabularies' files, which the driver reads, and where they are else looked for.
 FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.geostrata.align.b": "/opt/tokenizers/piece_bpe_32k.model"}
@@ -43,11 +42,16 @@ FILES = {"spark.geostrata.align.a": "/opt/tokenizers/byte_bpe_50k.json", "spark.
 SLICE = 1 << 24
 #: Aligned segments reach the slices in so many rounds: only one round's shuffle files are on the disks at a time.
 ROUNDS = 3
+#: Segments are aligned in so many parts, for the same reason.
+PARTS = 2
+#: Pairs whose counts are broadcast; more of them are joined.
+FEW_PAIRS = 200_000
 #: Places whose segments are tokenized at once, and occurrences of pairs that are counted at once.
 PLACES, PAIRS = 10_000, 1 << 19
 #: What counts as white here: all that either side may take for it, since a place that is no cut does no harm.
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if c.isspace()) | {"\u180e"}
 _NO_CUT = re.compile("[" + "".join(map(re.escape, sorted(WHITE))) + "] ")
+_ODD = "^ |[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(WHITE)) + "] "
 _SPACE = "▁"
 
 
@@ -117,37 +121,51 @@ def segments(text: str) -> list[str]:
     return found if held is None else [*found, held]
 
 
+def cut(texts: pa.Array, at_spaces: bool) -> pa.ListArray:
+    """The segments of every text of a batch, none of null and empty ones; texts that are cut before all their spaces are so in one call."""
+    texts = pc.fill_null(texts, "").cast(pa.string())
+    odd = np.ones(len(texts), bool)
+    if at_spaces:
+        odd = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, _ODD)).to_numpy(zero_copy_only=False)
+    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    if not odd.any():
+        return plain
+    own = [[] if not t else segments(t) if at_spaces else [t] for t in texts.filter(pa.array(odd)).to_pylist()]
+    order = np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]))
+    return pa.concat_arrays([plain, pa.array(own, plain.type)]).take(pa.array(order))
+
+
 def sliced(docs: DataFrame, at_spaces: bool, most: int) -> DataFrame:
     """Rows of documents (slice, row, id, seq) and of segments (slice, at, segment) of all slices; ``seq`` holds a document's ``at`` in order."""
 
     def run(batches):
         first, number = TaskContext.get().partitionId() << 32, 0
-        known: dict[str, int] = defaultdict(count().__next__)
-        ids, seqs, size = [], [], 0
+        ids, cuts, size = [], [], 0
 
         def closed():
-            n, k = len(seqs), len(known)
-            ends = np.cumsum([0, *map(len, seqs)], dtype=np.int32)
-            flat = pa.array(np.concatenate([*seqs, np.zeros(0, np.int32)]).astype(np.int32))
-            slice_ = pa.array([first + number], pa.int64())
+            numbered = pa.chunked_array([x.flatten() for x in cuts]).dictionary_encode().combine_chunks()
+            ends = np.cumsum(np.concatenate([[0], *(x.value_lengths() for x in cuts)]), dtype=np.int32)
+            n, k = len(ends) - 1, len(numbered.dictionary)
+            slice_ = first + number
             id_column = pa.chunked_array(ids).combine_chunks()
             none = lambda kind, m: pa.nulls(m, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, slice_[0].as_py())), pa.array(np.arange(n, dtype=np.int32)), id_column, pa.ListArray.from_arrays(pa.array(ends), flat), none(pa.int32(), n), none(pa.string(), n)], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, slice_[0].as_py())), none(pa.int32(), k), none(id_column.type, k), none(pa.list_(pa.int32()), k), pa.array(np.arange(k, dtype=np.int32)), pa.array(list(known), pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, slice_)), pa.array(np.arange(n, dtype=np.int32)), id_column, pa.ListArray.from_arrays(pa.array(ends), numbered.indices), none(pa.int32(), n), none(pa.string(), n)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, slice_)), none(pa.int32(), k), none(id_column.type, k), none(pa.list_(pa.int32()), k), pa.array(np.arange(k, dtype=np.int32)), numbered.dictionary], names)
 
         for batch in slices(batches, 1):
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                cut = [] if not text else segments(text) if at_spaces else [text]
-                ids.append(batch.column(0).slice(i, 1))
-                seqs.append(np.fromiter(map(known.__getitem__, cut), np.int32, len(cut)))
-                size += len(text or "")
+            lists, chars, at = cut(batch.column(1), at_spaces), pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(), 0
+            while at < batch.num_rows:
+                sizes = size + np.cumsum(chars[at:], dtype=np.int64)
+                n = min(int(np.searchsorted(sizes, most)) + 1, len(sizes))  # the document that fills a slice is its last
+                ids.append(batch.column(0).slice(at, n))
+                cuts.append(lists.slice(at, n))
+                at, size = at + n, int(sizes[n - 1])
                 if size >= most:
                     yield from closed()
                     number, size = number + 1, 0
-                    known = defaultdict(count().__next__)
                     ids.clear()
-                    seqs.clear()
-        if seqs:
+                    cuts.clear()
+        if cuts:
             yield from closed()
 
     names = ["slice", "row", "id", "seq", "at", "segment"]
@@ -172,8 +190,8 @@ def one_by_one(vocabulary: ByteLevel | Pieces, texts: list[str]) -> tuple[np.nda
 
 def tokenized(parts: DataFrame, a: bytes, b: bytes, at_spaces: bool) -> DataFrame:
     """Every distinct segment with the places that hold it (slices of_slice, and its numbers at in them), its tokens of both vocabularies and
-    their sizes in bytes; without any where bytes differ. Equal segments lie side by side; one that more than ``PLACES`` hold is several rows,
-    and each place is in one of them."""
+    their sizes in bytes; without any where bytes differ. Equal segments lie side by side, as a sort by one number puts them; where a batch of ``PLACES``
+    ends among them, or another segment has their number, they are several rows, and each place is in one of them."""
     shared = parts.sparkSession.sparkContext.broadcast((a, b))  # two vocabularies, whatever the corpus
 
     def run(batches):
@@ -200,7 +218,7 @@ def tokenized(parts: DataFrame, a: bytes, b: bytes, at_spaces: bool) -> DataFram
                     columns += [pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(size[ids].astype(np.int16)))]
                 yield pa.RecordBatch.from_arrays(columns, ["of_slice", "at", "a", "a_sizes", "b", "b_sizes"])
 
-    places = parts.where("segment is not null").select("segment", "slice", "at").repartition("segment").sortWithinPartitions("segment")
+    places = parts.where("segment is not null").select("segment", "slice", "at").repartition("segment").sortWithinPartitions(F.xxhash64("segment"))
     return places.mapInArrow(run, "of_slice array<long>, at array<int>, a array<int>, a_sizes array<smallint>, b array<int>, b_sizes array<smallint>").withColumn("seg", F.monotonically_increasing_id())
 
 
@@ -263,6 +281,20 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(counts))
 
 
+def _held(docs: pa.Table, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``found`` that hold a slice's documents' segments, in order, and the offsets of the documents in them."""
+    seq, offsets = _lists(docs["seq"])
+    rows = np.empty(found.num_rows, np.int64)
+    rows[found["at"].to_numpy()] = np.arange(found.num_rows)
+    return rows[seq], offsets
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """np.unique by sorting: numpy's own hashes integers, thirty times slower on half a million of them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def _sums(values: np.ndarray, seq: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The sum of a segment's value over the segments of each document."""
     total = np.append(0, np.cumsum(values[seq]) if len(seq) else np.zeros(0, np.int64))
@@ -271,7 +303,8 @@ def _sums(values: np.ndarray, seq: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 def held_pairs(seq: np.ndarray, offsets: np.ndarray, links: np.ndarray, link_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of some documents' segments, and how many of the documents hold each."""
-    names, pair = np.unique(links, return_inverse=True)
+    names = _distinct(links)
+    pair = np.searchsorted(names, links)
     counts, k = np.zeros(len(names), np.int64), len(link_offsets) - 1
     of_doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     size = np.diff(link_offsets)
@@ -279,36 +312,47 @@ def held_pairs(seq: np.ndarray, offsets: np.ndarray, links: np.ndarray, link_off
     at = 0
     while at < len(offsets) - 1:  # whole documents of so many occurrences at most, or one document
         to = max(at + 1, int(np.searchsorted(weight, weight[at] + PAIRS, "right")) - 1)
-        own = np.unique(of_doc[offsets[at] : offsets[to]] * k + seq[offsets[at] : offsets[to]])
+        own = _distinct(of_doc[offsets[at] : offsets[to]] * k + seq[offsets[at] : offsets[to]])
         doc, seg = own // max(k, 1), own % max(k, 1)
         n = size[seg]
         places = np.repeat(link_offsets[seg] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        held = np.unique(np.repeat(doc, n) * len(names) + pair[places])
+        held = _distinct(np.repeat(doc, n) * len(names) + pair[places])
         counts += np.bincount(held % max(len(names), 1), minlength=len(names))[: len(names)] if len(held) else 0
         at = to
     return names, counts
 
 
+def digests(groups: pa.Array, seq: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """The digest of every document's groups, those of its segments with a semicolon between; "" without segments."""
+    large = pa.large_string()
+    said, found, at = pc.binary_join_element_wise(pa.scalar("", large), groups.cast(large), pa.scalar(";", large)), [], 0
+    while at < len(offsets) - 1:  # whole documents of so many segments at most, or one document
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PAIRS, "right")) - 1)
+        data, ends = utf8(said.take(pa.array(seq[offsets[at] : offsets[to]])))
+        ends = ends[offsets[at : to + 1] - offsets[at]]
+        found += [hashlib.sha256(data[start + 1 : end]).hexdigest() if end > start else "" for start, end in zip(ends[:-1], ends[1:])]
+        at = to
+    return found
+
+
 def composed(docs: DataFrame, found: DataFrame, id_type: str) -> DataFrame:
     """Rows of documents (slice, row, id, n_a, n_b, n_groups, n_links, groups_sha256) and of the pairs of a slice (pair, n_docs)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.take(np.argsort(right["at"].to_numpy(), kind="stable"))
-        seq, offsets = _lists(left["seq"])
+        seq, offsets = _held(left, right)
         n = left.num_rows
         of = {c: right[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups")}
         links, link_offsets = _lists(right["links"])
         of["n_links"] = np.diff(link_offsets)
         whole = (_sums((of["n_a"] == 0).astype(np.int64), seq, offsets) == 0) & (np.diff(offsets) > 0)
-        said = right["groups"].to_pylist()
-        digests = [hashlib.sha256(";".join([said[i] for i in seq[offsets[d] : offsets[d + 1]].tolist()]).encode()).hexdigest() if whole[d] else "" for d in range(n)]
+        said = np.where(whole, digests(right["groups"].combine_chunks(), seq, offsets), "")
         kept = np.repeat(whole, np.diff(offsets))
         pairs, counts = held_pairs(seq[kept], np.append(0, np.cumsum(np.where(whole, np.diff(offsets), 0))), links, link_offsets)
         m = len(pairs)
         padded = lambda values: pa.concat_arrays([pa.array(values, pa.int64()), pa.nulls(m, pa.int64())])
         columns = {"slice": padded(left["slice"].to_numpy()), "row": padded(left["row"].to_numpy()), "id": pa.concat_arrays([left["id"].combine_chunks(), pa.nulls(m, left["id"].type)])}
         columns |= {c: padded(np.where(whole, _sums(v, seq, offsets), 0)) for c, v in of.items()}
-        columns["groups_sha256"] = pa.concat_arrays([pa.array(digests, pa.string()), pa.nulls(m, pa.string())])
+        columns["groups_sha256"] = pa.concat_arrays([pa.array(said, pa.string()), pa.nulls(m, pa.string())])
         columns |= {c: pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(v, pa.int64())]) for c, v in (("pair", pairs), ("n_docs", counts))}
         released()
         return pa.table(columns)
@@ -321,8 +365,7 @@ def summed(docs: DataFrame, found: DataFrame) -> DataFrame:
     """slice, row, n_best and count_sum of every document from those of its segments."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.take(np.argsort(right["at"].to_numpy(), kind="stable"))
-        seq, offsets = _lists(left["seq"])
+        seq, offsets = _held(left, right)
         columns = {"slice": left["slice"], "row": left["row"].cast(pa.int64())}
         return pa.table(columns | {c: _sums(right[c].to_numpy().astype(np.int64), seq, offsets) for c in ("n_best", "count_sum")})
 
@@ -342,21 +385,22 @@ def of_round(slice_, r: int, n: int):
     return F.pmod(F.shiftright(slice_, 32) + slice_.bitwiseAND((1 << 32) - 1), F.lit(n)) == r
 
 
-def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = SLICE) -> DataFrame:
+def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = SLICE, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """One row per row of ``df``: id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256."""
     a, b = contents(df.sparkSession)
     at_spaces = all(v.cuts_at_spaces for v in vocabularies(a, b))
     docs = only(df, id=id_col, text=text_col)
     parts = saved_lean(sliced(docs, at_spaces, slice_chars), "slices")
-    rows = parts.where("seq is not null").select("slice", "row", "id", "seq")
     tokens = saved_lean(tokenized(parts, a, b, at_spaces), "tokens")
+    rows = parts.where("seq is not null").select("slice", "row", "id", "seq")
     id_type = docs.schema["id"].dataType.simpleString()
-    known = saved_lean(aligned(tokens), "aligned")
+    known = reduce(DataFrame.unionByName, [saved_lean(aligned(tokens.where(F.pmod("seg", F.lit(PARTS)) == p)), "aligned") for p in range(PARTS)])
     dropped(tokens)
     # a segment that isn't whole has no tokens, so their number tells
     meet = lambda r: at_places(known, "n_a", "n_b", "n_groups", "groups", "links").where(of_round(F.col("of_slice"), r, ROUNDS))
     both = reduce(DataFrame.unionByName, [saved_lean(composed(rows.where(of_round(F.col("slice"), r, ROUNDS)), meet(r), id_type), "composed") for r in range(ROUNDS)])
-    counts = pair_counts(both.where("pair is not null"))
+    counts = saved_lean(pair_counts(both.where("pair is not null")), "counts")
+    counts = F.broadcast(counts) if counts.count() <= few_pairs else counts
     of_links = known.select("seg", F.explode("links").alias("pair")).join(counts, "pair").groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     values = saved_lean(known.select("seg", "of_slice", "at").join(of_links, "seg", "left").drop("seg").na.fill(0, ["n_best", "count_sum"]), "values")
     dropped(known)

@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -117,3 +119,26 @@ def test_no_join_reads_the_texts_of_segments(spark, monkeypatch):
     align.align(spark.createDataFrame([(1, "the quick brown fox"), (2, "the brown dog")], "doc_id long, text string"))
     joins = [line for plan in plans for line in plan.splitlines() if "Join " in line]
     assert joins and not any("segment" in line for line in joins)
+
+
+def test_counts_of_many_pairs_are_joined(spark):
+    rows = [(i, f"some words, {i % 7} of {i % 5} kinds") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # else Spark broadcasts so few by itself
+    try:
+        for few in (0, 1000):
+            assert sorted(map(tuple, align.align(df, slice_chars=100, few_pairs=few).collect()), key=str) == brute(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_segments_are_cut_by_batches_as_one_by_one():
+    texts = [t for _, t in ODD] + ["a b", "x\u00a0 y", "\x1f z", "a\u3000 b c", "tail  "]
+    for at_spaces in (True, False):
+        assert align.cut(pa.array(texts, pa.string()), at_spaces).to_pylist() == [[] if not t else align.segments(t) if at_spaces else [t] for t in texts]
+
+
+def test_digests_are_those_of_the_joined_groups():
+    groups, seq, offsets = ["1|2", "3,4|5;6|7", "8|9"], np.array([0, 1, 1, 2]), np.array([0, 2, 2, 4])
+    assert align.digests(pa.array(groups), seq, offsets) == [hashlib.sha256(x).hexdigest() if x else "" for x in (b"1|2;3,4|5;6|7", b"", b"3,4|5;6|7;8|9")]
