@@ -2,7 +2,7 @@
 
 A radius join puts both sides on a grid of the radius' size and joins each cell with its neighbours, so it is an equi-join whose
 candidates grow with the local density and not with the product of the tables. Nearest neighbours widen the ring of cells until
-enough points are certain to be inside. Interpolators have their knots in every task, at most BROADCAST_POINTS.
+enough points are certain to be inside. Interpolators have their knots in every task, at most BROADCAST_POINTS; triangulations of more are made in tiles.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geostrata.operators import tiled
 from geostrata.operators.triangulation import Cells, Located, delaunay, gradients
 from geostrata.operators.triangulation import clough_tocher as patches
 from geostrata.sources.scratch import saved
@@ -66,7 +67,7 @@ def nearest_pairs(queries: DataFrame, points: DataFrame, k: int, query_id: str,
     Queries are never shuffled: points, up to BROADCAST_POINTS of them, go to every task sorted into cells, and a place meets those of the
     cells around it. Beyond that bound the grid join takes over, with a radius that doubles for queries not yet full; distances are the same.
     """
-    if points.limit(BROADCAST_POINTS + 1).count() > BROADCAST_POINTS:
+    if _is_large(points):
         return _nearest_by_grid(queries, points, k, query_id, point_id, query_xy, point_xy, values)
     known = knots_of(points, point_id, point_xy, values)
     ids, extra = known["id"].to_numpy(), {v: known[f"v_{v}"].to_numpy(float) for v in values}
@@ -158,6 +159,10 @@ def distance_weights(dist: np.ndarray, power: float = 2.0, min_relative_weight:
     return w / w.sum(1, keepdims=True)
 
 
+def _is_large(points: DataFrame) -> bool:
+    return points.limit(BROADCAST_POINTS + 1).count() > BROADCAST_POINTS
+
+
 def _triangulated(known: pd.DataFrame) -> Located:
     xy = known[["x", "y"]].to_numpy(float)
     return Located(xy, *delaunay(xy))
@@ -187,12 +192,32 @@ def delaunay_weights(queries: DataFrame, points: DataFrame, query_id: str, point
     return _asked(queries, query_id, query_xy).mapInPandas(around, kinds)
 
 
+def _in_plane(points: DataFrame, point_id: str, xy: tuple[str, str], values: list[str] = ()) -> DataFrame:
+    return points.select(F.col(point_id).alias("id"), F.col(xy[0]).cast("double").alias("x"), F.col(xy[1]).cast("double").alias("y"), *(F.col(v).cast("double").alias(f"v_{v}") for v in values))
+
+
+def _surface_by_tiles(queries, points, query_id, point_id, values, query_xy, point_xy, neighbors, power, slopes) -> DataFrame:
+    def made(located, at, w, _, known):
+        corners = located.triangles[at]
+        by = {v: np.stack([known[f"v_{c}"] for c in slopes[v]], 1) * located.scale for v in values}
+        return {v: patches(located.z[corners], known[f"v_{v}"][corners], by[v][corners], w) for v in values}
+
+    columns = [*dict.fromkeys([*values, *(c for v in values for c in slopes[v])])]
+    found, outside = tiled.triangles_around(_asked(queries, query_id, query_xy), _in_plane(points, point_id, point_xy, columns), [f"v_{c}" for c in columns], made, ", ".join(f"{v} double" for v in values))
+    if outside.isEmpty():
+        return found
+    return found.unionByName(idw(nearest_pairs(outside, points, neighbors, "query_id", point_id, ("_x", "_y"), point_xy, values), values, power=power))
+
+
 def clough_tocher(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, values: list[str], query_xy=("x", "y"), point_xy=("x", "y"), neighbors: int = 3, power: float = 2.0, slopes: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """query_id and the values of smooth surfaces through the points: cubic patches on the Delaunay triangles, inverse distances outside the hull.
 
-    ``slopes`` names the columns of a value's gradient where it is known; else the gradients are those with which the edges bend least.
+    ``slopes`` names the columns of a value's gradient where it is known; else the gradients are those with which the edges bend least, a system
+    over all knots, which are BROADCAST_POINTS at most then.
     """
     given = slopes or {}
+    if all(v in given for v in values) and _is_large(points):
+        return _surface_by_tiles(queries, points, query_id, point_id, values, query_xy, point_xy, neighbors, power, given)
     known = knots_of(points, point_id, point_xy, [*values, *(c for pair in given.values() for c in pair)])
     located = _triangulated(known)
     heights = known[[f"v_{v}" for v in values]].to_numpy(float)

@@ -22,19 +22,25 @@ def along_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.argsort(key, kind="stable")
 
 
-def delaunay(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def delaunay(xy: np.ndarray, low: np.ndarray | None = None, size: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Triangles (corners counter-clockwise) whose circles hold no other knot, and each corner's opposite neighbour, -1 at the hull.
 
     Knots are added one by one. Those triangles whose circle holds the new knot make a hole, which is filled with triangles from its border to the
-    knot. Triangles with the corner -1 stand for the outside of a hull's edge. Equal knots count once, knots of one line have no triangles.
+    knot. Triangles with the corner -1 stand for the outside of a hull's edge. Equal knots count once, knots of one line have no triangles. Of knots on one
+    circle the lowest counts as a trace outside of it, so the triangles are the same in any order and in any part of the knots. ``low`` and ``size`` are
+    those of a whole of which ``xy`` is a part.
     """
     xy = np.asarray(xy, float).reshape(-1, 2)
     if len(xy) < 3:
         return np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64)
-    steps = np.rint((xy - xy.min(0)) / max(np.ptp(xy, axis=0).max(), 1e-300) * STEPS).astype(np.int64)
+    low, size = (xy.min(0) if low is None else low), (np.ptp(xy, axis=0).max() if size is None else size)
+    steps = np.rint((xy - low) / max(size, 1e-300) * STEPS).astype(np.int64)
     _, first = np.unique(steps, axis=0, return_index=True)
     first = np.sort(first)
-    order = first[along_curve(steps[first, 0], steps[first, 1])].tolist()
+    # by chance in rounds that double, each along the curve: however knots lie, a new one changes few triangles
+    rounds = np.floor(np.log2(np.random.default_rng(0).permutation(len(first)) + 1))
+    along = along_curve(steps[first, 0], steps[first, 1])
+    order = first[along[np.argsort(rounds[along], kind="stable")]].tolist()
     px, py = steps[:, 0].tolist(), steps[:, 1].tolist()  # integers of Python: no product overflows
 
     def turn(a, b, c):
@@ -54,7 +60,11 @@ def delaunay(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             side = turn(a, b, p)
             return side > 0 or (side == 0 and (px[a] - px[p]) * (px[b] - px[p]) + (py[a] - py[p]) * (py[b] - py[p]) < 0)
         ax, ay, bx, by, cx, cy = px[a] - px[p], py[a] - py[p], px[b] - px[p], py[b] - py[p], px[c] - px[p], py[c] - py[p]
-        return (ax * ax + ay * ay) * (bx * cy - by * cx) - (bx * bx + by * by) * (ax * cy - ay * cx) + (cx * cx + cy * cy) * (ax * by - ay * bx) > 0
+        found = (ax * ax + ay * ay) * (bx * cy - by * cx) - (bx * bx + by * by) * (ax * cy - ay * cx) + (cx * cx + cy * cy) * (ax * by - ay * bx)
+        if found:
+            return found > 0
+        lowest = min((a, b, c, p), key=lambda i: (px[i], py[i]))
+        return lowest != p and turn(*((b, c) if lowest == a else (c, a) if lowest == b else (a, b)), p) > 0
 
     at = 0
     for p in order[2:]:
