@@ -170,6 +170,8 @@ def _triangulated(known: pd.DataFrame) -> Located:
 
 def delaunay_weights(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, query_xy=("x", "y"), point_xy=("x", "y"), neighbors: int = 3, power: float = 2.0) -> DataFrame:
     """query_id, point_id, weight: barycentric weights in the Delaunay triangle around each query, inverse distances outside the hull."""
+    if _is_large(points):
+        return _delaunay_by_tiles(queries, points, query_id, point_id, query_xy, point_xy, neighbors, power)
     known = knots_of(points, point_id, point_xy)
     located = _triangulated(known)
     shared = queries.sparkSession.sparkContext.broadcast((known["id"].to_numpy(), located, Cells(located.xy)))
@@ -196,6 +198,21 @@ def _in_plane(points: DataFrame, point_id: str, xy: tuple[str, str], values: lis
     return points.select(F.col(point_id).alias("id"), F.col(xy[0]).cast("double").alias("x"), F.col(xy[1]).cast("double").alias("y"), *(F.col(v).cast("double").alias(f"v_{v}") for v in values))
 
 
+def _delaunay_by_tiles(queries, points, query_id, point_id, query_xy, point_xy, neighbors, power) -> DataFrame:
+    def made(located, at, w, ids, _):
+        corners = located.triangles[at]
+        return {f"p{i}": ids[corners[:, i]] for i in range(3)} | {f"w{i}": w[:, i] for i in range(3)}
+
+    kind = points.schema[point_id].dataType.simpleString()
+    found, outside = tiled.triangles_around(_asked(queries, query_id, query_xy), _in_plane(points, point_id, point_xy), [], made, f"p0 {kind}, p1 {kind}, p2 {kind}, w0 double, w1 double, w2 double")
+    corners = F.array(*(F.struct(F.col(f"p{i}").alias("point_id"), F.col(f"w{i}").alias("weight")) for i in range(3)))
+    inside = found.select("query_id", F.explode(corners).alias("c")).select("query_id", "c.*").where("weight > 1e-9")
+    if outside.isEmpty():
+        return inside
+    near = idw_weights(nearest_pairs(outside, points, neighbors, "query_id", point_id, ("_x", "_y"), point_xy), power=power)
+    return inside.unionByName(near.select("query_id", "point_id", "weight").where("weight > 1e-9"))
+
+
 def _surface_by_tiles(queries, points, query_id, point_id, values, query_xy, point_xy, neighbors, power, slopes) -> DataFrame:
     def made(located, at, w, _, known):
         corners = located.triangles[at]
